@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from tideline.llm import exact_dedup
+import public_tokenizers
+
+from tideline.llm import exact_dedup, sentencepieces
 from tideline.session import ship, table
 
 QUERIES = {}
@@ -26,6 +28,11 @@ def op2_exact_dedup(spark, sf_dir):
     return exact_dedup.label_copies(table(spark, sf_dir, "documents"))
 
 
+@query
+def op3_sentencepiece(spark, sf_dir):
+    return sentencepieces.encode_decode_digests(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 ORACLES["op2_exact_dedup"] = r"""
 WITH d AS (
   SELECT doc_id, length(coalesce(text, '')) AS n,
