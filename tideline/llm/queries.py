@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import public_tokenizers
+from pyspark.sql import functions as F
 
-from tideline.llm import exact_dedup, sentencepieces
+from tideline.llm import exact_dedup, sentencepieces, simhash
 from tideline.session import ship, table
 
 QUERIES = {}
@@ -33,6 +34,12 @@ def op3_sentencepiece(spark, sf_dir):
     return sentencepieces.encode_decode_digests(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+@query
+def op9_simhash(spark, sf_dir):
+    found = simhash.components(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 ORACLES["op2_exact_dedup"] = r"""
 WITH d AS (
   SELECT doc_id, length(coalesce(text, '')) AS n,
