@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from tideline.llm import exact_dedup, sentencepieces, simhash
+from tideline.llm import exact_dedup, secrets, sentencepieces, simhash
 from tideline.session import ship, table
 
 QUERIES = {}
@@ -34,6 +34,12 @@ def op3_sentencepiece(spark, sf_dir):
     return sentencepieces.encode_decode_digests(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+@query
+def op4_secret_scan(spark, sf_dir):
+    found, _ = secrets.scan(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2("spans", 256).alias("base_sha256"), "spans")
+
+
 @query
 def op9_simhash(spark, sf_dir):
     found = simhash.components(table(spark, sf_dir, "documents"))
