@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from tideline.llm import exact_dedup, secrets, sentencepieces, simhash
+from tideline.llm import exact_dedup, packing, secrets, sentencepieces, simhash
 from tideline.session import ship, table
 
 QUERIES = {}
@@ -40,6 +40,11 @@ def op4_secret_scan(spark, sf_dir):
     return found.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2("spans", 256).alias("base_sha256"), "spans")
 
 
+@query
+def op6_packing(spark, sf_dir):
+    return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
+
+
 @query
 def op9_simhash(spark, sf_dir):
     found = simhash.components(table(spark, sf_dir, "documents"))
