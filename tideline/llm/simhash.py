@@ -3,8 +3,8 @@
 A document's fingerprint is the bitwise majority of the XXH64 hashes of its word shingles. Documents of one
 fingerprint form a class, and only classes are compared. Two fingerprints that differ in at most ``d`` bits agree in
 at least ``c`` of ``c + d`` blocks, so each class is keyed by every choice of ``c`` blocks, classes meet where a key is
-shared, and Hamming distances are verified there. ``c`` is the least for which random fingerprints share a key with
-few others, so that work stays near linear; the result is exact for each ``c``. Keys that very many classes share are
+shared, and Hamming distances are verified there. ``c`` is 2, or the least for which random fingerprints share a
+key with few others, so that work stays near linear; the result is exact for each ``c``. Keys that very many classes share are
 dealt out as pairs of slices, each pair to a task of its own. Links leave a task as stars to the least member of each
 locally connected group, never as all pairs, and connected components are found by repeated large-star and small-star
 steps over tables in the shared folder.
@@ -72,7 +72,7 @@ def fingerprints(docs: DataFrame, words: int = WORDS, seed: int = SEED, carry: t
 
 def block_masks(count: int, bits: int = BITS) -> list[int]:
     """Masks, as signed longs, of all choices of as many blocks as close pairs share at least."""
-    shared = next((c for c in range(1, 5) if count / 2 ** (64 * c / (c + bits)) <= CROWD), 4)
+    shared = next((c for c in range(2, 5) if count / 2 ** (64 * c / (c + bits)) <= CROWD), 4)
     blocks = shared + bits
     edges = [round(64 * i / blocks) for i in range(blocks + 1)]
     masks = []
