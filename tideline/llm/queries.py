@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from tideline.llm import exact_dedup, packing, secrets, sentencepieces, simhash, toxicity
+from tideline.llm import exact_dedup, media, packing, secrets, sentencepieces, simhash, toxicity
 from tideline.session import ship, table
 
 QUERIES = {}
@@ -56,6 +56,11 @@ def op9_simhash(spark, sf_dir):
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+@query
+def op10_media_columns(spark, sf_dir):
+    return media.text_features(table(spark, sf_dir, "documents"))
+
+
 ORACLES["op2_exact_dedup"] = r"""
 WITH d AS (
   SELECT doc_id, length(coalesce(text, '')) AS n,
