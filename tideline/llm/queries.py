@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from tideline.llm import exact_dedup, media, packing, secrets, sentencepieces, simhash, toxicity
+from tideline.llm import exact_dedup, language_id, media, packing, secrets, sentencepieces, simhash, toxicity
 from tideline.session import ship, table
 
 QUERIES = {}
@@ -45,6 +45,11 @@ def op6_packing(spark, sf_dir):
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
 
 
+@query
+def op7_language_id(spark, sf_dir):
+    return language_id.predict(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 @query
 def op8_toxicity(spark, sf_dir):
     return toxicity.predict(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
