@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from tideline.llm import exact_dedup, language_id, media, packing, secrets, sentencepieces, simhash, toxicity
+from tideline.llm import exact_dedup, html_text, language_id, media, packing, secrets, sentencepieces, simhash, toxicity
 from tideline.session import ship, table
 
 QUERIES = {}
@@ -40,6 +40,11 @@ def op4_secret_scan(spark, sf_dir):
     return found.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2("spans", 256).alias("base_sha256"), "spans")
 
 
+@query
+def op5_html_text(spark, sf_dir):
+    return html_text.extract(table(spark, sf_dir, "pages"))
+
+
 @query
 def op6_packing(spark, sf_dir):
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
