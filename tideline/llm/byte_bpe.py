@@ -16,7 +16,7 @@ from tideline.llm.chunks import Pool, any_in_row, split_at_spaces
 #: The special token that the vocabulary's JSON form recognises within texts.
 END_OF_TEXT, END_OF_TEXT_ID = "<|endoftext|>", 50256
 #: Unicode's White_Space, as the vocabulary's pattern has it; Python's \s has more.
-WHITE = "\t\n\x0b\x0c\r \x85\xa0  -     　"
+WHITE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 CHUNK = re.compile(f"[{WHITE}]*[^{WHITE}]+|[{WHITE}]+")
 _edge = re.compile(f"[{WHITE}]\\Z")
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from tideline.llm import exact_dedup, html_text, language_id, media, packing, secrets, sentencepieces, simhash, toxicity
+from tideline.llm import exact_dedup, html_text, language_id, media, packing, secrets, sentencepieces, simhash, token_counts, toxicity
 from tideline.session import ship, table
 
 QUERIES = {}
@@ -24,6 +24,11 @@ def query(f):
     return run
 
 
+@query
+def op1_token_counts(spark, sf_dir):
+    return token_counts.count_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
+
+
 @query
 def op2_exact_dedup(spark, sf_dir):
     return exact_dedup.label_copies(table(spark, sf_dir, "documents"))
