@@ -1,4 +1,31 @@
 """Names, callables and oracle SQL of the queries over the driver's tables."""
 
-QUERIES = {}
-ORACLES = {}
+from __future__ import annotations
+
+from importlib import import_module
+
+QUERIES: dict = {}
+ORACLES: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    """Register a function (spark, sf_dir) -> DataFrame under its name, with its oracle SQL if there is one."""
+
+    def put(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return put
+
+
+def load() -> None:
+    """Import the modules that register queries."""
+    for name in MODULES:
+        import_module(f"tideline.plans.{name}")
+
+
+MODULES = ("windows",)
+
+load()
