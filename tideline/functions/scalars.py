@@ -32,7 +32,8 @@ def circular_hours(a: Column, b: Column) -> Column:
 
 
 def short_number(x: Column) -> Column:
-    """1234 as 1.2k and 1500000 as 1.5M; values that would read 1000.0k are promoted."""
+    """1234 as 1.2k and 1500000 as 1.5M; values that would read 1000.0k are promoted. A value whose shortest
+    decimal form is a tie goes up."""
     return (
         F.when(F.abs(x) >= 999_950, F.concat(F.format_string("%.1f", x / 1e6), F.lit("M")))
         .when(F.abs(x) >= 999.5, F.concat(F.format_string("%.1f", x / 1e3), F.lit("k")))

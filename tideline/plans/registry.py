@@ -26,6 +26,6 @@ def load() -> None:
         import_module(f"tideline.plans.{name}")
 
 
-MODULES = ("windows",)
+MODULES = ("windows", "store")
 
 load()
