@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from importlib import import_module
 
+from tideline.session import ship
+
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
 
@@ -12,7 +14,11 @@ def query(sql: str | None = None):
     """Register a function (spark, sf_dir) -> DataFrame under its name, with its oracle SQL if there is one."""
 
     def put(f):
-        QUERIES[f.__name__] = f
+        def run(spark, sf_dir):
+            ship(spark)
+            return f(spark, sf_dir)
+
+        QUERIES[f.__name__] = run
         if sql:
             ORACLES[f.__name__] = sql
         return f
@@ -26,6 +32,6 @@ def load() -> None:
         import_module(f"tideline.plans.{name}")
 
 
-MODULES = ("windows", "store")
+MODULES = ("windows", "store", "analytics")
 
 load()
