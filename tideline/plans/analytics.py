@@ -362,11 +362,10 @@ def sta11_anchors(spark, sf):
 
 
 @query(f"""WITH {Y}, n AS (SELECT match_id, win, match_id % 997 / 997.0::DOUBLE AS p, ntile(10) OVER (ORDER BY match_id % 997 / 997.0::DOUBLE, match_id) AS bin FROM y)
-SELECT bin, count(*) AS n, floor(avg(p) * 1000 + 0.5) / 1000.0::DOUBLE AS pred_mean, floor(avg(CAST(win AS DOUBLE)) * 1000 + 0.5) / 1000.0::DOUBLE AS obs_rate FROM n GROUP BY bin""")
+SELECT bin, count(*) AS n, floor(avg(p) * 10000 + 0.5) / 10000.0::DOUBLE AS pred_mean, floor(avg(CAST(win AS DOUBLE)) * 10000 + 0.5) / 10000.0::DOUBLE AS obs_rate FROM n GROUP BY bin""")
 def sta09_calibration_ntile(spark, sf):
     df = _labelled(spark, sf).withColumn("p", F.col("match_id") % 997 / 997.0)
-    c = stats.calibration_bins(df, "p", "win", "match_id")
-    return c.select("bin", "n", round_half_up(F.col("pred_mean"), 3).alias("pred_mean"), round_half_up(F.col("obs_rate"), 3).alias("obs_rate"))
+    return stats.calibration_bins(df, "p", "win", "match_id")
 
 
 @query(f"""WITH {Y} SELECT comp, count(*) AS n, CAST(sum(win) AS BIGINT) AS wins, """ + ", ".join(f"floor(count(*) FILTER (bracket = '{b}' AND win = 0) * 1000.0::DOUBLE / nullif(count(*) FILTER (win = 0), 0) + 0.5) / 1000.0::DOUBLE AS share_{k}" for k, b in enumerate(("1-URGENT", "2-HIGH"))) + " FROM y GROUP BY comp HAVING count(*) >= 15")
