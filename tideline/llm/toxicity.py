@@ -93,14 +93,17 @@ def sample(docs: DataFrame, labels: DataFrame, per_label: int) -> list[tuple[np.
 
     # of repeated rows of a doc_id at most two each are learned from
     got = known.select("draw", "doc_id", "toxic", "text").mapInArrow(run, "draw long, doc_id long, toxic int, features binary").limit(4 * per_label)
-    return [(np.frombuffer(r.features, np.int32), r.toxic) for r in sorted(got.collect(), key=lambda r: (r.draw, r.doc_id, bytes(r.features)))]
+    rows = sorted((r.draw, r.doc_id, bytes(r.features), r.toxic) for r in got.toLocalIterator())
+    return [(np.frombuffer(found, np.int32), y) for _, _, found, y in rows]
 
 
 def fit(rows: list[tuple[np.ndarray, int]], passes: int = PASSES, alpha: float = ALPHA, beta: float = BETA, l1: float | None = None, l2: float = L2):
     """FTRL-proximal: the coordinates with a weight, their weights, and the bias."""
     l1 = L1_RATE * np.sqrt(len(rows)) if l1 is None else l1
-    often = np.bincount(np.concatenate([f for f, _ in rows]), minlength=SPACE) >= LEAST_ROWS
-    rows = [(f[often[f]], y) for f, y in rows]
+    often = np.zeros(SPACE, np.uint16)
+    for found, _ in rows:  # each feature once a row
+        often[found] += 1
+    rows = [(found[often[found] >= LEAST_ROWS], y) for found, y in rows]
     z, n = np.zeros(SPACE + 1), np.zeros(SPACE + 1)  # the last coordinate is the bias, without a penalty
 
     def weights(at):
