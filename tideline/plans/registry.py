@@ -32,6 +32,6 @@ def load() -> None:
         import_module(f"tideline.plans.{name}")
 
 
-MODULES = ("windows", "store", "analytics")
+MODULES = ("windows", "store", "analytics", "combat")
 
 load()
