@@ -114,3 +114,30 @@ def range_probe(casts: DataFrame, distances: DataFrame, by: list[str], reach: fl
     on = distances.withColumn("_bucket", F.floor(F.col("t") / 5)).join(later.withColumn("_bucket", F.explode(F.sequence(F.floor(F.col("_from") / 5), F.floor(F.col("_to") / 5)))), [*by, "_bucket"])
     near = on.where("t >= _from AND t <= _to AND d IS NOT NULL")
     return near.groupBy("cast_id").agg(F.count(F.lit(1)).alias("known"), (F.count_if(F.col("d") > reach) / F.count(F.lit(1))).alias("out_of_reach"))
+
+
+def threat_distance(windows: DataFrame, distances: DataFrame, by: list[str], step: float) -> DataFrame:
+    """Of windows (window_id, unit, threat, from_sec, to_sec): the distance of the unit and its threat at the start and
+    the least one within, from distances (a, b, t, d) on a grid of the step; null where unknown."""
+    w = windows.withColumn("a", F.least("unit", "threat")).withColumn("b", F.greatest("unit", "threat"))
+    near = w.join(distances, [*by, "a", "b"]).where((F.col("t") >= F.col("from_sec")) & (F.col("t") <= F.col("to_sec")))
+    first = F.min_by("d", F.when(F.col("t") < F.col("from_sec") + step, F.col("t")))
+    return w.select("window_id").join(near.groupBy("window_id").agg(first.alias("start_distance"), F.min("d").alias("least_distance")), "window_id", "left")
+
+
+def team_spread(resolved: DataFrame, windows: DataFrame, by: list[str]) -> DataFrame:
+    """The largest distance of two units of a team within each window (window_id, team, from_sec, to_sec) over
+    positions (team, unit, t, x, y) on a grid."""
+    a = resolved.select(*by, "team", "t", F.col("unit").alias("_a"), F.col("x").alias("_ax"), F.col("y").alias("_ay"))
+    b = resolved.select(*by, "team", "t", F.col("unit").alias("_b"), F.col("x").alias("_bx"), F.col("y").alias("_by"))
+    pairs = a.join(b, [*by, "team", "t"]).where("_a < _b").withColumn("_d", F.hypot(F.col("_ax") - F.col("_bx"), F.col("_ay") - F.col("_by")))
+    per_tick = pairs.groupBy(*by, "team", "t").agg(F.max("_d").alias("_d"))
+    within = windows.join(per_tick, [*by, "team"]).where((F.col("t") >= F.col("from_sec")) & (F.col("t") <= F.col("to_sec")))
+    return within.groupBy("window_id").agg(F.max("_d").alias("spread"))
+
+
+def sight_agreement(lines: DataFrame, voids: DataFrame, cell: float, pillars: list, walls: list) -> DataFrame:
+    """How often raster and polygons agree about lines: counts by what each says."""
+    raster = geometry.line_of_sight(lines, voids, cell).select("line_id", (F.col("result") != "clear").alias("raster"))
+    vector = lines.select("line_id", geometry.blocked_by_polygons(*map(F.col, ("ax", "ay", "bx", "by")), pillars, walls).alias("vector"))
+    return raster.join(vector, "line_id").groupBy("raster", "vector").agg(F.count(F.lit(1)).alias("n"))

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tideline.functions.scalars import round_half_up
-from tideline.operators import combat, features, models
-from tideline.plans.analytics import T0, _labelled
+from tideline.operators import coach, combat, features, models, stats
+from tideline.plans.analytics import T0, Y, _labelled, _long, sta01_screen, sta05_categorical_screen
 from tideline.plans.inputs import DAY, E, M, events, matches
 from tideline.plans.registry import query
 from tideline.plans.windows import C, LAST, _intervals
@@ -146,3 +146,56 @@ def ts06_threat_series(spark, sf):
     return d.join(F.broadcast(pair), ["a_id", "b_id"]).select("victim", "threat", "i", (F.col("i") * H * 6).alias("t"), "d")
 
 
+
+
+@query()
+def sta13_coach_pack(spark, sf):
+    long, m = _long(spark, sf), _labelled(spark, sf)
+    placed = coach.placements(long, stats.anchors(long, ["feature"]), stats.rank_sums(long, ["feature"]))
+    context = m.select("match_id", F.col("comp").alias("c"), F.col("bracket").alias("b")).unpivot(["match_id"], ["c", "b"], "v", "level")
+    named = context.select("match_id", F.when(F.col("v") == "c", "comp").otherwise("bracket").alias("variable"), "level")
+    return coach.pack(placed, coach.priors(sta05_categorical_screen(spark, sf), named))
+
+
+@query()
+def srt06_top_correlates(spark, sf):
+    return coach.correlates(sta01_screen(spark, sf), most_q=1.0).select("feature", "place", "rank_biserial", "p", "q")
+
+
+KNOTS = "[" + ", ".join(map(str, (0.1, 0.25, 0.5, 0.75, 0.9))) + "]"
+
+
+@query(f"""WITH {Y}, a AS (SELECT feature, list_transform(quantile_cont(value, {KNOTS}) FILTER (win = 1), lambda v: round(v, 3)) AS k FROM l GROUP BY feature),
+p AS (SELECT match_id, l.feature, value, k, len(list_filter(k, lambda x: x < value)) AS lo, len(list_filter(k, lambda x: x <= value)) AS hi, {KNOTS}::DOUBLE[] AS q FROM l JOIN a USING (feature) WHERE l.feature = 'zone')
+SELECT match_id, floor(CASE WHEN hi = 0 THEN 0.05 WHEN lo = 5 THEN 0.95 WHEN lo = hi THEN q[lo] + (q[lo + 1] - q[lo]) * (value - k[lo]) / (k[lo + 1] - k[lo]) ELSE (q[lo + 1] + q[hi]) / 2 END * 1e6 + 0.5) / 1e6::DOUBLE AS pct FROM p""")
+def sta13_percentile_at(spark, sf):
+    long = _long(spark, sf).where("feature = 'zone'")
+    j = long.join(F.broadcast(stats.anchors(long, ["feature"])), "feature")
+    return j.select("match_id", round_half_up(stats.percentile_at(F.col("value"), F.col("win_q")), 6).alias("pct"))
+
+
+BOX = [(40.0, 30.0), (60.0, 30.0), (60.0, 50.0), (40.0, 50.0)]
+
+
+@query()
+def geo10_los_agreement(spark, sf):
+    e = events(spark, sf)
+    lines = e.where("kind = 'view'").select(F.col("event_id").alias("line_id"), F.col("x").alias("ax"), F.col("y").alias("ay"), (F.col("spell") * 1.0).alias("bx"), (F.col("target") * 5.0).alias("by"))
+    cells = [(c, r, 1.0) for c in range(20, 30) for r in range(15, 25)]
+    voids = spark.createDataFrame(cells, "col long, row long, voidness double")
+    return combat.sight_agreement(lines, voids, 2.0, [BOX], [])
+
+
+@query(f"""WITH {E}, s AS (SELECT team, actor AS unit, (ts_ms - {T0}) / 86400000.0::DOUBLE AS t, x, y FROM e WHERE kind = 'view'), c AS (SELECT team, avg(x) AS cx, avg(y) AS cy FROM s WHERE t <= 10 GROUP BY team)
+SELECT unit, floor(avg(CASE WHEN (x - a.cx) ** 2 + (y - a.cy) ** 2 < (x - b.cx) ** 2 + (y - b.cy) ** 2 THEN 1.0::DOUBLE ELSE 0 END) * 1e6 + 0.5) / 1e6::DOUBLE AS own_half FROM s JOIN c a USING (team) JOIN c b ON b.team <> s.team GROUP BY unit""")
+def geo11_own_half(spark, sf):
+    s = events(spark, sf).where("kind = 'view'").select("team", F.col("actor").alias("unit"), ((F.col("ts_ms") - T0) / 86_400_000.0).alias("t"), "x", "y").withColumn("m", F.lit(1))
+    return features.own_half(s, ["m"]).drop("m").withColumn("own_half", round_half_up(F.col("own_half"), 6))
+
+
+@query(f"""WITH {E}, s AS (SELECT actor, spell % 7 AS s, sum(amount) AS a FROM e WHERE kind = 'view' GROUP BY ALL) SELECT actor, floor(max(a) / CAST(sum(a) AS DOUBLE) * 1e6 + 0.5) / 1e6::DOUBLE AS main_share,
+floor(sum(CAST(a AS DOUBLE) * a) / (CAST(sum(a) AS DOUBLE) * CAST(sum(a) AS DOUBLE)) * 1e6 + 0.5) / 1e6::DOUBLE AS hhi FROM s GROUP BY actor""")
+def fea06_concentration(spark, sf):
+    parts = events(spark, sf).where("kind = 'view'").groupBy("actor", (F.col("spell") % 7).alias("s")).agg(F.sum("amount").alias("a"))
+    c = features.concentration(parts, ["actor"], "a")
+    return c.select("actor", round_half_up(F.col("main_share"), 6).alias("main_share"), round_half_up(F.col("hhi"), 6).alias("hhi"))
