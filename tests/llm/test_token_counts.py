@@ -60,3 +60,11 @@ def test_query(spark):
     assert got == sorted(want, key=str)
     none = count_edited(docs, F.lit(None), RANKS).where("n_edits = 0 AND edited_tokens = n_tokens").count()
     assert none == len(rows) and count_documents(docs.where("false"), RANKS).count() == 0
+
+
+def test_workers_need_nothing_from_the_driver(spark, monkeypatch):
+    from tideline.llm import token_counts
+
+    monkeypatch.setattr(token_counts, "_counters", {})
+    docs = spark.createDataFrame([(1, "a b")], "doc_id long, text string")
+    assert count_documents(docs, RANKS).first().n_tokens == 2

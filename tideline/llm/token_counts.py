@@ -102,21 +102,29 @@ class TokenTree:
         return min(max(at, 0), self.leaves - 1)
 
 
-_counters: dict[str, Pool] = {}
+class Counter:
+    """Numbers of tokens of chunks, with a bounded cache."""
 
-
-def counter_at(path: str):
-    """A function that counts the tokens of chunks, with this worker's cache."""
-    if path not in _counters:
+    def __init__(self, path: str):
         codec = byte_bpe.codec_at(path)
-        _counters[path] = Pool(lambda chunks: ([len(codec.ids(c)) for c in chunks],), 1)
-    pool = _counters[path]
+        self.pool = Pool(lambda chunks: ([len(codec.ids(c)) for c in chunks],), 1)
+
+    def renew(self) -> None:
+        self.pool.renew()
+
+    def __call__(self, chunks: list[str]) -> list[int]:
+        numbers = self.pool.numbers(chunks).tolist()
+        return list(map(self.pool.columns[0].__getitem__, numbers))
 
-    def count(chunks: list[str]) -> list[int]:
-        numbers = pool.numbers(chunks).tolist()
-        return list(map(pool.columns[0].__getitem__, numbers))
 
-    return count
+_counters: dict[str, Counter] = {}
+
+
+def counter_at(path: str) -> Counter:
+    """This worker's counter for the ranks at path."""
+    if path not in _counters:
+        _counters[path] = Counter(path)
+    return _counters[path]
 
 
 def count_edited(docs: DataFrame, edits: Column, ranks_path: str) -> DataFrame:
@@ -127,7 +135,7 @@ def count_edited(docs: DataFrame, edits: Column, ranks_path: str) -> DataFrame:
     def run(batches):
         count = counter_at(ranks_path)
         for batch in batches:
-            _counters[ranks_path].renew()
+            count.renew()
             columns = [[] for _ in range(7)]
             for text, changes in zip(texts_of(batch.column("text")).to_pylist(), batch.column("edits").to_pylist(), strict=True):
                 tree = TokenTree(text, count)
