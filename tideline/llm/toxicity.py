@@ -93,7 +93,7 @@ def sample(docs: DataFrame, labels: DataFrame, per_label: int) -> list[tuple[np.
 
     # of repeated rows of a doc_id at most two each are learned from
     got = known.select("draw", "doc_id", "toxic", "text").mapInArrow(run, "draw long, doc_id long, toxic int, features binary").limit(4 * per_label)
-    rows = sorted((r.draw, r.doc_id, bytes(r.features), r.toxic) for r in got.toLocalIterator())
+    rows = sorted((r.draw, r.doc_id, bytes(r.features), r.toxic) for r in got.collect())
     return [(np.frombuffer(found, np.int32), y) for _, _, found, y in rows]
 
 
