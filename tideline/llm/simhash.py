@@ -216,6 +216,20 @@ def components(docs: DataFrame, words: int = WORDS, bits: int = BITS, seed: int
     return slim.join(labels, "fp").select("doc_id", "fp", "component_id")
 
 
+def number(docs: DataFrame, scratch: Scratch) -> DataFrame:
+    """A saved table of all rows as doc, with their number row."""
+    return scratch.save(docs.select(F.monotonically_increasing_id().alias("row"), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("doc")))
+
+
+def least_rows(numbered: DataFrame, placed: DataFrame, scratch: Scratch) -> DataFrame:
+    """The documents of numbered but those that aren't the least by doc_id, nulls last, and row of their component
+    (columns row and root of placed; a row that isn't there is its own component)."""
+    known = numbered.select("row", F.col("doc.doc_id").alias("doc_id")).join(placed, "row")
+    best = known.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row")).getField("row").alias("kept"))
+    gone = scratch.save(known.join(best, "root").where("row != kept").select("row"))
+    return numbered.join(gone, "row", "left_anti").select("doc.*")
+
+
 def keep_one(docs: DataFrame, words: int = WORDS, bits: int = BITS, seed: int = SEED) -> DataFrame:
     """The rows of docs whose doc_id is the least of their component; all columns. Rows of one doc_id count as one."""
     scratch = Scratch(docs.sparkSession, "near")
