@@ -211,7 +211,7 @@ CASE WHEN t = ta THEN ay WHEN tb IS NULL THEN CASE WHEN t - ta <= {H * 48} THEN
 
 
 def _samples(spark, sf):
-    return events(spark, sf).where("kind = 'view' AND actor < 30").select("actor", ((F.col("ts_ms") - T0) / 1000.0).alias("t"), "x", "y")
+    return events(spark, sf).where("kind = 'view'").select("actor", ((F.col("ts_ms") - T0) / 1000.0).alias("t"), "x", "y")
 
 
 def _resolved(spark, sf):
@@ -219,6 +219,11 @@ def _resolved(spark, sf):
     return grid.resolve(grid.ticks(s, ["actor"], H * 6), s, ["actor"], max_gap=H * 48)
 
 
+def _distances(spark, sf):
+    # thirty actors make up a match: the tables have no other bound of who meets whom
+    return grid.pair_distances(_resolved(spark, sf).withColumn("m", F.floor(F.col("actor") / 30)), ["m"], "actor")
+
+
 @query(f"WITH {G} SELECT actor, i, floor(x * 1000 + 0.5) / 1000.0::DOUBLE AS x, floor(y * 1000 + 0.5) / 1000.0::DOUBLE AS y FROM p")
 def ts01_tick_grid_lerp(spark, sf):
     return _resolved(spark, sf).select("actor", "i", round_half_up(F.col("x"), 3).alias("x"), round_half_up(F.col("y"), 3).alias("y"))
@@ -230,21 +235,21 @@ D = G + """, d AS (SELECT a.i, a.actor AS a_id, b.actor AS b_id, sqrt((a.x - b.x
 @query(f"""WITH {D} SELECT a_id, b_id, {", ".join(f"floor(count(*) FILTER ({c}) * 1000.0::DOUBLE / greatest(count(d), 1) + 0.5) / 1000.0::DOUBLE AS band{k}" for k, c in enumerate(("d < 5", "d >= 5 AND d < 25", "d >= 25 AND d < 40", "d >= 40")))},
 floor(count(d) * {H * 6}::DOUBLE * 10 + 0.5) / 10.0::DOUBLE AS sampled_sec FROM d GROUP BY ALL""")
 def agg15_distance_bands(spark, sf):
-    d = grid.pair_distances(_resolved(spark, sf).withColumn("m", F.lit(1)), ["m"], "actor")
+    d = _distances(spark, sf)
     return grid.distance_bands(d, ["m"], H * 6).drop("m")
 
 
 @query(f"""WITH {D}, n AS (SELECT unit_id, i, min(d) AS nearest FROM (SELECT a_id AS unit_id, i, d FROM d UNION ALL SELECT b_id, i, d FROM d) GROUP BY ALL)
 SELECT unit_id, count(*) FILTER (nearest <= 8) * {H * 6}::DOUBLE AS melee_sec, count(*) FILTER (nearest > 40) * {H * 6}::DOUBLE AS isolated_sec FROM n GROUP BY unit_id""")
 def ts05_spacing(spark, sf):
-    d = grid.pair_distances(_resolved(spark, sf).withColumn("m", F.lit(1)), ["m"], "actor")
+    d = _distances(spark, sf)
     return grid.spacing(grid.nearest_other(d, ["m"]), ["m"], H * 6).drop("m")
 
 
 @query()
 def ts01_with_breaks(spark, sf):
     s = _samples(spark, sf)
-    breaks = events(spark, sf).where("kind = 'error' AND actor < 30").select("actor", ((F.col("ts_ms") - T0) / 1000.0).alias("tb"))
+    breaks = events(spark, sf).where("kind = 'error'").select("actor", ((F.col("ts_ms") - T0) / 1000.0).alias("tb"))
     return grid.resolve(grid.ticks(s, ["actor"], H * 6), s, ["actor"], breaks, max_gap=H * 48)
 
 
