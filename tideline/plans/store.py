@@ -255,7 +255,7 @@ def join12_dimension_fallback(spark, sf):
 SELECT match_id, coalesce(CASE WHEN match_id % 2 = 0 THEN a.id END, b.id) AS unit_id FROM w LEFT JOIN u a ON a.id = w.pid LEFT JOIN u b ON b.name = w.wanted""")
 def join13_identity_resolution(spark, sf):
     u = table(spark, sf, "customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"))
-    w = table(spark, sf, "orders").where("o_orderkey < 3000").select(F.col("o_orderkey").alias("match_id"), F.col("o_custkey").alias("pid"), F.concat(F.lit("Customer#"), F.lpad((F.col("o_orderkey") % 1600).cast("string"), 9, "0")).alias("wanted"))
+    w = table(spark, sf, "orders").select(F.col("o_orderkey").alias("match_id"), F.col("o_custkey").alias("pid"), F.concat(F.lit("Customer#"), F.lpad((F.col("o_orderkey") % 1600).cast("string"), 9, "0")).alias("wanted"))
     by_id = u.select(F.col("id").alias("pid"), F.col("id").alias("a"))
     by_name = u.select(F.col("name").alias("wanted"), F.col("id").alias("b"))
     return w.join(by_id, "pid", "left").join(by_name, "wanted", "left").select("match_id", F.coalesce(F.when(F.col("match_id") % 2 == 0, F.col("a")), F.col("b")).alias("unit_id"))
