@@ -92,3 +92,10 @@ def test_keep_one_and_empty_table(spark):
     assert sorted(r.doc_id for r in simhash.keep_one(docs).collect()) == [2, 9]
     assert simhash.keep_one(docs).columns == docs.columns
     assert simhash.components(docs.where(F.lit(False))).count() == 0
+
+
+def test_keep_one_drops_rows_and_not_ids(spark):
+    a, b, c = (" ".join(f"{k}{i}" for i in range(500)) for k in "abc")
+    rows = [(1, a, 0), (None, a + " end", 1), (None, b, 2), (None, c, 3), (None, c + " end", 4), (2, a + " fin", 5), (2, "other words here", 6)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, at int")
+    assert sorted(r["at"] for r in simhash.keep_one(docs).collect()) == [0, 2, 3, 6]

@@ -231,11 +231,8 @@ def least_rows(numbered: DataFrame, placed: DataFrame, scratch: Scratch) -> Data
 
 
 def keep_one(docs: DataFrame, words: int = WORDS, bits: int = BITS, seed: int = SEED) -> DataFrame:
-    """The rows of docs whose doc_id is the least of their component; all columns. Rows of one doc_id count as one."""
+    """One row of each component, the least by doc_id, nulls last, and row; all columns."""
     scratch = Scratch(docs.sparkSession, "near")
-    found = components(docs, words, bits, seed)
-    dropped = scratch.save(found.where(F.col("doc_id").isNull() & F.col("component_id").isNotNull() | (F.col("doc_id") != F.col("component_id"))).select(F.col("doc_id").alias("gone_id")).distinct())
-    names = docs.columns
-    rows = docs.select(F.col("doc_id").alias("row_id"), F.struct(*(F.col(f"`{c}`") for c in names)).alias("row"))
-    kept = rows.join(dropped, rows.row_id.eqNullSafe(dropped.gone_id), "left_anti")
-    return kept.select(*(F.col("row").getField(c).alias(c) for c in names))
+    numbered = number(docs, scratch)
+    found = components(numbered.select(F.col("row").alias("doc_id"), F.col("doc.text").alias("text")), words, bits, seed)
+    return least_rows(numbered, found.select(F.col("doc_id").alias("row"), F.col("component_id").alias("root")), scratch)
