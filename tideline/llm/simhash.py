@@ -4,10 +4,10 @@ A document's fingerprint is the bitwise majority of the XXH64 hashes of its word
 fingerprint form a class, and only classes are compared. Two fingerprints that differ in at most ``d`` bits agree in
 at least ``c`` of ``c + d`` blocks, so each class is keyed by every choice of ``c`` blocks, classes meet where a key is
 shared, and Hamming distances are verified there. ``c`` is 2, or the least for which random fingerprints share a
-key with few others, so that work stays near linear; the result is exact for each ``c``. Keys that very many classes share are
-dealt out as pairs of slices, each pair to a task of its own. Links leave a task as stars to the least member of each
-locally connected group, never as all pairs, and connected components are found by repeated large-star and small-star
-steps over tables in the shared folder.
+key with few others, so that work stays near linear; the result is exact for each ``c``. Keys are counted, and those
+that very many classes share are dealt out as pairs of slices, each pair to a task of its own. Links leave a task as
+stars to the least member of each locally connected group, never as all pairs, and connected components are found by
+repeated large-star and small-star steps over tables in the shared folder.
 
 Defined results: null and empty texts have fingerprint zero and are linked like any others; of fewer words than a
 shingle has, the whole sequence is the one shingle; repeated rows and doc_ids stay rows of their own; a component
@@ -163,16 +163,13 @@ def class_links(classes: DataFrame, scratch: Scratch, bits: int = BITS) -> DataF
     count = classes.count()
     masks = block_masks(count, bits)
     keyed = classes.select("fp", F.posexplode(F.array(*(F.col("fp").bitwiseAND(F.lit(m)) for m in masks))).alias("t", "key"))
-    total = max(1, count * len(masks))
-    often = keyed.select(F.struct("t", "key").alias("k")).stat.freqItems(["k"], min(0.9, max(1e-4, SLICE / total)))
     crowds = scratch.save(
-        keyed.join(F.broadcast(often.select(F.explode("k_freqItems").alias("k")).select("k.t", "k.key")), ["t", "key"])
-        .groupBy("t", "key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > SLICE)
+        keyed.groupBy("t", "key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > SLICE)
         .select("t", "key", F.ceil(F.col("n") / SLICE).cast("int").alias("slices"))
     )
     mine = F.pmod(F.xxhash64("fp"), F.col("slices")).cast("int")
     others = F.transform(F.sequence(F.lit(0), F.col("slices") - 1), lambda j: F.least(j, mine) * F.col("slices") + F.greatest(j, mine))
-    dealt = keyed.join(F.broadcast(crowds), ["t", "key"], "left").select(
+    dealt = keyed.join(crowds, ["t", "key"], "left").select(
         "t", "key", "fp", F.explode(F.when(F.col("slices").isNull(), F.array(F.lit(0))).otherwise(others)).alias("part")
     )
     sorted_ = dealt.repartition("t", "key", "part").sortWithinPartitions("t", "key", "part", "fp")
@@ -185,16 +182,16 @@ def connected(links: DataFrame, scratch: Scratch) -> DataFrame:
     state = None
     while True:
         both = edges.union(edges.select("v", "u"))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        large = scratch.save(large)
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        # saved, so that the join's sides are plain shuffles, of which AQE splits the rows of a common centre
+        least = scratch.save(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
+        large = scratch.save(both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
+        low = scratch.save(large.groupBy("u").agg(F.min("v").alias("m")))
         small = large.join(low, "u").select(
             F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")
         ).select("e.u", "e.v").where("u > v").distinct()
         new = scratch.save(small)
-        scratch.drop(large)
-        scratch.drop(edges)
+        for over in (least, large, low, edges):
+            scratch.drop(over)
         edges = new
         now = tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if now == state:
@@ -209,10 +206,10 @@ def components(docs: DataFrame, words: int = WORDS, bits: int = BITS, seed: int
     classes = scratch.save(slim.groupBy("fp").agg(F.min("doc_id").alias("first_id")))
     links = scratch.save(class_links(classes, scratch, bits))
     roots = connected(links, scratch)
-    placed = classes.join(roots, classes.fp == roots.node, "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
-    linked = placed.join(roots.select("root").distinct(), "root", "left_semi")
-    ids = linked.groupBy("root").agg(F.min("first_id").alias("least_id"))
-    labels = scratch.save(placed.join(ids, "root", "left").select("fp", F.when(F.col("least_id").isNull(), F.col("first_id")).otherwise(F.col("least_id")).alias("component_id")))
+    members = scratch.save(roots.union(roots.select("root", "root").distinct()).toDF("fp", "root").join(classes, "fp"))
+    least = scratch.save(members.groupBy("root").agg(F.min("first_id").alias("least_id")))
+    linked = members.join(least, "root").select("fp", "least_id")
+    labels = scratch.save(classes.join(linked, "fp", "left").select("fp", F.coalesce("least_id", "first_id").alias("component_id")))
     return slim.join(labels, "fp").select("doc_id", "fp", "component_id")
 
 
@@ -225,7 +222,7 @@ def least_rows(numbered: DataFrame, placed: DataFrame, scratch: Scratch) -> Data
     """The documents of numbered but those that aren't the least by doc_id, nulls last, and row of their component
     (columns row and root of placed; a row that isn't there is its own component)."""
     known = numbered.select("row", F.col("doc.doc_id").alias("doc_id")).join(placed, "row")
-    best = known.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row")).getField("row").alias("kept"))
+    best = scratch.save(known.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row")).getField("row").alias("kept")))
     gone = scratch.save(known.join(best, "root").where("row != kept").select("row"))
     return numbered.join(gone, "row", "left_anti").select("doc.*")
 
