@@ -4,18 +4,17 @@ A page becomes a sequence of leaf blocks, the runs of text between tags that bre
 its ancestors (tags, words of class, id and role) and of its text (length, share of links, punctuation, telling words).
 Two labels, article and rest, are weighted by these features and by a transition matrix; weights are fitted to labelled
 pages by gradient ascent on the conditional likelihood (forward-backward), and pages are labelled by Viterbi. The
-labelled pages are built here from page layouts of many kinds, so that no page of the input is needed for learning.
+labelled pages are built by ``html_pages``, so that no page of the input is needed for learning.
 
 Defined results: null or empty html, and pages without an article block, give an empty text with 0 characters; broken
-and cut-off markup is read as far as it goes; comments, scripts, styles and heads never are text; white space (of any
-kind) inside a block is one space; nothing else is dropped or capped; repeated rows and null ids keep rows of their
-own; an empty table gives an empty result; columns other than page_id, url and html are ignored.
+and cut-off markup is read as far as it goes, in time linear in the page's length; comments, scripts, styles and heads
+never are text; white space (of any kind) inside a block is one space; nothing else is dropped or capped; repeated rows
+and null ids keep rows of their own; an empty table gives an empty result; columns other than page_id, url and html
+are ignored.
 """
 
 from __future__ import annotations
 
-import html as htmllib
-import random
 import re
 from functools import lru_cache
 
@@ -24,151 +23,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from tideline.llm.chunks import bounded_batches, texts_of
+from tideline.llm.html_blocks import leaf_blocks
+from tideline.llm.html_pages import MARK, made_pages
 
-#: Tags that break a line, tags whose content isn't text, and tags without content.
-BLOCKS = frozenset(
-    "address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure footer form frameset "
-    "h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre search section select summary "
-    "table tbody td tfoot th thead tr ul button label input textarea".split()
-)
-RAW = frozenset("script style noscript template svg math iframe object canvas audio video textarea title head".split())
-VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-#: Elements that say what part of a page they are.
-SECTIONS = frozenset("article aside body footer form header main menu nav section".split())
-#: Tags that an open paragraph ends at.
-ENDS_P = BLOCKS - {"body", "html", "button", "label", "input", "select", "option", "optgroup", "textarea"}
-#: An opening tag ends the nearest open one of these, if none of the second set is between.
-SIBLINGS = {
-    "li": ({"li"}, {"ul", "ol", "menu"}),
-    "dt": ({"dt", "dd"}, {"dl"}),
-    "dd": ({"dt", "dd"}, {"dl"}),
-    "tr": ({"tr"}, {"table"}),
-    "td": ({"td", "th"}, {"tr", "table"}),
-    "th": ({"td", "th"}, {"tr", "table"}),
-    "option": ({"option"}, {"select"}),
-}
 #: Words that tell notices, adverts, forms and the like.
 TELLING = frozenset(
     "cookie cookies consent subscribe newsletter copyright rights reserved privacy terms login sign register advertisement "
     "sponsored share tweet comment comments reply replies related menu search email password submit posted follow".split()
 )
-_token = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.DOTALL)
-_attribute = re.compile(r"([a-zA-Z-]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
-_words = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
-_raw_end = {t: re.compile(rf"</{t}\s*>", re.IGNORECASE) for t in RAW}
-
-
-def _marks(tag: str, attributes: str) -> str:
-    """Words of class, id and role, and whether the element is hidden, joined by spaces."""
-    out = set()
-    for m in _attribute.finditer(attributes):
-        name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
-        if name in ("class", "id", "role", "aria-label", "itemprop"):
-            out.update(w.lower() for w in _words.findall(value))
-        elif name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
-            out.add("hidden!")
-    return " ".join(sorted(out))
-
-
-#: The character, for private use, that starts the text of each article block in labelled pages.
-MARK = "\ue000"
-
-
-def leaf_blocks(page: str) -> list[tuple[tuple[str, ...], str, int]]:
-    """Path (tag and marks of each open block element), text and linked characters of each leaf block."""
-    out: list[tuple[tuple[str, ...], str, int]] = []
-    path: list[str] = []
-    tags: list[str] = []
-    parts: list[str] = []
-    linked = in_link = at = 0
-
-    def flush() -> None:
-        nonlocal linked
-        if parts:
-            text = " ".join(htmllib.unescape("".join(parts)).split())
-            if text:
-                out.append((tuple(path), text, min(linked, len(text))))
-            parts.clear()
-        linked = 0
-
-    def close(i: int) -> None:
-        flush()
-        del tags[i:], path[i:]
-
-    while True:
-        m = _token.search(page, at)
-        text = page[at : m.start() if m else len(page)]
-        if text:
-            parts.append(text)
-            if in_link:
-                linked += len(text.strip())
-        if not m:
-            break
-        at = m.end()
-        if not m[2]:
-            continue
-        tag = m[2].lower()
-        if m[1]:
-            if tag == "a":
-                in_link = 0
-            elif tag in BLOCKS:
-                i = len(tags) - 1
-                while i >= 0 and tags[i] != tag:
-                    i -= 1
-                if i >= 0:
-                    close(i)
-                else:
-                    flush()
-            continue
-        if tag in RAW:
-            # a head ends at its body at the latest
-            end = _raw_end[tag].search(page, at)
-            body = re.compile("<body", re.IGNORECASE).search(page, at) if tag == "head" else None
-            if body and (not end or body.start() < end.start()):
-                at = body.start()
-            elif end:
-                at = end.end()
-            elif tag not in ("head", "svg", "math", "object", "canvas", "audio", "video"):
-                at = len(page)
-            if tag == "textarea":
-                flush()
-            continue
-        if tag == "a":
-            in_link = 1
-        elif tag == "br":
-            parts.append(" ")
-        elif tag in BLOCKS:
-            flush()
-            if tag in ENDS_P and "p" in tags:
-                i = len(tags) - 1 - tags[::-1].index("p")
-                if not {"button", "table", "td", "th"} & set(tags[i:]):
-                    close(i)
-            if tag in SIBLINGS:
-                ends, stops = SIBLINGS[tag]
-                i = len(tags) - 1
-                while i >= 0 and tags[i] not in ends and tags[i] not in stops:
-                    i -= 1
-                if i >= 0 and tags[i] in ends:
-                    close(i)
-            if tag not in VOID and not m[3].endswith("/"):
-                marks = _marks(tag, m[3]) if m[3] else ""
-                tags.append(tag)
-                path.append(f"{tag} {marks}" if marks else tag)
-    flush()
-    return out
-
-
-def path_features(path: tuple[str, ...]) -> list[str]:
-    found = {f"t={path[-1].split(' ', 1)[0]}"} if path else {"t="}
-    for step in path:
-        tag, *marks = step.split(" ")
-        found.add(f"a={tag}")
-        found.update(f"c={m}" for m in marks)
-    nearest = next((s for s in reversed(path) if " " in s), "")
-    found.update(f"d={m}" for m in nearest.split(" ")[1:])
-    found.add("s=" + next((t for s in reversed(path) if (t := s.split(" ", 1)[0]) in SECTIONS), ""))
-    found.add(f"in={any(s.split(' ', 1)[0] in ('article', 'main') for s in path)}")
-    return sorted(found)
 
 
 def text_features(text: str, linked: int) -> list[str]:
@@ -184,143 +46,15 @@ def text_features(text: str, linked: int) -> list[str]:
     return found
 
 
-def made_pages(n: int, seed: int = 5) -> list[str]:
-    """Labelled pages: a private-use mark starts the text of each article block."""
-    rng = random.Random(seed)
-    syllables = "an ber ca do el fi gra hu is jo ka lem mo ni ou pra qui ré sta tion un ver wa xi yo zu ß é ing ed".split()
-    pick, chance = rng.choice, lambda p: rng.random() < p
-
-    def word():
-        return "".join(pick(syllables) for _ in range(rng.randint(1, 4)))
-
-    def phrase(a, b):
-        return " ".join(word() for _ in range(rng.randint(a, b))).capitalize()
-
-    def prose():
-        out = []
-        for _ in range(pick([1, 1, 1, 2, 3, 5])):
-            s = phrase(1, 25)
-            if chance(0.4):
-                s = s.replace(" ", ", ", 1)
-            if chance(0.15):
-                s = s.replace(" ", f' <a href="/{word()}">{word()}</a> ', 1)
-            if chance(0.15):
-                s = f"<{(t := pick(['b', 'em', 'i', 'span', 'strong', 'code']))}>{s}</{t}>"
-            out.append(s + pick(["."] * 8 + ["!", "?", ":", "", "$$$", "&amp;"]))
-        return " ".join(out)
-
-    def attr(*names):
-        if chance(0.15):
-            return ""
-        name = pick(names)
-        form = pick(["{}", "{}", "{}-%s" % word(), "%s-{}" % word(), "{} %s" % word(), "{}-%d" % rng.randint(1, 9), "site-{}", "{}-box", "{}-wrap", "{}-container", "js-{}"])
-        return f' {pick(["class", "class", "id"])}="{form.format(name)}"'
-
-    def links(k):
-        items = [f'<a href="/{word()}">{phrase(1, 3)}</a>' for _ in range(k)]
-        return pick([lambda: "<ul>" + "".join(f"<li>{x}</li>" for x in items) + "</ul>", lambda: "<ul>" + "<li>".join(["", *items]) + "</ul>", lambda: " ".join(items), lambda: "".join(f"<p>{x}</p>" for x in items)])()
-
-    def ad():
-        return pick([
-            lambda: f'<div{attr("ad", "ads", "advert", "advertisement", "sponsor", "sponsored", "banner", "promo", "adsbygoogle", "dfp")}>{pick([prose, lambda: links(2), lambda: "Advertisement " + phrase(2, 8)])()}</div>'
-        ])()
-
-    def notice():
-        text = pick([f"We use cookies {phrase(2, 8)}.", f"{phrase(3, 12)} privacy {phrase(1, 4)}.", prose()])
-        return f'<{(t := pick(["div", "section", "aside"]))}{attr("cookie", "consent", "notice", "gdpr", "banner", "alert", "popup", "modal", "overlay", "toast")}><p>{text}</p>{pick(["", "<button>OK</button>"])}</{t}>'
-
-    def form():
-        inner = pick([f"<label>{phrase(1, 2)}</label><input name=x>", f"<p>Subscribe {phrase(1, 6)}</p><input>", f"<label>Email</label><input><button>{phrase(1, 2)}</button>", f"<select><option>{word()}<option>{word()}</select>", f"<p>{prose()}</p><textarea>{word()}</textarea>"])
-        return f'<form{attr("search", "newsletter", "subscribe", "login", "signup", "contact", "form")}>{inner}</form>'
-
-    def comments():
-        one = lambda: pick(["<li{a}><b>{w}</b><p>{t}</p></li>", "<div{a}><p>{t}</p></div>", "<p>{t}</p>", "<article{a}><p>{t}</p></article>", "<div{a}>{w}: {t}</div>"]).format(a=attr("comment", "reply", "response"), w=word(), t=prose())
-        head = pick(["", f"<h2>Comments</h2>", f"<h3>{phrase(1, 3)}</h3>"])
-        name = attr("comments", "comment", "disqus", "responses", "replies", "discussion", "respond", "feedback") or ' class="comments"'
-        return f'<{(t := pick(["section", "div", "ol", "ul", "aside"]))}{name}>{head}{"".join(one() for _ in range(rng.randint(1, 6)))}{form() if chance(0.3) else ""}</{t}>'
-
-    def aside():
-        t, name = pick([("aside", ""), ("aside", attr("sidebar", "widget", "related")), ("div", attr("sidebar", "widget", "related", "rail", "recommended", "trending", "popular", "more") or ' id="sidebar"')])
-        return f'<{t}{name}>{pick(["", f"<h3>{phrase(1, 4)}</h3>"])}{pick([lambda: links(rng.randint(1, 6)), lambda: f"<p>{prose()}</p>", lambda: "".join(f"<p>{prose()}</p>" for _ in range(3))])()}</{t}>'
-
-    def nav():
-        t, name = pick([("nav", ""), ("nav", attr("nav", "menu", "navbar", "breadcrumb")), ("div", attr("nav", "menu", "navbar", "navigation", "breadcrumbs", "toolbar", "topbar", "pagination", "toc") or ' class="menu"'), ("ul", attr("menu", "nav", "links", "tags") or ' id="nav"'), ("menu", "")])
-        return f"<{t}{name}>{links(rng.randint(2, 8))}</{t}>"
-
-    def share():
-        return f'<div{attr("share", "social", "sharing", "follow") or " class=share"}>{links(3)}</div>'
-
-    def header():
-        t, name = pick([("header", ""), ("header", attr("header", "masthead")), ("div", attr("header", "masthead", "logo", "branding") or ' id="header"')])
-        return f'<{t}{name}>{pick([f"<h1>{phrase(1, 3)}</h1>", f"<div>{phrase(1, 4)}</div>", f"<p>{prose()}</p>", ""])}{nav() if chance(0.5) else ""}{form() if chance(0.2) else ""}</{t}>'
-
-    def footer():
-        t, name = pick([("footer", ""), ("footer", attr("footer", "colophon")), ("div", attr("footer", "bottom", "copyright", "legal") or ' id="footer"')])
-        return f'<{t}{name}>{pick([f"&copy; {word()}.example &middot; {prose()}", f"<p>{prose()}</p>", links(4), f"<p>Copyright {phrase(1, 4)}. All rights reserved.</p>"])}</{t}>'
-
-    def junk():
-        return pick([ad, ad, notice, form, aside, share, nav, comments])()
-
-    def main():
-        mark, parts = MARK, []
-        if chance(0.8):
-            h = f"<h1{attr('title', 'headline', 'entry') if chance(0.3) else ''}>{mark}{phrase(1, 12)}{pick(['', '.', '&amp;'])}</h1>"
-            parts.append(f"<header>{h}</header>" if chance(0.1) else h)
-        for _ in range(pick([0, 1, 1, 2, 3, 5, 8, 12])):
-            kind = rng.random()
-            if kind < 0.75:
-                parts.append(f"<p>{mark}{prose()}" + pick(["</p>", "</p>", "</p>", "<br>", ""]))
-            elif kind < 0.82:
-                parts.append(f"<h{(k := rng.randint(2, 4))}>{mark}{phrase(1, 6)}</h{k}>")
-            elif kind < 0.88:
-                parts.append("<ul>" + "".join(f"<li>{mark}{prose()}</li>" for _ in range(rng.randint(1, 4))) + "</ul>")
-            elif kind < 0.92:
-                parts.append(f"<blockquote>{mark}{prose()}</blockquote>")
-            elif kind < 0.95:
-                parts.append("<table>" + "".join(f"<tr><td>{mark}{phrase(1, 3)}</td><td>{mark}{phrase(1, 5)}</td></tr>" for _ in range(2)) + "</table>")
-            elif kind < 0.97:
-                parts.append(f"<figure><img src=x><figcaption>{mark}{prose()}</figcaption></figure>")
-            else:
-                parts.append(f"<div>{mark}{prose()}</div>")
-            if chance(0.25):
-                parts.append(junk())
-        if chance(0.15):
-            parts.append(comments())
-        inner = "".join(parts)
-        t, name = pick([("article", ""), ("article", ""), ("article", attr("post", "article", "entry", "story")), ("main", ""), ("div", attr("content", "article", "post", "entry", "story", "main", "text", "body")), ("section", attr("content", "article", "story")), ("div", "")])
-        out = f"<{t}{name}>{inner}</{t}>"
-        if chance(0.2):
-            out = f'<{(o := pick(["main", "div", "section"]))}{attr("main", "content", "page", "container", "layout")}>{out}{aside() if chance(0.3) else ""}</{o}>'
-        return out
-
-    pages = []
-    for _ in range(n):
-        before = [f() for f, p in ((notice, 0.2), (header, 0.4), (nav, 0.6), (ad, 0.4), (form, 0.1), (aside, 0.15)) if chance(p)]
-        after = [f() for f, p in ((share, 0.15), (ad, 0.2), (comments, 0.3), (aside, 0.3), (nav, 0.15), (form, 0.15), (notice, 0.1), (footer, 0.7)) if chance(p)]
-        rng.shuffle(before)
-        body = "".join([*before, main(), *after])
-        page = f"<!DOCTYPE html><html><head><title>{phrase(1, 8)}</title><style>p{{}}</style></head><body>{body}</body></html>"
-        if chance(0.1):
-            page = f"<html><body{attr('home', 'page', 'single')}><div{attr('wrapper', 'page', 'container')}>{body}</div>"
-        pages.append(page)
-    return pages
-
-
 class Field:
     """Weights of a linear-chain conditional random field with two labels; 1 is the article."""
 
     def __init__(self, weights: dict[str, float], start: float, moves: list[list[float]]):
         self.weights, self.start, self.moves = weights, start, moves
-        self.paths: dict[tuple[str, ...], float] = {}
 
-    def emission(self, path: tuple[str, ...], text: str, linked: int) -> float:
+    def emission(self, place: float, text: str, linked: int) -> float:
         get = self.weights.get
-        known = self.paths.get(path)
-        if known is None:
-            if len(self.paths) > 50_000:
-                self.paths.clear()
-            known = self.paths[path] = sum(get(f, 0.0) for f in path_features(path))
-        return known + sum(get(f, 0.0) for f in text_features(text, linked))
+        return place + sum(get(f, 0.0) for f in text_features(text, linked))
 
     def labels(self, blocks) -> list[int]:
         """The best sequence of labels, by Viterbi."""
@@ -342,53 +76,50 @@ class Field:
         return out[::-1]
 
 
-def fit(pages: list[str], rounds: int = 200, penalty: float = 2e-4, rate: float = 0.1) -> Field:
-    """Maximise the penalised conditional likelihood of labelled pages by Adam steps over all of them."""
-    names: dict[str, int] = {}
-    rows, labels, sizes = [], [], []
-    for page in pages:
-        blocks = leaf_blocks(page)
-        if not blocks:
-            continue
-        sizes.append(len(blocks))
-        for path, text, linked in blocks:
-            labels.append(int(MARK in text))
-            text = text.replace(MARK, "").strip() or "x"
-            rows.append([names.setdefault(f, len(names)) for f in (*path_features(path), *text_features(text, min(linked, len(text))))])
-    n, longest = len(sizes), max(sizes)
-    flat = np.concatenate([np.array(r) for r in rows])
-    row_of = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
+def fit(pages: list[str], rounds: int = 200, penalty: float = 2e-4, rate: float = 0.1, least: int = 3) -> Field:
+    """Maximise the penalised conditional likelihood of labelled pages by Adam steps over all of them, with the
+    features that so many blocks have at least."""
+    found = [[((*place, *text_features(text.replace(MARK, "").strip() or "x", linked)), MARK in text) for place, text, linked in leaf_blocks(p)] for p in pages]
+    found = sorted((x for x in found if x), key=len, reverse=True)
+    often: dict[str, int] = {}
+    for blocks in found:
+        for features, _ in blocks:
+            for f in features:
+                often[f] = often.get(f, 0) + 1
+    names = {f: i for i, f in enumerate(f for f, n in often.items() if n >= least)}
+    rows = [[names[f] for f in features if f in names] for blocks in found for features, _ in blocks]
+    flat, row_of = np.array([i for r in rows for i in r]), np.repeat(np.arange(len(rows)), list(map(len, rows)))
+    sizes = np.array(list(map(len, found)))
+    n, longest = len(sizes), int(sizes[0])
     page_of = np.repeat(np.arange(n), sizes)
     place = np.arange(len(rows)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-    y = np.zeros((n, longest), int)
-    there = np.zeros((n, longest), bool)
-    y[page_of, place], there[page_of, place] = labels, True
+    y = np.zeros((longest, n), int)
+    y[place, page_of] = [mark for blocks in found for _, mark in blocks]
+    alive = [int((sizes > t).sum()) for t in range(longest)]
+    after = np.arange(longest - 1)[:, None] < sizes - 1
     theta = np.zeros(len(names) + 5)
     m, v = np.zeros_like(theta), np.zeros_like(theta)
-    sizes_ = np.array(sizes)
     for step in range(1, rounds + 1):
-        w, start, moves = theta[:-5], theta[-5], theta[-4:].reshape(2, 2)
-        emit = np.zeros((n, longest, 2))
-        emit[page_of, place, 1] = np.bincount(row_of, w[flat], len(rows))
-        ahead, behind = np.zeros((n, longest, 2)), np.zeros((n, longest, 2))
-        ahead[:, 0] = emit[:, 0] + [0, start]
-        for t in range(1, longest):
-            ahead[:, t] = np.logaddexp(ahead[:, t - 1, 0, None] + moves[0], ahead[:, t - 1, 1, None] + moves[1]) + emit[:, t]
+        moves = np.exp(theta[-4:].reshape(2, 2))
+        factor = np.ones((longest, n, 2))
+        factor[place, page_of, 1] = np.exp(np.clip(np.bincount(row_of, theta[flat], len(rows)), -30, 30))
+        ahead, behind, norm = np.zeros((longest, n, 2)), np.ones((longest, n, 2)), np.ones((longest, n, 1))
+        for t, k in enumerate(alive):
+            here = factor[t, :k] * (ahead[t - 1, :k] @ moves if t else np.array([1.0, np.exp(theta[-5])]))
+            norm[t, :k] = here.sum(axis=1, keepdims=True)
+            ahead[t, :k] = here / norm[t, :k]
         for t in range(longest - 2, -1, -1):
-            x = behind[:, t + 1] + emit[:, t + 1]
-            behind[:, t] = np.where(there[:, t + 1, None], np.logaddexp(moves[:, 0] + x[:, :1], moves[:, 1] + x[:, 1:]), 0)
-        norm = np.logaddexp(*ahead[np.arange(n), sizes_ - 1].T)
-        p1 = np.exp(ahead[:, :, 1] + behind[:, :, 1] - norm[:, None])
+            k = alive[t + 1]
+            behind[t, :k] = (factor[t + 1, :k] * behind[t + 1, :k]) @ moves.T / norm[t + 1, :k]
+        p1 = (ahead * behind)[:, :, 1]
         grad = np.zeros_like(theta)
-        off = (y - p1)[page_of, place]
-        grad[:-5] = np.bincount(flat, off[row_of], len(names))
-        grad[-5] = (y[:, 0] - p1[:, 0]).sum()
-        both = there[:, 1:]
+        grad[:-5] = np.bincount(flat, (y - p1)[place, page_of][row_of], len(names))
+        grad[-5] = (y[0] - p1[0]).sum()
+        onward = factor[1:] * behind[1:] / norm[1:]
         for a in range(2):
             for b in range(2):
-                pair = np.exp(np.minimum(0, ahead[:, :-1, a] + moves[a, b] + emit[:, 1:, b] + behind[:, 1:, b] - norm[:, None]))
-                seen = (y[:, :-1] == a) & (y[:, 1:] == b)
-                grad[-4 + 2 * a + b] = ((seen - pair) * both).sum()
+                pair = ahead[:-1, :, a] * moves[a, b] * onward[:, :, b]
+                grad[-4 + 2 * a + b] = (((y[:-1] == a) & (y[1:] == b)) - pair)[after].sum()
         grad = grad / n - penalty * theta
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad**2
         theta += rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
@@ -402,7 +133,7 @@ def default_field(pages: int = 1500) -> Field:
 
 
 def main_text(page: str, field: Field) -> str:
-    blocks = leaf_blocks(page)
+    blocks = leaf_blocks(page, field.weights)
     return "\n".join(b[1] for b, y in zip(blocks, field.labels(blocks), strict=True) if y)
 
 
