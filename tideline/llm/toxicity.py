@@ -1,13 +1,17 @@
 """Toxicity by FTRL-proximal logistic regression over hashed word n-grams and skip-grams.
 
-Features of a text are the presence of hashed words, word stems (the first 4, 5 and 6 characters), bigrams and
-skip-bigrams. Learning takes a bounded sample of labelled rows, ``per_label`` of each label at most: their hashed
-features, never their texts, come to the driver, which runs the FTRL-proximal passes with a learning rate for every
-coordinate. L1 leaves few weights other than 0; these are broadcast, and every whole text is scored in one narrow pass.
+Features of a text are the presence of hashed words, bigrams, skip-bigrams and word stems (the first 3 to 6
+characters), and for stems also whether they occur so often, or so often in a thousand words. Learning takes a bounded
+sample of labelled rows, at most ``per_label`` of each label and ``MOST_FEATURES`` features in all: the features, never
+the texts, go to one task, which runs the FTRL-proximal passes with a learning rate for every coordinate. L1 leaves few
+weights other than 0; these alone come to the driver and are broadcast, and every whole text is scored in one narrow
+pass.
 
 Defined results: null and empty texts have the bias alone as evidence; rows without a doc_id are scored and count as
 not held out; label rows with a null doc_id or label are left out, of contradicting labels of one doc_id the larger
-holds; without labelled rows every score is 0.5; columns other than doc_id and text are ignored.
+holds; of rows with one doc_id the least text is learned from; without labelled rows every score is 0.5; very long
+texts are scored whole, and learned from whole or, where they'd exceed the bound of features, not at all; ties in the
+drawing order go by doc_id; columns other than doc_id and text are ignored.
 """
 
 from __future__ import annotations
@@ -23,14 +27,16 @@ from pyspark.sql import functions as F
 from tideline.llm.chunks import Pool, bounded_batches, split_at_spaces, texts_of
 
 PER_LABEL = 4000
+#: Features of all rows learned from; a row that would exceed it is passed over.
+MOST_FEATURES = 50_000_000
 SPACE = 1 << 22
 THRESHOLD = 0.7
 ALPHA, BETA, L2, PASSES = 1.0, 1.0, 1.0, 6
 #: L1 is this times the root of the number of rows learned from: about the size of a chance feature's gradient.
-L1_RATE = 0.1
-#: Features that fewer of the rows learned from have are left out.
-LEAST_ROWS = 3
-STEMS = (4, 5, 6)
+L1_RATE = 0.2
+STEMS = (3, 4, 5, 6)
+#: Numbers of occurrences of a stem, as such and in a thousand words, that are features when reached.
+COUNTS, RATES = (2, 3, 5), (5, 10, 20, 50)
 _word = re.compile(r"\w+")
 
 
@@ -48,8 +54,9 @@ _pool = Pool(_hashes, 2)
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
-    x = x * np.uint64(0x9E3779B97F4A7C15)
-    return (x ^ (x >> np.uint64(29))) % np.uint64(SPACE)
+    x = (x ^ (x >> np.uint64(32))) * np.uint64(0x9E3779B97F4A7C15)
+    x = (x ^ (x >> np.uint64(29))) * np.uint64(0xD6E8FEB86659FD93)
+    return (x ^ (x >> np.uint64(32))) % np.uint64(SPACE)
 
 
 def features(texts: pa.Array):
@@ -65,7 +72,10 @@ def features(texts: pa.Array):
         s = np.frombuffer(b"".join(map(stems_of, mine)), "<u4").astype(np.uint64)
         pair = w[:-1] * np.uint64(31) + w[1:] * np.uint64(0x100000001)
         skip = w[:-2] * np.uint64(37) + w[2:] * np.uint64(0x300000007)
-        yield _mixed(np.concatenate((w, s + np.uint64(1 << 40), pair, skip)))
+        stems, n = np.unique(s, return_counts=True)
+        often = [stems[n >= k] + np.uint64(k << 42) for k in COUNTS]
+        dense = [stems[n * 1000 >= k * len(w)] + np.uint64((k + 1) << 50) for k in RATES]
+        yield _mixed(np.concatenate((w, stems + np.uint64(1 << 40), pair, skip, *often, *dense)))
 
 
 def held_out(doc_id):
@@ -73,8 +83,8 @@ def held_out(doc_id):
     return F.coalesce(F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(3)) == 1, F.lit(False))
 
 
-def sample(docs: DataFrame, labels: DataFrame, per_label: int) -> list[tuple[np.ndarray, int]]:
-    """Distinct features and label of at most per_label rows of each label, in an order drawn from doc_ids."""
+def sample(docs: DataFrame, labels: DataFrame, per_label: int) -> DataFrame:
+    """draw, doc_id, toxic and distinct features (32-bit bytes) of at most per_label rows of each label, one a doc_id."""
     usable = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & ~held_out(F.col("doc_id")))
     rows = usable.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).withColumn("draw", F.xxhash64("doc_id", F.lit(11)))
     drawn = None
@@ -82,28 +92,22 @@ def sample(docs: DataFrame, labels: DataFrame, per_label: int) -> list[tuple[np.
         some = rows.where(F.col("toxic") == y).orderBy("draw", "doc_id").limit(per_label)
         drawn = some if drawn is None else drawn.unionByName(some)
     known = docs.select("doc_id", "text").join(F.broadcast(drawn), "doc_id")  # at most 2 * per_label rows
+    one = known.groupBy("draw", "doc_id", "toxic").agg(F.min(F.coalesce("text", F.lit(""))).alias("text"))
 
     def run(batches):
         for batch in batches:
             own = [np.unique(f).astype(np.int32) for f in features(texts_of(batch.column("text")))]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("draw"), batch.column("doc_id"), batch.column("toxic").cast(pa.int32()), pa.array([x.tobytes() for x in own], pa.binary())],
+                [batch.column("draw"), batch.column("doc_id").cast(pa.int64()), batch.column("toxic").cast(pa.int32()), pa.array([x.tobytes() for x in own], pa.binary())],
                 ["draw", "doc_id", "toxic", "features"],
             )
 
-    # of repeated rows of a doc_id at most two each are learned from
-    got = known.select("draw", "doc_id", "toxic", "text").mapInArrow(run, "draw long, doc_id long, toxic int, features binary").limit(4 * per_label)
-    rows = sorted((r.draw, r.doc_id, bytes(r.features), r.toxic) for r in got.collect())
-    return [(np.frombuffer(found, np.int32), y) for _, _, found, y in rows]
+    return one.mapInArrow(run, "draw long, doc_id long, toxic int, features binary")
 
 
 def fit(rows: list[tuple[np.ndarray, int]], passes: int = PASSES, alpha: float = ALPHA, beta: float = BETA, l1: float | None = None, l2: float = L2):
     """FTRL-proximal: the coordinates with a weight, their weights, and the bias."""
     l1 = L1_RATE * np.sqrt(len(rows)) if l1 is None else l1
-    often = np.zeros(SPACE, np.uint16)
-    for found, _ in rows:  # each feature once a row
-        often[found] += 1
-    rows = [(found[often[found] >= LEAST_ROWS], y) for found, y in rows]
     z, n = np.zeros(SPACE + 1), np.zeros(SPACE + 1)  # the last coordinate is the bias, without a penalty
 
     def weights(at):
@@ -125,9 +129,24 @@ def fit(rows: list[tuple[np.ndarray, int]], passes: int = PASSES, alpha: float =
     return at[:-1].astype(np.int32), w[:-1], float(w[-1])
 
 
-def learn(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL):
-    rows = sample(docs, labels, per_label)
-    return fit(rows) if rows else (np.zeros(0, np.int32), np.zeros(0), 0.0)
+def learn(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL, most: int = MOST_FEATURES):
+    """The model fitted to a sample, in one task that holds at most 2 * per_label rows and most features."""
+    bounded_batches(docs.sparkSession)
+
+    def run(batches):
+        rows, total = [], 0
+        for batch in batches:
+            for y, found in zip(batch.column("toxic").to_pylist(), batch.column("features").to_pylist(), strict=True):
+                if total + len(found) // 4 <= most:
+                    total += len(found) // 4
+                    rows.append((np.frombuffer(found, np.int32), y))
+        if rows:
+            at, w, bias = fit(rows)
+            yield pa.RecordBatch.from_arrays([pa.array([at.tolist()], pa.list_(pa.int32())), pa.array([w.tolist()], pa.list_(pa.float64())), pa.array([bias])], ["at", "w", "bias"])
+
+    found = sample(docs, labels, per_label).repartition(1).sortWithinPartitions("draw", "doc_id")
+    model = found.mapInArrow(run, "at array<int>, w array<double>, bias double").first()
+    return (np.array(model["at"], np.int32), np.array(model.w), model.bias) if model else (np.zeros(0, np.int32), np.zeros(0), 0.0)
 
 
 def score(docs: DataFrame, model, carry: list[str] | None = None) -> DataFrame:
