@@ -52,7 +52,7 @@ def make(n=400):
 
 def test_held_out_accuracy_and_edge_rows(spark):
     rows = make()
-    extra = [(1000, None, "aa"), (1001, "", "aa"), (1002, "12 --- 3_4", None), (None, "keitung lichsch", None), (1003, "tioning " * 50_000, None), (1004, "sch" * 5000, ""), (1, rows[1][1], rows[1][2])]
+    extra = [(1000, None, "aa"), (1001, "", "aa"), (1002, "12 --- 3_4", None), (None, "keitung lichsch", None), (1003, "tioning " * 50_000, None), (1004, "sch" * 5000, ""), (1, rows[1][1], rows[1][2]), (1005, "½ ² ③ Ⅷ", None), (1006, "½ the ² tion", None), (1007, "keit" * 30_000, None)]
     docs = spark.createDataFrame([(*r, "x") for r in rows + extra], "doc_id long, text string, lang string, score string").repartition(3)
     got = language_id.predict(docs, PATH).collect()
     assert len(got) == len(rows) + len(extra)
@@ -64,9 +64,57 @@ def test_held_out_accuracy_and_edge_rows(spark):
             assert r.lang_pred == truth[r.doc_id]
     by_id = {r.doc_id: r.lang_pred for r in got}
     assert [by_id[i] for i in (1000, 1001, 1002, 1003, 1004, None)] == ["und", "und", "und", "aa", "bb", "bb"]
+    assert [by_id[i] for i in (1005, 1006, 1007)] == ["und", "aa", "bb"]
 
 
 def test_without_languages_and_empty_table(spark):
     docs = spark.createDataFrame([(1, "some text", None)], "doc_id long, text string, lang string")
     assert [tuple(r)[2:] for r in language_id.predict(docs, PATH).collect()] == [("und", 0.0)]
     assert language_id.predict(docs.where("false"), PATH).count() == 0
+
+
+def plain_log(word, chance, log=math.log):
+    """Log of the sum over all segmentations, by logs of forward values."""
+    ahead = [0.0]
+    for j in range(1, len(word) + 1):
+        found = [ahead[i] + log(chance[word[i:j]]) for i in range(max(0, j - 16), j) if word[i:j] in chance]
+        if word[j - 1] not in chance:
+            found.append(ahead[j - 1] + log(language_id.UNSEEN))
+        top = max(found)
+        ahead.append(top + log(sum(math.exp(x - top) for x in found)))
+    return ahead[-1]
+
+
+def plain_words(text):
+    runs = "".join(c if c.isalpha() else " " for c in text.lower()).split()
+    return [SPACE + w for w in runs]
+
+
+def test_query_matches_plain_scores_of_whole_texts(spark, monkeypatch):
+    rng = random.Random(3)
+    rows = make(120)
+    rows += [(500, "tion" * 60 + " keit", "aa"), (501, "".join(rng.choice("abcdefgh漢字ж") for _ in range(700)), None), (502, "½the²tion ing", None), (503, "漢字" * 150 + "。漢", "cc")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+    pieces = language_id.vocabulary(PATH)
+    assert max(map(len, pieces)) <= 16
+    langs, table = language_id.learn(docs, PATH)
+    assert langs == ["aa", "bb", "cc"]
+    for got in language_id.predict(docs, PATH).collect():
+        text = next(t for i, t, _ in rows if i == got.doc_id)
+        logs = [sum(plain_log(w, dict(zip(pieces, table[:, k], strict=False))) for w in plain_words(text)) for k in range(3)]
+        assert got.lang_pred == langs[logs.index(max(logs))]
+        assert math.isclose(got.score, 1 / sum(math.exp(x - max(logs)) for x in logs), rel_tol=1e-6)
+
+
+def test_long_words_are_scored_by_segments(monkeypatch):
+    monkeypatch.setattr(language_id, "SEGMENT", 40)
+    lattices = language_id.lattices_at(PATH)
+    rng = np.random.default_rng(1)
+    chance = rng.dirichlet(np.ones(lattices.n), 2).T
+    chance = np.concatenate((chance, np.full((1, 2), language_id.UNSEEN)))
+    pieces = language_id.vocabulary(PATH)
+    words = [SPACE + "".join(rng.choice(list("tionegs漢"), n)) for n in (3, 39, 40, 41, 200, 333)]
+    got = lattices.forward(words, chance)
+    for w, g in zip(words, got, strict=True):
+        for k in range(2):
+            assert math.isclose(g[k], plain_log(w, dict(zip(pieces, chance[:, k], strict=False))), rel_tol=1e-9)
