@@ -23,31 +23,74 @@ def texts(n=400):
     return ["".join(rng.choice(PARTS) for _ in range(rng.randint(0, 12))) for _ in range(n)]
 
 
-def test_findings_match_plain_scan(spark):
+def stored(spark, tmp_path, name="ledger"):
+    return secrets.Ledger(spark, str(tmp_path / name))
+
+
+def test_findings_match_plain_scan(spark, tmp_path):
     rows = [*enumerate(texts()), (900, None), (901, ""), (None, texts()[3]), (3, texts()[3]), (3, "token=abcdefgh"), (902, "secret: hunter22 " * 5000)]
-    docs = spark.createDataFrame([(i, t, "b") for i, t in rows], "doc_id long, text string, blob string")
-    found, _ = secrets.scan(docs)
+    docs = spark.createDataFrame([(i, t, "b", True) for i, t in rows], "doc_id long, text string, blob string, suspect boolean").repartition(3)
+    found, _ = secrets.scan(docs, stored(spark, tmp_path))
     got = sorted(((r.doc_id, r.spans, r.n_assign + r.n_access + r.n_hex) for r in found.collect()), key=str)
     want = sorted(((i, s, len([x for x in s.split(",") if x])) for i, s in ((i, plain(t or "")) for i, t in rows)), key=str)
     assert got == want
     assert any(s for _, s, _ in got)
 
 
-def test_ledger_is_incremental(spark):
+def test_texts_without_anchors_have_no_secret(spark):
+    docs = spark.createDataFrame([(t,) for t in texts(3000)], "text string")
+    clear = docs.where(~secrets.suspect(F.col("text"))).collect()
+    assert len(clear) > 300 and not any(plain(r.text) for r in clear)
+
+
+def test_ledger_is_incremental(spark, tmp_path):
     docs = spark.createDataFrame([(1, "token=abcdefgh"), (2, "clean"), (3, "token=abcdefgh")], "doc_id long, text string")
-    _, first = secrets.scan(docs)
-    assert first.count() == 2
-    more = docs.union(spark.createDataFrame([(4, "passwd: qwerty1")], "doc_id long, text string"))
-    found, second = secrets.scan(more, first)
-    assert [r.blob for r in second.collect()] == [r.blob for r in found.where("doc_id = 4").collect()]
-    assert {r.doc_id: r.n_assign for r in found.collect()} == {1: 1, 2: 0, 3: 1, 4: 1}
-    other = first.withColumn("rules", F.lit("older"))
-    assert secrets.scan(docs, other)[1].count() == 2
+    ledger = stored(spark, tmp_path)
+    _, first = secrets.scan(docs, ledger)
+    assert first.count() == 2 == ledger.read().count()
+    more = docs.union(spark.createDataFrame([(4, "passwd: qwerty1"), (5, None)], "doc_id long, text string"))
+    found, second = secrets.scan(more, ledger)
+    assert {r.blob for r in second.collect()} == {r.blob for r in found.where("doc_id > 3").collect()}
+    assert {r.doc_id: r.n_assign for r in found.collect()} == {1: 1, 2: 0, 3: 1, 4: 1, 5: 0}
+    found, third = secrets.scan(more, ledger)
+    assert third.count() == 0 and found.where("n_assign > 0").count() == 3
+    ledger.append(first)  # a repeated append
+    assert sorted(r.n_assign for r in secrets.scan(more, ledger)[0].collect()) == [0, 0, 1, 1, 1]
+    older = stored(spark, tmp_path, "older")
+    older.append(first.withColumn("rules", F.lit("older")))
+    assert secrets.scan(docs, older)[1].count() == 2
+
+
+def test_findings_reach_all_versions_and_paths(spark, tmp_path):
+    one = [(1, "token=abcdefgh"), (2, "clean")]
+    two = [(1, "rewritten"), (2, "clean"), (7, "token=abcdefgh"), (8, "AKIA" + "A" * 17)]
+    paths = {"v1": str(tmp_path / "one"), "v2": str(tmp_path / "two")}
+    for path, rows in zip(paths.values(), (one, two), strict=True):
+        spark.createDataFrame(rows, "doc_id long, text string").write.parquet(path)
+    versions = secrets.load_versions(spark, paths)
+    ledger = stored(spark, tmp_path)
+    assert secrets.scan(versions.where("version = 'v1'"), ledger)[1].count() == 2
+    found, new = secrets.scan(versions, ledger, ("version", "path", "doc_id"))
+    assert new.count() == 2
+    got = sorted((r.version, r.path, r.doc_id, r.n_assign, r.n_access) for r in found.collect())
+    assert got == sorted((v, paths[v], i, int("token" in t), int("AKIA" in t)) for v, rows in (("v1", one), ("v2", two)) for i, t in rows)
+
+
+def test_query_scans_nothing_twice(spark, tmp_path):
+    from tideline.llm.queries import QUERIES
+
+    rows = [*enumerate(texts(60)), (90, None), (91, texts(60)[5])]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = QUERIES["op4_secret_scan"](spark, str(tmp_path)).collect()
+    assert sorted((r.doc_id, r.spans) for r in got) == sorted((i, plain(t or "")) for i, t in rows)
+    assert not any(r.rescanned for r in got)
 
 
 def test_redact_keeps_rows_and_columns(spark):
-    docs = spark.createDataFrame([(1, "a token=abcdefgh b", 18, "s"), (2, None, None, None), (3, "clean é", 7, "s")], "doc_id long, text string, n_chars long, found string")
+    rows = [(1, "a token=abcdefgh b", 18, "s"), (2, None, None, None), (3, "clean é", 7, "s"), (4, "token: x", 8, "t"), (None, "a token=abcdefgh b", 18, "u")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, n_chars long, found string")
     got = secrets.redact(docs)
     assert got.columns == docs.columns
-    assert sorted(map(tuple, got.collect())) == [(1, "a [assign] b", 12, "s"), (2, None, None, None), (3, "clean é", 7, "s")]
-    assert secrets.scan(docs.where("false"))[0].count() == 0
+    want = [(1, "a [assign] b", 12, "s"), (2, None, None, None), (3, "clean é", 7, "s"), (4, "token: x", 8, "t"), (None, "a [assign] b", 12, "u")]
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(want, key=str)
+    assert secrets.redact(docs.where("false")).count() == 0

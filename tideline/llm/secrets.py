@@ -1,22 +1,27 @@
 """Incremental secret scans over a ledger of content-addressed blobs.
 
-Every version of a text is addressed by its SHA-256. A ledger has one row for each pair of blob and rule version that
-was ever scanned, with the spans found. A scan selects the unseen pairs with slim rows only, fetches the text of one
-representative row for each, scans it, appends to the ledger and joins the findings back to all rows of each blob;
+Every historical version of a text is addressed by its SHA-256. A ledger, a stored table, has one row for each pair of
+blob and rule version that was ever scanned, with the spans found. A scan selects the unseen pairs with slim rows only,
+scans one representative row of each, appends to the ledger and joins the findings back to all paths of each blob;
 copies and old versions are never scanned twice.
 
+Texts that lack every anchor of the rules (a screen by one expression in the same pass that addresses them) enter the
+ledger without a further scan, so only texts with an anchor whose blob is unseen are ever moved.
+
 Spans are code points with the end exclusive, leftmost and without overlap within a kind. Defined results: null is an
-empty text; rows with a null or a repeated doc_id keep their own result rows; an empty table gives an empty result;
-columns other than doc_id and text are ignored by ``scan`` and passed through by ``redact``.
+empty text; rows with a null or a repeated doc_id keep their own result rows; very long texts are scanned whole; an
+empty table gives an empty result and adds nothing to the ledger; a ledger whose rows were appended twice counts them
+once; columns other than doc_id (or the named keys) and text are ignored by ``scan`` and passed through by ``redact``.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+from functools import reduce
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tideline.llm.chunks import bounded_batches, texts_of
@@ -28,7 +33,10 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")
 WORDS = ("passw", "secret", "token", "api")
 KINDS = ("assign", "access", "hex")
+COUNTS = ("n_assign", "n_access", "n_hex")
 RULES = hashlib.sha256("\n".join((ASSIGN.pattern, ACCESS.pattern, HEX.pattern, "6 20 24")).encode()).hexdigest()[:16]
+#: What a text with a secret has at least; for Java's expressions, where (?i) is about ASCII.
+SCREEN = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]|AKIA[A-Z0-9]{16}|[0-9a-f]{24}"""
 LEDGER = "blob string, rules string, n_assign long, n_access long, n_hex long, spans string"
 
 
@@ -51,6 +59,11 @@ def blob_of(text: Column) -> Column:
     return F.sha2(F.coalesce(text, F.lit("")), 256)
 
 
+def suspect(text: Column) -> Column:
+    """Whether a text has an anchor of a rule; without one it has no secret."""
+    return F.coalesce(text.rlike(SCREEN), F.lit(False))
+
+
 def _scan(batches):
     for batch in batches:
         spans = [find_spans(t) for t in texts_of(batch.column("text")).to_pylist()]
@@ -59,24 +72,58 @@ def _scan(batches):
         yield pa.RecordBatch.from_arrays([batch.column("blob").cast(pa.string()), rules, *counts, pa.array(map(as_text, spans), pa.string())], ["blob", "rules", "n_assign", "n_access", "n_hex", "spans"])
 
 
-def scan(docs: DataFrame, ledger: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-    """Findings (doc_id, blob, n_assign, n_access, n_hex, spans) of all rows, and the ledger's new rows."""
+class Ledger:
+    """The stored ledger below a path, a Parquet table partitioned by rules."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path
+
+    def read(self) -> DataFrame:
+        """All rows of the present rules; none before the first append."""
+        jvm = self.spark.sparkContext._jvm
+        at = jvm.org.apache.hadoop.fs.Path(self.path)
+        if not at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(at):
+            return self.spark.createDataFrame([], LEDGER)
+        return self.spark.read.schema(LEDGER).parquet(self.path).where(F.col("rules") == RULES)
+
+    def append(self, new: DataFrame) -> None:
+        new.write.mode("append").partitionBy("rules").parquet(self.path)
+
+
+def load_versions(spark: SparkSession, versions: dict[str, str]) -> DataFrame:
+    """The rows of several versions of a table (name and path of each), with their version and path."""
+    found = [spark.read.parquet(path).withColumn("version", F.lit(name)).withColumn("path", F.lit(path)) for name, path in versions.items()]
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), found)
+
+
+def scan(docs: DataFrame, ledger: Ledger, keys: tuple[str, ...] = ("doc_id",)) -> tuple[DataFrame, DataFrame]:
+    """Findings (keys, blob, n_assign, n_access, n_hex, spans) of all rows, and the rows added to the ledger."""
     bounded_batches(docs.sparkSession)
     scratch = Scratch(docs.sparkSession, "secrets")
-    addressed = docs.select("doc_id", "text", blob_of(F.col("text")).alias("blob"))
-    paths = scratch.save(addressed.select("doc_id", "blob"))
-    unseen = paths.groupBy("blob").agg(F.min("doc_id").alias("rep_id"))
-    if ledger is not None:
-        unseen = unseen.join(ledger.where(F.col("rules") == RULES).select("blob"), "blob", "left_anti")
-    reps = unseen.select(F.col("blob").alias("rep_blob"), "rep_id")
-    fetched = addressed.join(reps, (F.col("blob") == F.col("rep_blob")) & F.col("doc_id").eqNullSafe(F.col("rep_id"))).select("blob", "text")
-    # repeated rows of one doc_id may be fetched more than once; their entries are equal
-    new = scratch.save(fetched.mapInArrow(_scan, LEDGER).dropDuplicates(["blob"]))
-    known = new if ledger is None else new.unionByName(ledger.where(F.col("rules") == RULES))
-    hits = known.where("spans != ''").drop("rules")
-    found = paths.join(hits, "blob", "left")
-    counts = [F.coalesce(c, F.lit(0).cast("long")).alias(c) for c in ("n_assign", "n_access", "n_hex")]
-    return found.select("doc_id", "blob", *counts, F.coalesce("spans", F.lit("")).alias("spans")), new
+    addressed = docs.select(*keys, "text", blob_of(F.col("text")).alias("blob"), F.xxhash64(*keys).alias("pick"), suspect(F.col("text")).alias("suspect"))
+    paths = scratch.save(addressed.select(*keys, "blob", "pick", "suspect"))
+    blobs = paths.groupBy("blob").agg(F.min("pick").alias("pick"), F.max("suspect").alias("suspect"))
+    unseen = scratch.save(blobs.join(ledger.read().select("blob"), "blob", "left_anti"))
+    # rows that share blob and keys may be fetched together; their entries are equal
+    fetched = addressed.where("suspect").select("blob", "pick", "text").join(unseen.where("suspect"), ["blob", "pick"], "left_semi")
+    scanned = fetched.mapInArrow(_scan, LEDGER).dropDuplicates(["blob"])
+    none = unseen.where("NOT suspect").select("blob", F.lit(RULES).alias("rules"), *(F.lit(0).cast("long").alias(c) for c in COUNTS), F.lit("").alias("spans"))
+    new = scratch.save(scanned.unionByName(none))
+    ledger.append(new)
+    return findings(paths, ledger).select(*keys, "blob", *COUNTS, "spans"), new
+
+
+def hits_of(ledger: Ledger) -> DataFrame:
+    """blob, counts and spans of the blobs with a secret."""
+    return ledger.read().where("spans != ''").drop("rules").dropDuplicates(["blob"])
+
+
+def findings(rows: DataFrame, ledger: Ledger) -> DataFrame:
+    """rows, which have a column blob, with what the ledger has of their blobs."""
+    hits = Scratch(rows.sparkSession, "hits").save(hits_of(ledger))  # a plain side, so that AQE can split a frequent blob
+    found = rows.join(hits, "blob", "left")
+    counts = [F.coalesce(c, F.lit(0).cast("long")).alias(c) for c in COUNTS]
+    return found.select(*rows.columns, *counts, F.coalesce("spans", F.lit("")).alias("spans"))
 
 
 def redacted(text: str, spans: str) -> str:
@@ -90,14 +137,16 @@ def redacted(text: str, spans: str) -> str:
     return "".join(out) + text[at:]
 
 
-def redact(docs: DataFrame, ledger: DataFrame | None = None) -> DataFrame:
-    """docs with secrets replaced in text; n_chars, where there is one, counts the new text. No row goes."""
-    names = docs.columns
-    _, new = scan(docs, ledger)
-    known = new if ledger is None else new.unionByName(ledger.where(F.col("rules") == RULES))
-    hits = known.where("spans != ''").select("blob", F.col("spans").alias("found"))
+def redact(docs: DataFrame, ledger: Ledger | None = None) -> DataFrame:
+    """docs with secrets replaced in text; n_chars, where there is one, counts the new text. No row goes, and only rows
+    with an anchor of a rule are moved."""
+    names, kinds = docs.columns, dict(docs.dtypes)
+    ledger = ledger or Ledger(docs.sparkSession, Scratch(docs.sparkSession, "ledger").base)
+    scan(docs, ledger)
+    hits = Scratch(docs.sparkSession, "hits").save(hits_of(ledger).select("blob", F.col("spans").alias("found")))
     rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in names)).alias("row"))
-    joined = rows.select("row", blob_of(F.col("row.text")).alias("blob")).join(hits, "blob", "left")
+    clear = rows.where(~suspect(F.col("row.text"))).select(*(F.col("row").getField(c).alias(c) for c in names))
+    joined = rows.where(suspect(F.col("row.text"))).withColumn("blob", blob_of(F.col("row.text"))).join(hits, "blob", "left")
 
     @F.pandas_udf("string")
     def clean(text, found):
@@ -105,10 +154,6 @@ def redact(docs: DataFrame, ledger: DataFrame | None = None) -> DataFrame:
 
         return pd.Series([t if not s else redacted(t, s) for t, s in zip(text, found, strict=True)], dtype=object)
 
-    text = F.when(F.col("found").isNull(), F.col("row.text")).otherwise(F.col("cleaned"))
-    hit = joined.where(F.col("found").isNotNull()).withColumn("cleaned", clean(F.col("row.text"), F.col("found")))
-    both = hit.unionByName(joined.where(F.col("found").isNull()).withColumn("cleaned", F.lit(None).cast("string")))
-    n_chars = F.when(F.col("found").isNull(), F.col("row.n_chars")).otherwise(F.char_length("cleaned")) if "n_chars" in names else None
-    kinds = dict(docs.dtypes)
-    new_values = {"text": text, "n_chars": n_chars}
-    return both.select(*((new_values[c].cast(kinds[c]) if c in new_values else F.col("row").getField(c)).alias(c) for c in names))
+    done = joined.withColumn("cleaned", clean(F.col("row.text"), F.col("found")))
+    new_values = {"text": F.col("cleaned"), "n_chars": F.when(F.col("found").isNull(), F.col("row.n_chars")).otherwise(F.char_length("cleaned")) if "n_chars" in names else None}
+    return clear.unionByName(done.select(*((new_values[c].cast(kinds[c]) if c in new_values else F.col("row").getField(c)).alias(c) for c in names)))
