@@ -3,11 +3,11 @@ import random
 import public_tokenizers
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from tideline.llm import byte_bpe
-from tideline.llm.token_counts import TokenTree, count_documents, count_edited, counter_at, leaf_counts
-from pyspark.sql import functions as F
+from tideline.llm.token_counts import TokenTree, count_documents, count_edited, counter_at, leaf_counts, leaves_of
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 PLAIN = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
@@ -34,12 +34,42 @@ def test_tree_follows_edits(text, edits):
         assert (tree.text, tree.n_chars, tree.n_tokens) == (text, len(text), plain(text))
 
 
+def balanced(tree):
+    if not tree or not tree.height:
+        return True
+    return abs(tree.left.height - tree.right.height) < 2 and balanced(tree.left) and balanced(tree.right)
+
+
+@given(st.integers(0, 200), st.lists(st.tuples(st.integers(0, 900), st.sampled_from([0, 0, 1, 30, 500]), st.integers(0, 60)), max_size=12))
+@settings(max_examples=200, deadline=None)
+def test_long_texts_follow_edits(words, edits):
+    count = lambda chunks: [len(c) for c in chunks]
+    text = " ".join("ab" * (k % 3 + 1) for k in range(words))
+    tree = TokenTree(text, count)
+    for pos, delete, inserted in edits:
+        insert = " x".join("y" * (k % 4) for k in range(inserted))
+        tree.edit(pos, delete, insert)
+        pos = min(pos, len(text))
+        text = changed(text, pos, delete, insert)
+        assert tree.text == text and tree.n_chars == tree.n_tokens == len(text) and balanced(tree.root)
+        assert [c for leaf in leaves_of(tree.root) for c in leaf.chunks] == byte_bpe.CHUNK.findall(text)
+
+
 def test_few_segments_are_encoded_anew():
     text = "some words in a row " * 5000
     tree = TokenTree(text, counter_at(RANKS))
     tree.edit(50_003, 2, "x y")
     assert tree.reencoded < 8
     assert tree.n_tokens == plain(changed(text, 50_003, 2, "x y"))
+    assert balanced(tree.root)
+    tree.edit(1000, 0, "inserted words " * 25_000)
+    assert balanced(tree.root) and tree.n_tokens == plain(tree.text)
+    for edit in ((9000, 1, ""), (200_000, 3, "z"), (1000, 0, "q "), (0, 1, ""), (tree.n_chars, 0, "end")):
+        before = tree.reencoded
+        tree.edit(*edit)
+        assert tree.reencoded - before < 10
+    tree.edit(5, 300_000, "")
+    assert tree.reencoded - before < 20 and balanced(tree.root) and tree.n_tokens == plain(tree.text)
     assert sum(k for _, _, k in leaf_counts(text, RANKS)) == plain(text)
     assert byte_bpe.CHUNK.findall(" a\n b  ") == [" a", "\n b", "  "]
 

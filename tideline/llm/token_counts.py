@@ -1,10 +1,10 @@
 """Edit-aware token counts with segment trees.
 
-A document's leaves are chunks of whole pre-tokens (white space and what follows it). A binary tree over the leaves
-has sums of code points and of tokens. An edit descends by code points to the leaves it touches, re-encodes these and
-one leaf of context on either side, which is enough for the cuts there to stay cuts between pre-tokens, and updates
-the sums above them; all other leaves keep their counts. New chunks live in the first touched leaf's place, so that
-the tree keeps its shape.
+A document's pre-tokens, as chunks (white space and what follows it), lie in the leaves of a height-balanced binary
+tree, up to ``LEAF`` chunks in one; every node has the sums of code points and of tokens below it. An edit descends by
+code points to the chunks it touches, re-encodes these and one chunk of context on either side, which is enough for the
+cuts there to stay cuts between pre-tokens, puts the new chunks into leaves of their own size and joins the tree again,
+updating the sums on the way up; all other chunks keep their counts, however long an insert was.
 
 Defined results: null is an empty text; edits are applied in order, each at code points of the text as it then is, and
 positions beyond the end are moved to the end; a null array of edits is an empty one, null members of an edit are 0 or
@@ -14,9 +14,9 @@ the named ones are ignored.
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from itertools import accumulate
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -24,82 +24,154 @@ from pyspark.sql import functions as F
 from tideline.llm import byte_bpe
 from tideline.llm.chunks import Pool, bounded_batches, texts_of
 
+#: Chunks of a leaf at most.
+LEAF = 32
 EDITS = "array<struct<pos:long,del:long,ins:string>>"
 
 
+class Leaf:
+    """Chunks that follow one another, with their numbers of tokens."""
+
+    __slots__ = ("chars", "chunks", "counts", "height", "leaves", "tokens")
+
+    def __init__(self, chunks: list[str], counts: list[int]):
+        self.chunks, self.counts = chunks, counts
+        self.chars, self.tokens = sum(map(len, chunks)), sum(counts)
+        self.height, self.leaves = 0, 1
+
+
+class Node:
+    """Two trees after one another, and their sums."""
+
+    __slots__ = ("chars", "height", "leaves", "left", "right", "tokens")
+
+    def __init__(self, left, right):
+        self.left, self.right = left, right
+        self.chars, self.tokens, self.leaves = left.chars + right.chars, left.tokens + right.tokens, left.leaves + right.leaves
+        self.height = 1 + max(left.height, right.height)
+
+
+def _node(left, right):
+    """left and right, whose heights differ by two at most, as one balanced tree."""
+    if left.height > right.height + 1:
+        if left.left.height >= left.right.height:
+            return Node(left.left, Node(left.right, right))
+        return Node(Node(left.left, left.right.left), Node(left.right.right, right))
+    if right.height > left.height + 1:
+        if right.right.height >= right.left.height:
+            return Node(Node(left, right.left), right.right)
+        return Node(Node(left, right.left.left), Node(right.left.right, right.right))
+    return Node(left, right)
+
+
+def join(left, right):
+    """Two trees, either of which may be missing, after one another."""
+    if left is None or right is None:
+        return left or right
+    if left.height > right.height + 1:
+        return _node(left.left, join(left.right, right))
+    if right.height > left.height + 1:
+        return _node(join(left, right.left), right.right)
+    return Node(left, right)
+
+
+def split(tree, leaves: int):
+    """The trees of the first so many leaves and of the others; None for none."""
+    if tree is None or leaves <= 0:
+        return None, tree
+    if leaves >= tree.leaves:
+        return tree, None
+    if leaves <= tree.left.leaves:
+        first, rest = split(tree.left, leaves)
+        return first, join(rest, tree.right)
+    first, rest = split(tree.right, leaves - tree.left.leaves)
+    return join(tree.left, first), rest
+
+
+def build(chunks: list[str], counts: list[int]):
+    """A balanced tree of chunks; None without any."""
+    def over(a: int, b: int):
+        return Node(over(a, (a + b) // 2), over((a + b) // 2, b)) if b - a > 1 else row[a]
+
+    row = [Leaf(chunks[i : i + LEAF], counts[i : i + LEAF]) for i in range(0, len(chunks), LEAF)]
+    return over(0, len(row)) if row else None
+
+
+def leaves_of(tree):
+    """The leaves of a tree in order."""
+    open_ = [tree] if tree is not None else []
+    while open_:
+        at = open_.pop()
+        if at.height:
+            open_ += (at.right, at.left)
+        else:
+            yield at
+
+
 class TokenTree:
     """Counts of one text that follow its edits. count(chunks) gives the numbers of tokens of chunks."""
 
     def __init__(self, text: str, count):
         self.count = count
-        self.base = byte_bpe.CHUNK.findall(text) or [""]
-        n = len(self.base)
-        self.width = 1 << (n - 1).bit_length()
-        self.chars, self.tokens = np.zeros(2 * self.width, np.int64), np.zeros(2 * self.width, np.int64)
-        self.chars[self.width : self.width + n] = list(map(len, self.base))
-        self.tokens[self.width : self.width + n] = count(self.base)
-        for sums in (self.chars, self.tokens):
-            p = self.width
-            while p > 1:
-                sums[p // 2 : p] = sums[p : 2 * p : 2] + sums[p + 1 : 2 * p : 2]
-                p //= 2
-        self.leaves = n
-        #: Leaves that were encoded anew, and chunks that were.
-        self.reencoded = 0
+        chunks = byte_bpe.CHUNK.findall(text)
+        self.root = build(chunks, count(chunks))
+        #: Chunks at first, and chunks that edits encoded.
+        self.segments, self.reencoded = len(chunks), 0
 
     @property
     def n_tokens(self) -> int:
-        return int(self.tokens[1])
+        return self.root.tokens if self.root else 0
 
     @property
     def n_chars(self) -> int:
-        return int(self.chars[1])
+        return self.root.chars if self.root else 0
 
     @property
     def text(self) -> str:
-        return "".join(self.base)
-
-    def leaf_at(self, pos: int) -> tuple[int, int]:
-        """The leaf that holds a position and the position within it; the end belongs to the last leaf with text."""
-        at = 1
-        while at < self.width:
-            at *= 2
-            if pos >= self.chars[at] and self.chars[at + 1] > 0:
-                pos -= int(self.chars[at])
-                at += 1
-        return at - self.width, pos
+        return "".join(c for leaf in leaves_of(self.root) for c in leaf.chunks)
+
+    def _leaf_at(self, pos: int) -> tuple[int, int, Leaf]:
+        """Number of the leaf that holds a position, the position within it, and the leaf; the end is in the last one."""
+        at, number = self.root, 0
+        while at.height:
+            if pos >= at.left.chars:
+                pos, number, at = pos - at.left.chars, number + at.left.leaves, at.right
+            else:
+                at = at.left
+        return number, pos, at
 
     def edit(self, pos: int, delete: int, insert: str) -> None:
         pos = min(max(pos, 0), self.n_chars)
         delete = min(max(delete, 0), self.n_chars - pos)
         if not delete and not insert:
             return
-        first, inside = self.leaf_at(pos)
-        last, _ = self.leaf_at(pos + delete)
-        low, high = self._full(first, -1), self._full(last, 1)
-        before = "".join(self.base[low : high + 1])
-        at = inside + sum(map(len, self.base[low:first]))
-        after = before[:at] + insert + before[at + delete :]
-        chunks = byte_bpe.CHUNK.findall(after)
-        self.reencoded += len(chunks)
-        self.base[low] = after
-        self.base[low + 1 : high + 1] = [""] * (high - low)
-        self.chars[self.width + low : self.width + high + 1] = 0
-        self.tokens[self.width + low : self.width + high + 1] = 0
-        self.chars[self.width + low] = len(after)
-        self.tokens[self.width + low] = sum(self.count(chunks))
-        a, b = self.width + low, self.width + high
-        while a > 1:
-            a, b = a // 2, b // 2
-            for sums in (self.chars, self.tokens):
-                sums[a : b + 1] = sums[2 * a : 2 * b + 2 : 2] + sums[2 * a + 1 : 2 * b + 2 : 2]
-
-    def _full(self, leaf: int, step: int) -> int:
-        """The next leaf with text in a direction, or the last leaf there."""
-        at = leaf + step
-        while 0 <= at < self.leaves and not self.base[at]:
-            at += step
-        return min(max(at, 0), self.leaves - 1)
+        if not self.root:
+            chunks = byte_bpe.CHUNK.findall(insert)
+            self.reencoded += len(chunks)
+            self.root = build(chunks, self.count(chunks))
+            return
+        first, inside, one = self._leaf_at(pos)
+        last, within, other = self._leaf_at(pos + delete)
+        # a neighbour leaf is needed where the touched chunk is at a leaf's edge
+        low = first - (first > 0 and inside < len(one.chunks[0]))
+        high = last + (within >= other.chars - len(other.chunks[-1]))
+        before, rest = split(self.root, low)
+        middle, after = split(rest, high - low + 1)
+        chunks, counts, at = [], [], inside
+        for k, leaf in enumerate(leaves_of(middle)):
+            if k < first - low:
+                at += leaf.chars
+            chunks += leaf.chunks
+            counts += leaf.counts
+        ends = list(accumulate(map(len, chunks)))
+        a, b = min(bisect_right(ends, at), len(ends) - 1), min(bisect_right(ends, at + delete), len(ends) - 1)
+        a, b = max(a - 1, 0), min(b + 1, len(ends) - 1)
+        old = "".join(chunks[a : b + 1])
+        at -= ends[a - 1] if a else 0
+        new = byte_bpe.CHUNK.findall(old[:at] + insert + old[at + delete :])
+        self.reencoded += len(new)
+        tree = build([*chunks[:a], *new, *chunks[b + 1 :]], [*counts[:a], *self.count(new), *counts[b + 1 :]])
+        self.root = join(join(before, tree), after)
 
 
 class Counter:
@@ -139,7 +211,7 @@ def count_edited(docs: DataFrame, edits: Column, ranks_path: str) -> DataFrame:
             columns = [[] for _ in range(7)]
             for text, changes in zip(texts_of(batch.column("text")).to_pylist(), batch.column("edits").to_pylist(), strict=True):
                 tree = TokenTree(text, count)
-                row = [tree.n_chars, tree.leaves if text else 0, tree.n_tokens]
+                row = [tree.n_chars, tree.segments, tree.n_tokens]
                 changes = [c for c in changes or [] if c]
                 for c in changes:
                     tree.edit(c["pos"] or 0, c["del"] or 0, c["ins"] or "")
