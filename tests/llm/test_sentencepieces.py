@@ -1,7 +1,10 @@
 import hashlib
+import itertools
 import random
+import time
 
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import sentencepiece
 
@@ -43,6 +46,25 @@ def test_round_trip_through_columns(spark):
     assert dict(map(tuple, back.collect())) == {1: "Grüße  an alle", 2: "", 3: ""}
 
 
+def test_parts_of_texts():
+    texts = ["a b", "", " ", "  a", "a  ", "a▁b", "   ", "a   b c"]
+    codes, parts, offsets = sentencepieces.parts_of(pa.array(texts, pa.large_string()))
+    got = [[parts[c] for c in codes[a:b]] for a, b in itertools.pairwise(offsets)]
+    assert got == [["a", "b"], [], ["  "], ["  a"], ["a", "  "], ["a", "b"], ["    "], ["a", "  b", "c"]]
+
+
+def test_double_spaces_cost_little():
+    rng = random.Random(5)
+    texts = ["".join(" " + "".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(20_000)) for _ in range(2)]
+    took = []
+    for text in (texts[0], texts[0].replace(" ", "  ", 1), texts[1], texts[1] + "  "):
+        model = sentencepieces.PieceModel(PATH)
+        began = time.process_time()
+        assert model.encode(text) == SP.encode(text)
+        took.append(time.process_time() - began)
+    assert took[1] < 1.5 * took[0] + 0.1 and took[3] < 1.5 * took[2] + 0.1
+
+
 @pytest.mark.parametrize("n", [0, 1])
 def test_empty_table(spark, n):
     docs = spark.createDataFrame([(1, "a")] * n, "doc_id long, text string")

@@ -4,7 +4,8 @@ A BPE model merges the adjacent pair of the best score, leftmost first, until no
 space symbol after another character, so a text falls into words (a run of space symbols and what follows it) that
 merge apart from each other. All words that a worker hasn't met are encoded together: their symbols lie in one flat
 numpy array; each round finds the best pair of every word by a segmented minimum of pair ranks, merges its
-occurrences from the left without overlap, compacts the array and retires the words without a pair.
+occurrences from the left without overlap, compacts the array and retires the words without a pair. A word with a run of
+space symbols before it is a word of its own in the same array, apart from the run.
 
 Merging all occurrences at once equals one at a time unless the new symbol can take part in a better pair than the
 one just merged; for such pieces, found when the model is loaded, only the leftmost occurrence merges in a round.
@@ -17,13 +18,13 @@ neighbours; long texts are encoded whole; input columns other than doc_id and te
 from __future__ import annotations
 
 import hashlib
-import re
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-from tideline.llm.chunks import Pool, any_in_row, bounded_batches, split_at_spaces, texts_of
+from tideline.llm.chunks import Pool, bounded_batches, split_at_spaces, texts_of
 
 SPACE = "▁"
 NONE = np.int32(2**31 - 1)
@@ -52,6 +53,7 @@ class PieceModel:
         if any(SPACE in p.lstrip(SPACE) or p.startswith(SPACE * 2) and p.strip(SPACE) for p in normal):
             raise ValueError("a piece has a space symbol behind another character")
         self.runs = {len(p): i for p, i in normal.items() if not p.strip(SPACE)}
+        self.known_runs: dict[int, list[int]] = {}
         self.space = normal[SPACE]
         self.as_bytes = [
             bytes([int(p[3:5], 16)]) if kind == 6 else b"" if kind == 3 else b" \xe2\x81\x87 " if kind == 2 else p.replace(SPACE, " ").encode()
@@ -174,38 +176,49 @@ class PieceModel:
 
     def encode_run(self, n: int) -> list[int]:
         """Ids of a run of n space symbols: equal scores, so always the leftmost pair that has a piece."""
-        parts, i = [1] * n, 0
-        out: list[int] = []
-        while i < len(parts):
-            size = parts[i]
-            while True:
-                if out and out[-1] + size in self.runs:
-                    size += out.pop()
-                elif i + 1 < len(parts) and size + 1 in self.runs:
-                    size, i = size + 1, i + 1
-                else:
-                    break
-            out.append(size)
-            i += 1
-        return [self.runs[s] for s in out]
+        if n not in self.known_runs:
+            parts, i = [1] * n, 0
+            out: list[int] = []
+            while i < len(parts):
+                size = parts[i]
+                while True:
+                    if out and out[-1] + size in self.runs:
+                        size += out.pop()
+                    elif i + 1 < len(parts) and size + 1 in self.runs:
+                        size, i = size + 1, i + 1
+                    else:
+                        break
+                out.append(size)
+                i += 1
+            if len(self.known_runs) > 1000:
+                self.known_runs.clear()
+            self.known_runs[n] = [self.runs[s] for s in out]
+        return self.known_runs[n]
+
+    def encode_parts(self, parts: list[str]) -> list[list[int]]:
+        """Ids of parts of texts, as parts_of gives them: m spaces and a word stand for m + 1 space symbols and the
+        word, and m spaces alone for m symbols."""
+        words = [p.lstrip(" ") for p in parts]
+        ids = iter(self.encode_words([SPACE + w for w in words if w]))
+        out = []
+        for part, word in zip(parts, words, strict=True):
+            run = len(part) - len(word)
+            if not word:
+                out.append(self.encode_run(run))
+                continue
+            found = next(ids)
+            if run and found[0] == self.space:
+                found = self.encode_run(run + 1) + found[1:]
+            elif run:
+                found = self.encode_run(run) + found
+            out.append(found)
+        return out
 
     def encode(self, text: str) -> list[int]:
         """Ids of one text, without an end id."""
-        if not text:
-            return []
-        marked = SPACE + text.replace(" ", SPACE)
-        out: list[int] = []
-        for run, rest in re.findall(f"({SPACE}*)([^{SPACE}]*)", marked):
-            if rest:
-                ids = self.encode_words([SPACE + rest if run else rest])[0]
-                n = len(run) - bool(run)
-                if run and ids[0] == self.space:
-                    out += self.encode_run(n + 1) + ids[1:]
-                else:
-                    out += self.encode_run(n) + ids
-            elif run:
-                out += self.encode_run(len(run))
-        return out
+        codes, parts, _ = parts_of(pa.array([text], pa.large_string()))
+        ids = self.encode_parts(parts)
+        return [x for c in codes.tolist() for x in ids[c]]
 
     def decode(self, ids) -> str:
         """The text of ids: byte pieces are put together, control pieces vanish, the dummy prefix goes."""
@@ -213,49 +226,73 @@ class PieceModel:
         return joined[joined.startswith(b" ") :].decode("utf-8", "replace")
 
 
+def parts_of(texts: pa.Array) -> tuple[np.ndarray, list[str], np.ndarray]:
+    """The texts as codes of parts, the parts, and the offsets by text. A part is a word that follows one space symbol
+    (the model's own before the first), with the spaces before that, or the spaces that a text ends with."""
+    codes, parts, offsets = split_at_spaces(pc.replace_substring(texts, SPACE, " "))
+    if "" not in parts:
+        return codes, parts, offsets
+    empty = codes == parts.index("")
+    row = np.repeat(np.arange(len(texts)), np.diff(offsets))
+    last = np.zeros(len(codes), bool)
+    last[offsets[1:][np.diff(offsets) > 0] - 1] = True
+    # an empty text is one empty part, of which nothing stays
+    kept = np.flatnonzero(~empty | last & (np.diff(offsets) > 1)[row])
+    own = row[kept]
+    before = np.where(np.concatenate(([True], own[1:] != own[:-1])), offsets[own] - 1, np.concatenate(([-1], kept[:-1])))[: len(kept)]
+    runs = kept - before - 1 + empty[kept]
+    codes = codes[kept]
+    several = np.flatnonzero(runs)
+    spaced = [" " * n + parts[c] for n, c in zip(runs[several].tolist(), codes[several].tolist(), strict=True)]
+    number = {p: len(parts) + i for i, p in enumerate(dict.fromkeys(spaced))}
+    codes[several] = [number[p] for p in spaced]
+    used, codes = np.unique(codes, return_inverse=True)
+    parts = [*parts, *number]
+    return codes, [parts[i] for i in used.tolist()], np.searchsorted(own, np.arange(len(texts) + 1))
+
+
 _models: dict[str, tuple[PieceModel, Pool]] = {}
 
 
 def model_at(path: str) -> tuple[PieceModel, Pool]:
-    """The model and this worker's cache of words; both are made once in a worker."""
+    """The model and this worker's cache of parts (number of ids, ids as text and as bytes, decoded bytes), both made
+    once in a worker."""
     if path not in _models:
         model = PieceModel(path)
 
         def make(parts: list[str]):
-            ids = model.encode_words([SPACE + p for p in parts])
+            ids = model.encode_parts(parts)
             return (
                 [len(x) for x in ids],
                 [(" ".join(map(str, x)) + " ").encode() for x in ids],
+                [np.array(x, "<i4").tobytes() for x in ids],
                 [b"".join([model.as_bytes[i] for i in x]) for x in ids],
             )
 
-        _models[path] = model, Pool(make, 3)
+        _models[path] = model, Pool(make, 4)
     return _models[path]
 
 
+def _numbers(texts: pa.Array, pool: Pool) -> list[list[int]]:
+    """The pool's numbers of the parts of each text."""
+    pool.renew()
+    codes, parts, offsets = parts_of(texts)
+    numbers, bounds = pool.numbers(parts)[codes].tolist(), offsets.tolist()
+    return [numbers[a:b] for a, b in zip(bounds, bounds[1:], strict=False)]
+
+
 def _digests(batches, path: str):
     model, pool = model_at(path)
+    end = b"%d" % model.eos
     for batch in batches:
-        texts = texts_of(batch.column("text"))
-        pool.renew()
-        codes, parts, offsets = split_at_spaces(texts)
-        plain = np.array([bool(p) and SPACE not in p for p in parts], bool)
-        odd = any_in_row(~plain[codes], offsets)
-        if not plain.all():
-            parts = [p if ok else "x" for p, ok in zip(parts, plain, strict=True)]
-        numbers = pool.numbers(parts)[codes].tolist()
-        lengths, ids_text, decoded = (c.__getitem__ for c in pool.columns)
+        mine = _numbers(texts_of(batch.column("text")), pool)
+        lengths, ids_text, _, decoded = (c.__getitem__ for c in pool.columns)
         n, ids_sha, text_sha = [], [], []
-        for i, slow in enumerate(odd.tolist()):
-            if slow:
-                ids = model.encode(texts[i].as_py())
-                count, a, b = len(ids), "".join(f"{x} " for x in ids).encode(), b"".join([model.as_bytes[x] for x in ids])
-            else:
-                mine = numbers[offsets[i] : offsets[i + 1]]
-                count, a, b = sum(map(lengths, mine)), b"".join(map(ids_text, mine)), b"".join(map(decoded, mine))
-            n.append(count + 1)
-            ids_sha.append(hashlib.sha256(a + b"%d" % model.eos).hexdigest())
-            text_sha.append(hashlib.sha256(b[b.startswith(b" ") :]).hexdigest())
+        for own in mine:
+            text = b"".join(map(decoded, own))
+            n.append(sum(map(lengths, own)) + 1)
+            ids_sha.append(hashlib.sha256(b"".join(map(ids_text, own)) + end).hexdigest())
+            text_sha.append(hashlib.sha256(text[text.startswith(b" ") :]).hexdigest())
         yield pa.RecordBatch.from_arrays(
             [batch.column("doc_id").cast(pa.int64()), pa.array(n, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string())],
             ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
@@ -275,9 +312,11 @@ def encode_texts(docs: DataFrame, model_path: str, end: bool = True) -> DataFram
     bounded_batches(docs.sparkSession)
 
     def run(batches):
-        model, _ = model_at(model_path)
+        model, pool = model_at(model_path)
         for batch in batches:
-            ids = [model.encode(t) + [model.eos] * end for t in texts_of(batch.column("text")).to_pylist()]
+            mine = _numbers(texts_of(batch.column("text")), pool)
+            found = pool.columns[2].__getitem__
+            ids = [np.frombuffer(b"".join(map(found, own)) + np.array([model.eos] * end, "<i4").tobytes(), "<i4") for own in mine]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(ids, pa.list_(pa.int32()))], ["doc_id", "ids"])
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, ids array<int>")
