@@ -20,11 +20,18 @@ def ticks(samples: DataFrame, by: list[str], step: float) -> DataFrame:
     return span.withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), n))).select(*by, "i", (F.col("_from") + F.col("i") * step).alias("t"))
 
 
-def resolve(grid: DataFrame, samples: DataFrame, by: list[str], breaks: DataFrame | None = None, max_gap: float | None = MAX_GAP_SEC) -> DataFrame:
-    """Grid rows (t, i) with x and y of samples (t, x, y): linear between neighbours at most max_gap apart, held at
-    the ends for max_gap; across a break (tb) between neighbours the earlier position holds until shortly before the
-    first break and then is unknown. Without max_gap there are no positions outside the samples."""
-    sides = [("g", grid.select(*by, "t", F.col("i").cast("long").alias("i"))), ("s", samples.select(*by, "t", "x", "y"))]
+def match_ticks(samples: DataFrame, match: list[str], unit: str, step: float) -> DataFrame:
+    """One grid for all units of a match, from its first to its last sample."""
+    units = samples.select(*match, unit).distinct()
+    return units.join(ticks(samples, match, step), match)
+
+
+def resolve(grid: DataFrame, samples: DataFrame, by: list[str], breaks: DataFrame | None = None, max_gap: float | None = MAX_GAP_SEC, carry: tuple[str, ...] = ("i",)) -> DataFrame:
+    """Grid rows (t and the columns to carry) with x and y of samples (t, x, y). Up to the first sample and from the
+    last one on, that sample holds for max_gap. Between neighbours at most max_gap apart positions are linear; across a
+    break (tb) between neighbours the earlier position holds until shortly before the first break and then is unknown.
+    Without max_gap all neighbours do, and there are no positions outside the samples."""
+    sides = [("g", grid.select(*by, "t", *carry)), ("s", samples.select(*by, "t", "x", "y"))]
     if breaks is not None:
         sides.append(("b", breaks.select(*by, F.col("tb").alias("t"))))
     union = None
@@ -36,11 +43,12 @@ def resolve(grid: DataFrame, samples: DataFrame, by: list[str], breaks: DataFram
     w = Window.partitionBy(*by).orderBy(*order)
     a = F.last(sample, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
     b = F.first(sample, ignorenulls=True).over(w.rowsBetween(1, Window.unboundedFollowing))
-    with_ends = union.withColumn("_a", a).withColumn("_b", b)
+    first = F.first(sample, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    with_ends = union.withColumns({"_a": a, "_b": b, "_f": first["t"]})
     if breaks is not None:
-        # the first break after the sample before, and before the next sample
-        later = F.min(F.when(F.col("_side") == "b", F.col("t"))).over(Window.partitionBy(*by, "_a.t"))
-        with_ends = with_ends.withColumn("_tb", F.when((later > F.col("_a.t")) & (later < F.col("_b.t")), later))
+        # the first break after the sample before; breaks of that sample's time aren't between neighbours
+        later = F.min(F.when((F.col("_side") == "b") & (F.col("t") > F.col("_a.t")), F.col("t"))).over(Window.partitionBy(*by, "_a.t"))
+        with_ends = with_ends.withColumn("_tb", later)
     else:
         with_ends = with_ends.withColumn("_tb", F.lit(None).cast("double"))
     t, ta, tb = F.col("t"), F.col("_a.t"), F.col("_b.t")
@@ -49,18 +57,18 @@ def resolve(grid: DataFrame, samples: DataFrame, by: list[str], breaks: DataFram
 
     def value(c: str):
         pa, pb = F.col(f"_a.{c}"), F.col(f"_b.{c}")
-        ends = F.lit(None).cast("double") if max_gap is None else F.when(ta.isNull() & (tb - t <= gap), pb).when(tb.isNull() & (t - ta <= gap), pa)
-        held = F.when((t <= F.col("_tb") - HELD_BEFORE_BREAK_SEC) & (t - ta <= gap), pa)
-        inner = F.when(t == ta, pa).when(F.col("_tb").isNotNull(), held).when(tb - ta <= gap, pa + (pb - pa) * share)
         if max_gap is None:
-            return F.when(t == ta, pa).when(ta.isNull() | tb.isNull(), ends).otherwise(inner)
-        return F.when(ta.isNull() | tb.isNull(), ends).otherwise(inner)
+            return F.when(t == ta, pa).when(ta.isNull() | tb.isNull(), None).otherwise(pa + (pb - pa) * share)
+        ends = F.when(ta.isNull(), F.when(tb - t <= gap, pb)).when((t == F.col("_f")) | tb.isNull(), F.when(t - ta <= gap, pa))
+        held = F.when((t <= F.col("_tb") - HELD_BEFORE_BREAK_SEC) & (t - ta <= gap), pa)
+        inner = F.when(F.col("_tb").isNotNull(), held).when(tb - ta <= gap, pa + (pb - pa) * share)
+        return F.when(ta.isNull() | (t == F.col("_f")) | tb.isNull(), ends).otherwise(inner)
 
-    return with_ends.where("_side = 'g'").select(*by, "i", "t", value("x").alias("x"), value("y").alias("y"))
+    return with_ends.where("_side = 'g'").select(*by, *carry, "t", value("x").alias("x"), value("y").alias("y"))
 
 
 def pair_distances(resolved: DataFrame, match: list[str], unit: str) -> DataFrame:
-    """Distances of all unordered pairs of a match's units at each tick; null where either is unknown."""
+    """Distances of all unordered pairs of a match's units at each tick of its one grid; null where either is unknown."""
     a = resolved.select(*match, "i", F.col(unit).alias("a_id"), F.col("x").alias("_ax"), F.col("y").alias("_ay"))
     b = resolved.select(*match, "i", F.col(unit).alias("b_id"), F.col("x").alias("_bx"), F.col("y").alias("_by"))
     both = a.join(b, [*match, "i"]).where("a_id < b_id")
@@ -83,17 +91,61 @@ def distance_bands(distances: DataFrame, match: list[str], step: float, edges: t
     return distances.groupBy(*match, "a_id", "b_id").agg(*shares, (F.floor(known * step * 10 + 0.5) / 10.0).alias("sampled_sec"))
 
 
-def nearest_other(distances: DataFrame, match: list[str]) -> DataFrame:
-    """Distance to the nearest known other unit by unit and tick."""
-    both = distances.select(*match, "i", F.col("a_id").alias("unit_id"), "d").unionByName(distances.select(*match, "i", F.col("b_id").alias("unit_id"), "d"))
-    return both.groupBy(*match, "unit_id", "i").agg(F.min("d").alias("nearest"))
+def others_at(samples: DataFrame, match: list[str], step: float, max_gap: float | None = MAX_GAP_SEC, breaks: DataFrame | None = None) -> DataFrame:
+    """For each unit (columns unit, team, healer of the samples) and each tick of its own grid where it is known, the
+    distance d to every other unit of the match (other, same_team, other_healer); null where that one is unknown."""
+    of_unit = None if breaks is None else breaks.select(*match, "unit", "tb")
+    own = resolve(ticks(samples, [*match, "unit", "team"], step), samples, [*match, "unit"], of_unit, max_gap, ("i", "team")).where("x IS NOT NULL")
+    units = samples.select(*match, F.col("unit").alias("other"), F.col("team").alias("_team"), F.col("healer").alias("other_healer")).distinct()
+    probes = own.withColumnsRenamed({"x": "_x", "y": "_y"}).join(units, match).where("unit != other").withColumn("same_team", F.col("team") == F.col("_team"))
+    named = samples.withColumnRenamed("unit", "other")
+    of_other = None if breaks is None else of_unit.withColumnRenamed("unit", "other")
+    at = resolve(probes, named, [*match, "other"], of_other, max_gap, ("unit", "i", "_x", "_y", "same_team", "other_healer"))
+    return at.select(*match, "unit", "i", "other", "same_team", "other_healer", F.hypot(F.col("x") - F.col("_x"), F.col("y") - F.col("_y")).alias("d"))
+
+
+def spacing(distances: DataFrame, match: list[str], step: float, melee: float = 8.0, alone: float = 40.0) -> DataFrame:
+    """Seconds within melee range of the nearest known enemy and beyond reach of the nearest known ally, and the mean
+    distance to the own team's healer (its first one by id that isn't the unit itself), from distances by others_at."""
+    enemy, ally = F.when(~F.col("same_team"), F.col("d")), F.when(F.col("same_team"), F.col("d"))
+    healer = F.min(F.when(F.col("same_team") & F.col("other_healer"), F.col("other"))).over(Window.partitionBy(*match, "unit"))
+    to_healer = F.when(F.col("other") == F.col("_healer"), F.col("d"))
+    ticks_ = distances.withColumn("_healer", healer).groupBy(*match, "unit", "i").agg(F.min(enemy).alias("_enemy"), F.min(ally).alias("_ally"), F.min(to_healer).alias("_healer"))
+    tenth = lambda c: F.floor(c * 10 + 0.5) / 10.0
+    return ticks_.groupBy(*match, "unit").agg(
+        tenth(F.count_if(F.col("_enemy") <= melee) * step).alias("melee_sec"),
+        tenth(F.count_if(F.col("_ally") > alone) * step).alias("isolated_sec"),
+        tenth(F.avg("_healer")).alias("healer_distance"),
+    )
 
 
-def spacing(nearest: DataFrame, match: list[str], step: float, melee: float = 8.0, alone: float = 40.0) -> DataFrame:
-    """Seconds within melee range of, and beyond reach of, the nearest known unit."""
-    return nearest.groupBy(*match, "unit_id").agg(
-        (F.count_if(F.col("nearest") <= melee) * step).alias("melee_sec"), (F.count_if(F.col("nearest") > alone) * step).alias("isolated_sec")
-    )
+def range_series(pairs: DataFrame, samples: DataFrame, match: list[str], step: float, max_gap: float | None = MAX_GAP_SEC) -> DataFrame:
+    """Distances of pairs (unit, other) of a match on a grid from 0 to the last sample of either; null where unknown."""
+    last = samples.groupBy(*match, "unit").agg(F.max("t").alias("_last"))
+    ends = pairs.join(last, [*match, "unit"]).join(last.withColumnsRenamed({"unit": "other", "_last": "_other"}), [*match, "other"])
+    grid = ends.withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), F.floor(F.greatest("_last", "_other") / step)))).select(*match, "unit", "other", "i", (F.col("i") * step).alias("t"))
+    one = resolve(grid, samples, [*match, "unit"], max_gap=max_gap, carry=("other", "i")).withColumnsRenamed({"x": "_x", "y": "_y"})
+    both = resolve(one, samples.withColumnRenamed("unit", "other"), [*match, "other"], max_gap=max_gap, carry=("unit", "i", "_x", "_y"))
+    return both.select(*match, "unit", "other", "i", "t", F.hypot(F.col("x") - F.col("_x"), F.col("y") - F.col("_y")).alias("d"))
+
+
+def placements(casts: DataFrame, samples: DataFrame, by: list[str], breaks: DataFrame | None = None, max_gap: float | None = MAX_GAP_SEC) -> DataFrame:
+    """Where units were when they placed an anchor (casts: cast_id, t); casts at unknown positions go."""
+    found = resolve(casts, samples, by, breaks, max_gap, ("cast_id",)).where("x IS NOT NULL")
+    return found.select(*by, "cast_id", (F.floor(F.col("t") * 10 + 0.5) / 10.0).alias("t"), "x", "y")
+
+
+def anchor_series(placed: DataFrame, samples: DataFrame, by: list[str], step: float, max_gap: float | None = MAX_GAP_SEC) -> DataFrame:
+    """Distance of each unit that placed an anchor to its latest one, on a grid from 0 to its last sample; null before
+    the first one and where the unit is unknown."""
+    last = samples.groupBy(*by).agg(F.max("t").alias("_last")).join(placed.select(*by).distinct(), by)
+    grid = last.withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), F.floor(F.col("_last") / step)))).select(*by, "i", (F.col("i") * step).alias("t"))
+    at = resolve(grid, samples, by, max_gap=max_gap)
+    both = at.withColumn("_anchor", F.lit(False)).unionByName(placed.select(*by, "t", "x", "y").withColumn("_anchor", F.lit(True)), allowMissingColumns=True)
+    w = Window.partitionBy(*by).orderBy("t", F.col("_anchor").desc()).rowsBetween(Window.unboundedPreceding, 0)
+    latest = F.last(F.when(F.col("_anchor"), F.struct("x", "y")), ignorenulls=True).over(w)
+    out = both.withColumn("_p", latest).where("NOT _anchor")
+    return out.select(*by, "i", "t", F.hypot(F.col("x") - F.col("_p.x"), F.col("y") - F.col("_p.y")).alias("d"))
 
 
 def into_burst(hp: DataFrame, by: list[str], at: DataFrame, drop: float = 0.15) -> DataFrame:

@@ -49,22 +49,25 @@ def rating_delta(matches: DataFrame, by: list[str], value: str = "rating") -> Da
 
 
 def last_n_games(history: DataFrame, targets: DataFrame, n: int, by: list[str]) -> DataFrame:
-    """target_id and match_id of the n latest matches that start before each target (columns target_id, target_ms)."""
-    w = Window.partitionBy("target_id").orderBy(F.col("start_ms").desc(), F.col("match_id").desc())
-    before = history.join(targets, by).where("start_ms < target_ms")
-    return before.withColumn("place", F.row_number().over(w)).where(F.col("place") <= n).select("target_id", "match_id", "place")
+    """target_id, match_id and place of the n latest matches that start before each target (target_id, target_ms).
+    Matches are numbered within ``by``, a target learns how many lie before it by one sort, and meets n of them by
+    their numbers, so a long history isn't joined with itself."""
+    w = Window.partitionBy(*by).orderBy("start_ms", "match_id")
+    numbered = history.select(*by, "match_id", "start_ms", F.row_number().over(w).alias("_n"))
+    marks = targets.select(*by, "target_id", F.col("target_ms").alias("start_ms")).unionByName(numbered.select(*by, "start_ms", "_n"), allowMissingColumns=True)
+    before = Window.partitionBy(*by).orderBy("start_ms", F.col("_n").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0)
+    known = marks.withColumn("_before", F.max("_n").over(before)).where("target_id IS NOT NULL AND _before IS NOT NULL")
+    wanted = known.withColumn("place", F.explode(F.sequence(F.lit(1), F.least(F.lit(n), "_before")))).select(*by, "target_id", "place", (F.col("_before") - F.col("place") + 1).alias("_n"))
+    return wanted.join(numbered, [*by, "_n"]).select("target_id", "match_id", "place")
 
 
 def last_n_sessions(history: DataFrame, targets: DataFrame, n: int, gap_ms: int, by: list[str]) -> DataFrame:
     """target_id and match_id of the matches in the n sessions before the target's own, sessions being those of the
     full history."""
     marked = sessionize(history, gap_ms, by)
-    own = targets.join(marked.select(F.col("match_id").alias("target_id"), F.col("session").alias("target_session")), "target_id")
-    return (
-        marked.join(own.select(*by, "target_id", "target_session"), by)
-        .where((F.col("session") >= F.col("target_session") - n) & (F.col("session") <= F.col("target_session") - 1))
-        .select("target_id", "match_id")
-    )
+    own = targets.join(marked.select(F.col("match_id").alias("target_id"), F.col("session").alias("_own")), "target_id")
+    wanted = own.select(*by, "target_id", F.explode(F.sequence(F.col("_own") - n, F.col("_own") - 1)).alias("session"))
+    return wanted.join(marked.select(*by, "session", "match_id"), [*by, "session"]).select("target_id", "match_id")
 
 
 def game_in_session(matches: DataFrame, gap_ms: int, by: list[str]) -> DataFrame:

@@ -203,54 +203,111 @@ def fsm03_offensive_activity(spark, sf):
 
 
 H = 3600.0
-G = E + f""", s AS (SELECT actor, (ts_ms - {T0}) / 1000.0::DOUBLE AS t, x, y FROM e WHERE kind = 'view' AND actor < 30),
-sp AS (SELECT actor, min(t) AS f, max(t) AS l FROM s GROUP BY actor), gr AS (SELECT actor, i, f + i * {H * 6}::DOUBLE AS t FROM (SELECT *, unnest(range(0, CAST(floor((l - f) / {H * 6}::DOUBLE) AS BIGINT) + 1)) AS i FROM sp)),
-ab AS (SELECT g.actor, g.i, g.t, a.t AS ta, a.x AS ax, a.y AS ay, b.t AS tb, b.x AS bx, b.y AS by_ FROM gr g ASOF LEFT JOIN s a ON a.actor = g.actor AND g.t >= a.t ASOF LEFT JOIN s b ON b.actor = g.actor AND g.t < b.t),
-p AS (SELECT actor, i, t, CASE WHEN t = ta THEN ax WHEN tb IS NULL THEN CASE WHEN t - ta <= {H * 48} THEN ax END WHEN tb - ta <= {H * 48} THEN ax + (bx - ax) * ((t - ta) / (tb - ta)) END AS x,
-CASE WHEN t = ta THEN ay WHEN tb IS NULL THEN CASE WHEN t - ta <= {H * 48} THEN ay END WHEN tb - ta <= {H * 48} THEN ay + (by_ - ay) * ((t - ta) / (tb - ta)) END AS y FROM ab)"""
+S6, GAP48 = H * 6, H * 48
+SAMPLES = E + f""", s AS (SELECT actor, actor // 30 AS m, team, (ts_ms - {T0}) / 1000.0::DOUBLE AS t, x, y FROM e WHERE kind = 'view'), f AS (SELECT actor, min(t) AS f FROM s GROUP BY actor)"""
 
 
-def _samples(spark, sf):
-    return events(spark, sf).where("kind = 'view'").select("actor", ((F.col("ts_ms") - T0) / 1000.0).alias("t"), "x", "y")
+def grid_sql(name: str, by: str) -> str:
+    """SQL of a grid (i, t) for each actor over the span of a column's group."""
+    return f"""{name} AS (SELECT actor, m, team, i, f + i * {S6}::DOUBLE AS t FROM (SELECT DISTINCT actor, m, team FROM s) u
+JOIN (SELECT *, unnest(range(0, CAST(floor((l - f) / {S6}::DOUBLE) AS BIGINT) + 1)) AS i FROM (SELECT {by} AS g, min(t) AS f, max(t) AS l FROM s GROUP BY {by})) ON g = u.{by})"""
 
 
-def _resolved(spark, sf):
-    s = _samples(spark, sf)
-    return grid.resolve(grid.ticks(s, ["actor"], H * 6), s, ["actor"], max_gap=H * 48)
+def resolve_sql(name: str, grid: str, actor: str = "actor", breaks: bool = False) -> str:
+    """SQL of a grid's rows with positions px, py of an actor at t."""
+    held = f"WHEN tb IS NOT NULL AND k.bt IS NOT NULL THEN CASE WHEN t <= k.bt - 0.5 AND t - ta <= {GAP48} THEN a_{{0}} END" if breaks else ""
+    value = lambda c: f"CASE WHEN ta IS NULL THEN CASE WHEN tb - t <= {GAP48} THEN b_{c} END WHEN t = ft OR tb IS NULL THEN CASE WHEN t - ta <= {GAP48} THEN a_{c} END {held.format(c)} WHEN tb - ta <= {GAP48} THEN a_{c} + (b_{c} - a_{c}) * ((t - ta) / (tb - ta)) END"
+    source = f"(SELECT g.*, f.f AS ft, a.t AS ta, a.x AS a_x, a.y AS a_y, b.t AS tb, b.x AS b_x, b.y AS b_y FROM {grid} g JOIN f ON f.actor = g.{actor} ASOF LEFT JOIN s a ON a.actor = g.{actor} AND g.t >= a.t ASOF LEFT JOIN s b ON b.actor = g.{actor} AND g.t < b.t) q"
+    if breaks:
+        source += " LEFT JOIN (SELECT s.actor AS ka, s.t AS kt, min(br.tb) AS bt FROM br ASOF JOIN s ON s.actor = br.actor AND br.tb > s.t LEFT JOIN s z ON z.actor = br.actor AND z.t = br.tb WHERE z.t IS NULL GROUP BY ALL) k ON ka = actor AND kt = ta"
+    return f"{name} AS (SELECT q.*, {value('x')} AS px, {value('y')} AS py FROM {source})"
 
 
-def _distances(spark, sf):
-    # thirty actors make up a match: the tables have no other bound of who meets whom
-    return grid.pair_distances(_resolved(spark, sf).withColumn("m", F.floor(F.col("actor") / 30)), ["m"], "actor")
+def _samples(spark, sf):
+    """Samples of units in seconds; thirty actors make up a match: the tables have no other bound of who meets whom."""
+    e = events(spark, sf).where("kind = 'view'")
+    return e.select("actor", F.floor(F.col("actor") / 30).alias("m"), "team", ((F.col("ts_ms") - T0) / 1000.0).alias("t"), "x", "y")
+
 
+def _units(spark, sf):
+    return _samples(spark, sf).withColumnRenamed("actor", "unit").withColumn("healer", F.col("unit") % 7 == 0)
 
-@query(f"WITH {G} SELECT actor, i, floor(x * 1000 + 0.5) / 1000.0::DOUBLE AS x, floor(y * 1000 + 0.5) / 1000.0::DOUBLE AS y FROM p")
+
+@query(f"WITH {SAMPLES}, {grid_sql('g', 'actor')}, {resolve_sql('p', 'g')} SELECT actor, i, floor(px * 1000 + 0.5) / 1000.0::DOUBLE AS x, floor(py * 1000 + 0.5) / 1000.0::DOUBLE AS y FROM p")
 def ts01_tick_grid_lerp(spark, sf):
-    return _resolved(spark, sf).select("actor", "i", round_half_up(F.col("x"), 3).alias("x"), round_half_up(F.col("y"), 3).alias("y"))
+    s = _samples(spark, sf)
+    at = grid.resolve(grid.ticks(s, ["actor"], S6), s, ["actor"], max_gap=GAP48)
+    return at.select("actor", "i", round_half_up(F.col("x"), 3).alias("x"), round_half_up(F.col("y"), 3).alias("y"))
+
+
+@query(f"""WITH {SAMPLES}, br AS (SELECT actor, (ts_ms - {T0}) / 1000.0::DOUBLE AS tb FROM e WHERE kind = 'error'), {grid_sql('g', 'actor')}, {resolve_sql('p', 'g', breaks=True)}
+SELECT actor, i, floor(px * 1000 + 0.5) / 1000.0::DOUBLE AS x, floor(py * 1000 + 0.5) / 1000.0::DOUBLE AS y FROM p""")
+def ts01_with_breaks(spark, sf):
+    s = _samples(spark, sf)
+    breaks = events(spark, sf).where("kind = 'error'").select("actor", ((F.col("ts_ms") - T0) / 1000.0).alias("tb"))
+    at = grid.resolve(grid.ticks(s, ["actor"], S6), s, ["actor"], breaks, max_gap=GAP48)
+    return at.select("actor", "i", round_half_up(F.col("x"), 3).alias("x"), round_half_up(F.col("y"), 3).alias("y"))
 
 
-D = G + """, d AS (SELECT a.i, a.actor AS a_id, b.actor AS b_id, sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2) AS d FROM p a JOIN p b ON a.i = b.i AND a.actor < b.actor)"""
+BANDS = ", ".join(f"floor(count(*) FILTER ({c}) * 1000.0::DOUBLE / greatest(count(d), 1) + 0.5) / 1000.0::DOUBLE AS band{k}" for k, c in enumerate(("d < 5", "d >= 5 AND d < 25", "d >= 25 AND d < 40", "d >= 40")))
 
 
-@query(f"""WITH {D} SELECT a_id, b_id, {", ".join(f"floor(count(*) FILTER ({c}) * 1000.0::DOUBLE / greatest(count(d), 1) + 0.5) / 1000.0::DOUBLE AS band{k}" for k, c in enumerate(("d < 5", "d >= 5 AND d < 25", "d >= 25 AND d < 40", "d >= 40")))},
-floor(count(d) * {H * 6}::DOUBLE * 10 + 0.5) / 10.0::DOUBLE AS sampled_sec FROM d GROUP BY ALL""")
+@query(f"""WITH {SAMPLES}, {grid_sql('g', 'm')}, {resolve_sql('p', 'g')},
+d AS (SELECT a.m, a.actor AS a_id, b.actor AS b_id, sqrt((a.px - b.px) ** 2 + (a.py - b.py) ** 2) AS d FROM p a JOIN p b ON a.m = b.m AND a.i = b.i AND a.actor < b.actor)
+SELECT m, a_id, b_id, {BANDS}, floor(count(d) * {S6}::DOUBLE * 10 + 0.5) / 10.0::DOUBLE AS sampled_sec FROM d GROUP BY ALL""")
 def agg15_distance_bands(spark, sf):
-    d = _distances(spark, sf)
-    return grid.distance_bands(d, ["m"], H * 6).drop("m")
+    s = _samples(spark, sf)
+    at = grid.resolve(grid.match_ticks(s, ["m"], "actor", S6), s, ["m", "actor"], max_gap=GAP48)
+    return grid.distance_bands(grid.pair_distances(at, ["m"], "actor"), ["m"], S6)
 
 
-@query(f"""WITH {D}, n AS (SELECT unit_id, i, min(d) AS nearest FROM (SELECT a_id AS unit_id, i, d FROM d UNION ALL SELECT b_id, i, d FROM d) GROUP BY ALL)
-SELECT unit_id, count(*) FILTER (nearest <= 8) * {H * 6}::DOUBLE AS melee_sec, count(*) FILTER (nearest > 40) * {H * 6}::DOUBLE AS isolated_sec FROM n GROUP BY unit_id""")
+@query(f"""WITH {SAMPLES}, {grid_sql('g', 'actor')}, {resolve_sql('own', 'g')}, units AS (SELECT DISTINCT actor AS other, m, team AS ot FROM s),
+gg AS (SELECT o.actor AS unit, o.m, o.i, o.t, o.px AS sx, o.py AS sy, o.team = ot AS same, other FROM own o JOIN units u ON u.m = o.m AND other <> o.actor WHERE o.px IS NOT NULL), {resolve_sql('p', 'gg', 'other')},
+d AS (SELECT m, unit, i, other, same, sqrt((px - sx) ** 2 + (py - sy) ** 2) AS d FROM p), h AS (SELECT m, unit, min(other) AS healer FROM d WHERE same AND other % 7 = 0 GROUP BY ALL),
+k AS (SELECT m, unit, i, min(d) FILTER (NOT same) AS e, min(d) FILTER (same) AS a, min(d) FILTER (other = healer) AS h FROM d LEFT JOIN h USING (m, unit) GROUP BY ALL)
+SELECT m, unit, floor(count(*) FILTER (e <= 8) * {S6}::DOUBLE * 10 + 0.5) / 10.0::DOUBLE AS melee_sec, floor(count(*) FILTER (a > 40) * {S6}::DOUBLE * 10 + 0.5) / 10.0::DOUBLE AS isolated_sec, floor(avg(h) * 10 + 0.5) / 10.0::DOUBLE AS healer_distance FROM k GROUP BY ALL""")
 def ts05_spacing(spark, sf):
-    d = _distances(spark, sf)
-    return grid.spacing(grid.nearest_other(d, ["m"]), ["m"], H * 6).drop("m")
+    return grid.spacing(grid.others_at(_units(spark, sf), ["m"], S6, GAP48), ["m"], S6)
 
 
-@query()
-def ts01_with_breaks(spark, sf):
-    s = _samples(spark, sf)
-    breaks = events(spark, sf).where("kind = 'error'").select("actor", ((F.col("ts_ms") - T0) / 1000.0).alias("tb"))
-    return grid.resolve(grid.ticks(s, ["actor"], H * 6), s, ["actor"], breaks, max_gap=H * 48)
+THREATS = "w AS (SELECT actor // 30 AS m, actor // 30 * 30 + target AS unit, actor AS other, CAST(sum(amount) AS BIGINT) AS a FROM e WHERE team <> target % 2 AND amount > 0 GROUP BY ALL), th AS (SELECT m, unit, arg_max(other, (a, other)) AS other FROM w GROUP BY ALL)"
+
+
+def _threats(spark, sf):
+    """The enemy of a match that deals each of its units the most damage."""
+    m = F.floor(F.col("actor") / 30)
+    dealt = events(spark, sf).where("team != target % 2 AND amount > 0").groupBy(m.alias("m"), (m * 30 + F.col("target")).alias("unit"), F.col("actor").alias("other")).agg(F.sum("amount").alias("a"))
+    return dealt.groupBy("m", "unit").agg(F.max_by("other", F.struct("a", "other")).alias("other"))
+
+
+@query(f"""WITH {SAMPLES}, {THREATS}, l AS (SELECT actor, max(t) AS l FROM s GROUP BY actor),
+g AS (SELECT th.m, unit, other, i, i * {S6}::DOUBLE AS t FROM (SELECT th.*, unnest(range(0, CAST(floor(greatest(a.l, b.l) / {S6}::DOUBLE) AS BIGINT) + 1)) AS i FROM th JOIN l a ON a.actor = unit JOIN l b ON b.actor = other) th), {resolve_sql('o', 'g', 'unit')},
+og AS (SELECT m, unit, other, i, t, px AS sx, py AS sy FROM o), {resolve_sql('p', 'og', 'other')}
+SELECT m, unit, other, i, floor(sqrt((px - sx) ** 2 + (py - sy) ** 2) * 10 + 0.5) / 10.0::DOUBLE AS d FROM p""")
+def ts06_threat_series(spark, sf):
+    found = grid.range_series(_threats(spark, sf), _units(spark, sf), ["m"], S6, GAP48)
+    return found.select("m", "unit", "other", "i", round_half_up(F.col("d"), 1).alias("d"))
+
+
+ANCHORS = f"c AS (SELECT event_id AS cast_id, actor, (ts_ms - {T0}) / 1000.0::DOUBLE AS t FROM e WHERE kind = 'signup' AND spell % 3 = 0 AND actor IN (SELECT actor FROM s))"
+
+
+def _anchors(spark, sf):
+    casts = events(spark, sf).where("kind = 'signup' AND spell % 3 = 0").select("actor", F.col("event_id").alias("cast_id"), ((F.col("ts_ms") - T0) / 1000.0).alias("t"))
+    return grid.placements(casts, _samples(spark, sf), ["actor"], max_gap=GAP48)
+
+
+@query(f"WITH {SAMPLES}, {ANCHORS}, {resolve_sql('p', 'c')} SELECT cast_id, floor(t * 10 + 0.5) / 10.0::DOUBLE AS t, floor(px * 1000 + 0.5) / 1000.0::DOUBLE AS x FROM p WHERE px IS NOT NULL")
+def ts08_anchor_placements(spark, sf):
+    return _anchors(spark, sf).select("cast_id", "t", round_half_up(F.col("x"), 3).alias("x"))
+
+
+@query(f"""WITH {SAMPLES}, {ANCHORS}, {resolve_sql('pl', 'c')}, a AS (SELECT actor, floor(t * 10 + 0.5) / 10.0::DOUBLE AS t, max_by((px, py), cast_id) AS p FROM pl WHERE px IS NOT NULL GROUP BY ALL),
+g AS (SELECT actor, i, i * {S6}::DOUBLE AS t FROM (SELECT actor, unnest(range(0, CAST(floor(max(t) / {S6}::DOUBLE) AS BIGINT) + 1)) AS i FROM s WHERE actor IN (SELECT actor FROM a) GROUP BY actor)), {resolve_sql('u', 'g')}
+SELECT u.actor, i, floor(sqrt((px - a.p[1]) ** 2 + (py - a.p[2]) ** 2) * 10 + 0.5) / 10.0::DOUBLE AS d FROM u ASOF LEFT JOIN a ON a.actor = u.actor AND u.t >= a.t""")
+def ts06_anchor_series(spark, sf):
+    found = grid.anchor_series(_anchors(spark, sf), _samples(spark, sf), ["actor"], S6, GAP48)
+    return found.select("actor", "i", round_half_up(F.col("d"), 1).alias("d"))
 
 
 @query(f"WITH {E} SELECT event_id, CAST(floor((ts_ms - {T0}) / 1000.0::DOUBLE) AS BIGINT) AS t_sec, CASE kind WHEN 'click' THEN 'cast' WHEN 'error' THEN 'death' WHEN 'signup' THEN 'cc' END AS kind FROM e WHERE kind IN ('click', 'error', 'signup')")

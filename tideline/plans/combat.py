@@ -133,22 +133,6 @@ def sta08_cv_logit(spark, sf):
     return out.select("match_id", "fold", "prob", "win")
 
 
-@query()
-def ts06_threat_series(spark, sf):
-    """Distance of every unit to the one that deals it the most damage, on the common grid."""
-    from tideline.plans.analytics import H, _resolved
-
-    threat = events(spark, sf).withColumn("victim", F.col("target")).groupBy("victim", "actor").agg(F.sum("amount").alias("a"))
-    most = threat.where("victim != actor").groupBy("victim").agg(F.max_by("actor", F.struct("a", "actor")).alias("threat"))
-    at = _resolved(spark, sf)
-    v = at.select(F.col("actor").alias("victim"), "i", F.col("x").alias("vx"), F.col("y").alias("vy"))
-    a = at.select(F.col("actor").alias("threat"), "i", F.col("x").alias("ax"), F.col("y").alias("ay"))
-    both = v.join(most, "victim").join(a, ["threat", "i"])
-    return both.select("victim", "threat", "i", (F.col("i") * H * 6).alias("t"), F.hypot(F.col("vx") - F.col("ax"), F.col("vy") - F.col("ay")).alias("d"))
-
-
-
-
 @query()
 def sta13_coach_pack(spark, sf):
     long, m = _long(spark, sf), _labelled(spark, sf)

@@ -47,11 +47,11 @@ def win02_rating_delta(spark, sf):
     return sessions.rating_delta(matches(spark, sf), ["character", "bracket"]).where("result = 'win'").select("match_id", "rating", "delta")
 
 
-T = "t AS (SELECT character, match_id AS target_id, start_ms AS target_ms FROM m WHERE match_id % 50 = 0)"
+T = "t AS (SELECT character, match_id AS target_id, start_ms AS target_ms FROM m)"
 
 
 def _targets(m):
-    return m.where("match_id % 50 = 0").select("character", F.col("match_id").alias("target_id"), F.col("start_ms").alias("target_ms"))
+    return m.select("character", F.col("match_id").alias("target_id"), F.col("start_ms").alias("target_ms"))
 
 
 @query(f"""WITH {M}, {T} SELECT target_id, match_id, row_number() OVER (PARTITION BY target_id ORDER BY start_ms DESC, match_id DESC) AS place
