@@ -35,8 +35,12 @@ WORDS = ("passw", "secret", "token", "api")
 KINDS = ("assign", "access", "hex")
 COUNTS = ("n_assign", "n_access", "n_hex")
 RULES = hashlib.sha256("\n".join((ASSIGN.pattern, ACCESS.pattern, HEX.pattern, "6 20 24")).encode()).hexdigest()[:16]
-#: What a text with a secret has at least; for Java's expressions, where (?i) is about ASCII.
-SCREEN = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]|AKIA[A-Z0-9]{16}|[0-9a-f]{24}"""
+#: What a text with a secret of each kind has at least, the cheapest first; for Java, whose (?i) is about ASCII.
+ANCHORS = (
+    (("=", ":"), (r"""[dtnyDTNY]["']?\x20*[:=]""", r"""(?i)(?:password|passwd|secret|token|api_?key)["']?\x20*[:=]""")),
+    (("AKIA",), ("AKIA[A-Z0-9]{16}",)),
+    ((), ("[0-9a-f]{24}",)),
+)
 LEDGER = "blob string, rules string, n_assign long, n_access long, n_hex long, spans string"
 
 
@@ -61,7 +65,11 @@ def blob_of(text: Column) -> Column:
 
 def suspect(text: Column) -> Column:
     """Whether a text has an anchor of a rule; without one it has no secret."""
-    return F.coalesce(text.rlike(SCREEN), F.lit(False))
+    found = F.lit(False)
+    for parts, patterns in ANCHORS:
+        one = reduce(lambda a, b: a | b, (F.contains(text, F.lit(p)) for p in parts)) if parts else F.lit(True)
+        found = found | reduce(lambda a, b: a & b, (text.rlike(p) for p in patterns), one)
+    return F.coalesce(found, F.lit(False))
 
 
 def _scan(batches):
