@@ -179,7 +179,7 @@ def test_rasters():
     counts[4:6, 4:6] = 0
     counts[:, 0] = 0
     void, coverage = geometry.void_raster(counts)
-    assert void[4, 4] == 1 and void[0, 0] == 0 and void[2, 2] == 0 and 0.9 < coverage < 1
+    assert void[4, 4] == 1 and void[0, 0] == 0 and void[2, 2] == 0 and coverage == 1  # of the visited cells
     assert geometry.components(np.array([[1, 0, 1], [1, 1, 1], [0, 0, 0], [1, 0, 1]], bool)).max() == 3
     (kind, poly), = geometry.fit_occluders(void)
     assert kind == "pillar" and geometry.area(poly) == 4

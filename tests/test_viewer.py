@@ -43,9 +43,11 @@ def test_ingest_is_idempotent(spark, tmp_path):
 
 def test_sight_with_smoke_and_burst(spark):
     voids = spark.createDataFrame([(c, r, 1.0) for c in (4, 5) for r in (4, 5)], "col long, row long, voidness double")
-    lines = spark.createDataFrame([(1, 5.0, "a", 2.0, 2.0, 18.0, 2.0), (2, 5.0, "b", 2.0, 2.0, 18.0, 2.0), (3, 50.0, "b", 2.0, 2.0, 18.0, 2.0), (4, 5.0, "a", None, 2.0, 1.0, 1.0), (5, 5.0, "a", 2.0, 10.0, 18.0, 10.0)], "line_id int, t double, viewer_team string, ax double, ay double, bx double, by double")
-    smokes = spark.createDataFrame([(0, 10, "a", 2.0, 2.0, 3.0)], "from_sec int, to_sec int, team string, x double, y double, radius double")
-    got = {r.line_id: r.result for r in combat.sight(lines, smokes, voids, 2.0).collect()}
+    lines = spark.createDataFrame([(1, 5.0, "a", 2.0, 2.0, 18.0, 2.0), (2, 5.0, "b", 2.0, 2.0, 18.0, 2.0), (3, 50.0, "b", 2.0, 2.0, 18.0, 2.0), (4, 5.0, "a", None, 2.0, 1.0, 1.0), (5, 5.0, "a", 2.0, 10.0, 18.0, 10.0)], "line_id int, t double, viewer_team string, ax double, ay double, bx double, by double").withColumn("m", F.lit(1))
+    smokes = spark.createDataFrame([(0, 10, "a", 2.0, 2.0, 3.0)], "from_sec int, to_sec int, team string, x double, y double, radius double").withColumn("m", F.lit(1))
+    other = smokes.withColumns({"m": F.lit(2), "team": F.lit("c")})  # of another match
+    smokes = smokes.union(other.select(smokes.columns))
+    got = {r.line_id: r.result for r in combat.sight(lines, smokes, voids, 2.0, ["m"]).collect()}
     assert got == {1: "clear", 2: "blocked", 3: "clear", 4: "unknown", 5: "blocked"}
     share = combat.clear_fraction(spark.createDataFrame([("w", r) for r in got.values()], "w string, result string"), ["w"]).first()
     assert share.clear_fraction == 0.5

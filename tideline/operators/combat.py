@@ -5,13 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tideline.operators import cooldowns, geometry, intervals
+from tideline.operators import cooldowns, geometry, grid, intervals
 
 #: The longest seconds that each category of control can last, and the buckets that it counts in.
 CAPS_SEC = {"stun": 10, "incapacitate": 10, "disorient": 10, "root": 10, "silence": 10, "disarm": 10, "taunt": 10, "knockback": 10}
 HARD = ("stun", "incapacitate", "disorient")
 PRECOGNITION_CAP_SEC = 8
 SIGHT_STEP_SEC = 0.5
+SMOKE_BUCKET_SEC = 10
 
 
 def capped(spans: DataFrame, match_end: Column, caps: dict[str, int], category: str = "category") -> DataFrame:
@@ -88,18 +89,21 @@ def disruptors(casts: DataFrame, kinds: DataFrame) -> DataFrame:
     return casts.join(F.broadcast(kinds), "spell").withColumn("from_sec", start).withColumn("to_sec", start + F.col("span_sec"))
 
 
-def sight(lines: DataFrame, smokes: DataFrame, voids: DataFrame, cell: float) -> DataFrame:
-    """line_id and result of lines at times (line_id, t, viewer_team, ax, ay, bx, by): unknown without both ends,
-    blocked where one end is in an active smoke of another team and the other isn't, else as the raster says."""
+def sight(lines: DataFrame, smokes: DataFrame, voids: DataFrame, cell: float, by: list[str], zone: tuple[str, ...] = (), bucket_sec: float = SMOKE_BUCKET_SEC) -> DataFrame:
+    """line_id, result and occlusion of lines at times (by, line_id, t, viewer_team, ax, ay, bx, by): unknown without
+    both ends, blocked where one end is in an active smoke of another team of the same match and the other isn't, else
+    as the raster (of the line's zone, if named) says. Smokes and lines of a match meet in buckets of time."""
     known = lines.where("ax IS NOT NULL AND ay IS NOT NULL AND bx IS NOT NULL AND by IS NOT NULL")
-    s = smokes.select("from_sec", "to_sec", "team", F.col("x").alias("sx"), F.col("y").alias("sy"), "radius")
-    # smokes of a match are few; the condition has no key but time
-    active = (F.col("t") >= F.col("from_sec")) & (F.col("t") <= F.col("to_sec")) & ~F.col("viewer_team").eqNullSafe(F.col("team"))
-    straddles = geometry.inside_smoke(F.col("ax"), F.col("ay"), F.col("sx"), F.col("sy"), F.col("radius")) != geometry.inside_smoke(F.col("bx"), F.col("by"), F.col("sx"), F.col("sy"), F.col("radius"))
-    masked = known.join(s, active & straddles, "left_semi").select("line_id").distinct().withColumn("_masked", F.lit(True))
-    raster = geometry.line_of_sight(known, voids, cell).join(masked, "line_id", "left")
-    result = F.when(F.col("_masked"), "blocked").otherwise(F.col("result"))
-    return lines.select("line_id").join(raster.select("line_id", result.alias("result")), "line_id", "left").fillna("unknown", ["result"])
+    bucket = lambda c: F.floor(c / bucket_sec)
+    s = smokes.select(*by, F.col("from_sec").alias("_from"), F.col("to_sec").alias("_to"), F.col("team").alias("_team"), F.col("x").alias("sx"), F.col("y").alias("sy"), F.col("radius").alias("_radius"))
+    s = s.withColumn("_bucket", F.explode(F.sequence(bucket(F.col("_from")), bucket(F.col("_to")))))
+    active = (F.col("t") >= F.col("_from")) & (F.col("t") <= F.col("_to")) & ~F.col("viewer_team").eqNullSafe(F.col("_team"))
+    straddles = geometry.inside_smoke(F.col("ax"), F.col("ay"), F.col("sx"), F.col("sy"), F.col("_radius")) != geometry.inside_smoke(F.col("bx"), F.col("by"), F.col("sx"), F.col("sy"), F.col("_radius"))
+    masked = known.withColumn("_bucket", bucket(F.col("t"))).join(s, [*by, "_bucket"]).where(active & straddles).select("line_id").distinct().withColumn("_masked", F.lit(True))
+    raster = geometry.line_of_sight(known, voids, cell, zone).join(masked, "line_id", "left")
+    result, peak = F.when(F.col("_masked"), "blocked").otherwise(F.col("result")), F.when(F.col("_masked"), 1.0).otherwise(F.col("peak"))
+    out = lines.select("line_id").join(raster.select("line_id", result.alias("result"), peak.alias("occlusion")), "line_id", "left")
+    return out.fillna("unknown", ["result"]).fillna(0.0, ["occlusion"])
 
 
 def clear_fraction(results: DataFrame, by: list[str]) -> DataFrame:
@@ -108,36 +112,125 @@ def clear_fraction(results: DataFrame, by: list[str]) -> DataFrame:
     return results.groupBy(*by).agg((F.count_if(F.col("result") == "clear") / F.nullif(known, F.lit(0))).alias("clear_fraction"))
 
 
-def range_probe(casts: DataFrame, distances: DataFrame, by: list[str], reach: float = 40.0) -> DataFrame:
-    """Of casts (cast_id, t) the share of the known distances (t, d) one to five seconds later that are out of reach."""
-    later = casts.select(*by, "cast_id", (F.col("t") + 1).alias("_from"), (F.col("t") + 5).alias("_to"))
-    on = distances.withColumn("_bucket", F.floor(F.col("t") / 5)).join(later.withColumn("_bucket", F.explode(F.sequence(F.floor(F.col("_from") / 5), F.floor(F.col("_to") / 5)))), [*by, "_bucket"])
-    near = on.where("t >= _from AND t <= _to AND d IS NOT NULL")
-    return near.groupBy("cast_id").agg(F.count(F.lit(1)).alias("known"), (F.count_if(F.col("d") > reach) / F.count(F.lit(1))).alias("out_of_reach"))
-
-
-def threat_distance(windows: DataFrame, distances: DataFrame, by: list[str], step: float) -> DataFrame:
-    """Of windows (window_id, unit, threat, from_sec, to_sec): the distance of the unit and its threat at the start and
-    the least one within, from distances (a, b, t, d) on a grid of the step; null where unknown."""
-    w = windows.withColumn("a", F.least("unit", "threat")).withColumn("b", F.greatest("unit", "threat"))
-    near = w.join(distances, [*by, "a", "b"]).where((F.col("t") >= F.col("from_sec")) & (F.col("t") <= F.col("to_sec")))
-    first = F.min_by("d", F.when(F.col("t") < F.col("from_sec") + step, F.col("t")))
-    return w.select("window_id").join(near.groupBy("window_id").agg(first.alias("start_distance"), F.min("d").alias("least_distance")), "window_id", "left")
-
-
-def team_spread(resolved: DataFrame, windows: DataFrame, by: list[str]) -> DataFrame:
-    """The largest distance of two units of a team within each window (window_id, team, from_sec, to_sec) over
-    positions (team, unit, t, x, y) on a grid."""
-    a = resolved.select(*by, "team", "t", F.col("unit").alias("_a"), F.col("x").alias("_ax"), F.col("y").alias("_ay"))
-    b = resolved.select(*by, "team", "t", F.col("unit").alias("_b"), F.col("x").alias("_bx"), F.col("y").alias("_by"))
-    pairs = a.join(b, [*by, "team", "t"]).where("_a < _b").withColumn("_d", F.hypot(F.col("_ax") - F.col("_bx"), F.col("_ay") - F.col("_by")))
-    per_tick = pairs.groupBy(*by, "team", "t").agg(F.max("_d").alias("_d"))
-    within = windows.join(per_tick, [*by, "team"]).where((F.col("t") >= F.col("from_sec")) & (F.col("t") <= F.col("to_sec")))
-    return within.groupBy("window_id").agg(F.max("_d").alias("spread"))
+def _lines(probes: DataFrame, samples: DataFrame, by: list[str], max_gap: float, carry: tuple[str, ...]) -> DataFrame:
+    """Positions of target (ax, ay) and other (bx, by) of probes at t, with the columns to carry."""
+    one = grid.resolve(probes, samples.withColumnRenamed("unit", "target"), [*by, "target"], max_gap=max_gap, carry=("other", *carry)).withColumnsRenamed({"x": "ax", "y": "ay"})
+    return grid.resolve(one, samples.withColumnRenamed("unit", "other"), [*by, "other"], max_gap=max_gap, carry=("target", "ax", "ay", *carry)).withColumnsRenamed({"x": "bx", "y": "by"})
+
+
+def window_sight(windows: DataFrame, samples: DataFrame, smokes: DataFrame, voids: DataFrame, cell: float, by: list[str], step: float = SIGHT_STEP_SEC, max_gap: float = grid.MAX_GAP_SEC, zone: tuple[str, ...] = (), bucket_sec: float = SMOKE_BUCKET_SEC) -> DataFrame:
+    """Of windows (window_id, team: the attacking one, other_team, target, from_sec, to_sec) the sight between the
+    target and the attacker that it is most visible to at the start (least occlusion, then the first unit), and that
+    line's clear fraction over the window's ticks. voids should be those of grids with enough coverage."""
+    attackers = samples.select(*by, "team", F.col("unit").alias("other")).distinct()
+    s = samples.select(*by, "unit", "t", "x", "y")
+    own = windows.select(*by, *zone, "window_id", "team", F.col("other_team").alias("viewer_team"), "target", "from_sec", "to_sec")
+    start = own.join(attackers, [*by, "team"]).withColumn("t", F.col("from_sec").cast("double")).withColumn("line_id", F.concat_ws("#", "window_id", "other"))
+    carry = ("line_id", "window_id", "viewer_team", "from_sec", "to_sec", *zone)
+    first = _lines(start, s, by, max_gap, carry)
+    seen = first.select("line_id", "window_id", "other").join(sight(first, smokes, voids, cell, by, zone, bucket_sec), "line_id").where("result != 'unknown'")
+    best = seen.groupBy("window_id").agg(F.min_by(F.struct("other", "result"), F.struct("occlusion", "other")).alias("b")).select("window_id", "b.*")
+    n = F.floor((F.col("to_sec") - F.col("from_sec")) / step)
+    ticks = own.join(best.select("window_id", "other"), "window_id").withColumn("_i", F.explode(F.sequence(F.lit(0).cast("long"), n))).withColumn("t", F.col("from_sec") + F.col("_i") * step).withColumn("line_id", F.concat_ws("#", "window_id", "_i"))
+    along = _lines(ticks, s, by, max_gap, carry)
+    clear = clear_fraction(along.select("line_id", "window_id").join(sight(along, smokes, voids, cell, by, zone, bucket_sec), "line_id"), ["window_id"])
+    out = windows.select("window_id").join(best, "window_id", "left").join(clear, "window_id", "left")
+    return out.select("window_id", F.col("other").alias("attacker"), F.coalesce("result", F.lit("unknown")).alias("result"), "clear_fraction")
+
+
+def disruptors_active(windows: DataFrame, spans: DataFrame, by: list[str]) -> DataFrame:
+    """window_id and the kinds of sight breakers whose closed span meets the closed window."""
+    both = windows.select(*by, "window_id", "from_sec", "to_sec").join(spans.select(*by, "kind", F.col("from_sec").alias("_a"), F.col("to_sec").alias("_b")), by)
+    return both.where("_a <= to_sec AND _b >= from_sec").groupBy("window_id").agg(F.array_sort(F.collect_set("kind")).alias("kinds"))
+
+
+def window_positioning(windows: DataFrame, samples: DataFrame, by: list[str], step: float = 0.5, max_gap: float = grid.MAX_GAP_SEC) -> DataFrame:
+    """Of windows as in window_sight: the target's distance to the nearest attacker at the start and the least one in
+    the window, to its team's nearest healer (a column of the samples) at the start, and the largest distance of two
+    defenders then; to one tenth, null where nothing is known."""
+    units = samples.select(*by, "unit", F.col("team").alias("_team"), "healer").distinct()
+    s = samples.select(*by, "unit", "t", "x", "y")
+    own = windows.select(*by, "window_id", "team", "other_team", "target", "from_sec", "to_sec")
+    pairs = own.join(units.withColumnRenamed("unit", "other"), by).where("other != target AND (_team = team OR _team = other_team)")
+    n = F.when(F.col("_team") == F.col("team"), F.floor((F.col("to_sec") - F.col("from_sec")) / step)).otherwise(0).cast("long")
+    probes = pairs.withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), n))).withColumn("t", F.col("from_sec") + F.col("i") * step).withColumn("attacks", F.col("_team") == F.col("team"))
+    lines = _lines(probes, s, by, max_gap, ("window_id", "i", "attacks", "healer"))
+    d = F.hypot(F.col("ax") - F.col("bx"), F.col("ay") - F.col("by"))
+    start = F.col("i") == 0
+    near = lines.groupBy("window_id").agg(
+        F.min(F.when(F.col("attacks") & start, d)).alias("threat_start"), F.min(F.when(F.col("attacks"), d)).alias("threat_least"), F.min(F.when(~F.col("attacks") & F.col("healer"), d)).alias("healer"),
+    )
+    # the defenders' pairs: those with the target are there already, the others meet at the start only
+    at = lines.where(start & ~F.col("attacks")).select("window_id", "other", "bx", "by")
+    a, b = at.toDF("window_id", "_a", "_ax", "_ay"), at.toDF("window_id", "_b", "_bx", "_by")
+    rest = a.join(b, "window_id").where("_a < _b").select("window_id", F.hypot(F.col("_ax") - F.col("_bx"), F.col("_ay") - F.col("_by")).alias("d"))
+    spread = rest.union(lines.where(start & ~F.col("attacks")).select("window_id", d)).groupBy("window_id").agg(F.max("d").alias("spread"))
+    tenth = lambda c: (F.floor(F.col(c) * 10 + 0.5) / 10.0).alias(c)
+    return windows.select("window_id").join(near, "window_id", "left").join(spread, "window_id", "left").select("window_id", *map(tenth, ("threat_start", "threat_least", "healer", "spread")))
+
+
+def escapes(windows: DataFrame, placed: DataFrame, casts: DataFrame, anchors: DataFrame, samples: DataFrame, by: list[str], max_gap: float = grid.MAX_GAP_SEC) -> DataFrame:
+    """Of windows whose target has placed an anchor up to the start: the distance to its latest one (placed: unit,
+    spell, t, x, y) and whether the spell that returns to it is ready (anchors: spell, return_spell, cooldown_sec)."""
+    w = windows.select(*by, "window_id", F.col("target").alias("unit"), F.col("from_sec").cast("double").alias("t"))
+    latest = placed.withColumn("_t", F.col("t")).drop("t").join(w, [*by, "unit"]).where("_t <= t").groupBy(*by, "window_id", "unit", "t").agg(F.max_by(F.struct("spell", "x", "y"), F.struct("_t", "spell")).alias("p"))
+    at = grid.resolve(w, samples.select(*by, "unit", "t", "x", "y"), [*by, "unit"], max_gap=max_gap, carry=("window_id",)).select("window_id", "x", "y")
+    known = latest.join(F.broadcast(anchors), F.col("p.spell") == F.col("spell")).join(at, "window_id")  # a row for each anchor spell
+    returns = casts.select(*by, "unit", F.col("spell").alias("return_spell"), F.floor(F.col("t") * 1000).alias("_ms")).groupBy(*by, "unit", "return_spell").agg(F.array_sort(F.collect_list("_ms")).alias("_casts"))
+    ms = F.floor(F.col("t") * 1000)
+    left = cooldowns.charges_at(F.coalesce("_casts", F.array().cast("array<bigint>")), F.col("cooldown_sec") * 1000, F.lit(1), ms)
+    both = known.join(returns, [*by, "unit", "return_spell"], "left")
+    d = F.floor(F.hypot(F.col("x") - F.col("p.x"), F.col("y") - F.col("p.y")) * 10 + 0.5) / 10.0
+    return both.select("window_id", d.alias("anchor_distance"), (left > 0).alias("escape_ready"))
+
+
+def ready_at(windows: DataFrame, loadout: DataFrame, casts: DataFrame, by: list[str]) -> DataFrame:
+    """window_id, unit and spell of the cooldowns (loadout: unit, team, spell, cooldown_ms, charges) of the windows'
+    side (columns side, start_ms) that are ready at their start; a spell that was never cast is."""
+    times = casts.groupBy(*by, "unit", "spell").agg(F.array_sort(F.collect_list("ts_ms")).alias("_casts"))
+    own = loadout.join(times, [*by, "unit", "spell"], "left")
+    both = windows.select(*by, "window_id", F.col("side").alias("team"), "start_ms").join(own, [*by, "team"])
+    left = cooldowns.charges_at(F.coalesce("_casts", F.array().cast("array<bigint>")), F.col("cooldown_ms"), F.col("charges"), F.col("start_ms"))
+    return both.where(left > 0).select("window_id", "unit", "spell")
+
+
+def used_in(windows: DataFrame, casts: DataFrame, by: list[str], width_ms: int, before_ms: int = 1000) -> DataFrame:
+    """window_id, unit, spell and ts_ms of the casts of a window's side from shortly before its start to its end."""
+    spans = windows.select(*by, "window_id", F.col("side").alias("team"), (F.col("start_ms") - before_ms).alias("start_ms"), "end_ms")
+    return intervals.points_in_intervals(casts, spans, [*by, "team"], width_ms).select("window_id", "unit", "spell", "ts_ms")
+
+
+def control_in(windows: DataFrame, spans: DataFrame, by: list[str], width_ms: int) -> DataFrame:
+    """window_id, dest, spell and from_ms of control (team: the caster's, dest_team, dest, spell, start_ms, end_ms) that
+    the attacking team has on defenders during a window."""
+    a = windows.select(*by, "window_id", "team", F.col("other_team").alias("dest_team"), F.col("start_ms").alias("a_start"), F.col("end_ms").alias("a_end"))
+    b = spans.select(*by, "team", "dest_team", "dest", "spell", F.col("start_ms").alias("b_start"), F.col("end_ms").alias("b_end"))
+    found = intervals.overlapping(a, b, [*by, "team", "dest_team"], width_ms)
+    return found.select("window_id", "dest", "spell", F.greatest("a_start", "b_start").alias("from_ms"))
+
+
+def immunities_in(windows: DataFrame, openers: DataFrame, spans: DataFrame, by: list[str], width_ms: int) -> DataFrame:
+    """window_id and the immunity spells that a window's openers (window_id, unit) have during it."""
+    a = windows.join(openers, "window_id").select(*by, "window_id", "unit", F.col("start_ms").alias("a_start"), F.col("end_ms").alias("a_end"))
+    b = spans.select(*by, F.col("dest").alias("unit"), "spell", F.col("start_ms").alias("b_start"), F.col("end_ms").alias("b_end"))
+    return intervals.overlapping(a, b, [*by, "unit"], width_ms).groupBy("window_id").agg(F.array_sort(F.collect_set("spell")).alias("immunities"))
+
+
+def range_probe(casts: DataFrame, samples: DataFrame, by: list[str], reach: float = 40.0) -> DataFrame:
+    """Of casts or traversals (cast_id, unit, other, t) the largest known distance of the two one to five seconds later
+    and the share of the five that are out of reach (an unknown one counts as within), from positions without a gap
+    guard; those without a known distance go. Also how many of the unit's own samples lie in that time."""
+    at = casts.withColumn("_k", F.explode(F.sequence(F.lit(1), F.lit(5)))).withColumn("_cast", F.col("t")).withColumn("t", F.col("t") + F.col("_k")).withColumn("target", F.col("unit"))
+    lines = _lines(at, samples, by, None, ("cast_id", "_k"))
+    d = F.hypot(F.col("ax") - F.col("bx"), F.col("ay") - F.col("by"))
+    far = lines.groupBy("cast_id").agg(F.max(d).alias("max_distance"), (F.count_if(d > reach) / F.lit(5)).alias("out_of_reach"), F.count(d).alias("known")).where("known > 0").drop("known")
+    spans = samples.groupBy(*by, "unit").agg(F.min("t").alias("_first"), F.max("t").alias("_last")).withColumnRenamed("unit", "other")
+    own = casts.join(samples.select(*by, "unit", F.col("t").alias("_t")), [*by, "unit"]).where("_t >= t + 1 AND _t <= t + 5").join(spans, [*by, "other"]).where("_t >= _first AND _t <= _last")
+    return far.join(own.groupBy("cast_id").agg(F.count(F.lit(1)).alias("samples")), "cast_id", "left").fillna(0, ["samples"])
 
 
 def sight_agreement(lines: DataFrame, voids: DataFrame, cell: float, pillars: list, walls: list) -> DataFrame:
-    """How often raster and polygons agree about lines: counts by what each says."""
-    raster = geometry.line_of_sight(lines, voids, cell).select("line_id", (F.col("result") != "clear").alias("raster"))
+    """How often raster (blocked, not likely) and polygons agree about lines: counts by what each says."""
+    raster = geometry.line_of_sight(lines, voids, cell).select("line_id", (F.col("result") == "blocked").alias("raster"))
     vector = lines.select("line_id", geometry.blocked_by_polygons(*map(F.col, ("ax", "ay", "bx", "by")), pillars, walls).alias("vector"))
     return raster.join(vector, "line_id").groupBy("raster", "vector").agg(F.count(F.lit(1)).alias("n"))

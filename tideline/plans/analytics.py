@@ -342,15 +342,42 @@ def geo02_los_samples(spark, sf):
     return geometry.line_of_sight(lines, voids, 5.0)
 
 
-@query()
-def geo07_grid_build(spark, sf):
+CELLS = E + """, c AS (SELECT team, CAST(floor(x / 5) AS BIGINT) AS col, CAST(floor(y / 5) AS BIGINT) AS row, count(*) AS n FROM e GROUP BY ALL), z AS (SELECT team, sum(n) AS samples FROM c GROUP BY team HAVING sum(n) >= 200),
+b AS (SELECT team, min(col) - 1 AS c0, max(col) + 1 AS c1, min(row) - 1 AS r0, max(row) + 1 AS r1 FROM c GROUP BY team),
+gr AS (SELECT team, c0, c1, r0, r1, col, row, coalesce(n, 0) AS n FROM (SELECT *, unnest(range(r0, r1 + 1)) AS row FROM (SELECT *, unnest(range(c0, c1 + 1)) AS col FROM b)) LEFT JOIN c USING (team, col, row)),
+ex AS (SELECT team, col, row FROM gr WHERE n <= 4 AND (col IN (c0, c1) OR row IN (r0, r1)) UNION SELECT g.team, g.col, g.row FROM ex JOIN gr g ON g.team = ex.team AND g.n <= 4 AND abs(g.col - ex.col) + abs(g.row - ex.row) = 1),
+cov AS (SELECT team, count(*) FILTER (n >= 8) / CAST(greatest(1, count(*) FILTER (n > 0)) AS DOUBLE) AS coverage FROM gr GROUP BY team),
+gd AS (SELECT gr.team, gr.row, gr.col, CASE WHEN ex.col IS NULL THEN 1 - least(n / 8.0::DOUBLE, 1) ELSE 0 END AS voidness, coverage, CAST(samples AS BIGINT) AS samples FROM gr JOIN z USING (team) JOIN cov USING (team) LEFT JOIN ex USING (team, col, row))"""
+
+
+def _grids(spark, sf):
     counts = events(spark, sf).groupBy("team", F.floor(F.col("x") / 5).alias("col"), F.floor(F.col("y") / 5).alias("row")).agg(F.count(F.lit(1)).alias("n"))
     return geometry.build_grids(counts, "team")
 
 
+@query(f"WITH RECURSIVE {CELLS} SELECT * FROM gd")
+def geo07_grid_build(spark, sf):
+    return _grids(spark, sf)
+
+
 @query()
 def geo08_occluder_fit(spark, sf):
-    return geometry.build_occluders(geo07_grid_build(spark, sf), "team")
+    """Occluders of an arena for each team; a region and its middle's surroundings are closed to units."""
+    shut = "x >= 20 AND x < 60 AND y >= 25 AND y < 75 AND NOT (x >= 30 AND x < 50 AND y >= 40 AND y < 60)"
+    e = events(spark, sf).where(f"NOT ({shut})").withColumn("team", F.col("team").cast("long"))
+    counts = e.groupBy("team", F.floor(F.col("x") / 10).alias("col"), F.floor(F.col("y") / 5).alias("row")).agg(F.count(F.lit(1)).alias("n"))
+    return geometry.build_occluders(geometry.build_grids(counts, "team", full=2), "team").select("team", "k", "kind", "corners", "area")
+
+
+REMOVED = [(10.0, 10.0), (200.0, 10.0), (200.0, 60.0), (10.0, 60.0)]
+
+
+@query(f"""WITH RECURSIVE {CELLS} SELECT team, row, col, CASE WHEN (col + 0.5) * 5 >= 10 AND (col + 0.5) * 5 < 200 AND (row + 0.5) * 5 >= 10 AND (row + 0.5) * 5 < 60 AND team = 0 THEN 0 ELSE voidness END AS voidness FROM gd""")
+def geo09_removed_regions(spark, sf):
+    points = F.array(*(F.struct(F.lit(x).alias("x"), F.lit(y).alias("y")) for x, y in REMOVED))
+    shape = F.array(F.struct(points.alias("points")))
+    overrides = spark.range(1).select(F.lit(0).cast("long").alias("zone"), shape.alias("remove"))
+    return geometry.without_removed(_grids(spark, sf).withColumnRenamed("team", "zone"), overrides, 5.0).select(F.col("zone").alias("team"), "row", "col", "voidness")
 
 
 FEATURES = ["rating", "duration_sec", "zone"]

@@ -61,7 +61,19 @@ def agg12_uptimes(spark, sf):
     return combat.uptimes(_intervals(spark, sf), units, [], cap_sec=28_800)
 
 
-@query()
+# a fold over each unit's casts of a spell; the seconds without a charge are those from an emptying cast to the next charge
+USAGE = f"""WITH RECURSIVE {E}, k AS (SELECT CAST(range AS INTEGER) AS spell, (range + 1) * 3600000 AS cd, 1 + range % 2 AS most FROM range(10)),
+a AS (SELECT actor, spell % 10 AS spell, ts_ms FROM e WHERE kind = 'click'), al AS (SELECT actor, spell, count(*) AS casts FROM a GROUP BY ALL),
+c AS (SELECT actor, spell, ts_ms, cd, most, row_number() OVER (PARTITION BY actor, spell ORDER BY ts_ms) AS n FROM a JOIN k USING (spell) WHERE ts_ms >= {T0} AND ts_ms < {LAST}),
+f AS (SELECT actor, spell, CAST(0 AS BIGINT) AS n, CAST(most AS BIGINT) AS charges, CAST(9007199254740991 AS BIGINT) AS next, CAST(0 AS BIGINT) AS empty FROM c WHERE n = 1
+UNION ALL SELECT actor, spell, n, CASE WHEN g = 0 THEN 0 ELSE g - 1 END, CASE WHEN g = most THEN ts_ms + cd ELSE nx END, empty + CASE WHEN g = 1 THEN least(CASE WHEN g = most THEN ts_ms + cd ELSE nx END, {LAST}) - ts_ms ELSE 0 END FROM (
+SELECT actor, spell, n, ts_ms, cd, most, empty, charges + gain AS g, CASE WHEN charges + gain >= most THEN 9007199254740991 ELSE next + gain * cd END AS nx FROM (
+SELECT c.*, f.charges, f.next, f.empty, CASE WHEN f.next > c.ts_ms THEN 0 ELSE least(c.most - f.charges, (c.ts_ms - f.next) // c.cd + 1) END AS gain FROM f JOIN c ON c.actor = f.actor AND c.spell = f.spell AND c.n = f.n + 1))),
+l AS (SELECT actor, spell, arg_max(empty, n) AS empty FROM f GROUP BY ALL)
+SELECT actor, al.spell, CAST(casts AS INTEGER) AS casts, CAST(floor(({LAST - T0} - coalesce(empty, 0)) / 1000.0::DOUBLE + 0.5) AS BIGINT) AS ready_sec FROM al LEFT JOIN l USING (actor, spell)"""
+
+
+@query(USAGE)
 def agg18_cooldown_usage(spark, sf):
     specs = spark.createDataFrame([(k, (k + 1) * 3_600_000, 1 + k % 2) for k in range(10)], "spell int, cooldown_ms long, charges int")
     casts = events(spark, sf).where("kind = 'click'").select("actor", (F.col("spell") % 10).alias("spell"), "ts_ms")
@@ -162,7 +174,20 @@ def sta13_percentile_at(spark, sf):
 BOX = [(40.0, 30.0), (60.0, 30.0), (60.0, 50.0), (40.0, 50.0)]
 
 
-@query()
+def on_segment(d: str, px: str, py: str, ax: str, ay: str, bx: str, by: str) -> str:
+    return f"(abs({d}) < 1e-9 AND {px} BETWEEN least({ax}, {bx}) AND greatest({ax}, {bx}) AND {py} BETWEEN least({ay}, {by}) AND greatest({ay}, {by}))"
+
+
+EDGES = ", ".join(f"({a[0]}::DOUBLE, {a[1]}::DOUBLE, {b[0]}::DOUBLE, {b[1]}::DOUBLE)" for a, b in zip(BOX[-1:] + BOX[:-1], BOX, strict=True))
+AGREE = E + f""", li AS (SELECT event_id AS line_id, x AS ax, y AS ay, spell * 1.0::DOUBLE AS bx, target * 5.0::DOUBLE AS by_ FROM e WHERE kind = 'view'),
+nn AS (SELECT *, greatest(CAST(ceil(sqrt((bx - ax) ** 2 + (by_ - ay) ** 2) / 1.0::DOUBLE) AS BIGINT), 1) AS n FROM li), pp AS (SELECT *, unnest(range(0, n + 1)) / CAST(n AS DOUBLE) AS f FROM nn),
+ra AS (SELECT line_id, bool_or(floor((ax + (bx - ax) * f) / 2) BETWEEN 20 AND 29 AND floor((ay + (by_ - ay) * f) / 2) BETWEEN 15 AND 24) AS raster FROM pp GROUP BY line_id),
+ed(cx, cy, dx, dy) AS (VALUES {EDGES}), cr AS (SELECT *, (dx - cx) * (ay - cy) - (dy - cy) * (ax - cx) AS d1, (dx - cx) * (by_ - cy) - (dy - cy) * (bx - cx) AS d2, (bx - ax) * (cy - ay) - (by_ - ay) * (cx - ax) AS d3, (bx - ax) * (dy - ay) - (by_ - ay) * (dx - ax) AS d4 FROM li, ed),
+ve AS (SELECT line_id, bool_or((sign(d1) * sign(d2) < 0 AND sign(d3) * sign(d4) < 0) OR {on_segment('d1', 'ax', 'ay', 'cx', 'cy', 'dx', 'dy')} OR {on_segment('d2', 'bx', 'by_', 'cx', 'cy', 'dx', 'dy')} OR {on_segment('d3', 'cx', 'cy', 'ax', 'ay', 'bx', 'by_')} OR {on_segment('d4', 'dx', 'dy', 'ax', 'ay', 'bx', 'by_')}
+OR (ax >= 40 AND ax < 60 AND ay >= 30 AND ay < 50) OR (bx >= 40 AND bx < 60 AND by_ >= 30 AND by_ < 50)) AS vector FROM cr GROUP BY line_id)"""
+
+
+@query(f"WITH {AGREE} SELECT raster, vector, count(*) AS n FROM ra JOIN ve USING (line_id) GROUP BY ALL")
 def geo10_los_agreement(spark, sf):
     e = events(spark, sf)
     lines = e.where("kind = 'view'").select(F.col("event_id").alias("line_id"), F.col("x").alias("ax"), F.col("y").alias("ay"), (F.col("spell") * 1.0).alias("bx"), (F.col("target") * 5.0).alias("by"))
