@@ -45,6 +45,22 @@ def headers(lines: DataFrame) -> DataFrame:
     return lines.where("seq = 1").select("file", build_version(F.col("line")).alias("version"))
 
 
+def sniff(spark: SparkSession, paths: list[str], most: int = 4096) -> DataFrame:
+    """path and version of files by their first bytes alone; null for files without a header. The driver opens each
+    file, so paths should be those of new files only."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    rows = []
+    for p in paths:
+        at = jvm.org.apache.hadoop.fs.Path(p)
+        stream = at.getFileSystem(conf).open(at)
+        try:
+            raw = bytes(stream.readNBytes(most))
+        finally:
+            stream.close()
+        rows.append((p, raw.split(b"\n")[0].decode("utf-8", "replace")))
+    return spark.createDataFrame(rows, "path string, line string").select("path", build_version(F.col("line")).alias("version"))
+
+
 def parse(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Parsed lines (file, seq, ts_ms, event, p: the fields) and the lines that don't parse."""
     m = [F.regexp_extract("line", LINE, i) for i in range(5)]
@@ -89,6 +105,47 @@ def first_match(segmented: DataFrame) -> DataFrame:
     return segmented.join(done, ["file", "match_no"], "left_semi")
 
 
+def shape(segmented: DataFrame) -> DataFrame:
+    """Of each match: numbers of events by kind, and of the units and spells that take part."""
+    e = events(segmented)
+    who = e.select("match_id", "event", F.explode(F.array_compact(F.array("src_id", "dest_id"))).alias("unit"))
+    kinds = e.groupBy("match_id", "event").agg(F.count(F.lit(1)).alias("n"))
+    counts = kinds.groupBy("match_id").agg(F.sum("n").alias("n_events"), F.map_from_entries(F.array_sort(F.collect_list(F.struct("event", "n")))).alias("by_event"))
+    units = who.groupBy("match_id").agg(F.countDistinct("unit").alias("n_units"))
+    spells = e.groupBy("match_id").agg(F.countDistinct("spell_id").alias("n_spells"))
+    return counts.join(units, "match_id", "left").join(spells, "match_id", "left")
+
+
+def match_key() -> Column:
+    """The id of a segmented line's match: the file's name and the match's number in it."""
+    return F.concat_ws("#", "file", "match_no")
+
+
+def combatants(segmented: DataFrame) -> DataFrame:
+    """match_id, unit_id, team_id, spec and rating of the players that a match lists."""
+    rows = segmented.where("match_no IS NOT NULL AND event = 'COMBATANT_INFO'")
+    spec = F.get("p", F.lit(23)).try_cast("int")
+    rating = F.when(F.size("p") > 27, F.try_element_at("p", F.lit(-2)).try_cast("int"))
+    found = rows.select(match_key().alias("match_id"), F.get("p", F.lit(0)).alias("unit_id"), F.get("p", F.lit(1)).alias("team_id"), spec.alias("spec"), rating.alias("rating"), "seq")
+    return found.groupBy("match_id", "unit_id").agg(*(F.max_by(c, "seq").alias(c) for c in ("team_id", "spec", "rating")))
+
+
+def units(segmented: DataFrame) -> DataFrame:
+    """match_id, unit_id, name, kind, hostile (by the flags of its last line) and owner_id of every unit of a match."""
+    rows = segmented.where("match_no IS NOT NULL AND NOT startswith(event, 'ARENA_MATCH_') AND event != 'COMBATANT_INFO'")
+    p = lambda i: F.get("p", F.lit(i))
+    base = F.when(F.split("event", "_")[0].isin("SPELL", "RANGE"), PREFIX["SPELL"]).when(F.split("event", "_")[0] == "SWING", PREFIX["SWING"])
+    owner = F.when(F.get("p", base + AT["unit"]) == p(0), F.get("p", base + AT["owner"]))
+    side = lambda i, own: F.struct(p(i).alias("unit_id"), p(i + 1).alias("name"), p(i + 2).alias("flags"), own.alias("owner_id"))
+    who = rows.select(match_key().alias("match_id"), "seq", F.explode(F.array(side(0, owner), side(4, F.lit(None).cast("string")))).alias("u")).select("match_id", "seq", "u.*")
+    known = who.where(F.col("unit_id").isNotNull() & ~F.col("unit_id").rlike("^0*$"))
+    flags = F.conv(F.regexp_replace("flags", "^0x", ""), 16, 10).cast("long")
+    kind = F.when(F.col("unit_id").startswith("Player-"), "player").when(F.col("unit_id").startswith("Pet-"), "primary-pet").otherwise("other")
+    real_owner = F.when(~F.col("owner_id").rlike("^0*$") & (F.col("owner_id") != "nil"), F.col("owner_id"))
+    out = known.groupBy("match_id", "unit_id").agg(F.max_by("name", "seq").alias("name"), (F.max_by(flags, "seq").bitwiseAND(F.lit(0x40)) != 0).alias("hostile"), F.max_by(real_owner, F.when(real_owner.isNotNull(), F.col("seq"))).alias("owner_id"))
+    return out.select("match_id", "unit_id", "name", kind.alias("kind"), F.coalesce("hostile", F.lit(False)).alias("hostile"), "owner_id")
+
+
 def events(segmented: DataFrame) -> DataFrame:
     """Combat events within matches, with the advanced unit's state where the line has it."""
     known = F.split("event", "_")[0]

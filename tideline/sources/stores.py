@@ -132,8 +132,10 @@ def read_placements(spark: SparkSession, path: str) -> DataFrame:
 class Store:
     """Parquet tables of matches, combatants, metrics and details by key, with the ledger of ingested files.
 
-    A write makes a new version of the table's folder, which counts once it is complete; a run that fails before that
-    leaves the old version in place."""
+    A write is a batch: its rows are added below ``data``, with the keys that they replace, and count for all its
+    tables at once when a small file with the batch's name appears in ``manifest``; a run that fails before that
+    changes nothing. Nothing is rewritten: readers take, for each key, the rows of the latest batch that has it, so a
+    batch costs what it adds. ``compact`` makes one batch of all when there have come to be many."""
 
     KEYS = {"match": ["match_id"], "combatant": ["match_id", "unit_id"], "metric": ["match_id", "scope", "metric_id"], "match_detail": ["match_id"], "ingest_file": ["path"]}
 
@@ -145,26 +147,96 @@ class Store:
         path = jvm.org.apache.hadoop.fs.Path
         return path(self.folder).getFileSystem(conf), path
 
-    def _version(self, name: str) -> int:
+    def _names(self, folder: str) -> list[str]:
         fs, path = self._fs()
-        at = path(f"{self.folder}/{name}")
-        if not fs.exists(at):
-            return 0
-        done = [s.getPath().getName() for s in fs.listStatus(at)]
-        return max((int(d[1:]) for d in done if d[:1] == "v" and fs.exists(path(f"{self.folder}/{name}/{d}/_SUCCESS"))), default=0)
+        at = path(f"{self.folder}/{folder}")
+        return sorted(s.getPath().getName() for s in fs.listStatus(at)) if fs.exists(at) else []
+
+    def batches(self) -> list[str]:
+        """The batches that count, in order."""
+        return self._names("manifest")
+
+    def _paths(self, name: str) -> list[str]:
+        fs, path = self._fs()
+        found = [f"{self.folder}/data/{b}/{name}" for b in self.batches()]
+        return [p for p in found if fs.exists(path(p))]
 
     def read(self, name: str) -> DataFrame | None:
-        v = self._version(name)
-        return self.spark.read.parquet(f"{self.folder}/{name}/v{v}") if v else None
+        """The rows of a table that count, None before the first write."""
+        paths = self._paths(name)
+        if not paths:
+            return None
+        key = self.KEYS[name][0]
+        rows = self.spark.read.option("mergeSchema", "true").parquet(*paths)
+        touched = self._paths(f"keys_{name}")
+        if len(touched) > 1:
+            at = lambda df: df.withColumn("_batch", F.regexp_extract(F.col("_metadata.file_path"), "/data/([^/]+)/", 1))
+            latest = at(self.spark.read.parquet(*touched)).groupBy(key).agg(F.max("_batch").alias("_batch"))
+            rows = at(rows).join(latest, [key, "_batch"], "left_semi").drop("_batch")
+        return rows
+
+    def write(self, tables: dict[str, DataFrame]) -> None:
+        """One batch: replace the rows of the matches (or paths) that any of its tables has, in all of its tables; null
+        keys are refused. The tables of a batch have the same first key, or are the ledger."""
+        fs, path = self._fs()
+        last = max((int(b[1:]) for b in self.batches()), default=0)
+        batch = f"b{last + 1:012d}"
+        at = f"{self.folder}/data/{batch}"
+        fs.delete(path(at), True)  # what a failed run left
+        keys: dict[str, DataFrame] = {}
+        for name, rows in tables.items():
+            rows.write.parquet(f"{at}/{name}")
+            key = self.KEYS[name][0]
+            own = self.spark.read.schema(rows.schema).parquet(f"{at}/{name}").select(key)
+            if own.where(F.col(key).isNull()).limit(1).count():
+                fs.delete(path(at), True)
+                raise ValueError(f"{name}: a row has no {key}")
+            keys[key] = own if key not in keys else keys[key].union(own)
+        for name in tables:
+            keys[self.KEYS[name][0]].distinct().write.parquet(f"{at}/keys_{name}")
+        fs.mkdirs(path(f"{self.folder}/manifest"))
+        fs.create(path(f"{self.folder}/manifest/{batch}"), False).close()
 
     def upsert(self, name: str, rows: DataFrame) -> None:
         """Replace the rows of the matches (or paths) that rows have; null keys are refused."""
-        key = self.KEYS[name][0]
-        if rows.where(F.col(key).isNull()).limit(1).count():
-            raise ValueError(f"{name}: a row has no {key}")
-        old, v = self.read(name), self._version(name)
-        merged = rows if old is None else old.join(rows.select(key).distinct(), key, "left_anti").unionByName(rows, allowMissingColumns=True)
-        merged.write.mode("overwrite").parquet(f"{self.folder}/{name}/v{v + 1}")
+        self.write({name: rows})
+
+    def compact(self) -> None:
+        """One batch of all tables in place of those before; these stay until a reader can't be at them any more."""
+        whole = {name: rows for name in self.KEYS if (rows := self.read(name)) is not None}
+        before = self.batches()
+        self.write(whole)
         fs, path = self._fs()
-        if v:
-            fs.delete(path(f"{self.folder}/{name}/v{v}"), True)
+        for batch in before:
+            fs.delete(path(f"{self.folder}/manifest/{batch}"), True)
+
+    def clean(self) -> None:
+        """Delete the data of batches that don't count."""
+        fs, path = self._fs()
+        for batch in set(self._names("data")) - set(self.batches()):
+            fs.delete(path(f"{self.folder}/data/{batch}"), True)
+
+
+def read_sqlite(spark: SparkSession, path: str, table: str, schema: str, parts: int = 8) -> DataFrame:
+    """Rows of a table of an SQLite file that every worker can open, by ranges of row ids."""
+    import sqlite3
+
+    with sqlite3.connect(f"file:{path}?mode=ro", uri=True) as con:
+        low, high = con.execute(f'SELECT min(rowid), max(rowid) FROM "{table}"').fetchone()
+    empty = spark.createDataFrame([], schema)
+    names = empty.columns
+    if low is None:
+        return empty
+    step = -(-(high - low + 1) // parts)
+
+    def run(batches):
+        import pandas as pd
+
+        for batch in batches:
+            for first in batch["id"]:
+                with sqlite3.connect(f"file:{path}?mode=ro", uri=True) as con:
+                    cursor = con.execute(f"SELECT {', '.join(chr(34) + n + chr(34) for n in names)} FROM \"{table}\" WHERE rowid >= ? AND rowid < ?", (int(first), int(first) + step))
+                    while rows := cursor.fetchmany(10_000):
+                        yield pd.DataFrame(rows, columns=names)
+
+    return spark.range(low, high + 1, step, parts).mapInPandas(run, schema)

@@ -7,17 +7,22 @@ from __future__ import annotations
 import argparse
 import html
 import json
+import re
 import sys
+from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
+from urllib.parse import parse_qs, unquote, urlsplit
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tideline.functions import scalars
-from tideline.operators import aggregates, cohort, relational, sessions
+from tideline.operators import aggregates, asof, cohort, events, grid, relational, sessions, units
 from tideline.session import Scratch, get_spark
 from tideline.sources import logs, stores
 
 GAP_MS = 30 * 60_000
+#: The specs that heal.
+HEALERS = (65, 105, 256, 257, 264, 270, 1468)
 
 
 def matches(store: stores.Store, spec: dict | None = None, sort: str = "start_ms", descending: bool = True, limit: int | None = None, offset: int = 0, text: str = "", gap_ms: int = GAP_MS) -> DataFrame:
@@ -36,8 +41,16 @@ def total(store: stores.Store, spec: dict | None = None) -> int:
 def facets(store: stores.Store) -> DataFrame:
     """facet and value of the filters' choices, in the order in which they were first seen."""
     m = store.read("match")
+    ends = lambda c, f, name: m.agg(f(c).cast("string").alias("value"), F.min("start_ms").alias("first")).select(F.lit(name).alias("facet"), "value", "first")
     one = lambda c: m.where(F.col(c).isNotNull()).groupBy(F.col(c).cast("string").alias("value")).agg(F.min("start_ms").alias("first")).select(F.lit(c).alias("facet"), "value", "first")
-    return one("character").union(one("bracket")).union(one("zone")).orderBy("facet", "first", "value")
+    out = one("character").union(one("bracket")).union(one("zone")).union(one("result"))
+    for c in ("rating", "start_ms"):
+        out = out.union(ends(c, F.min, f"{c}_min")).union(ends(c, F.max, f"{c}_max"))
+    specs = store.read("combatant")
+    if specs is not None:
+        seen = specs.where("spec IS NOT NULL").groupBy("team", F.col("spec").cast("string").alias("value")).agg(F.lit(0).cast("long").alias("first"))
+        out = out.union(seen.select(F.concat(F.col("team"), F.lit("_spec")).alias("facet"), "value", "first"))
+    return out.orderBy("facet", "first", "value")
 
 
 def scorecard(store: stores.Store, match_id: str, scope: dict, registry: dict | None = None) -> DataFrame:
@@ -62,29 +75,172 @@ def report(rows: DataFrame, title: str, most: int = 500) -> str:
     return f"<!DOCTYPE html><html><head><meta charset='utf-8'><title>{html.escape(title)}</title></head><body><h1>{html.escape(title)}</h1><table><tr>{head}</tr>{body}</table></body></html>"
 
 
-def ingest(spark: SparkSession, folder: str, store: stores.Store, character: str, seasons_back: int | None = 1, force: bool = False) -> DataFrame:
-    """Read the logs of a folder that the ledger lacks, upsert their matches and write the ledger; gives the files read.
-    A grown log is read again whole; the upsert makes that harmless."""
-    found = logs.discover(spark, folder)
-    lines = logs.read_lines(spark, folder)
-    files = found.withColumn("file", F.regexp_replace("path", "^file:/+", "/"))
-    versions = logs.headers(lines).withColumn("file", F.regexp_replace("file", "^file:/+", "/"))
+def export(store: stores.Store, metrics: list[str]) -> DataFrame:
+    """The dataset of all matches with a column for each metric, to be written as CSV."""
+    wide = aggregates.pivot_metrics(store.read("metric").where("scope = 'player'"), ["match_id"], metrics)
+    return store.read("match").join(wide, "match_id", "left")
+
+
+def replay(positions: DataFrame, by: list[str]) -> DataFrame:
+    """One JSON text for each match: its units' samples in order, for a replay."""
+    point = F.struct("t", F.round("x", 2).alias("x"), F.round("y", 2).alias("y"))
+    tracks = positions.groupBy(*by, "unit").agg(F.array_sort(F.collect_list(point)).alias("samples"))
+    return tracks.groupBy(*by).agg(F.to_json(F.array_sort(F.collect_list(F.struct("unit", "samples")))).alias("replay"))
+
+
+def floor_plan(polygons: list[tuple[str, list[tuple[float, float]]]], points: list[tuple[float, float]] = (), scale: float = 4.0) -> str:
+    """An SVG of an arena's polygons (kind and corners) and of points on it."""
+    every = [p for _, poly in polygons for p in poly] + list(points)
+    left, top = min((x for x, _ in every), default=0), min((y for _, y in every), default=0)
+    at = lambda x, y: f"{(x - left) * scale:.1f},{(y - top) * scale:.1f}"
+    shapes = "".join(f'<polygon class="{html.escape(kind)}" points="{" ".join(at(*p) for p in poly)}"/>' for kind, poly in polygons)
+    dots = "".join('<circle cx="{}" cy="{}" r="2"/>'.format(*at(*p).split(",")) for p in points)
+    width, height = (max((v - low for v in vs), default=0) * scale for vs, low in (([x for x, _ in every], left), ([y for _, y in every], top)))
+    return f'<svg xmlns="http://www.w3.org/2000/svg" width="{width:.0f}" height="{height:.0f}">{shapes}{dots}</svg>'
+
+
+#: Metrics of units that are stored; actions of pets count for their owners.
+ACTIONS = ["interruptsLanded", "dispels", "purges", "cleanses", "spellsteals"]
+OWN = ["casts", "interruptsSuffered", "deaths", "damageDone", "healingDone", "absorbDone", "dps", "hps"]
+PLACES = {"distance": "distanceMoved", "stationary": "timeStationarySec", "melee_sec": "spacing.meleeRangeSec", "isolated_sec": "spacing.isolatedSec", "healer_distance": "avgHealerDistanceYd"}
+SIDECAR_MS = 5 * 60_000
+
+
+def _match_tables(seg: DataFrame, m: DataFrame, character: str, sidecars: DataFrame | None) -> tuple[dict[str, DataFrame], DataFrame]:
+    """The four tables of the matches m (match_id: as of the log, key: as stored), and the files of matches without
+    players of a known team."""
+    listed, who = logs.combatants(seg), logs.units(seg)
+    me = F.lower("name") == character.lower()
+    players = who.where("kind = 'player'").join(listed, ["match_id", "unit_id"], "left")
+    mine = players.where(me).groupBy("match_id").agg(F.min("unit_id").alias("player_id"), F.min("team_id").alias("player_team"), F.min("rating").alias("player_cr"), F.min("spec").alias("player_spec"))
+    team = F.when(F.col("team_id").isNotNull() & F.col("player_team").isNotNull(), F.when(F.col("team_id") == F.col("player_team"), "friendly").otherwise("enemy")).otherwise(F.when(F.col("hostile"), "enemy").otherwise("friendly"))
+    sided = players.join(mine, "match_id", "left").withColumn("team", team)
+    own_team = sided.select("match_id", F.col("unit_id").alias("owner_id"), F.col("team").alias("_team"))
+    all_units = sided.select("match_id", "unit_id", "kind", "team", "owner_id").unionByName(
+        who.where("kind != 'player'").join(own_team, ["match_id", "owner_id"], "left").select("match_id", "unit_id", "kind", F.coalesce("_team", F.when(F.col("hostile"), "enemy").otherwise("neutral")).alias("team"), "owner_id")
+    )
+    e = logs.events(seg).join(m.select("match_id", F.col("start_ms").alias("_start"), "key"), "match_id")
+    wide = units.unit_metrics(e, all_units, m.select("match_id", "duration_sec"))
+    rolled = aggregates.roll_up_owners(wide.select("match_id", "unit_id", *ACTIONS), events.resolve_players(all_units), ["match_id"], ACTIONS)
+    healers = sided.select("match_id", F.col("unit_id").alias("unit"), "team", F.coalesce(F.col("spec").isin(*HEALERS), F.lit(False)).alias("healer"))
+    samples = e.where("x IS NOT NULL").select("match_id", F.col("adv_unit_id").alias("unit"), ((F.col("ts_ms") - F.col("_start")) / 1000.0).alias("t"), "seq", "x", "y").join(healers, ["match_id", "unit"])
+    places = aggregates.movement(samples, ["match_id", "unit"]).join(grid.spacing(grid.others_at(samples, ["match_id"], 0.5), ["match_id"], 0.5), ["match_id", "unit"], "left").withColumnRenamed("unit", "unit_id")
+    named = wide.where("kind = 'player'").select("match_id", "unit_id", "team", *OWN).join(rolled, ["match_id", "unit_id"], "left").join(places, ["match_id", "unit_id"], "left")
+    for old, new in PLACES.items():
+        named = named.withColumnRenamed(old, new)
+    ids = [*OWN, *ACTIONS, *PLACES.values()]
+    long = aggregates.unpivot_metrics(named.select("match_id", "unit_id", "team", *(F.col(f"`{c}`").alias(c.replace(".", "__")) for c in ids)), ["match_id", "unit_id", "team"], [c.replace(".", "__") for c in ids]).withColumn("metric_id", F.regexp_replace("metric_id", "__", "."))
+    scoped = long.join(mine.select("match_id", "player_id"), "match_id", "left").withColumn("scope", F.when(F.col("unit_id") == F.col("player_id"), "player").otherwise(F.col("unit_id")))
+    totals = long.where("team = 'friendly'").groupBy("match_id", "metric_id").agg(F.sum("value").alias("value")).withColumn("scope", F.lit("team"))
+    keyed = lambda df, *cols: df.join(m.select("match_id", "key"), "match_id").select(F.col("key").alias("match_id"), *cols)
+    metric = keyed(scoped.select("match_id", "scope", "metric_id", "value").unionByName(totals), "scope", "metric_id", "value")
+    name, realm = F.substring_index("name", "-", 1), F.when(F.instr("name", "-") > 0, F.expr("substring(name, instr(name, '-') + 1)")).otherwise("")
+    combatant = keyed(sided, "unit_id", name.alias("name"), realm.alias("realm"), "spec", "team", F.coalesce(F.col("unit_id") == F.col("player_id"), F.lit(False)).alias("is_player"))
+    comps = sided.groupBy("match_id").agg(*(F.concat_ws("_", F.array_sort(F.collect_list(F.when(F.col("team") == t, F.col("spec").cast("string"))))).alias(c) for t, c in (("friendly", "comp"), ("enemy", "enemy_comp"))))
+    mmr = lambda t: F.when(t == "0", F.col("team0_mmr")).when(t == "1", F.col("team1_mmr"))
+    other = F.when(F.col("player_team") == "0", "1").when(F.col("player_team") == "1", "0")
+    full = m.join(mine, "match_id", "left").join(comps, "match_id", "left")
+    result = F.when(F.col("player_team").isNull() | F.col("winner").isNull(), "unknown").when(F.col("player_team") == F.col("winner"), "win").otherwise("loss")
+    match = full.select(
+        F.col("key").alias("match_id"), F.lit(character).alias("character"), "bracket", "zone", "start_ms", "duration_sec", result.alias("result"), mmr(F.col("player_team")).alias("rating"), F.coalesce("comp", F.lit("")).alias("comp"),
+        F.coalesce("enemy_comp", F.lit("")).alias("enemy_comp"), mmr(other).alias("enemy_mmr"), "player_id", "player_cr", "player_spec", "ranked", "version", F.col("path").alias("source_file"),
+    )
+    if sidecars is not None:
+        s = sidecars.where("loaded AND start_ms IS NOT NULL").select(F.col("path").alias("ord"), F.col("start_ms").alias("right_ms"), F.col("result").alias("_won"))
+        near = asof.nearest(match.select(F.col("match_id").alias("left_id"), F.col("start_ms").alias("left_ms")), s, SIDECAR_MS).select(F.col("left_id").alias("match_id"), F.col("ord").alias("sidecar_path"))
+        known = match.join(near, "match_id", "left").join(s.select(F.col("ord").alias("sidecar_path"), "_won"), "sidecar_path", "left")
+        won = F.when(F.col("_won"), "win").when(~F.col("_won"), "loss")
+        match = known.withColumn("result", F.when(F.col("result") == "unknown", F.coalesce(won, F.lit("unknown"))).otherwise(F.col("result"))).drop("_won")
+    kind = F.when(F.col("event") == "SPELL_CAST_SUCCESS", "cast").when(F.col("event") == "UNIT_DIED", "death").when(F.col("event") == "SPELL_INTERRUPT", "interrupt")
+    row = F.struct((F.floor((F.col("ts_ms") - F.col("_start")) / 100) / 10.0).alias("t_sec"), "seq", kind.alias("kind"), "src_id", "dest_id", "spell_name")
+    timeline = e.where(kind.isNotNull()).groupBy(F.col("key").alias("match_id")).agg(F.array_sort(F.collect_list(row)).alias("timeline"))
+    held = metric.groupBy("match_id", "scope").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("metric_id", "value")))).alias("metrics")).groupBy("match_id").agg(F.array_sort(F.collect_list(F.struct("scope", F.to_json("metrics").alias("metrics")))).alias("units"))
+    found = match.select("match_id").join(held, "match_id", "left").join(timeline, "match_id", "left")
+    tables = {"match": match, "combatant": combatant, "metric": metric, "match_detail": found.select("match_id", F.to_json(F.struct("units", "timeline")).alias("detail"))}
+    return tables, m.join(sided.select("match_id").distinct(), "match_id", "left_anti").select("path")
+
+
+def ingest(spark: SparkSession, folder: str, store: stores.Store, character: str, seasons_back: int | None = 1, force: bool = False, sidecars: str | None = None) -> DataFrame:
+    """Read the logs of a folder that the ledger lacks and write their matches, combatants, metrics and details with the
+    ledger's rows as one batch; gives the files ledgered. A grown log is read again whole; the upsert makes that
+    harmless. Files with a bad line or a match without players aren't ledgered and so are read again."""
+    scratch = Scratch(spark, "ingest")
     ledger = store.read("ingest_file")
     ledger = ledger if ledger is not None else spark.createDataFrame([], "path string, size long")
-    # files and their sizes are fixed before the logs are read, so that a log that grows meanwhile is read again
-    scratch = Scratch(spark, "ingest")
-    chosen = scratch.save(stores.select_files(files.join(versions, "file", "left"), ledger, seasons_back, force).select("path", "size", "file"))
-    wanted = lines.withColumn("_f", F.regexp_replace("file", "^file:/+", "/")).join(F.broadcast(chosen.select(F.col("file").alias("_f"))), "_f", "left_semi").drop("_f")
-    parsed, _ = logs.parse(wanted)
-    m = logs.matches(logs.segment(parsed)).where("complete")
-    rows = m.select(
-        F.concat_ws("#", F.element_at(F.split("file", "/"), -1), "start_ms").alias("match_id"), F.lit(character).alias("character"), "bracket", "zone", "start_ms", "duration_sec",
-        F.lit("unknown").alias("result"), F.coalesce("team0_mmr", "team1_mmr").alias("rating"), F.lit("").alias("comp"),
-    )
-    store.upsert("match", rows)
-    done = chosen.select("path", "size")
-    store.upsert("ingest_file", done)
-    return done
+    # sizes are fixed before the logs are read, so that a log that grows meanwhile is read again
+    new = scratch.save(relational.not_ledgered(logs.discover(spark, folder), ledger, force).select("path", "size"))
+    versions = logs.sniff(spark, [r.path for r in new.select("path").toLocalIterator()])
+    chosen = scratch.save(stores.select_files(new.join(versions, "path", "left"), ledger, seasons_back, True).select("path", "size", "version"))
+    paths = [r.path for r in chosen.select("path").toLocalIterator()]
+    if not paths:
+        return chosen.select("path", "size")
+    parsed, bad = logs.parse(logs.read_lines(spark, paths))
+    seg = scratch.save(logs.segment(parsed).where("match_no IS NOT NULL"))
+    plain = lambda c: F.regexp_replace(c, "^file:/+", "/")
+    files = chosen.select("path", "version", plain("path").alias("_f"))
+    done = logs.matches(seg).where("complete").withColumn("_f", plain("file")).join(files, "_f").drop("_f")
+    m = scratch.save(done.withColumn("match_id", logs.match_key()).withColumn("key", F.concat_ws("#", F.element_at(F.split("file", "/"), -1), "start_ms")))
+    seg = seg.join(m.select("file", "match_no"), ["file", "match_no"], "left_semi")
+    tables, lost = _match_tables(seg, m, character, stores.read_sidecars(spark, sidecars) if sidecars else None)
+    failed = bad.select(plain("file").alias("_f")).union(lost.select(plain("path"))).distinct()
+    ledgered = scratch.save(chosen.withColumn("_f", plain("path")).join(failed, "_f", "left_anti").select("path", "size"))
+    store.write(tables | {"ingest_file": ledgered})
+    return ledgered
+
+
+def respond(store: stores.Store, method: str, path: str, query: dict[str, str] | None = None, gap_ms: int = GAP_MS) -> tuple[int, str]:
+    """Status and JSON of a request: /api/filters, /api/metadata, /api/matches, and of one match /api/matches/ID with
+    /scorecard and /detail. Only GET is known."""
+    q = query or {}
+    number = lambda k: float(q[k]) if re.fullmatch(r"-?\d+(\.\d+)?", q.get(k, "")) else None
+    whole = lambda k: None if number(k) is None else int(number(k))
+    rows = lambda df: [json.loads(x) for x in df.toJSON().collect()]
+    answer = lambda status, body: (status, json.dumps(body))
+    if method != "GET":
+        return answer(405, {"error": "only GET is known"})
+    if path == "/api/filters":
+        return answer(200, rows(facets(store)))
+    if path == "/api/metadata":
+        return answer(200, {"metrics": [{"id": k, "polarity": p, "per_minute": r} for k, (p, r) in cohort.SCORECARD.items()]})
+    if path == "/api/matches":
+        spec = {"character": q.get("character"), "bracket": q.get("bracket"), "zone": q.get("map"), "result": q.get("result"), "rating_min": number("minRating"), "rating_max": number("maxRating"), "start_min": number("from"), "start_max": number("to")}
+        page = matches(store, spec, q.get("sort", "start_ms"), q.get("order") != "asc", whole("limit"), whole("offset") or 0, q.get("q", ""), gap_ms)
+        return answer(200, {"matches": rows(page), "total": total(store, spec)})
+    if one := re.fullmatch(r"/api/matches/([^/]+)(/scorecard|/detail)?", path):
+        match_id = unquote(one[1])
+        found = rows(store.read("match").where(F.col("match_id") == match_id))
+        if not found:
+            return answer(404, {"error": "no such match"})
+        if one[2] == "/scorecard":
+            mode, n = q.get("mode"), whole("n")
+            scope = {"map": q.get("map") == "1", "comp": q.get("comp") == "1", "rating_band": number("ratingBand"), "hours": number("timeOfDay"), "gap_ms": gap_ms}
+            scope |= {"last_games": n} if mode == "games" and n else {"last_sessions": n} if mode == "sessions" and n else {}
+            return answer(200, rows(scorecard(store, match_id, scope)))
+        if one[2] == "/detail":
+            text = store.read("match_detail").where(F.col("match_id") == match_id).first()
+            return answer(200, json.loads(text.detail)) if text else answer(404, {"error": "no detail of this match"})
+        return answer(200, found[0])
+    return answer(404, {"error": "not found"})
+
+
+def serve(store: stores.Store, port: int = 8080) -> ThreadingHTTPServer:
+    """A server of ``respond``; call serve_forever on it."""
+
+    class Handler(BaseHTTPRequestHandler):
+        def _answer(self) -> None:
+            url = urlsplit(self.path)
+            status, body = respond(store, self.command, url.path, {k: v[-1] for k, v in parse_qs(url.query).items()})
+            self.send_response(status)
+            self.send_header("content-type", "application/json")
+            self.end_headers()
+            self.wfile.write(body.encode())
+
+        do_GET = do_POST = do_PUT = do_DELETE = _answer
+
+        def log_message(self, *_) -> None:
+            pass
+
+    return ThreadingHTTPServer(("127.0.0.1", port), Handler)
 
 
 def main(argv: list[str] | None = None) -> int:
@@ -97,6 +253,11 @@ def main(argv: list[str] | None = None) -> int:
     a.add_argument("--seasons-back", type=int, default=1)
     a.add_argument("--all-seasons", action="store_true")
     a.add_argument("--force", action="store_true")
+    a.add_argument("--sidecars")
+    a = sub.add_parser("serve")
+    a.add_argument("--port", type=int, default=8080)
+    a = sub.add_parser("export")
+    a.add_argument("folder")
     a = sub.add_parser("matches")
     a.add_argument("--filter", type=json.loads, default={})
     a.add_argument("--limit", type=int, default=50)
@@ -111,8 +272,12 @@ def main(argv: list[str] | None = None) -> int:
     spark = get_spark()
     store = stores.Store(spark, args.store)
     if args.command == "ingest":
-        out = ingest(spark, args.folder, store, args.character, None if args.all_seasons else args.seasons_back, args.force)
+        out = ingest(spark, args.folder, store, args.character, None if args.all_seasons else args.seasons_back, args.force, args.sidecars)
         print(f"{out.count()} files in the ledger's last write")
+    elif args.command == "serve":
+        serve(store, args.port).serve_forever()
+    elif args.command == "export":
+        export(store, list(cohort.SCORECARD)).write.option("header", "true").csv(args.folder)
     elif args.command == "matches":
         rows = matches(store, args.filter, limit=args.limit)
         print(report(rows, "Matches") if args.html else "\n".join(rows.withColumn("rating", scalars.short_number(F.col("rating"))).toJSON().collect()))
