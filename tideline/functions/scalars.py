@@ -70,3 +70,8 @@ def season_key(name: Column) -> Column:
     """Number that orders seasons by major and then minor version."""
     parts = F.split(name, r"\.")
     return parts[0].cast("int") * 1000 + parts[1].cast("int")
+
+
+def percent(share: Column) -> Column:
+    """A share as whole percent."""
+    return F.concat(F.floor(share * 100 + 0.5).cast("string"), F.lit("%"))
