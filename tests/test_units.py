@@ -46,10 +46,11 @@ def test_features(spark):
     t = spark.createDataFrame([("m", 5, 1, "cc", "us"), ("m", 25, 2, "cc", "us"), ("m", 9, 3, "interrupt", "them"), ("m", 40, 4, "death", "us")], "m string, t_sec long, seq long, kind string, side string")
     r = units.timeline_features(t, "m", F.col("side") == "us").first()
     assert (r.early_cc_20, r.early_cc_30, r.first_kick_on, r.first_death_sec, r.first_death_on, r.first_cc_sec) == (1, 2, "them", 40, "us", 5)
-    w = spark.createDataFrame([("m", "a", 1, 10, 40, 300), ("m", "a", 2, 50, 80, 300)], "m string, team string, window long, from_sec long, to_sec long, damage long")
-    d = spark.createDataFrame([("m", "b", 40), ("m", "a", 60)], "m string, team string, t_sec long")
+    w = spark.createDataFrame([("m", "friendly", 1, 10, 40, 300, 2, 1), ("m", "friendly", 2, 50, 80, 300, 4, None)], "m string, team string, window long, from_sec long, to_sec long, damage long, defenses_up int, offense_ready int")
+    d = spark.createDataFrame([("m", "enemy", 40), ("m", "friendly", 60)], "m string, team string, t_sec long")
     f = units.window_features(w, d, "m", spark.createDataFrame([("m", 2.0)], "m string, minutes double")).first()
-    assert (f.go_per_min, f.go_damage_per_min, f.lethal_fraction) == (1.0, 600.0, 0.5)
+    assert (f.go_per_min, f.go_damage_per_min, f.lethal_fraction) == (1.0, 300.0, 0.5)  # damage by minute of the match
+    assert (f.first_go_sec, f.mean_defenses_up, f.mean_offense_ready) == (10, 3.0, 1.0)
 
 
 def test_dimensions(spark):

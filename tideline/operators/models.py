@@ -7,16 +7,42 @@ from pyspark.ml.classification import GBTClassifier, LogisticRegression
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.ml.feature import Imputer, OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tideline.session import Scratch
 
-def folds(df: DataFrame, group: str, n: int = 5, seed: int = 7) -> DataFrame:
-    """Add fold: all rows of a group share one."""
-    return df.withColumn("fold", F.pmod(F.xxhash64(F.lit(seed), group), F.lit(n)).cast("int"))
 
+#: Levels of fewer rows than this are one.
+LEAST_LEVEL = 10
+#: The inverse strength of the penalty of a logit, as sums and not means of losses have it.
+STRENGTH = 0.1
+RARE = "(rare)"
 
-def pipeline(numeric: list[str], categorical: list[str], label: str, kind: str = "logit") -> Pipeline:
+
+def folds(df: DataFrame, group: str, n: int = 5, seed: int = 7, label: str | None = None, buckets: int = 64) -> DataFrame:
+    """Add fold: all rows of a group share one. With a label, groups of like outcomes and sizes are dealt out in turn, in
+    a drawn order and within buckets of a hash, so that folds have like shares of both and no task has all groups."""
+    drawn = F.xxhash64(F.lit(seed), group)
+    if label is None:
+        return df.withColumn("fold", F.pmod(drawn, F.lit(n)).cast("int"))
+    sizes = df.groupBy(group).agg(F.round(F.avg(F.col(label).cast("double")) * 4).alias("_rate"), F.floor(F.log2(F.count(F.lit(1)))).alias("_size"))
+    bucket = F.pmod(drawn, F.lit(buckets))
+    place = F.row_number().over(Window.partitionBy("_rate", "_size", bucket).orderBy(drawn))
+    dealt = sizes.select(group, F.pmod(place + bucket, F.lit(n)).cast("int").alias("fold"))
+    return df.join(dealt, group)
+
+
+def pool_rare(train: DataFrame, test: DataFrame, categorical: list[str], least: int = LEAST_LEVEL) -> tuple[DataFrame, DataFrame]:
+    """Both frames with the levels that the first has in fewer rows than least, and null, as one level."""
+    for c in categorical:
+        often = train.groupBy(c).count().where(F.col("count") >= least).select(F.col(c).alias("_level")).where("_level IS NOT NULL")
+        put = lambda df: df.join(often, df[c] == often["_level"], "left").withColumn(c, F.coalesce(F.col("_level").cast("string"), F.lit(RARE))).drop("_level")  # noqa: B023, E731
+        train, test = put(train), put(test)
+    return train, test
+
+
+def pipeline(numeric: list[str], categorical: list[str], label: str, kind: str = "logit", penalty: float = 0.02, rounds: int = 20) -> Pipeline:
     """Median imputation, scaling, one-hot codes and an elastic-net logit or boosted trees."""
     filled = [f"{c}_filled" for c in numeric]
     indexed = [f"{c}_index" for c in categorical]
@@ -31,9 +57,9 @@ def pipeline(numeric: list[str], categorical: list[str], label: str, kind: str =
     stages.append(VectorAssembler(inputCols=inputs, outputCol=raw))
     if kind == "logit":
         stages.append(StandardScaler(inputCol=raw, outputCol="features"))
-        stages.append(LogisticRegression(labelCol=label, regParam=0.02, elasticNetParam=0.5, maxIter=100))
+        stages.append(LogisticRegression(labelCol=label, regParam=penalty, elasticNetParam=0.5, maxIter=100))
     else:
-        stages.append(GBTClassifier(labelCol=label, maxIter=20, maxDepth=3, seed=7))
+        stages.append(GBTClassifier(labelCol=label, maxIter=rounds, maxDepth=3, stepSize=0.06, seed=7))
     return Pipeline(stages=stages)
 
 
@@ -48,13 +74,14 @@ def quality(predictions: DataFrame) -> tuple[float, float]:
     return auc, predictions.agg(F.avg((F.col("prob") - F.col("_y")) ** 2)).first()[0]
 
 
-def cross_validate(df: DataFrame, numeric: list[str], categorical: list[str], label: str, group: str, kind: str = "logit", n: int = 5) -> tuple[DataFrame, list]:
-    """Predictions of every row by the model of the other folds, and the models."""
-    marked = folds(df, group, n)
+def cross_validate(df: DataFrame, numeric: list[str], categorical: list[str], label: str, group: str, kind: str = "logit", n: int = 5, rounds: int = 20) -> tuple[DataFrame, list]:
+    """Predictions of every row by the model of the other folds, and the models; folds share the outcomes evenly."""
+    marked = Scratch(df.sparkSession, "folds").save(folds(df, group, n, label=label).select(*df.columns, "fold"))
     out, models = None, []
     for k in range(n):
-        model = pipeline(numeric, categorical, label, kind).fit(marked.where(F.col("fold") != k))
-        part = scored(model, marked.where(F.col("fold") == k), label)
+        train, test = pool_rare(marked.where(F.col("fold") != k), marked.where(F.col("fold") == k), categorical)
+        model = pipeline(numeric, categorical, label, kind, 1 / (STRENGTH * max(1, train.count())), rounds).fit(train)
+        part = scored(model, test, label)
         out = part if out is None else out.unionByName(part)
         models.append(model)
     return out, models
@@ -63,8 +90,6 @@ def cross_validate(df: DataFrame, numeric: list[str], categorical: list[str], la
 def shuffled(df: DataFrame, column: str, seed: int) -> DataFrame:
     """df with a column's values dealt out anew: rows are numbered in two drawn orders within buckets of a hash, so no
     task sorts them all."""
-    from pyspark.sql import Window
-
     parts = max(1, df.rdd.getNumPartitions())
     rows = df.withColumn("_id", F.monotonically_increasing_id()).withColumn("_part", F.pmod(F.xxhash64("_id", F.lit(seed)), F.lit(parts)))
     place = lambda s: F.row_number().over(Window.partitionBy("_part").orderBy(F.xxhash64("_id", F.lit(s))))
@@ -84,17 +109,15 @@ def permutation_importance(model, held_out: DataFrame, columns: list[str], label
 
 
 def interaction_strength(model, df: DataFrame, a: str, b: str, label: str, grid: int = 16) -> float:
-    """Friedman's H squared of two columns from partial dependence on a grid of quantiles. The grid (at most grid
-    squared rows) is crossed with a sample of at most 500 rows, a parameter of the statistic."""
-    sample = df.orderBy(F.xxhash64(*df.columns)).limit(500)
+    """Friedman's H squared of two columns from partial dependence on a grid of quantiles: all rows are scored with the
+    columns set to each point of the grid (at most grid squared), which multiplies them by that bounded number."""
     knots = lambda c: sorted({float(v) for v in df.approxQuantile(c, [i / (grid - 1) for i in range(grid)], 0.001)})
     ka, kb = knots(a), knots(b)
 
     def dependence(points: list[tuple], columns: list[str]) -> dict:
-        kinds = ", ".join(f"{c} double" for c in columns)
-        table = df.sparkSession.createDataFrame(points, kinds)
-        crossed = sample.drop(*columns).join(F.broadcast(table))
-        p = scored(model, crossed.withColumn(label, F.col(label)), label)
+        each = F.array(*(F.struct(*(F.lit(v).alias(c) for v, c in zip(p, columns, strict=True))) for p in points))
+        set_ = df.drop(*columns).withColumn("_p", F.explode(each)).select("*", "_p.*").drop("_p")
+        p = scored(model, set_, label)
         return {tuple(r[c] for c in columns): r["m"] for r in p.groupBy(*columns).agg(F.avg("prob").alias("m")).collect()}
 
     fa, fb, fab = dependence([(x,) for x in ka], [a]), dependence([(x,) for x in kb], [b]), dependence([(x, y) for x in ka for y in kb], [a, b])

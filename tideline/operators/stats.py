@@ -8,6 +8,7 @@ every feature reach the driver.
 from __future__ import annotations
 
 import math
+from itertools import combinations
 
 import numpy as np
 import pandas as pd
@@ -15,6 +16,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
+from tideline.session import Scratch
+
+#: Logits that are fitted together.
+MOST_GROUPS = 10_000
 LEAST_SIDE = 15
 LEAST_LEVEL = 15
 Z95 = 1.96
@@ -122,11 +127,14 @@ def categorical_screen(df: DataFrame, columns: list[str], win: str = "win") -> D
 
 def logit_fit(df: DataFrame, by: str, xs: list[str], y: str, ridge: float = 1e-6, rounds: int = 30) -> dict:
     """By group: coefficients (intercept first) and log likelihood of a logit, by Newton steps with a hair of ridge on
-    all but the intercept. Each step is one aggregation; coefficients of every group return as literals of a small table."""
+    all but the intercept. Each step is one aggregation over saved rows; coefficients of every group, at most MOST_GROUPS,
+    return as literals of a small table."""
     spark = df.sparkSession
     k = len(xs) + 1
-    rows = df.select(by, F.col(y).cast("double").alias("_y"), F.lit(1.0).alias("_x0"), *(F.col(x).cast("double").alias(f"_x{i + 1}") for i, x in enumerate(xs)))
-    groups = [r[0] for r in rows.select(by).distinct().collect()]
+    rows = Scratch(spark, "logit").save(df.select(by, F.col(y).cast("double").alias("_y"), F.lit(1.0).alias("_x0"), *(F.col(x).cast("double").alias(f"_x{i + 1}") for i, x in enumerate(xs))))
+    groups = [r[0] for r in rows.select(by).distinct().limit(MOST_GROUPS + 1).collect()]
+    if len(groups) > MOST_GROUPS:
+        raise ValueError(f"more than {MOST_GROUPS} logits at once")
     kind = df.schema[by].dataType.simpleString()
     beta = {g: np.zeros(k) for g in groups}
     likelihood = {}
@@ -246,6 +254,33 @@ def clusters(pairs: list[tuple[str, str, float]], columns: list[str], threshold:
     return out
 
 
+def candidate_pairs(top: list[str], named: list[tuple[str, str]] = ()) -> list[tuple[str, str]]:
+    """All pairs of the top features and then the named ones, each unordered pair once and none with itself."""
+    every = [*combinations(top, 2), *named]
+    seen = {frozenset(p): p for p in reversed(every) if p[0] != p[1]}
+    return list(dict.fromkeys(seen[frozenset(p)] for p in every if p[0] != p[1]))
+
+
+def interaction_screen(wide: DataFrame, pairs: list[tuple[str, str]], control: str, win: str = "win", least: int = 60) -> DataFrame:
+    """Of each pair of columns: rows that are complete (n), the p of the product's term in a logit of the outcome on the
+    control and both columns, q over all pairs that were tried, and rows and win rates of the quadrants at the
+    medians. Pairs of too few rows, without spread or with one outcome have no row."""
+    d = lambda c: F.col(c).cast("double")
+    each = F.array(*(F.struct(F.lit(k).alias("pair"), F.lit(a).alias("a"), F.lit(b).alias("b"), d(a).alias("xa"), d(b).alias("xb")) for k, (a, b) in enumerate(pairs)))
+    rows = wide.select(d(win).alias("y"), d(control).alias("c"), F.explode(each).alias("e")).select("y", "c", "e.*")
+    rows = Scratch(wide.sparkSession, "pairs").save(rows.where("xa IS NOT NULL AND xb IS NOT NULL AND c IS NOT NULL AND y IS NOT NULL AND NOT isnan(xa) AND NOT isnan(xb)"))
+    moments = rows.groupBy("pair").agg(F.count(F.lit(1)).alias("n"), *(f(c).alias(f"{n}{c}") for c in ("xa", "xb", "c") for n, f in (("m_", F.avg), ("s_", F.stddev_pop))), F.median("xa").alias("md_a"), F.median("xb").alias("md_b"), F.min("y").alias("_lo"), F.max("y").alias("_hi"))
+    usable = moments.where(f"n >= {least} AND s_xa > 0 AND s_xb > 0 AND _lo < _hi")
+    joined = rows.join(F.broadcast(usable), "pair")  # a row for each pair
+    z = lambda c: (F.col(c) - F.col(f"m_{c}")) / F.when(F.col(f"s_{c}") > 0, F.col(f"s_{c}")).otherwise(1.0)
+    scaled = joined.select("pair", "y", z("c").alias("z0"), z("xa").alias("z1"), z("xb").alias("z2")).withColumn("z12", F.col("z1") * F.col("z2"))
+    tested = bh_qvalues(lr_test(scaled, "pair", ["z0", "z1", "z2"], "z12", "y"), n_tests=len(pairs))
+    high_a, high_b = F.col("xa") > F.col("md_a"), F.col("xb") > F.col("md_b")
+    cells = {f"{la}_{lb}": ca & cb for la, ca in (("low", ~high_a), ("high", high_a)) for lb, cb in (("low", ~high_b), ("high", high_b))}
+    split = joined.groupBy("pair", "a", "b", "n").agg(*(x for k, c in cells.items() for x in (F.count_if(c).alias(f"n_{k}"), F.avg(F.when(c, F.col("y"))).alias(f"wr_{k}"))))
+    return split.join(tested.select("pair", "p", "q"), "pair").drop("pair")
+
+
 def median_split(df: DataFrame, a: str, b: str) -> DataFrame:
     """n and win rate of the four quadrants of two columns split at their medians (above or not)."""
     mid = df.agg(F.median(a).alias("_ma"), F.median(b).alias("_mb"))

@@ -92,13 +92,16 @@ def timeline_features(timeline: DataFrame, match: str, mine: Column) -> DataFram
 
 
 def window_features(windows: DataFrame, deaths: DataFrame, match: str, minutes: DataFrame) -> DataFrame:
-    """By match and attacking team: windows a minute, damage a minute within them, and the share of windows with a
-    death of the other team in the closed span. windows: team, window, from_sec, to_sec, damage; deaths: team, t_sec;
-    minutes: minutes of each match."""
-    other = deaths.select(match, F.col("team").alias("_team"), "t_sec")
-    lethal = windows.join(other, match).where("_team != team AND t_sec >= from_sec AND t_sec <= to_sec").select(match, "team", "window").distinct().withColumn("_lethal", F.lit(1))
+    """By match and attacking team: windows and their damage by minute of the match, the first start, the means of the
+    defences and the offence that were ready, and the share of windows with a death of the other team in the closed
+    span. windows: team, window, from_sec, to_sec, damage, defenses_up, offense_ready; deaths: team, t_sec; minutes: of
+    each match."""
+    spans = windows.select(match, "team", "window", F.col("from_sec").alias("start_ms"), (F.col("to_sec") + 1).alias("end_ms"))
+    points = deaths.select(match, F.explode(F.array(*(F.lit(t) for t in ("friendly", "enemy")))).alias("team"), F.col("team").alias("_died"), F.col("t_sec").alias("ts_ms")).where("team != _died")
+    lethal = intervals.points_in_intervals(points, spans, [match, "team"], 30, closed=False).where("ts_ms <= end_ms - 1").select(match, "team", "window").distinct().withColumn("_lethal", F.lit(1))
     marked = windows.join(lethal, [match, "team", "window"], "left").join(minutes, match)
-    span = F.sum(F.col("to_sec") - F.col("from_sec")) / 60
+    per = lambda c: F.when(F.first("minutes") > 0, c / F.first("minutes"))
     return marked.groupBy(match, "team").agg(
-        (F.count(F.lit(1)) / F.first("minutes")).alias("go_per_min"), (F.sum("damage") / F.nullif(span, F.lit(0))).alias("go_damage_per_min"), (F.count("_lethal") / F.count(F.lit(1))).alias("lethal_fraction")
-    )
+        per(F.count(F.lit(1))).alias("go_per_min"), per(F.sum("damage")).alias("go_damage_per_min"), F.min("from_sec").alias("first_go_sec"), F.avg("defenses_up").alias("mean_defenses_up"), F.avg("offense_ready").alias("mean_offense_ready"),
+        (F.count("_lethal") / F.count(F.lit(1))).alias("lethal_fraction"),
+    )

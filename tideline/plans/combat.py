@@ -117,7 +117,7 @@ def fea01_rates_and_flags(spark, sf):
 
 
 @query("""WITH r AS (SELECT l_orderkey AS match_id, count(*) FILTER (l_suppkey % 3 = 0) AS m, count(*) FILTER (l_suppkey % 3 = 1) AS r, count(*) FILTER (l_suppkey % 3 = 2) AS h FROM lineitem GROUP BY 1)
-SELECT match_id, concat_ws('+', CASE WHEN m = 1 THEN 'melee' WHEN m > 1 THEN m || 'melee' END, CASE WHEN r = 1 THEN 'ranged' WHEN r > 1 THEN r || 'ranged' END, CASE WHEN h > 0 THEN 'healer' END) AS archetype FROM r""")
+SELECT match_id, concat_ws('+', CASE WHEN m = 1 THEN 'melee' WHEN m > 1 THEN m || 'melee' END, CASE WHEN r = 1 THEN 'ranged' WHEN r > 1 THEN r || 'ranged' END, CASE WHEN h = 1 THEN 'healer' WHEN h > 1 THEN h || 'healer' END) AS archetype FROM r""")
 def fea02_archetypes(spark, sf):
     from tideline.session import table
 
