@@ -96,7 +96,8 @@ def window_sums(hits: DataFrame, by: list[str], start_ms: int, end_ms: int, step
 
 def focus(sums: DataFrame, by: list[str], last_tick: int) -> DataFrame:
     """The dominant target of every tick: the one before stays unless another one strictly exceeds it; a null breaks
-    off. Sums of a tick are folded in order of ticks, one array per attacker and match."""
+    off. Sums of a tick are folded in order of ticks, one array per attacker and match; the fold keeps only the ticks
+    at which the target changes."""
     per_tick = sums.groupBy(*by, "tick").agg(F.array_sort(F.collect_list(F.struct("first_ms", "target", "amount"))).alias("s"))
     grid = sums.select(*by).distinct().withColumn("tick", F.explode(F.sequence(F.lit(0), F.lit(last_tick)).cast("array<bigint>")))
     full = grid.join(per_tick, [*by, "tick"], "left")
@@ -107,7 +108,10 @@ def focus(sums: DataFrame, by: list[str], last_tick: int) -> DataFrame:
         F.lit(None).cast(f"struct<prev:{target},out:array<struct<tick:bigint,target:{target}>>>"),
         lambda acc, t: _step(acc, t, target),
     )
-    return listed.select(*by, F.explode(folded["out"]).alias("o")).select(*by, "o.tick", "o.target")
+    changes = listed.select(*by, folded["out"].alias("out"))
+    ends = F.concat(F.transform(F.slice("out", F.lit(2), F.size("out")), lambda o: o["tick"]), F.array(F.lit(last_tick + 1).cast("long")))
+    spans = F.zip_with("out", ends, lambda o, e: F.struct(F.sequence(o["tick"], e - 1).alias("ticks"), o["target"].alias("target")))
+    return changes.select(*by, F.explode(spans).alias("o")).select(*by, F.explode("o.ticks").alias("tick"), "o.target")
 
 
 def _step(acc: Column, t: Column, target: str) -> Column:
@@ -116,7 +120,9 @@ def _step(acc: Column, t: Column, target: str) -> Column:
     most = F.array_max(F.transform(sums, lambda s: s["amount"]))
     first = F.get(F.filter(sums, lambda s: s["amount"] == most), F.lit(0))["target"]
     best = F.when((own > 0) & (own >= most), acc["prev"]).when(most > 0, first)
-    out = F.concat(F.coalesce(acc["out"], F.array().cast(f"array<struct<tick:bigint,target:{target}>>")), F.array(F.struct(t["tick"].alias("tick"), best.alias("target"))))
+    so_far = F.coalesce(acc["out"], F.array().cast(f"array<struct<tick:bigint,target:{target}>>"))
+    stays = acc["out"].isNotNull() & best.eqNullSafe(acc["prev"])
+    out = F.when(stays, so_far).otherwise(F.concat(so_far, F.array(F.struct(t["tick"].alias("tick"), best.alias("target")))))
     return F.struct(best.alias("prev"), out.alias("out"))
 
 
