@@ -39,6 +39,8 @@ SIBLINGS = {
     "option": (("option",), ("select",)),
 }
 NAMED = BLOCKS | RAW | VOID | INLINE
+#: Elements and places that a memo holds.
+MEMO = 20_000
 _W = r"\t\n\f\r "
 _value = rf"[{_W}]*+=[{_W}]*+(?:\"([^\"]*+)\"|'([^']*+)'|"
 _tag = re.compile(rf"<(/?+)([a-zA-Z][^{_W}/><]*+)((?:[{_W}/]*+[^{_W}/>=<]++(?:{_value}([^{_W}\"'><][^{_W}><]*+)))?+)*+[{_W}/]*+)>")
@@ -72,18 +74,24 @@ class Outline:
     """The open block elements of a page. With weights, score is the sum of those of the features of a block there;
     it is kept for each level, so an element costs what it adds, however deep it is."""
 
-    def __init__(self, weights: dict[str, float] | None = None):
+    def __init__(self, weights: dict[str, float] | None = None, memo: dict | None = None):
         self.weight = (lambda f: weights.get(f, 0.0)) if weights is not None else lambda f: 0.0
+        #: What elements and places add, by tag and attributes; may be kept for all pages under the same weights.
+        self.memo = {} if memo is None else memo
         self.tags: list[str] = []
         self.at: dict[str, list[int]] = {}
-        self.own: list[list[str]] = []
+        self.own: list[list[tuple[str, float]]] = []
         self.open: dict[str, int] = {}
         self.levels = [(0.0, (), "", False)]
         self.scores = [self._score("")]
 
     def _score(self, tag: str) -> float:
         total, nearest, section, inside = self.levels[-1]
-        return total + sum(map(self.weight, (f"t={tag}", f"s={section}", f"in={inside}", *nearest)))
+        key = tag, nearest, section, inside
+        found = self.memo.get(key)
+        if found is None:
+            found = self.memo[key] = sum(map(self.weight, (f"t={tag}", f"s={section}", f"in={inside}", *nearest)))
+        return total + found
 
     @property
     def score(self) -> float:
@@ -93,14 +101,23 @@ class Outline:
         _, nearest, section, inside = self.levels[-1]
         return sorted({f"t={self.tags[-1] if self.tags else ''}", f"s={section}", f"in={inside}", *nearest, *self.open})
 
-    def push(self, tag: str, marks: list[str]) -> None:
+    def push(self, tag: str, attributes: str) -> None:
+        known = self.memo.get((tag, attributes))
+        if known is None:
+            marks = marks_of(attributes) if attributes else []
+            names = [f"a={tag}", *(f"c={m}" for m in marks), *(f"b={tag}.{m}" for m in marks)]
+            known = [(f, self.weight(f)) for f in names], tuple(f"d={m}" for m in marks)
+            if len(self.memo) < MEMO:
+                self.memo[tag, attributes] = known
+        own, marked = known
         total, nearest, section, inside = self.levels[-1]
-        own = [f"a={tag}", *(f"c={m}" for m in marks), *(f"b={tag}.{m}" for m in marks)]
-        for f in own:
-            if f not in self.open:
-                total += self.weight(f)
-            self.open[f] = self.open.get(f, 0) + 1
-        self.levels.append((total, tuple(f"d={m}" for m in marks) or nearest, tag if tag in SECTIONS else section, inside or tag in ("article", "main")))
+        open_ = self.open
+        for f, w in own:
+            n = open_.get(f, 0)
+            if not n:
+                total += w
+            open_[f] = n + 1
+        self.levels.append((total, marked or nearest, tag if tag in SECTIONS else section, inside or tag in ("article", "main")))
         self.at.setdefault(tag, []).append(len(self.tags))
         self.tags.append(tag)
         self.own.append(own)
@@ -108,16 +125,22 @@ class Outline:
 
     def last(self, *tags: str) -> int:
         """The level of the innermost open element of some tags, -1 without one."""
-        return max((self.at[t][-1] for t in tags if self.at.get(t)), default=-1)
+        found = -1
+        for t in tags:
+            levels = self.at.get(t)
+            if levels and levels[-1] > found:
+                found = levels[-1]
+        return found
 
     def close(self, level: int) -> None:
         """Close the elements from a level on."""
         while len(self.tags) > level:
             self.at[self.tags.pop()].pop()
-            for f in self.own.pop():
-                self.open[f] -= 1
-                if not self.open[f]:
+            for f, _ in self.own.pop():
+                if self.open[f] == 1:
                     del self.open[f]
+                else:
+                    self.open[f] -= 1
             self.levels.pop()
             self.scores.pop()
 
@@ -138,11 +161,13 @@ def _broken(page: str, begin: int) -> tuple[int, str, str, bool]:
     return at, m[1], page[first:at], not values and (words or m[1].lower() not in NAMED)
 
 
-def leaf_blocks(page: str, weights: dict[str, float] | None = None) -> list[tuple]:
+def leaf_blocks(page: str, weights: dict[str, float] | None = None, memo: dict | None = None) -> list[tuple]:
     """What is known of the place (the outline's features or, with weights, its score), text and linked characters of
-    each leaf block."""
+    each leaf block. A memo speeds up further pages under the same weights."""
     out: list[tuple] = []
-    outline = Outline(weights)
+    if memo is not None and len(memo) > 2 * MEMO:
+        memo.clear()
+    outline = Outline(weights, memo)
     parts: list[str] = []
     ends: dict[str, int] = {}
     linked = in_link = begin = at = 0
@@ -226,13 +251,13 @@ def leaf_blocks(page: str, weights: dict[str, float] | None = None) -> list[tupl
             parts.append(" ")
         elif tag in BLOCKS:
             flush()
-            if tag in ENDS_P and outline.last("p") > outline.last(*KEEPS_P):
+            if tag in ENDS_P and outline.at.get("p") and outline.last("p") > outline.last(*KEEPS_P):
                 close(outline.last("p"))
             if tag in SIBLINGS:
                 ended, stops = SIBLINGS[tag]
                 if outline.last(*ended) > outline.last(*stops):
                     close(outline.last(*ended))
             if tag not in VOID and not attributes.endswith("/"):
-                outline.push(tag, marks_of(attributes) if attributes else [])
+                outline.push(tag, attributes)
     flush()
     return out

@@ -51,6 +51,7 @@ class Field:
 
     def __init__(self, weights: dict[str, float], start: float, moves: list[list[float]]):
         self.weights, self.start, self.moves = weights, start, moves
+        self.memo: dict = {}
 
     def emission(self, place: float, text: str, linked: int) -> float:
         get = self.weights.get
@@ -133,7 +134,7 @@ def default_field(pages: int = 1500) -> Field:
 
 
 def main_text(page: str, field: Field) -> str:
-    blocks = leaf_blocks(page, field.weights)
+    blocks = leaf_blocks(page, field.weights, field.memo)
     return "\n".join(b[1] for b, y in zip(blocks, field.labels(blocks), strict=True) if y)
 
 
