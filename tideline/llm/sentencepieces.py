@@ -255,8 +255,8 @@ _models: dict[str, tuple[PieceModel, Pool]] = {}
 
 
 def model_at(path: str) -> tuple[PieceModel, Pool]:
-    """The model and this worker's cache of parts (number of ids, ids as text and as bytes, decoded bytes), both made
-    once in a worker."""
+    """The model and this worker's cache of parts (number of ids, ids as text, decoded bytes), both made once in a
+    worker."""
     if path not in _models:
         model = PieceModel(path)
 
@@ -265,11 +265,10 @@ def model_at(path: str) -> tuple[PieceModel, Pool]:
             return (
                 [len(x) for x in ids],
                 [(" ".join(map(str, x)) + " ").encode() for x in ids],
-                [np.array(x, "<i4").tobytes() for x in ids],
                 [b"".join([model.as_bytes[i] for i in x]) for x in ids],
             )
 
-        _models[path] = model, Pool(make, 4)
+        _models[path] = model, Pool(make, 3)
     return _models[path]
 
 
@@ -286,7 +285,7 @@ def _digests(batches, path: str):
     end = b"%d" % model.eos
     for batch in batches:
         mine = _numbers(texts_of(batch.column("text")), pool)
-        lengths, ids_text, _, decoded = (c.__getitem__ for c in pool.columns)
+        lengths, ids_text, decoded = (c.__getitem__ for c in pool.columns)
         n, ids_sha, text_sha = [], [], []
         for own in mine:
             text = b"".join(map(decoded, own))
@@ -315,8 +314,8 @@ def encode_texts(docs: DataFrame, model_path: str, end: bool = True) -> DataFram
         model, pool = model_at(model_path)
         for batch in batches:
             mine = _numbers(texts_of(batch.column("text")), pool)
-            found = pool.columns[2].__getitem__
-            ids = [np.frombuffer(b"".join(map(found, own)) + np.array([model.eos] * end, "<i4").tobytes(), "<i4") for own in mine]
+            found = pool.columns[1].__getitem__
+            ids = [[*map(int, b"".join(map(found, own)).split()), *[model.eos] * end] for own in mine]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(ids, pa.list_(pa.int32()))], ["doc_id", "ids"])
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, ids array<int>")
