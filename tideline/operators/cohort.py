@@ -36,25 +36,36 @@ def hour_of(ms: Column) -> Column:
 
 def cohort(history: DataFrame, targets: DataFrame, by: list[str], scope: dict) -> DataFrame:
     """target_id with the history rows of its cohort: same character and bracket without itself, and as the scope
-    asks: map, comp, rating_band, hours, season (a column season), last_games, or else last_sessions (with gap_ms)."""
-    names = ["zone", "comp", "rating", "start_ms", *(["season"] if scope.get("season") else [])]
-    t = targets.select(*by, F.col("match_id").alias("target_id"), *(F.col(f"`{c}`").alias(f"t_{c}") for c in names))
-    c = history.join(t, by).where(F.col("match_id") != F.col("target_id"))
-    if scope.get("map"):
-        c = c.where(F.col("zone").eqNullSafe(F.col("t_zone")))
-    if scope.get("comp"):
-        c = c.where(F.col("comp").eqNullSafe(F.col("t_comp")))
-    if scope.get("rating_band") is not None:
-        c = c.where(F.abs(F.col("rating") - F.col("t_rating")) <= scope["rating_band"])
-    if scope.get("hours") is not None:
-        c = c.where(circular_hours(hour_of(F.col("start_ms")), hour_of(F.col("t_start_ms"))) <= scope["hours"])
-    if scope.get("season"):
-        c = c.where(F.col("season").eqNullSafe(F.col("t_season")))
+    asks: map, comp, rating_band, hours, season (a column season), last_games, or else last_sessions (with gap_ms).
+    What the scope compares is part of the join's key, ratings by bands and hours by the hour, so that a long history
+    meets only those of its targets that it may belong to."""
+    same = [c for c, asked in (("zone", "map"), ("comp", "comp"), ("season", "season")) if scope.get(asked)]
+    band, hours = scope.get("rating_band"), scope.get("hours")
+    key = F.to_json(F.struct(*same)) if same else F.lit("")  # nulls are alike
+    h = history.withColumn("_key", key)
+    t = targets.select(*by, F.col("match_id").alias("target_id"), key.alias("_key"), F.col("rating").alias("t_rating"), F.col("start_ms").alias("t_start_ms"))
+    keys = [*by, "_key"]
+    if scope.get("last_games") is not None and band is None and hours is None:
+        last = sessions.last_n_games(h, t.withColumn("target_ms", F.col("t_start_ms")), scope["last_games"], keys).select("target_id", "match_id")
+        return last.join(history, "match_id").select("target_id", *(F.col(f"`{x}`") for x in history.columns))
+    if band is not None:
+        wide = max(float(band), 1.0)
+        h = h.withColumn("_band", F.floor(F.col("rating") / wide))
+        t = t.withColumn("_band", F.explode(F.sequence(F.floor((F.col("t_rating") - band) / wide), F.floor((F.col("t_rating") + band) / wide))))
+        keys.append("_band")
+    if hours is not None:
+        every = F.array(*map(F.lit, range(24)))
+        h = h.withColumn("_hour", hour_of(F.col("start_ms")))
+        t = t.withColumn("_hour", F.explode(F.filter(every, lambda x: circular_hours(x, hour_of(F.col("t_start_ms"))) <= hours)))
+        keys.append("_hour")
+    c = h.join(t, keys).where(F.col("match_id") != F.col("target_id"))
+    if band is not None:
+        c = c.where(F.abs(F.col("rating") - F.col("t_rating")) <= band)
     if scope.get("last_games") is not None:
         w = Window.partitionBy("target_id").orderBy(F.col("start_ms").desc(), F.col("match_id").desc())
         c = c.where("start_ms < t_start_ms").withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= scope["last_games"]).drop("_n")
     elif scope.get("last_sessions") is not None:
-        keep = sessions.last_n_sessions(history, t.select(*by, "target_id"), scope["last_sessions"], scope["gap_ms"], by)
+        keep = sessions.last_n_sessions(history, targets.select(*by, F.col("match_id").alias("target_id")), scope["last_sessions"], scope["gap_ms"], by)
         c = c.join(keep, ["target_id", "match_id"], "left_semi")
     return c.select("target_id", *(F.col(f"`{x}`") for x in history.columns))
 

@@ -33,13 +33,23 @@ def average_ranks(df: DataFrame, by: list[str], value: str) -> DataFrame:
     return df.withColumn("ties", same).withColumn("rank", F.rank().over(w) + (F.col("ties") - 1) / 2)
 
 
+def running(counts: DataFrame, by: list[str], value: str, n: str, out: str) -> DataFrame:
+    """Add the sum of n over the lesser values of a group. Values are dealt out by ranges and each range is summed by
+    itself, on top of the ranges before it (a row for each range and group), so no task has all values of a group."""
+    ranged = Scratch(counts.sparkSession, "ranks").save(counts.repartitionByRange(*by, value).withColumn("_part", F.spark_partition_id()))
+    lesser = (Window.unboundedPreceding, -1)
+    parts = ranged.groupBy(*by, "_part").agg(F.sum(n).alias("_sum"))
+    before = parts.select(*by, "_part", F.coalesce(F.sum("_sum").over(Window.partitionBy(*by).orderBy("_part").rowsBetween(*lesser)), F.lit(0)).alias("_before"))
+    inside = F.coalesce(F.sum(n).over(Window.partitionBy(*by, "_part").orderBy(value).rowsBetween(*lesser)), F.lit(0))
+    return ranged.join(before, [*by, "_part"]).withColumn(out, F.col("_before") + inside).drop("_part", "_before")
+
+
 def rank_sums(df: DataFrame, by: list[str], value: str = "value", win: str = "win") -> DataFrame:
     """By group: wins, losses, U of the wins, rank-biserial correlation and the tie term of its variance. Equal
-    values are counted first, so that ranks are windows over distinct values only."""
+    values are counted first, so that ranks are sums over distinct values only."""
     counts = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count_if(F.col(win) == 1).alias("w"), F.count_if(F.col(win) == 0).alias("l"))
     t = F.col("w") + F.col("l")
-    order = Window.partitionBy(*by).orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
-    ranked = counts.withColumn("_rank", F.coalesce(F.sum(t).over(order), F.lit(0)) + (t + 1) / 2)
+    ranked = running(counts.withColumn("_t", t), by, value, "_t", "_less").withColumn("_rank", F.col("_less") + (t + 1) / 2)
     sums = ranked.groupBy(*by).agg(
         F.sum("w").alias("n_win"), F.sum("l").alias("n_loss"), F.sum(F.col("w") * F.col("_rank")).alias("_r"), F.sum(t * t * t - t).alias("tie_term")
     )
@@ -224,21 +234,16 @@ def crosstab(df: DataFrame, level: str, role: str, roles: list[str], least: int
 
 
 def spearman(wide: DataFrame, columns: list[str]) -> DataFrame:
-    """a, b and rho of every pair of columns, over the rows in which both are there."""
-    out = None
-    for i, a in enumerate(columns):
-        for b in columns[i + 1 :]:
-            both = wide.select(F.lit(1).alias("g"), F.col(a).cast("double").alias("a"), F.col(b).cast("double").alias("b")).where("a IS NOT NULL AND b IS NOT NULL")
-            ranked = _value_ranks(_value_ranks(both, "a"), "b")
-            one = ranked.agg(F.corr("ra", "rb").alias("rho")).select(F.lit(a).alias("a"), F.lit(b).alias("b"), "rho")
-            out = one if out is None else out.unionByName(one)
-    return out
-
-
-def _value_ranks(df: DataFrame, c: str) -> DataFrame:
-    counts = df.groupBy("g", c).agg(F.count(F.lit(1)).alias("_n"))
-    before = F.coalesce(F.sum("_n").over(Window.partitionBy("g").orderBy(c).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return df.join(counts.withColumn(f"r{c}", before + (F.col("_n") + 1) / 2).drop("_n", "g"), c)
+    """a, b and rho of every pair of columns, over the rows in which both are there; all pairs in one pass."""
+    pairs = list(combinations(columns, 2))
+    each = F.array(*(F.struct(F.lit(k).alias("g"), F.col(a).cast("double").alias("a"), F.col(b).cast("double").alias("b")) for k, (a, b) in enumerate(pairs)))
+    rows = Scratch(wide.sparkSession, "pairs").save(wide.select(F.explode(each).alias("e")).select("e.*").where("a IS NOT NULL AND b IS NOT NULL"))
+    ranked = rows
+    for c in ("a", "b"):
+        counts = rows.groupBy("g", c).agg(F.count(F.lit(1)).alias("_n"))
+        ranked = ranked.join(running(counts, ["g"], c, "_n", "_less").select("g", c, (F.col("_less") + (F.col("_n") + 1) / 2).alias(f"r{c}")), ["g", c])
+    names = lambda k: F.get(F.array(*(F.lit(p[k]) for p in pairs)), F.col("g"))
+    return ranked.groupBy("g").agg(F.corr("ra", "rb").alias("rho")).select(names(0).alias("a"), names(1).alias("b"), "rho")
 
 
 def clusters(pairs: list[tuple[str, str, float]], columns: list[str], threshold: float = 0.7) -> list[list[str]]:
