@@ -198,6 +198,15 @@ def test_occluders(spark):
     assert sorted((r["team"], r["kind"], r["corners"], r["area"]) for r in registry.QUERIES["geo08_occluder_fit"](spark, larger).collect()) == sorted(want) and want
 
 
+def pct_at(v, k):
+    lo, hi, q = sum(x < v for x in k), sum(x <= v for x in k), stats.QUANTILES
+    if hi == 0:
+        return 0.05
+    if lo == 5:
+        return 0.95
+    return q[lo - 1] + (q[lo] - q[lo - 1]) * (v - k[lo - 1]) / (k[lo] - k[lo - 1]) if lo == hi else (q[lo] + q[hi - 1]) / 2
+
+
 def test_coach_packs(spark, frames):
     m = frames[0]
     knots = {}
@@ -205,15 +214,6 @@ def test_coach_packs(spark, frames):
         have = m[m[f].notna()]
         knots[f] = [[round(float(x), 3) for x in np.quantile(have[have["win"] == w][f].to_numpy(float), stats.QUANTILES)] for w in (1, 0)]
 
-    def pct(v, k):
-        lo, hi = sum(x < v for x in k), sum(x <= v for x in k)
-        if hi == 0:
-            return 0.05
-        if lo == 5:
-            return 0.95
-        q = stats.QUANTILES
-        return q[lo - 1] + (q[lo] - q[lo - 1]) * (v - k[lo - 1]) / (k[lo] - k[lo - 1]) if lo == hi else (q[lo] + q[hi - 1]) / 2
-
     by_id, screened = m.set_index("match_id"), {(r["variable"], r["level"]): r for r in rows_of(spark, "sta05_categorical_screen")}
     packs = rows_of(spark, "sta13_coach_pack")
     assert {r["match_id"] for r in packs} == set(m["match_id"])
@@ -221,11 +221,26 @@ def test_coach_packs(spark, frames):
         pack, own = json.loads(r["pack"]), by_id.loc[r["match_id"]]
         assert {p["feature"] for p in pack["placements"]} == {f for f in knots if own[f] == own[f] and own[f] is not None}
         for p in pack["placements"]:
-            assert p["pct_in_win"] == pytest.approx(pct(own[p["feature"]], knots[p["feature"]][0]), abs=6e-4)
-            assert p["pct_in_loss"] == pytest.approx(pct(own[p["feature"]], knots[p["feature"]][1]), abs=6e-4)
+            assert p["pct_in_win"] == pytest.approx(pct_at(own[p["feature"]], knots[p["feature"]][0]), abs=6e-4)
+            assert p["pct_in_loss"] == pytest.approx(pct_at(own[p["feature"]], knots[p["feature"]][1]), abs=6e-4)
         assert {(p["variable"], p["level"]) for p in pack.get("priors") or []} == {k for k in (("comp", own["comp"]), ("bracket", own["bracket"])) if k in screened}
 
 
+def test_placements_by_comp(spark, frames):
+    m = frames[0]
+    got = {r["match_id"]: r for r in rows_of(spark, "sta13_comp_placements")}
+    want = {}
+    for comp, g in m.groupby("comp"):
+        w, lo = (g[g["win"] == k]["zone"].to_numpy(float) for k in (1, 0))
+        if len(g) >= 50 and min(len(w), len(lo)) >= 15:
+            k = [round(float(x), 3) for x in np.quantile(w, stats.QUANTILES)]
+            for i, v in zip(g["match_id"], g["zone"], strict=True):
+                want[i] = (comp, len(g), pct_at(float(v), k))
+    assert got.keys() == want.keys()
+    for i, (comp, n, p) in want.items():
+        assert (got[i]["comp"], got[i]["n"]) == (comp, n) and got[i]["pct_in_win"] == pytest.approx(p, abs=6e-4)
+
+
 def test_folds_and_cross_validated_logit(spark, frames):
     rows = rows_of(spark, "sta08_cv_logit")
     m = frames[0].set_index("match_id")

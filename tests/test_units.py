@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from tideline.operators import units
+from tideline.operators import coach, relational, units
 from tideline.sources import dims
 
 U = [("P", "player", "friendly", None), ("pet", "primary-pet", "friendly", "P"), ("E", "player", "enemy", None)]
@@ -65,3 +65,28 @@ def test_dimensions(spark):
     by_spec = spark.createDataFrame([("s1", 1, 10, 2)], "spec string, spell int, cooldown_ms int, charges int")
     by_class = spark.createDataFrame([("c1", 1, 99, 1), ("c1", 2, 20, 1)], "class string, spell int, cooldown_ms int, charges int")
     assert sorted(map(tuple, dims.rules_for(by_spec, by_class, units_).collect())) == [("u", 1, 10, 2), ("u", 2, 20, 1)]
+
+
+def test_dimension_checks_and_importers(spark):
+    rows = spark.createDataFrame([("a", 1), ("b", 2), ("b", 3), (None, 4), ("z", 5)], "zone string, v int")
+    good, bad = dims.checked(rows, "zone", spark.createDataFrame([("a",), ("b",)], "zone string"))
+    assert [r.v for r in good.collect()] == [1] and {r.v: r.reason for r in bad.collect()} == {2: "repeated key", 3: "repeated key", 4: "no key", 5: "unknown key"}
+    text = """local rules = { BySpec = { [65] = { { SpellId = 642, Cooldown = 300, BuffDuration = 8, BigDefensive = true }, -- bubble
+      { SpellId = 1022, BaseCharges = 1, MaxCharges = 2, ExternalDefensive = true }, { Cooldown = 5 } } }, ByClass = { MAGE = { { SpellId = 45438, Cooldown = 240.5, Important = true } } },
+      specToClass = { [65] = "PALADIN" }, offensiveSpellIds = { [31884] = true, [12042] = false } }"""
+    found = dims.cooldown_rules(text[len("local rules = {") : -1])
+    assert found["spec"] == [("65", 642, 300, 8, 1, True, False, False), ("65", 1022, 0, 0, 2, False, True, False)]
+    assert found["class"] == [("MAGE", 45438, 240.5, 0, 1, False, False, True)] and found["spec_class"] == [("65", "PALADIN")] and found["offensive"] == [(31884,)]
+    source = "{ spellId: '5', name: 'Burst', tags: [SpellTag.Offensive] }, { spellId: '6', name: 'Wall', tags: [SpellTag.Defensive] }, { spellId: '5', name: 'Again', tags: [SpellTag.Offensive] }, { spellId: '7', name: 'Denied', tags: [SpellTag.Offensive] }"
+    assert dims.offensive_spells(source, {"7"}) == [("5", "Burst")]
+    dr = spark.createDataFrame([({"stun": [("1", "Bash")], "root": [("2", "Nova"), ("1", "Bash")]},)], "diminishingReturns map<string, array<struct<spellId:string,name:string>>>")
+    assert sorted(map(tuple, dims.diminishing_categories(dr).collect())) == [(1, "Bash", "stun"), (2, "Nova", "root")]
+
+
+def test_placements_and_levels(spark):
+    p = spark.createDataFrame([(1, 0.04, 1.0, 0), (1, 0.01, 1.04, 1), (1, 0.3, 1.0, 2), (2, 0.0, 1.0, 3)], "fdid int, x double, y double, ord int")
+    assert sorted(r.ord for r in relational.distinct_placements(p, "fdid", ["x", "y"], "ord").collect()) == [0, 2, 3]
+    anchors = spark.createDataFrame([("a", "f", [1.0, 2.0, 3.0, 4.0, 5.0], [2.0, 3.0, 4.0, 5.0, 6.0], 0.4, 60)], "comp string, feature string, win_q array<double>, loss_q array<double>, rank_biserial double, n long")
+    values = spark.createDataFrame([(1, "a", "f", 1.5), (2, "a", "f", 4.5), (3, "b", "f", 1.0)], "match_id int, comp string, feature string, value double")
+    got = {r.match_id: (r.pct_in_win, r.pct_in_loss, r.loss_territory) for r in coach.level_placements(values, anchors, "comp").collect()}
+    assert got == {1: (0.175, 0.05, True), 2: (0.825, 0.625, False)}

@@ -20,6 +20,15 @@ def placements(values: DataFrame, anchors: DataFrame, ranks: DataFrame) -> DataF
     return out.select("match_id", "feature", "value", F.bround("_w", 3).alias("pct_in_win"), F.bround(in_loss, 3).alias("pct_in_loss"), stats.loss_territory(F.col("_w"), F.col("rank_biserial")).alias("loss_territory"))
 
 
+def level_placements(values: DataFrame, anchors: DataFrame, level: str) -> DataFrame:
+    """placements of values (match_id, level, feature, value) against the anchors of their own level, with the level's
+    direction; values whose level has none go."""
+    j = values.join(anchors.select(level, "feature", "win_q", "loss_q", "rank_biserial", "n"), [level, "feature"])
+    out = j.withColumn("_w", stats.percentile_at(F.col("value"), F.col("win_q")))
+    in_loss = stats.percentile_at(F.col("value"), F.col("loss_q"))
+    return out.select("match_id", level, "feature", "value", "n", F.bround("_w", 3).alias("pct_in_win"), F.bround(in_loss, 3).alias("pct_in_loss"), stats.loss_territory(F.col("_w"), F.col("rank_biserial")).alias("loss_territory"))
+
+
 def correlates(screen: DataFrame, k: int = TOP_CORRELATES, most_q: float = MOST_Q) -> DataFrame:
     """The k features of least q, at most most_q, by p."""
     w = Window.orderBy("p", "feature")  # over features only

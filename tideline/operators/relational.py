@@ -79,6 +79,17 @@ def unordered_pairs(pairs: DataFrame, a: str, b: str, order: str) -> DataFrame:
     return keyed.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n", "_low", "_high")
 
 
+def with_classes(specs: DataFrame, classes: DataFrame, dimension: DataFrame) -> DataFrame:
+    """Distinct specs (column spec) that are named, or belong to a named class by the dimension (spec, class)."""
+    return specs.select("spec").union(dimension.join(classes.select("class"), "class", "left_semi").select("spec")).distinct()
+
+
+def distinct_placements(placed: DataFrame, key: str, coordinates: list[str], order: str, digits: int = 1) -> DataFrame:
+    """The first row by order of each key and place; places are equal when they round to the same digits."""
+    w = Window.partitionBy(key, *(F.bround(c, digits) for c in coordinates)).orderBy(order)
+    return placed.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
+
+
 def latest(matches: DataFrame, by: list[str]) -> DataFrame:
     """The match with the latest known start, by group; the least match_id of equal ones."""
     best = F.struct("start_ms", (-F.col("match_id")).alias("_m"))

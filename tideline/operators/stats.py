@@ -189,6 +189,15 @@ def anchors(df: DataFrame, by: list[str], least: int = LEAST_SIDE, quantiles: tu
     return out.where((F.col("n_win") >= least) & (F.col("n_loss") >= least))
 
 
+def anchors_by_level(df: DataFrame, level: str, least: int = 50) -> DataFrame:
+    """Anchors of each feature (match_id, feature, value, win) within each level that has so many matches, with the
+    level's own rank-biserial correlation, whose sign may differ from that of all."""
+    sizes = df.groupBy(level).agg(F.countDistinct("match_id").alias("n")).where(F.col("n") >= least)
+    own = df.where(F.col(level).isNotNull()).join(sizes, level)
+    ranks = rank_sums(own, [level, "feature"]).select(level, "feature", F.bround("rank_biserial", 3).alias("rank_biserial"))
+    return anchors(own, [level, "feature"]).join(ranks, [level, "feature"]).join(sizes, level)
+
+
 def percentile_at(value: Column, knots: Column, quantiles: tuple[float, ...] = QUANTILES) -> Column:
     """Percentile of a value among sorted knots: 0.05 and 0.95 beyond them, the middle of a run of equal knots."""
     q = F.array(*map(F.lit, quantiles))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tideline.functions.scalars import round_half_up
-from tideline.operators import features, stats, units
+from tideline.operators import coach, features, relational, stats, units
 from tideline.plans.analytics import CELLS, SAMPLES, T0, _grids, _labelled, _units
 from tideline.plans.inputs import DAY, E, M, events, matches
 from tideline.plans.registry import query
@@ -116,3 +116,34 @@ def sta06_interaction_screen(spark, sf):
     m = _labelled(spark, sf).withColumns({"start": F.col("start_ms") / 1e9, "odd": (F.col("match_id") % 2).cast("double")})
     pairs = stats.candidate_pairs(["duration_sec", "zone", "start"], [("odd", "zone"), ("zone", "odd")])
     return stats.interaction_screen(m, pairs, "rating").select("a", "b", "n", "p", "q", "n_low_low", "n_low_high", "n_high_low", "n_high_high", "wr_high_high")
+
+
+@query("SELECT DISTINCT p_partkey AS spec FROM part WHERE p_size = 1 OR p_brand IN ('Brand#3', 'Brand#4')")
+def set02_specs_of_classes(spark, sf):
+    p = table(spark, sf, "part")
+    dimension = p.select(F.col("p_partkey").alias("spec"), F.col("p_brand").alias("class"))
+    classes = dimension.where("class IN ('Brand#3', 'Brand#4')").select("class").distinct()
+    return relational.with_classes(p.where("p_size = 1").select(F.col("p_partkey").alias("spec")), classes, dimension)
+
+
+def _by_comp(spark, sf):
+    m = _labelled(spark, sf)
+    return m.select("match_id", "comp", "win", F.col("zone").cast("double").alias("zone"), F.col("start_ms").cast("double").alias("start")).unpivot(["match_id", "comp", "win"], ["zone", "start"], "feature", "value")
+
+
+BY_COMP = M + """, l AS (SELECT match_id, comp, CASE result WHEN 'win' THEN 1 ELSE 0 END AS win, feature, value FROM (SELECT match_id, comp, result, 'zone' AS feature, CAST(zone AS DOUBLE) AS value FROM m UNION ALL SELECT match_id, comp, result, 'start', CAST(start_ms AS DOUBLE) FROM m) WHERE result <> 'unknown'),
+c AS (SELECT comp, feature, value, count(*) FILTER (win = 1) AS w, count(*) FILTER (win = 0) AS lo FROM l GROUP BY ALL), r AS (SELECT *, coalesce(sum(w + lo) OVER (PARTITION BY comp, feature ORDER BY value ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + (w + lo + 1) / 2.0::DOUBLE AS rk FROM c),
+u AS (SELECT comp, feature, 2 * (sum(w * rk) - sum(w) * (sum(w) + 1) / 2.0::DOUBLE) / (CAST(sum(w) AS DOUBLE) * sum(lo)) - 1 AS rb FROM r GROUP BY ALL),
+a AS (SELECT comp, feature, count(DISTINCT match_id) AS n, count(*) FILTER (win = 1) AS n_win, count(*) FILTER (win = 0) AS n_loss, quantile_cont(value, 0.5) FILTER (win = 1) AS mid_win, quantile_cont(value, 0.9) FILTER (win = 0) AS high_loss FROM l GROUP BY ALL HAVING count(DISTINCT match_id) >= 50)"""
+
+
+@query(f"WITH {BY_COMP} SELECT comp, feature, n, n_win, n_loss, floor(mid_win * 10 + 0.5) / 10.0::DOUBLE AS mid_win, floor(high_loss * 10 + 0.5) / 10.0::DOUBLE AS high_loss, rb > 0 AS higher_wins FROM a JOIN u USING (comp, feature) WHERE n_win >= 15 AND n_loss >= 15 AND abs(rb) > 0.001")
+def sta11_anchors_by_comp(spark, sf):
+    found = stats.anchors_by_level(_by_comp(spark, sf), "comp").where("abs(rank_biserial) > 0.001")
+    return found.select("comp", "feature", "n", "n_win", "n_loss", round_half_up(F.col("win_q")[2], 1).alias("mid_win"), round_half_up(F.col("loss_q")[4], 1).alias("high_loss"), (F.col("rank_biserial") > 0).alias("higher_wins"))
+
+
+@query()
+def sta13_comp_placements(spark, sf):
+    values = _by_comp(spark, sf).select("match_id", "comp", "feature", "value")
+    return coach.level_placements(values, stats.anchors_by_level(_by_comp(spark, sf), "comp"), "comp").where("feature = 'zone'")

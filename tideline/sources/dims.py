@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 GRID = "zone string, minX double, minY double, maxX double, maxY double, cellSize double, cols int, rows int, isZAxisMap boolean, coverage double, voidness array<double>"
@@ -15,6 +15,17 @@ def read_json(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).option("multiLine", "true").json(path)
 
 
+def checked(rows: DataFrame, key: str, known: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """The rows whose key is there, unique and (if a frame with the key is given) known; and the others with a reason."""
+    n = F.count(F.lit(1)).over(Window.partitionBy(key))
+    reason = F.when(F.col(key).isNull(), "no key").when(n > 1, "repeated key")
+    marked = rows.withColumn("reason", reason)
+    if known is not None:
+        there = known.select(key).distinct().withColumn("_known", F.lit(True))
+        marked = marked.join(there, key, "left").withColumn("reason", F.coalesce("reason", F.when(F.col("_known").isNull(), "unknown key"))).drop("_known")
+    return marked.where("reason IS NULL").drop("reason"), marked.where("reason IS NOT NULL")
+
+
 def grid_cells(grids: DataFrame) -> DataFrame:
     """zone, col, row and voidness of rasters that are stored by rows as arrays; grids whose size doesn't match are
     left out."""
@@ -85,3 +96,40 @@ def enum_values(text: str, name: str) -> dict[str, str]:
     """Members and values of an enum in a source text."""
     body = re.search(rf"enum\s+{re.escape(name)}\s*\{{(.*?)\}}", text, re.DOTALL)
     return dict(re.findall(r"(\w+)\s*=\s*['\"]?([\w.-]+)['\"]?", body[1])) if body else {}
+
+
+def cooldown_rules(text: str) -> dict[str, list[tuple]]:
+    """Rows of a rules text: spec (key, spell, cooldown_sec, buff_sec, charges, big, external, important), class alike,
+    spec_class pairs and offensive spells. Of charges the most count, then the base ones, then 1."""
+    whole = parse_tables("{" + re.sub(r"\blocal\b|\breturn\b", "", text) + "}")
+    number = lambda v, other=0: v if isinstance(v, (int, float)) and not isinstance(v, bool) else other
+
+    def rows(section: object) -> list[tuple]:
+        out = []
+        for key, rules in (section.items() if isinstance(section, dict) else ()):
+            for r in rules if isinstance(rules, list) else []:
+                if isinstance(r, dict) and isinstance(r.get("SpellId"), int):
+                    charges = number(r.get("MaxCharges"), number(r.get("BaseCharges"), 1))
+                    flags = (r.get(k) is True for k in ("BigDefensive", "ExternalDefensive", "Important"))
+                    out.append((str(key), r["SpellId"], number(r.get("Cooldown")), number(r.get("BuffDuration")), charges, *flags))
+        return out
+
+    named = whole if isinstance(whole, dict) else {}
+    offensive = named.get("offensiveSpellIds")
+    return {
+        "spec": rows(named.get("BySpec")), "class": rows(named.get("ByClass")), "spec_class": sorted((str(k), v) for k, v in (named.get("specToClass") or {}).items()),
+        "offensive": sorted((k,) for k, v in offensive.items() if v is True) if isinstance(offensive, dict) else [],
+    }
+
+
+def offensive_spells(text: str, denied: set[str] = frozenset()) -> list[tuple[str, str]]:
+    """Id and name of the spells of a source text that have the tag Offensive, each once, without the denied ones."""
+    found = re.findall(r"spellId:\s*'(\d+)',\s*name:\s*'([^']*)',\s*tags:\s*\[([^\]]*)\]", text)
+    return list({i: (i, name) for i, name, tags in reversed(found) if "Offensive" in tags and i not in denied}.values())[::-1]
+
+
+def diminishing_categories(rows: DataFrame) -> DataFrame:
+    """spell, name and category of a frame with a map diminishingReturns from category to its spells; of several
+    categories the last by name."""
+    each = rows.select(F.explode("diminishingReturns").alias("category", "spells")).select("category", F.explode("spells").alias("s"))
+    return each.groupBy(F.col("s.spellId").cast("int").alias("spell")).agg(F.max_by("s.name", "category").alias("name"), F.max("category").alias("category"))

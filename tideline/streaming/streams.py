@@ -50,6 +50,12 @@ def sliding_damage(hits: DataFrame, late: str = "10 seconds", window: str = "5 s
     return hits.withWatermark("ts", late).groupBy(F.window("ts", window, step), "attacker", "target").agg(F.sum("amount").alias("amount"))
 
 
+def grid_counts(positions: DataFrame, cell: float = 2.0) -> DataFrame:
+    """Visits by zone and cell of a stream of positions (zone, x, y), as running totals: the state is one number for
+    each cell that was ever visited, however many positions there are. Write it in the mode complete or update."""
+    return positions.groupBy("zone", F.floor(F.col("x") / cell).alias("col"), F.floor(F.col("y") / cell).alias("row")).agg(F.count(F.lit(1)).alias("n"))
+
+
 def sessions(matches: DataFrame, gap: str = "30 minutes", late: str = "1 day") -> DataFrame:
     """Sessions of a stream of matches (ts, character, duration_sec, result): the gap is from one match's end to the
     next one's start, each match holding its session open for its duration and the gap."""
