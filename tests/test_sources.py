@@ -127,3 +127,35 @@ def test_stream_windows_sessions_and_upserts(spark, tmp_path):
     f = stream(spark, tmp_path / "f", [("a", 1), ("b", 2)], "path string, size long")
     streams.upsert_stream(f, store, "ingest_file", str(tmp_path / "cp")).awaitTermination(120)
     assert store.read("ingest_file").count() == 2
+
+
+def test_streamed_grid_counts(spark, tmp_path):
+    folder = str(tmp_path / "in")
+    schema = "zone string, x double, y double"
+    spark.createDataFrame([("a", 0.5, 0.5), ("a", 1.5, 1.0), ("a", 2.5, 0.0), ("b", -0.1, 0.0)], schema).repartition(2).write.parquet(folder)
+    stream = streams.grid_counts(spark.readStream.schema(schema).parquet(folder))
+    query = stream.writeStream.format("memory").queryName("grid_counts_test").outputMode("complete").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+    query.awaitTermination(120)
+    assert sorted(map(tuple, spark.table("grid_counts_test").collect())) == [("a", 0, 0, 2), ("a", 1, 0, 1), ("b", -1, 0, 1)]
+
+
+def test_sqlite_tables(spark, tmp_path):
+    import sqlite3
+
+    path = str(tmp_path / "store.db")
+    with sqlite3.connect(path) as con:
+        con.execute("CREATE TABLE match (match_id TEXT, rating INTEGER)")
+        con.execute("CREATE TABLE none (a TEXT)")
+        con.executemany("INSERT INTO match VALUES (?, ?)", [(f"m{k}", k) for k in range(25)])
+        con.execute("DELETE FROM match WHERE rating = 7")
+    got = stores.read_sqlite(spark, path, "match", "match_id string, rating long", 4)
+    assert sorted(r.rating for r in got.collect()) == [k for k in range(25) if k != 7]
+    assert stores.read_sqlite(spark, path, "none", "a string").count() == 0
+
+
+def test_shape_of_matches(spark, tmp_path):
+    seg, _ = read(spark, tmp_path, [START, CAST, CAST, END])
+    r = logs.shape(seg).first()
+    assert (r.n_events, r.by_event, r.n_units, r.n_spells) == (2, {"SPELL_CAST_SUCCESS": 2}, 1, 1)
+    versions = logs.sniff(spark, [str(tmp_path / "WoWCombatLog-1.txt")]).collect()
+    assert [r.version for r in versions] == [None]
