@@ -101,8 +101,8 @@ def fea07_death_context(spark, sf):
 
 
 @query(f"""WITH RECURSIVE {CELLS}, z2 AS (SELECT team, min(row) AS r0, max(row) AS r1, min(col) AS c0, max(col) AS c1 FROM gd GROUP BY team), op AS (SELECT team, row, col, voidness < 0.5 AS open FROM gd),
-em AS (SELECT team, row, col FROM op WHERE NOT open UNION ALL SELECT team, unnest(range(r0 - 1, r1 + 2)), unnest([c0 - 1]) FROM z2 WHERE false),
-wl AS (SELECT o.team, o.row, o.col, min(sqrt((o.row - q.row) ** 2 + (o.col - q.col) ** 2)) * 5 AS wall FROM op o JOIN em q USING (team) WHERE o.open GROUP BY ALL),
+em AS (SELECT team, row, col FROM op WHERE NOT open),
+wl AS (SELECT o.team, o.row, o.col, least(coalesce(min(sqrt((o.row - q.row) ** 2 + (o.col - q.col) ** 2)), 1e9), min(least(o.row - r0, r1 - o.row, o.col - c0, c1 - o.col)) + 1) * 5 AS wall FROM op o JOIN z2 USING (team) LEFT JOIN em q USING (team) WHERE o.open GROUP BY ALL),
 sm AS (SELECT actor, team, x, y, (c0 + c1 + 1) * 5 / 2.0::DOUBLE AS mx, (r0 + r1 + 1) * 5 / 2.0::DOUBLE AS my, (c1 + 1 - c0) * 5 / 2.0::DOUBLE AS hx, (r1 + 1 - r0) * 5 / 2.0::DOUBLE AS hy, least(greatest(CAST(floor(x / 5) AS BIGINT), c0), c1) AS col, least(greatest(CAST(floor(y / 5) AS BIGINT), r0), r1) AS row FROM e JOIN z2 USING (team) WHERE kind = 'view')
 SELECT team, actor AS unit, floor(avg(sqrt((x - mx) ** 2 + (y - my) ** 2) / sqrt(hx ** 2 + hy ** 2)) * 1e6 + 0.5) / 1e6::DOUBLE AS center_share, floor(count(*) FILTER (coalesce(wall, 0) < 6) / CAST(count(*) AS DOUBLE) * 1e6 + 0.5) / 1e6::DOUBLE AS edge_share FROM sm LEFT JOIN wl USING (team, row, col) GROUP BY team, actor""")
 def geo11_map_features(spark, sf):
