@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from tideline.llm import exact_dedup, html_text, language_id, media, packing, secrets, sentencepieces, simhash, token_counts, toxicity
+from tideline.llm import exact_dedup, html_text, language_id, media, merkle, packing, secrets, sentencepieces, simhash, token_counts, toxicity
 from tideline.session import Scratch, ship, table
 
 QUERIES = {}
@@ -80,6 +80,12 @@ def op10_media_columns(spark, sf_dir):
     return media.text_features(table(spark, sf_dir, "documents"))
 
 
+@query
+def op11_merkle_manifest(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return merkle.manifest(docs, tampered=merkle.without_newlines(docs))
+
+
 ORACLES["op2_exact_dedup"] = r"""
 WITH d AS (
   SELECT doc_id, length(coalesce(text, '')) AS n,
@@ -93,3 +99,52 @@ SELECT doc_id,
 FROM d
 WINDOW best AS (PARTITION BY text_sha256 ORDER BY n DESC, doc_id ASC NULLS LAST)
 """
+
+#: Nodes of all levels, their siblings and the roots folded from them, a level a step; crc32 by its bitwise rule.
+ORACLES["op11_merkle_manifest"] = r"""
+WITH RECURSIVE docs AS (
+  SELECT *, CASE WHEN list_reduce(
+           list_prepend(4294967295::BIGINT, list_transform(string_split(doc_id::VARCHAR, ''), lambda ch: ascii(ch)::BIGINT)),
+           lambda crc, ch: list_reduce(list_prepend(xor(crc, ch), range(8)),
+             lambda c, i: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384::BIGINT) ELSE c >> 1 END)) & 1 = 1
+         THEN replace(text, chr(10), '') ELSE text END AS tampered
+  FROM documents),
+hashed AS (
+  SELECT doc_id, source,
+         coalesce(octet_length(encode(doc_id::VARCHAR)) || ':' || doc_id, '-') || coalesce(octet_length(encode(source)) || ':' || source, '-')
+         || coalesce(octet_length(encode(lang)) || ':' || lang, '-') || coalesce(octet_length(encode(n_chars::VARCHAR)) || ':' || n_chars, '-') AS head,
+         sha256(head || coalesce(octet_length(encode(text)) || ':' || text, '-')) AS leaf,
+         sha256(head || coalesce(octet_length(encode(tampered)) || ':' || tampered, '-')) AS changed
+  FROM docs),
+leaves AS (
+  SELECT *, coalesce('s' || source, '') AS k, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i,
+         count(*) OVER (PARTITION BY source) AS n
+  FROM hashed),
+low AS (
+  SELECT k, 0 AS level, i, n, leaf AS d FROM leaves
+  UNION ALL
+  SELECT k, level + 1, i // 3, (n + 2) // 3, sha256(string_agg(d, '' ORDER BY i)) FROM low WHERE n > 1 GROUP BY k, level, i // 3, n),
+subroots AS (SELECT k, d, row_number() OVER (ORDER BY k) - 1 AS i, count(*) OVER () AS n FROM low WHERE n = 1),
+high AS (
+  SELECT 0 AS level, i, n, d FROM subroots
+  UNION ALL
+  SELECT level + 1, i // 3, (n + 2) // 3, sha256(string_agg(d, '' ORDER BY i)) FROM high WHERE n > 1 GROUP BY level, i // 3, n),
+steps AS (
+  SELECT l.doc_id, l.leaf, a.level, string_agg(b.d, '' ORDER BY b.i) FILTER (b.i < a.i) AS lefts, string_agg(b.d, '' ORDER BY b.i) FILTER (b.i > a.i) AS rights
+  FROM leaves l JOIN low a ON a.k = l.k AND a.n > 1 AND a.i = l.i // (3 ** a.level)::BIGINT JOIN low b ON b.k = a.k AND b.level = a.level AND b.i // 3 = a.i // 3
+  GROUP BY l.doc_id, l.leaf, a.level
+  UNION ALL
+  SELECT l.doc_id, l.leaf, 100 + a.level, string_agg(b.d, '' ORDER BY b.i) FILTER (b.i < a.i), string_agg(b.d, '' ORDER BY b.i) FILTER (b.i > a.i)
+  FROM leaves l JOIN subroots s ON s.k = l.k JOIN high a ON a.n > 1 AND a.i = s.i // (3 ** a.level)::BIGINT JOIN high b ON b.level = a.level AND b.i // 3 = a.i // 3
+  GROUP BY l.doc_id, l.leaf, a.level),
+numbered AS (
+  SELECT doc_id, leaf, coalesce(lefts, '') AS lefts, coalesce(rights, '') AS rights, row_number() OVER (PARTITION BY doc_id ORDER BY level) AS step FROM steps),
+folded AS (
+  SELECT doc_id, 0 AS step, changed AS d FROM leaves
+  UNION ALL
+  SELECT f.doc_id, f.step + 1, sha256(s.lefts || f.d || s.rights) FROM folded f JOIN numbered s ON s.doc_id = f.doc_id AND s.step = f.step + 1),
+lasts AS (SELECT doc_id, arg_max(d, step) AS folded_root FROM folded GROUP BY doc_id),
+proofs AS (SELECT doc_id, sha256(string_agg(lefts || rights, '' ORDER BY step)) AS proof_sha256 FROM numbered GROUP BY doc_id)
+SELECT l.doc_id, l.leaf, s.d AS subroot, r.d AS root, coalesce(p.proof_sha256, sha256('')) AS proof_sha256, f.folded_root, f.folded_root = r.d AS verified
+FROM leaves l JOIN subroots s ON s.k = l.k CROSS JOIN (SELECT d FROM high WHERE n = 1) r JOIN lasts f ON f.doc_id = l.doc_id LEFT JOIN proofs p ON p.doc_id = l.doc_id
+"""
