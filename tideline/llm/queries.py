@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from tideline.llm import exact_dedup, html_text, language_id, media, merkle, packing, secrets, sentencepieces, simhash, token_counts, toxicity
+from tideline.llm import exact_dedup, html_text, language_id, media, merkle, packing, secrets, sentencepieces, sharding, simhash, token_counts, toxicity
 from tideline.session import Scratch, ship, table
 
 QUERIES = {}
@@ -86,6 +86,11 @@ def op11_merkle_manifest(spark, sf_dir):
     return merkle.manifest(docs, tampered=merkle.without_newlines(docs))
 
 
+@query
+def op13_sharding(spark, sf_dir):
+    return sharding.assign(table(spark, sf_dir, "documents"))
+
+
 ORACLES["op2_exact_dedup"] = r"""
 WITH d AS (
   SELECT doc_id, length(coalesce(text, '')) AS n,
