@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from tideline.llm import exact_dedup, html_text, language_id, media, merkle, packing, secrets, sentencepieces, sharding, simhash, token_counts, toxicity
+from tideline.llm import exact_dedup, hard_negatives, html_text, language_id, media, merkle, packing, secrets, sentencepieces, sharding, simhash, token_counts, toxicity
 from tideline.session import Scratch, ship, table
 
 QUERIES = {}
@@ -86,6 +86,12 @@ def op11_merkle_manifest(spark, sf_dir):
     return merkle.manifest(docs, tampered=merkle.without_newlines(docs))
 
 
+@query
+def op12_hard_negatives(spark, sf_dir):
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(table(spark, sf_dir, "embeddings"), label, F.col("vec_id") % 100 == 0)
+
+
 @query
 def op13_sharding(spark, sf_dir):
     return sharding.assign(table(spark, sf_dir, "documents"))
@@ -153,3 +159,22 @@ proofs AS (SELECT doc_id, sha256(string_agg(lefts || rights, '' ORDER BY step))
 SELECT l.doc_id, l.leaf, s.d AS subroot, r.d AS root, coalesce(p.proof_sha256, sha256('')) AS proof_sha256, f.folded_root, f.folded_root = r.d AS verified
 FROM leaves l JOIN subroots s ON s.k = l.k CROSS JOIN (SELECT d FROM high WHERE n = 1) r JOIN lasts f ON f.doc_id = l.doc_id LEFT JOIN proofs p ON p.doc_id = l.doc_id
 """
+
+ORACLES["op12_hard_negatives"] = r"""
+WITH v AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+         list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS x
+  FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (
+  SELECT a.vec_id AS anchor_id, b.vec_id AS other_id, a.label = b.label AS same, list_inner_product(a.x, b.x)::BIGINT AS score
+  FROM v a JOIN v b ON a.vec_id <> b.vec_id
+  WHERE a.vec_id % 100 = 0),
+p AS (
+  SELECT anchor_id, other_id AS positive_id, score AS positive_score FROM s WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other_id) <= 5)
+SELECT p.anchor_id, positive_id, row_number() OVER best AS rank, other_id AS negative_id, positive_score, score AS negative_score
+FROM p JOIN s ON s.anchor_id = p.anchor_id AND NOT same AND 80 * positive_score <= 100 * score AND score <= positive_score
+QUALIFY rank <= 5
+WINDOW best AS (PARTITION BY p.anchor_id, positive_id ORDER BY score DESC, other_id)
+"""
