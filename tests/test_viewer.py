@@ -152,5 +152,3 @@ def test_models(spark):
     assert out.groupBy("g").agg(F.countDistinct("fold").alias("n")).where("n > 1").count() == 0
     importance = models.permutation_importance(fitted[0], models.folds(df, "g", 2).where("fold = 0"), ["a", "b"], "win", 2)
     assert importance[0][0] == "a"
-    trees = models.pipeline(["a", "b"], [], "win", "trees").fit(df)
-    assert 0 <= models.interaction_strength(trees, df, "a", "b", "win", grid=4) <= 1

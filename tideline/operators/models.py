@@ -1,7 +1,10 @@
-"""Cross-validated outcome models, permutation importance and interaction strength, with pyspark.ml."""
+"""Cross-validated outcome models, permutation importance and interaction strengths, with pyspark.ml."""
 
 from __future__ import annotations
 
+from itertools import combinations
+
+import numpy as np
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
@@ -10,9 +13,9 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tideline.operators.stats import quantiles
 from tideline.session import Scratch
 
-
 #: Levels of fewer rows than this are one.
 LEAST_LEVEL = 10
 #: The inverse strength of the penalty of a logit, as sums and not means of losses have it.
@@ -91,7 +94,8 @@ def shuffled(df: DataFrame, column: str, seed: int) -> DataFrame:
     """df with a column's values dealt out anew: rows are numbered in two drawn orders within buckets of a hash, so no
     task sorts them all."""
     parts = max(1, df.rdd.getNumPartitions())
-    rows = df.withColumn("_id", F.monotonically_increasing_id()).withColumn("_part", F.pmod(F.xxhash64("_id", F.lit(seed)), F.lit(parts)))
+    rows = Scratch(df.sparkSession, "shuffled").save(df.withColumn("_id", F.monotonically_increasing_id()))
+    rows = rows.withColumn("_part", F.pmod(F.xxhash64("_id", F.lit(seed)), F.lit(parts)))
     place = lambda s: F.row_number().over(Window.partitionBy("_part").orderBy(F.xxhash64("_id", F.lit(s))))
     left = rows.withColumn("_n", place(seed + 1)).drop(column)
     right = rows.withColumn("_n", place(seed + 2)).select("_part", "_n", column)
@@ -108,20 +112,78 @@ def permutation_importance(model, held_out: DataFrame, columns: list[str], label
     return sorted(out, key=lambda x: -x[1])
 
 
-def interaction_strength(model, df: DataFrame, a: str, b: str, label: str, grid: int = 16) -> float:
-    """Friedman's H squared of two columns from partial dependence on a grid of quantiles: all rows are scored with the
-    columns set to each point of the grid (at most grid squared), which multiplies them by that bounded number."""
-    knots = lambda c: sorted({float(v) for v in df.approxQuantile(c, [i / (grid - 1) for i in range(grid)], 0.001)})
-    ka, kb = knots(a), knots(b)
-
-    def dependence(points: list[tuple], columns: list[str]) -> dict:
-        each = F.array(*(F.struct(*(F.lit(v).alias(c) for v, c in zip(p, columns, strict=True))) for p in points))
-        set_ = df.drop(*columns).withColumn("_p", F.explode(each)).select("*", "_p.*").drop("_p")
-        p = scored(model, set_, label)
-        return {tuple(r[c] for c in columns): r["m"] for r in p.groupBy(*columns).agg(F.avg("prob").alias("m")).collect()}
-
-    fa, fb, fab = dependence([(x,) for x in ka], [a]), dependence([(x,) for x in kb], [b]), dependence([(x, y) for x in ka for y in kb], [a, b])
-    center = lambda d: {k: v - sum(d.values()) / len(d) for k, v in d.items()}
-    fa, fb, fab = center(fa), center(fb), center(fab)
-    total = sum(v * v for v in fab.values())
-    return sum((v - fa[(x,)] - fb[(y,)]) ** 2 for (x, y), v in fab.items()) / total if total else 0.0
+def tree_nodes(model) -> list[tuple[float, list[tuple]]]:
+    """Of fitted trees: the weight of each, and its nodes in preorder as (feature, threshold, left, right, share of the
+    node's rows that go left, prediction); a leaf has feature -1, a split by categories -2."""
+    out = []
+    for weight, tree in zip(model.treeWeights, model.trees, strict=True):
+        nodes: list[tuple] = []
+
+        def walk(node, nodes=nodes) -> int:
+            at = len(nodes)
+            nodes.append(())
+            if node.subtreeDepth() == 0:
+                nodes[at] = (-1, 0.0, 0, 0, 0.0, node.prediction())
+                return at
+            split, count = node.split(), node.impurityStats().count()
+            by_value = split.getClass().getSimpleName() == "ContinuousSplit"
+            share = node.leftChild().impurityStats().count() / count
+            left, right = walk(node.leftChild()), walk(node.rightChild())
+            nodes[at] = (split.featureIndex() if by_value else -2, split.threshold() if by_value else 0.0, left, right, share, node.prediction())
+            return at
+
+        walk(tree._java_obj.rootNode())
+        out.append((weight, nodes))
+    return out
+
+
+def dependence(trees: list[tuple[float, list[tuple]]], features: tuple[int, ...], points: np.ndarray) -> np.ndarray:
+    """Partial dependence (as margins) of features at points, by one walk over the nodes: splits by these features are
+    followed, all others go both ways by their shares of rows. It costs nodes times points, whatever the number of rows."""
+    out = np.zeros(len(points))
+    place = {f: k for k, f in enumerate(features)}
+    for weight, nodes in trees:
+        reached = [(0, np.full(len(points), weight))]
+        while reached:
+            at, w = reached.pop()
+            feature, threshold, left, right, share, prediction = nodes[at]
+            if feature == -1:
+                out += w * prediction
+                continue
+            part = (points[:, place[feature]] <= threshold).astype(float) if feature in place else share
+            reached += [(left, w * part), (right, w * (1 - part))]
+    return out
+
+
+def knots(filled: DataFrame, columns: list[str], grid: int) -> dict[str, np.ndarray]:
+    """Points at which a column's dependence is taken: all its values if they are fewer than grid, else grid evenly
+    spaced ones from its 5th to its 95th percentile."""
+    long = filled.select(*(F.col(c).cast("double").alias(c) for c in columns)).unpivot([], columns, "feature", "value").where("value IS NOT NULL AND NOT isnan(value)")
+    first = F.row_number().over(Window.partitionBy("feature").orderBy("value"))
+    few = long.distinct().withColumn("_n", first).where(F.col("_n") <= grid).groupBy("feature").agg(F.array_sort(F.collect_list("value")).alias("v"))
+    ends = {r["feature"]: r["q"] for r in quantiles(long, ["feature"], "value", (0.05, 0.95)).collect()}
+    return {r["feature"]: np.array(r["v"]) if len(r["v"]) < grid else np.linspace(*ends[r["feature"]], grid) for r in few.collect()}
+
+
+def interaction_strengths(model, df: DataFrame, columns: list[str], grid: int = 16, top: int | None = None) -> list[tuple[str, str, float]]:
+    """Friedman's H squared of every pair of numeric columns of a model of boosted trees, largest first: the share of the
+    joint partial dependence's variance that the two single ones don't explain, all centred over the grid.
+
+    model: a fitted ``pipeline`` of trees. Rows are read for the knots only."""
+    filled = [f"{c}_filled" for c in columns]
+    imputer, assembler, trees = model.stages[0], next(s for s in model.stages if isinstance(s, VectorAssembler)), tree_nodes(model.stages[-1])
+    at = knots(imputer.transform(df), filled, grid)
+    index = {c: assembler.getInputCols().index(c) for c in filled}
+    single = {}
+    for c in filled:
+        d = dependence(trees, (index[c],), at[c][:, None])
+        single[c] = d - d.mean()
+    out = []
+    for a, b in combinations(filled, 2):
+        points = np.array(np.meshgrid(at[a], at[b], indexing="ij")).reshape(2, -1).T
+        joint = dependence(trees, (index[a], index[b]), points).reshape(len(at[a]), -1)
+        joint = joint - joint.mean()
+        total = float((joint**2).sum())
+        rest = float(((joint - single[a][:, None] - single[b]) ** 2).sum())
+        out.append((a.removesuffix("_filled"), b.removesuffix("_filled"), rest / total if total > 1e-18 else 0.0))
+    return sorted(out, key=lambda x: (-x[2], x[0], x[1]))[:top]

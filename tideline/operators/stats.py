@@ -33,15 +33,41 @@ def average_ranks(df: DataFrame, by: list[str], value: str) -> DataFrame:
     return df.withColumn("ties", same).withColumn("rank", F.rank().over(w) + (F.col("ties") - 1) / 2)
 
 
-def running(counts: DataFrame, by: list[str], value: str, n: str, out: str) -> DataFrame:
-    """Add the sum of n over the lesser values of a group. Values are dealt out by ranges and each range is summed by
-    itself, on top of the ranges before it (a row for each range and group), so no task has all values of a group."""
+def running(counts: DataFrame, by: list[str], value: str, n: str, out: str, total: str | None = None) -> DataFrame:
+    """Add the sum of n over the lesser values of a group, and that over all of them as total. Values are dealt out by
+    ranges and each range is summed by itself, on top of the ranges before it (a row for each range and group), so no task
+    has all values of a group."""
     ranged = Scratch(counts.sparkSession, "ranks").save(counts.repartitionByRange(*by, value).withColumn("_part", F.spark_partition_id()))
     lesser = (Window.unboundedPreceding, -1)
     parts = ranged.groupBy(*by, "_part").agg(F.sum(n).alias("_sum"))
-    before = parts.select(*by, "_part", F.coalesce(F.sum("_sum").over(Window.partitionBy(*by).orderBy("_part").rowsBetween(*lesser)), F.lit(0)).alias("_before"))
+    group = Window.partitionBy(*by)
+    before = parts.select(*by, "_part", F.coalesce(F.sum("_sum").over(group.orderBy("_part").rowsBetween(*lesser)), F.lit(0)).alias("_before"), F.sum("_sum").over(group).alias(total or "_total"))
     inside = F.coalesce(F.sum(n).over(Window.partitionBy(*by, "_part").orderBy(value).rowsBetween(*lesser)), F.lit(0))
-    return ranged.join(before, [*by, "_part"]).withColumn(out, F.col("_before") + inside).drop("_part", "_before")
+    return ranged.join(before, [*by, "_part"]).withColumn(out, F.col("_before") + inside).drop("_part", "_before", "_total")
+
+
+def quantiles(df: DataFrame, by: list[str], value: str, at: tuple[float, ...]) -> DataFrame:
+    """By group: n, and q, the exact quantiles with linear interpolation of the values that aren't null. Equal values
+    are counted first, prefix counts over ranges number them, and only those at the wanted places go on: at most two for
+    each quantile, so no task holds a group's values. Groups without a value have no row; keys shouldn't be null."""
+    counts = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias("_c"))
+    placed = running(counts, by, value, "_c", "_less", "_n")
+
+    def holds(place: Column) -> Column:
+        return (F.col("_less") <= place) & (place < F.col("_less") + F.col("_c"))
+
+    exact = [F.lit(q) * (F.col("_n") - 1) for q in at]
+    lower, upper = [F.floor(p) for p in exact], [F.ceil(p) for p in exact]
+    wanted = placed.where(F.exists(F.array(*lower, *upper), holds))
+    v = F.col(value).cast("double")
+    ends = [F.max(F.when(holds(p), v)).alias(f"_{side}{i}") for side, places in (("l", lower), ("u", upper)) for i, p in enumerate(places)]
+    found = wanted.groupBy(*by).agg(F.max("_n").alias("n"), *ends)
+    # as the built-in percentile weighs the two, so that results agree to the last digit
+    between = []
+    for i, q in enumerate(at):
+        place, low, high = F.lit(q) * (F.col("n") - 1), F.col(f"_l{i}"), F.col(f"_u{i}")
+        between.append(F.when(low == high, low).otherwise((F.ceil(place) - place) * low + (place - F.floor(place)) * high))
+    return found.select(*by, "n", F.array(*between).alias("q"))
 
 
 def rank_sums(df: DataFrame, by: list[str], value: str = "value", win: str = "win") -> DataFrame:
@@ -180,12 +206,12 @@ def lr_test(df: DataFrame, by: str, base: list[str], more: str, y: str) -> DataF
     return df.sparkSession.createDataFrame(rows, f"{by} {kind}, lr double").withColumn("p", chi2_tail(F.col("lr")))
 
 
-def anchors(df: DataFrame, by: list[str], least: int = LEAST_SIDE, quantiles: tuple[float, ...] = QUANTILES) -> DataFrame:
+def anchors(df: DataFrame, by: list[str], least: int = LEAST_SIDE, quantiles_: tuple[float, ...] = QUANTILES) -> DataFrame:
     """Quantiles (linear interpolation, to three digits) of the values of wins and of losses, with enough of each."""
-    side = lambda w: F.percentile(F.when(F.col("win") == w, F.col("value")), list(quantiles))
     r = lambda c: F.transform(c, lambda v: F.bround(v, 3))
-    n = lambda w: F.count(F.when(F.col("win") == w, F.col("value")))
-    out = df.groupBy(*by).agg(r(side(1)).alias("win_q"), r(side(0)).alias("loss_q"), n(1).alias("n_win"), n(0).alias("n_loss"))
+    sides = quantiles(df.where("win IN (0, 1)"), [*by, "win"], "value", quantiles_)
+    of = lambda w, c: F.max(F.when(F.col("win") == w, F.col(c)))
+    out = sides.groupBy(*by).agg(r(of(1, "q")).alias("win_q"), r(of(0, "q")).alias("loss_q"), of(1, "n").alias("n_win"), of(0, "n").alias("n_loss"))
     return out.where((F.col("n_win") >= least) & (F.col("n_loss") >= least))
 
 
@@ -283,7 +309,9 @@ def interaction_screen(wide: DataFrame, pairs: list[tuple[str, str]], control: s
     each = F.array(*(F.struct(F.lit(k).alias("pair"), F.lit(a).alias("a"), F.lit(b).alias("b"), d(a).alias("xa"), d(b).alias("xb")) for k, (a, b) in enumerate(pairs)))
     rows = wide.select(d(win).alias("y"), d(control).alias("c"), F.explode(each).alias("e")).select("y", "c", "e.*")
     rows = Scratch(wide.sparkSession, "pairs").save(rows.where("xa IS NOT NULL AND xb IS NOT NULL AND c IS NOT NULL AND y IS NOT NULL AND NOT isnan(xa) AND NOT isnan(xb)"))
-    moments = rows.groupBy("pair").agg(F.count(F.lit(1)).alias("n"), *(f(c).alias(f"{n}{c}") for c in ("xa", "xb", "c") for n, f in (("m_", F.avg), ("s_", F.stddev_pop))), F.median("xa").alias("md_a"), F.median("xb").alias("md_b"), F.min("y").alias("_lo"), F.max("y").alias("_hi"))
+    moments = rows.groupBy("pair").agg(F.count(F.lit(1)).alias("n"), *(f(c).alias(f"{n}{c}") for c in ("xa", "xb", "c") for n, f in (("m_", F.avg), ("s_", F.stddev_pop))), F.min("y").alias("_lo"), F.max("y").alias("_hi"))
+    for x in "ab":
+        moments = moments.join(quantiles(rows, ["pair"], f"x{x}", (0.5,)).select("pair", F.col("q")[0].alias(f"md_{x}")), "pair")
     usable = moments.where(f"n >= {least} AND s_xa > 0 AND s_xb > 0 AND _lo < _hi")
     joined = rows.join(F.broadcast(usable), "pair")  # a row for each pair
     z = lambda c: (F.col(c) - F.col(f"m_{c}")) / F.when(F.col(f"s_{c}") > 0, F.col(f"s_{c}")).otherwise(1.0)
@@ -297,7 +325,8 @@ def interaction_screen(wide: DataFrame, pairs: list[tuple[str, str]], control: s
 
 def median_split(df: DataFrame, a: str, b: str) -> DataFrame:
     """n and win rate of the four quadrants of two columns split at their medians (above or not)."""
-    mid = df.agg(F.median(a).alias("_ma"), F.median(b).alias("_mb"))
+    middle = lambda c, out: quantiles(df, [], c, (0.5,)).select(F.col("q")[0].alias(out))
+    mid = middle(a, "_ma").join(middle(b, "_mb"))
     cut = df.where(F.col(a).isNotNull() & F.col(b).isNotNull()).join(F.broadcast(mid))  # one row
     return cut.groupBy((F.col(a) > F.col("_ma")).cast("int").alias("a_high"), (F.col(b) > F.col("_mb")).cast("int").alias("b_high")).agg(
         F.count(F.lit(1)).alias("n"), F.avg(F.col("win").cast("double")).alias("win_rate")

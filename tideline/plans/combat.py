@@ -145,6 +145,16 @@ def sta08_cv_logit(spark, sf):
     return out.select("match_id", "fold", "prob", "win")
 
 
+@query()
+def sta07_interaction_strengths(spark, sf):
+    """The ten pairs of the largest H squared in boosted trees over all labelled matches."""
+    df = _labelled(spark, sf).select("rating", "duration_sec", "zone", (F.col("start_ms") / 1e9).alias("start"), (F.col("match_id") % 2).alias("odd"), F.col("win").cast("double").alias("win"))
+    names = ["rating", "duration_sec", "zone", "start", "odd"]
+    fitted = models.pipeline(names, [], "win", "trees", rounds=10).fit(df)
+    rows = [(k, a, b, round(h, 4)) for k, (a, b, h) in enumerate(models.interaction_strengths(fitted, df, names, top=10), 1)]
+    return spark.createDataFrame(rows, "place int, feature_a string, feature_b string, h2 double")
+
+
 @query()
 def sta13_coach_pack(spark, sf):
     long, m = _long(spark, sf), _labelled(spark, sf)

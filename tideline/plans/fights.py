@@ -50,11 +50,11 @@ def geo03_sight_with_smoke(spark, sf):
     return combat.sight(lines, _smokes(spark, sf), _voids(spark, sf), CELL, ["m"], bucket_sec=SMOKE_SEC)
 
 
-W = f"w AS (SELECT event_id AS window_id, actor // 30 AS m, 1 - team AS team, team AS vt, actor AS target, (ts_ms - {T0}) / 1000.0::DOUBLE AS f, (ts_ms - {T0}) / 1000.0::DOUBLE + {DAY / 1000} AS u FROM e WHERE kind = 'error' AND spell < 30 AND actor IN (SELECT actor FROM s))"
+W = f"w AS (SELECT event_id AS window_id, actor // 30 AS m, 1 - team AS team, team AS vt, actor AS target, (ts_ms - {T0}) / 1000.0::DOUBLE AS f, (ts_ms - {T0}) / 1000.0::DOUBLE + {DAY / 1000} AS u FROM e WHERE kind = 'error' AND actor IN (SELECT actor FROM s))"
 
 
 def _windows(spark, sf):
-    e = events(spark, sf).where("kind = 'error' AND spell < 30")
+    e = events(spark, sf).where("kind = 'error'")
     w = e.select(F.col("event_id").alias("window_id"), F.floor(F.col("actor") / 30).alias("m"), (1 - F.col("team")).alias("team"), F.col("team").alias("other_team"), F.col("actor").alias("target"), _seconds("from_sec"))
     known = _samples(spark, sf).select(F.col("actor").alias("target")).distinct()
     return w.join(known, "target", "left_semi").withColumn("to_sec", F.col("from_sec") + DAY / 1000)
@@ -98,11 +98,11 @@ def ts09_escapes(spark, sf):
     return combat.escapes(_windows(spark, sf), placed, casts, anchors, _units(spark, sf), ["m"], GAP48)
 
 
-WM = f"wm AS (SELECT event_id AS window_id, actor // 30 AS m, team, 1 - team AS other_team, ts_ms AS start_ms, ts_ms + 36000000 AS end_ms FROM e WHERE kind = 'signup' AND spell < 30)"
+WM = f"wm AS (SELECT event_id AS window_id, actor // 30 AS m, team, 1 - team AS other_team, ts_ms AS start_ms, ts_ms + 36000000 AS end_ms FROM e WHERE kind = 'signup')"
 
 
 def _window_ms(spark, sf):
-    e = events(spark, sf).where("kind = 'signup' AND spell < 30")
+    e = events(spark, sf).where("kind = 'signup'")
     return e.select(F.col("event_id").alias("window_id"), F.floor(F.col("actor") / 30).alias("m"), "team", (1 - F.col("team")).alias("other_team"), F.col("ts_ms").alias("start_ms"), (F.col("ts_ms") + 36_000_000).alias("end_ms"))
 
 

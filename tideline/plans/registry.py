@@ -32,6 +32,6 @@ def load() -> None:
         import_module(f"tideline.plans.{name}")
 
 
-MODULES = ("windows", "store", "analytics", "combat", "fights", "accessors", "mining")
+MODULES = ("windows", "store", "analytics", "combat", "fights", "accessors", "mining", "arenas")
 
 load()

@@ -9,6 +9,7 @@ import html
 import json
 import re
 import sys
+from dataclasses import dataclass
 from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
 from urllib.parse import parse_qs, unquote, urlsplit
 
@@ -16,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tideline.functions import scalars
-from tideline.operators import aggregates, asof, cohort, events, grid, relational, sessions, units
+from tideline.operators import aggregates, asof, cohort, events, grid, meshes, relational, sessions, units
 from tideline.session import Scratch, get_spark
 from tideline.sources import logs, stores
 
@@ -68,10 +69,10 @@ def detail(store: stores.Store, match_id: str) -> DataFrame:
     return store.read("match_detail").where(F.col("match_id") == match_id)
 
 
-def report(rows: DataFrame, title: str, most: int = 500) -> str:
-    """A page with a table of the first rows of a frame."""
+def report(rows: DataFrame, title: str) -> str:
+    """A page with a table of all rows of a frame, which pass the driver one partition after another."""
     head = "".join(f"<th>{html.escape(c)}</th>" for c in rows.columns)
-    body = "".join("<tr>" + "".join(f"<td>{'' if v is None else html.escape(str(v))}</td>" for v in r) + "</tr>" for r in rows.limit(most).collect())
+    body = "".join("<tr>" + "".join(f"<td>{'' if v is None else html.escape(str(v))}</td>" for v in r) + "</tr>" for r in rows.toLocalIterator())
     return f"<!DOCTYPE html><html><head><meta charset='utf-8'><title>{html.escape(title)}</title></head><body><h1>{html.escape(title)}</h1><table><tr>{head}</tr>{body}</table></body></html>"
 
 
@@ -99,6 +100,81 @@ def floor_plan(polygons: list[tuple[str, list[tuple[float, float]]]], points: li
     return f'<svg xmlns="http://www.w3.org/2000/svg" width="{width:.0f}" height="{height:.0f}">{shapes}{dots}</svg>'
 
 
+PAD_YD = 6.0
+TEAM_COLORS = {"friendly": "#2a8f3c", "enemy": "#c43a31"}
+
+
+@dataclass(frozen=True)
+class Sheet:
+    """The content box of a layered plan in world yards; drawings have y downwards and a unit a yard."""
+
+    left: float
+    low: float
+    right: float
+    top: float
+
+    def at(self, x: float, y: float) -> str:
+        return f"{x - self.left:.2f},{self.top - y:.2f}"
+
+    def points(self, corners: list) -> str:
+        return " ".join(self.at(x, y) for x, y in corners)
+
+
+def _group(name: str, style: str, shapes: list[str]) -> str:
+    return f'<g id="{html.escape(name)}" {style}>{"".join(shapes)}</g>'
+
+
+def slices_layer(segments: DataFrame, styles: dict[str, tuple[str, float]]) -> list[str]:
+    """A group for each layer of a mesh plan, in the order of styles (colour, width); layers without segments go. The
+    drawing of one arena is small; its paths are joined by Spark."""
+    drawn = {r["layer"]: r["d"] for r in meshes.paths(segments).collect()}
+    return [_group(k, f'stroke="{color}" stroke-width="{width}" fill="none"', [f'<path d="{drawn[k]}"/>']) for k, (color, width) in styles.items() if k in drawn]
+
+
+def voids_layer(grid: DataFrame, sheet: Sheet, cell: float, least: float = 0.5) -> str:
+    """Squares of the cells (col, row, voidness) that can't be walked on."""
+    cells = grid.where(F.col("voidness") >= least).select("col", "row").orderBy("row", "col").collect()
+    shapes = []
+    for c, r in cells:
+        x, y = sheet.at(c * cell, (r + 1) * cell).split(",")
+        shapes.append(f'<rect x="{x}" y="{y}" width="{cell}" height="{cell}"/>')
+    return _group("occupancy-voids", 'fill="#999" fill-opacity="0.35"', shapes)
+
+
+def occluders_layer(polygons: list[tuple[str, list[tuple[float, float]]]], sheet: Sheet) -> str:
+    """Outlines of occluders by kind; slopes are no boundaries and aren't drawn."""
+    shapes = [f'<polygon class="{html.escape(kind)}" points="{sheet.points(poly)}"/>' for kind, poly in polygons if kind != "slope"]
+    return _group("fitted-occluders", 'fill="none" stroke="#7a3fd2" stroke-width="0.4"', shapes)
+
+
+def movement_layer(samples: DataFrame, sheet: Sheet, recorder: str | None = None) -> str:
+    """A line for each unit (match_id, unit, team, t, x, y) of known team, the recorder's wider and blue."""
+    point = F.format_string("%.2f,%.2f", F.col("x") - sheet.left, F.lit(sheet.top) - F.col("y"))
+    listed = F.array_sort(F.collect_list(F.struct("t", point.alias("p"))))
+    tracks = samples.where("team IS NOT NULL").groupBy("match_id", "unit", "team").agg(F.concat_ws(" ", F.transform(listed, lambda s: s["p"])).alias("points"))
+    by_match: dict[str, list[str]] = {}
+    for m, unit, team, points in tracks.orderBy("match_id", "unit").collect():  # a row for each unit of the drawn matches
+        color, width = ("#1f5fd0", 0.5) if unit == recorder else (TEAM_COLORS.get(team, "#666"), 0.3)
+        by_match.setdefault(str(m), []).append(f'<polyline points="{points}" stroke="{color}" stroke-width="{width}" fill="none" stroke-opacity="0.55"/>')
+    return _group("movement", "", [_group(f"match-{m[:8]}", "", lines) for m, lines in by_match.items()])
+
+
+def sheet_of(segments: DataFrame) -> Sheet:
+    """The sheet that a mesh plan's segments fill."""
+    ends = (F.min(F.least("x0", "x1")), F.min(F.least("z0", "z1")), F.max(F.greatest("x0", "x1")), F.max(F.greatest("z0", "z1")))
+    return Sheet(*(float(v or 0) for v in segments.agg(*ends).first()))
+
+
+def layered_plan(name: str, zone: str, sheet: Sheet, layers: list[str], pad: float = PAD_YD) -> str:
+    """An SVG document of layers and a bar of ten yards; the sheet's box and pad are in its attributes, so that what is
+    drawn over it can be read back as world coordinates."""
+    width, height = sheet.right - sheet.left, sheet.top - sheet.low
+    bar = f'<g id="scale"><line x1="0" y1="{height + 4}" x2="10" y2="{height + 4}" stroke="#000" stroke-width="0.6"/><text x="0" y="{height + 2.8}" font-size="2.5">10 yd</text></g>'
+    box = " ".join(f'data-{k}="{v}"' for k, v in (("zone", html.escape(zone)), ("min-x", sheet.left), ("min-y", sheet.low), ("max-x", sheet.right), ("max-y", sheet.top), ("pad", pad)))
+    size = f'viewBox="0 0 {width + 2 * pad} {height + 2 * pad}"'
+    return f'<svg xmlns="http://www.w3.org/2000/svg" {size} {box}><title>{html.escape(name)}</title><g transform="translate({pad} {pad})">{"".join(layers)}{bar}</g></svg>'
+
+
 #: Metrics of units that are stored; actions of pets count for their owners.
 ACTIONS = ["interruptsLanded", "dispels", "purges", "cleanses", "spellsteals"]
 OWN = ["casts", "interruptsSuffered", "deaths", "damageDone", "healingDone", "absorbDone", "dps", "hps"]
