@@ -78,15 +78,65 @@ def test_settings():
             stores.read_settings(json.dumps(bad))
 
 
+METRIC = "match_id string, scope string, metric_id string, value double"
+
+
+def stored(store):
+    return sorted((r.match_id, r.metric_id, r.value) for r in store.read("metric").collect())
+
+
 def test_store_upserts(spark, tmp_path):
     store = stores.Store(spark, str(tmp_path))
-    rows = lambda *x: spark.createDataFrame(list(x), "match_id string, scope string, metric_id string, value double")
+    rows = lambda *x: spark.createDataFrame(list(x), METRIC)
     store.upsert("metric", rows(("1", "u", "a", 1.0), ("1", "u", "b", 2.0), ("2", "u", "a", 3.0)))
     for _ in range(2):
-        store.upsert("metric", rows(("1", "u", "a", 9.0)))
-    assert sorted((r.match_id, r.metric_id, r.value) for r in store.read("metric").collect()) == [("1", "a", 9.0), ("2", "a", 3.0)]
+        store.upsert("metric", rows(("1", "u", "a", 9.0), ("1", "u", "c", 4.0)))
+    assert stored(store) == [("1", "a", 9.0), ("1", "b", 2.0), ("1", "c", 4.0), ("2", "a", 3.0)]
     with pytest.raises(ValueError, match="match_id"):
         store.upsert("metric", rows((None, "u", "a", 1.0)))
+    # a write replaces whole matches, and upserts after it add again
+    store.write({"metric": rows(("1", "u", "d", 5.0))})
+    assert stored(store) == [("1", "d", 5.0), ("2", "a", 3.0)]
+    store.upsert("metric", rows(("1", "u", "a", 6.0)))
+    before = [("1", "a", 6.0), ("1", "d", 5.0), ("2", "a", 3.0)]
+    assert stored(store) == before
+    last = store.batches()[-1]
+    store.compact()
+    assert stored(store) == before and len(store.batches()) == 1 and store.batches()[0][1:13] == last[1:13]
+    store.clean()
+    store.upsert("metric", rows(("2", "u", "a", 7.0)))
+    assert stored(store) == [("1", "a", 6.0), ("1", "d", 5.0), ("2", "a", 7.0)]
+
+
+def test_writers_at_the_same_time_lose_nothing(spark, tmp_path, monkeypatch):
+    one, other = stores.Store(spark, str(tmp_path)), stores.Store(spark, str(tmp_path))
+    rows = lambda *x: spark.createDataFrame(list(x), METRIC)
+    real = one._names
+    # the second writer commits after the first has taken its number
+    taken = []
+
+    def names(folder):
+        found = real(folder)
+        if folder == "manifest" and not taken:
+            taken.append(1)
+            other.upsert("metric", rows(("1", "u", "b", 2.0)))
+        return found
+
+    monkeypatch.setattr(one, "_names", names)
+    one.upsert("metric", rows(("1", "u", "a", 1.0)))
+    assert {b[1:13] for b in other.batches()} == {"000000000001"} and len(other.batches()) == 2
+    assert stored(other) == [("1", "a", 1.0), ("1", "b", 2.0)]
+
+
+def test_a_match_over_two_micro_batches_is_whole(spark, tmp_path):
+    schema = METRIC
+    for k, rows in enumerate(([("m", "u", "dps", 1.0), ("m", "u", "hps", 2.0)], [("m", "u", "hps", 3.0), ("n", "u", "dps", 4.0)])):
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(str(tmp_path / "in" / str(k)))
+    source = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(str(tmp_path / "in"))
+    store = stores.Store(spark, str(tmp_path / "store"))
+    streams.upsert_stream(source, store, "metric", str(tmp_path / "cp")).awaitTermination(120)
+    assert len(store.batches()) == 2
+    assert {x[:2] for x in stored(store)} == {("m", "dps"), ("m", "hps"), ("n", "dps")}
 
 
 def test_mesh_and_placements(spark, tmp_path):

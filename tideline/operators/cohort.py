@@ -1,4 +1,8 @@
-"""Cohorts, verdicts and season bests of matches against a history."""
+"""Cohorts, verdicts and season bests of matches against a history.
+
+Statistics of cohorts come from sums and not from pairs of matches: sums by class (what the scope compares), or prefix
+sums over sorted ratings where it has a band, less the target's own match; bests from the two best matches of a class.
+"""
 
 from __future__ import annotations
 
@@ -6,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tideline.functions.scalars import circular_hours
-from tideline.operators import sessions
+from tideline.operators import sessions, stats
 
 LEAST_COHORT = 5
 AVERAGE_BAND = 0.5
@@ -109,22 +113,102 @@ def is_new_best(value: Column, best: Column, polarity: str) -> Column:
     return value.isNotNull() & F.coalesce(beats, F.lit(True))
 
 
+#: Spread, as a share of the mean, that counts as none: sums of equal rates may differ by roundings.
+FLAT = 1e-9
+SUMS = ("n", "s1", "s2", "wn", "ws", "ln", "ls")
+
+
+def _long(df: DataFrame, keys: list[str], registry: dict[str, tuple[str, bool]]) -> DataFrame:
+    """keys, metric_id and value of all metrics that a match has."""
+    rated = [per_minute(F.col(f"`{m}`"), F.col("duration_sec"), rate).cast("double").alias(m) for m, (_, rate) in registry.items()]
+    return df.select(*keys, *rated).unpivot(keys, [F.col(f"`{m}`") for m in registry], "metric_id", "value").where("value IS NOT NULL")
+
+
+def _class_key(scope: dict) -> Column:
+    same = [c for c, asked in (("zone", "map"), ("comp", "comp"), ("season", "season")) if scope.get(asked)]
+    return F.to_json(F.struct(*same)) if same else F.lit("")  # nulls are alike
+
+
+def member_stats(history: DataFrame, targets: DataFrame, by: list[str], scope: dict, registry: dict[str, tuple[str, bool]]) -> DataFrame:
+    """target_id, metric_id, n, mean, stdev, win_mean and loss_mean of the cohorts of ``cohort`` for scopes without last
+    games or sessions; history has a row for each match. What is summed are differences from the class's mean."""
+    band, hours = scope.get("rating_band"), scope.get("hours")
+    group = [*by, "_key"]
+    hour = hour_of(F.col("start_ms")) if hours is not None else F.lit(0)
+    h = _long(history.withColumns({"_key": _class_key(scope), "_hour": hour}), [*group, "_hour", "match_id", "rating", "result"], registry)
+    t = targets.select(*by, _class_key(scope).alias("_key"), F.col("match_id").alias("target_id"), F.col("rating").alias("t_rating"), hour.alias("t_hour"))
+    if band is not None:
+        h, t = h.where("rating IS NOT NULL"), t.where("t_rating IS NOT NULL")
+    middle = h.groupBy(*group, "metric_id").agg(F.avg("value").alias("_c"))
+    h = h.join(middle, [*group, "metric_id"]).withColumn("_d", F.col("value") - F.col("_c")).drop("value")
+    d, win, loss = F.col("_d"), F.col("result") == "win", F.col("result") == "loss"
+    sums = [F.count(F.lit(1)), F.sum(d), F.sum(d * d), F.count_if(win), F.sum(F.when(win, d).otherwise(0)), F.count_if(loss), F.sum(F.when(loss, d).otherwise(0))]
+    sums = [s.cast("double").alias(c) for s, c in zip(sums, SUMS, strict=True)]
+    every = F.array(*map(F.lit, range(24)))
+    near = F.filter(every, lambda x: circular_hours(x, F.col("t_hour")) <= hours) if hours is not None else F.array(F.lit(0))
+    asked = t.withColumn("_hour", F.explode(near))
+    cell = [*group, "_hour", "metric_id"]
+    if band is None:
+        met = h.groupBy(*cell).agg(*sums).join(asked, [*group, "_hour"]).groupBy("target_id", "metric_id").agg(*(F.sum(c).alias(c) for c in SUMS))
+    else:
+        cells = h.groupBy(*cell, "rating").agg(*sums).withColumn("_side", F.lit(1))
+        probes = asked.join(middle.select(*group, "metric_id"), group)
+        ends = F.array(*(F.struct((F.col("t_rating") + sign * band).alias("rating"), F.lit(1 + sign).alias("_side")) for sign in (-1, 1)))
+        probes = probes.select(*cell, "target_id", F.explode(ends).alias("e")).select(*cell, "target_id", F.col("e.rating").cast("double").alias("rating"), "e._side", *(F.lit(0.0).alias(c) for c in SUMS))
+        both = cells.withColumn("rating", F.col("rating").cast("double")).unionByName(probes, allowMissingColumns=True)
+        reached = stats.running_sums(both, cell, ["rating", "_side"], list(SUMS)).where("_side != 1")
+        met = reached.groupBy("target_id", "metric_id").agg(*(F.sum(F.col(c) * (F.col("_side") - 1)).alias(c) for c in SUMS))
+    own = h.withColumn("target_id", F.col("match_id")).join(t, [*group, "target_id"])
+    less = own.groupBy("target_id", "metric_id").agg(*(s.alias(f"o_{c}") for s, c in zip(sums, SUMS, strict=True)))
+    met = met.join(less, ["target_id", "metric_id"], "left")
+    met = met.select("target_id", "metric_id", *((F.col(c) - F.coalesce(F.col(f"o_{c}"), F.lit(0.0))).alias(c) for c in SUMS)).where("n >= 0.5")
+    met = met.join(t.select(*group, "target_id"), "target_id").join(middle, [*group, "metric_id"])
+    c, n = F.col("_c"), F.col("n")
+    mean = c + F.col("s1") / n
+    spread = F.sqrt(F.greatest(F.lit(0.0), F.col("s2") / n - (F.col("s1") / n) ** 2))
+    side = lambda k: F.when(F.col(f"{k}n") > 0.5, c + F.col(f"{k}s") / F.col(f"{k}n"))
+    return met.select(
+        "target_id", "metric_id", F.round(n).cast("long").alias("n"), mean.alias("mean"),
+        F.when(spread > FLAT * F.abs(mean), spread).otherwise(0.0).alias("stdev"), side("w").alias("win_mean"), side("l").alias("loss_mean"),
+    )
+
+
+def season_bests(history: DataFrame, targets: DataFrame, by: list[str], scope: dict, registry: dict[str, tuple[str, bool]]) -> DataFrame:
+    """target_id, metric_id, and the most and least value of the other matches of the target's character and bracket (and
+    season, where the scope has seasons). Only the two highest and lowest values of a class go on, so a target that has
+    the best itself finds the next."""
+    scope = {"season": scope.get("has_seasons")}
+    group = [*by, "_key", "metric_id"]
+    h = _long(history.withColumn("_key", _class_key(scope)), [*by, "_key", "match_id"], registry)
+    out = targets.select(*by, _class_key(scope).alias("_key"), F.col("match_id").alias("target_id"))
+    out = out.join(h.select(*group).distinct(), [*by, "_key"])
+    for name, order in (("most", F.desc("value")), ("least", F.asc("value"))):
+        place = F.row_number().over(Window.partitionBy(*group).orderBy(order, "match_id"))
+        two = h.withColumn("_n", place).where(F.col("_n") <= 2).groupBy(*group).agg(F.array_sort(F.collect_list(F.struct("_n", "match_id", "value"))).alias("_two"))
+        others = F.filter("_two", lambda x: x["match_id"] != F.col("target_id"))
+        out = out.join(two, group).withColumn(name, F.get(others, F.lit(0))["value"]).drop("_two")
+    return out.select("target_id", "metric_id", "most", "least")
+
+
 def scorecard(history: DataFrame, targets: DataFrame, by: list[str], scope: dict, registry: dict[str, tuple[str, bool]]) -> DataFrame:
     """One row per target and metric: value, cohort statistics, z, verdict, season best, new best and win-likeness."""
     metrics = list(registry)
-    rated = [per_minute(F.col(f"`{m}`"), F.col("duration_sec"), registry[m][1]).cast("double").alias(m) for m in metrics]
-    long = lambda df, keys: df.select(*keys, *rated).unpivot(list(keys), [F.col(f"`{m}`") for m in metrics], "metric_id", "value").where("value IS NOT NULL")
-    members = cohort(history, targets, by, scope).withColumnRenamed("match_id", "_m")
-    stats = long(members, ("target_id", "_m", "result")).groupBy("target_id", "metric_id").agg(
-        F.count("value").alias("n"), F.avg("value").alias("mean"), F.stddev_pop("value").alias("stdev"),
-        F.avg(F.when(F.col("result") == "win", F.col("value"))).alias("win_mean"), F.avg(F.when(F.col("result") == "loss", F.col("value"))).alias("loss_mean"),
-    )
-    season = cohort(history, targets, by, {"season": scope.get("has_seasons")}).withColumnRenamed("match_id", "_m")
-    best = long(season, ("target_id", "_m")).groupBy("target_id", "metric_id").agg(F.max("value").alias("most"), F.min("value").alias("least"))
+    long = lambda df, keys: _long(df, list(keys), registry)
+    if scope.get("last_games") is None and scope.get("last_sessions") is None:
+        found = member_stats(history, targets, by, scope, registry)
+    else:
+        members = cohort(history, targets, by, scope).withColumnRenamed("match_id", "_m")
+        found = long(members, ("target_id", "_m", "result")).groupBy("target_id", "metric_id").agg(
+            F.count("value").alias("n"), F.avg("value").alias("mean"), F.stddev_pop("value").alias("stdev"),
+            F.avg(F.when(F.col("result") == "win", F.col("value"))).alias("win_mean"), F.avg(F.when(F.col("result") == "loss", F.col("value"))).alias("loss_mean"),
+        )
+    best = season_bests(history, targets, by, scope, registry)
     names = targets.select(F.col("match_id").alias("target_id"), F.explode(F.array(*map(F.lit, metrics))).alias("metric_id"))
     own = long(targets.withColumnRenamed("match_id", "target_id"), ("target_id",))
     keys = ["target_id", "metric_id"]
-    all_ = names.join(own, keys, "left").join(stats, keys, "left").join(best, keys, "left").fillna(0, ["n"]).fillna(0.0, ["mean", "stdev"])
+    all_ = names.join(own, keys, "left").join(found, keys, "left").join(best, keys, "left").fillna(0, ["n"]).fillna(0.0, ["mean", "stdev"])
+    level = (F.col("stdev") == 0) & (F.abs(F.col("value") - F.col("mean")) <= FLAT * F.abs(F.col("mean")))
+    all_ = all_.withColumn("mean", F.when(level, F.col("value")).otherwise(F.col("mean")))
 
     def by_polarity(f):
         out = None

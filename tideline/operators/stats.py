@@ -46,6 +46,20 @@ def running(counts: DataFrame, by: list[str], value: str, n: str, out: str, tota
     return ranged.join(before, [*by, "_part"]).withColumn(out, F.col("_before") + inside).drop("_part", "_before", "_total")
 
 
+def running_sums(rows: DataFrame, by: list[str], order: list[str], columns: list[str]) -> DataFrame:
+    """Replace columns by their sums over the earlier rows of a group, in order. Rows are dealt out by ranges and summed
+    within them, on top of the ranges before (a row for each range and group), as in ``running``."""
+    ranged = Scratch(rows.sparkSession, "sums").save(rows.repartitionByRange(*by, *order).withColumn("_part", F.spark_partition_id()))
+    lesser = (Window.unboundedPreceding, -1)
+    parts = ranged.groupBy(*by, "_part").agg(*(F.sum(c).alias(c) for c in columns))
+    ahead = Window.partitionBy(*by).orderBy("_part").rowsBetween(*lesser)
+    before = parts.select(*by, "_part", *(F.coalesce(F.sum(c).over(ahead), F.lit(0)).alias(f"_b_{c}") for c in columns))
+    inside = Window.partitionBy(*by, "_part").orderBy(*order).rowsBetween(*lesser)
+    sums = {c: F.col(f"_b_{c}") + F.coalesce(F.sum(c).over(inside), F.lit(0)) for c in columns}
+    summed = ranged.join(before, [*by, "_part"]).select("*", *(v.alias(f"_s_{c}") for c, v in sums.items()))
+    return summed.select(*(F.col(f"_s_{c}").alias(c) if c in columns else F.col(c) for c in rows.columns))
+
+
 def quantiles(df: DataFrame, by: list[str], value: str, at: tuple[float, ...]) -> DataFrame:
     """By group: n, and q, the exact quantiles with linear interpolation of the values that aren't null. Equal values
     are counted first, prefix counts over ranges number them, and only those at the wanted places go on: at most two for

@@ -61,6 +61,27 @@ def coh06_scorecard(spark, sf):
     return card.select("target_id", "value", "n", "verdict", round_half_up(F.col("z"), 3).alias("z"), "season_best", "is_new_best", "win_likeness")
 
 
+SCOPE = {"rating_band": 10_000_000, "hours": 2, "has_seasons": True}
+CARD3 = {"rating": ("higher-better", False), "duration_sec": ("lower-better", False), "zone": ("neutral", True)}
+
+
+@query(f"""WITH {M100}, x AS (SELECT * REPLACE (start_ms + match_id % 24 * 3600000 AS start_ms), match_id % 24 AS hr, split_part(version, '.', 1) AS season FROM m),
+l AS (SELECT x.*, 'rating' AS metric_id, CAST(rating AS DOUBLE) AS v FROM x UNION ALL SELECT x.*, 'duration_sec', CAST(duration_sec AS DOUBLE) FROM x UNION ALL SELECT x.*, 'zone', CASE WHEN duration_sec > 0 THEN zone * 60.0::DOUBLE / duration_sec END FROM x),
+t AS (SELECT * FROM l WHERE match_id % 20 = 0), p AS (SELECT t.match_id AS target_id, t.metric_id, count(*) AS n, avg(l.v) AS mean, stddev_pop(l.v) AS sd, avg(l.v) FILTER (l.result = 'win') AS wm, avg(l.v) FILTER (l.result = 'loss') AS lm
+  FROM t JOIN l USING (character, bracket, metric_id) WHERE l.match_id <> t.match_id AND l.v IS NOT NULL AND abs(l.rating - t.rating) <= 10000000 AND least(abs(l.hr - t.hr), 24 - abs(l.hr - t.hr)) <= 2 GROUP BY ALL),
+q AS (SELECT t.match_id AS target_id, t.metric_id, max(l.v) AS most, min(l.v) AS least_ FROM t JOIN l USING (character, bracket, season, metric_id) WHERE l.match_id <> t.match_id GROUP BY ALL),
+c AS (SELECT t.match_id AS target_id, t.metric_id, t.v, coalesce(n, 0) AS n, coalesce(mean, 0) AS mean, coalesce(sd, 0) AS sd, wm, lm, CASE t.metric_id WHEN 'rating' THEN most WHEN 'duration_sec' THEN least_ END AS best, CASE t.metric_id WHEN 'duration_sec' THEN -1 ELSE 1 END AS good
+  FROM t LEFT JOIN p ON p.target_id = t.match_id AND p.metric_id = t.metric_id LEFT JOIN q ON q.target_id = t.match_id AND q.metric_id = t.metric_id)
+SELECT target_id, metric_id, v AS value, n, CASE WHEN v IS NULL THEN 'insufficient' WHEN metric_id = 'zone' THEN 'descriptive' WHEN n < 5 THEN 'insufficient' WHEN sd = 0 AND v = mean THEN 'average' WHEN sd > 0 AND abs((v - mean) / sd) < 0.5 THEN 'average' WHEN good * (v - mean) > 0 THEN 'better' ELSE 'worse' END AS verdict,
+floor(CASE WHEN v IS NULL OR n < 5 THEN NULL WHEN sd = 0 THEN CASE WHEN metric_id = 'zone' OR v = mean THEN 0 END ELSE (v - mean) / sd END * 1000 + 0.5) / 1000.0::DOUBLE AS z, best AS season_best,
+metric_id <> 'zone' AND v IS NOT NULL AND coalesce(good * v > good * best, true) AS is_new_best FROM c""")
+def coh05_scorecard_by_rating_and_hours(spark, sf):
+    """Cards of three metrics against cohorts of like ratings and hours, with the bests of seasons."""
+    h = _history(spark, sf).withColumns({"start_ms": F.col("start_ms") + F.col("match_id") % 24 * 3_600_000, "season": F.split("version", "\\.")[0]})
+    card = cohort.scorecard(h, h.where("match_id % 20 = 0"), BY, SCOPE, CARD3)
+    return card.select("target_id", "metric_id", "value", "n", "verdict", round_half_up(F.col("z"), 3).alias("z"), "season_best", "is_new_best")
+
+
 @query(f"WITH {M} SELECT match_id, CASE WHEN duration_sec > 0 THEN floor(rating * 60.0::DOUBLE / duration_sec * 100 + 0.5) / 100.0::DOUBLE END AS per_minute FROM m")
 def coh02_rate_metric(spark, sf):
     return matches(spark, sf).select("match_id", round_half_up(cohort.per_minute(F.col("rating"), F.col("duration_sec"), True), 2).alias("per_minute"))

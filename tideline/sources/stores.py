@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import math
+import uuid
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -132,10 +133,11 @@ def read_placements(spark: SparkSession, path: str) -> DataFrame:
 class Store:
     """Parquet tables of matches, combatants, metrics and details by key, with the ledger of ingested files.
 
-    A write is a batch: its rows are added below ``data``, with the keys that they replace, and count for all its
-    tables at once when a small file with the batch's name appears in ``manifest``; a run that fails before that
-    changes nothing. Nothing is rewritten: readers take, for each key, the rows of the latest batch that has it, so a
-    batch costs what it adds. ``compact`` makes one batch of all when there have come to be many."""
+    A write is a batch: its rows are added below ``data``, and count for all its tables at once when a small file with
+    the batch's name appears in ``manifest``; a run that fails before that changes nothing. Nothing is rewritten: of rows
+    with one whole key readers take those of the latest batch, and a batch of ``write`` also ends, with the keys that it
+    lists, all earlier rows of its matches. Batches have a number and a random part, so writers at the same time neither
+    share a folder nor lose a batch. ``compact`` makes one batch of all when there have come to be many."""
 
     KEYS = {"match": ["match_id"], "combatant": ["match_id", "unit_id"], "metric": ["match_id", "scope", "metric_id"], "match_detail": ["match_id"], "ingest_file": ["path"]}
 
@@ -168,21 +170,24 @@ class Store:
             return None
         key = self.KEYS[name][0]
         rows = self.spark.read.option("mergeSchema", "true").parquet(*paths)
-        touched = self._paths(f"keys_{name}")
-        if len(touched) > 1:
-            at = lambda df: df.withColumn("_batch", F.regexp_extract(F.col("_metadata.file_path"), "/data/([^/]+)/", 1))
-            latest = at(self.spark.read.parquet(*touched)).groupBy(key).agg(F.max("_batch").alias("_batch"))
-            rows = at(rows).join(latest, [key, "_batch"], "left_semi").drop("_batch")
-        return rows
-
-    def write(self, tables: dict[str, DataFrame]) -> None:
-        """One batch: replace the rows of the matches (or paths) that any of its tables has, in all of its tables; null
-        keys are refused. The tables of a batch have the same first key, or are the ledger."""
+        if len(paths) == 1:
+            return rows
+        at = lambda df: df.withColumn("_batch", F.regexp_extract(F.col("_metadata.file_path"), "/data/([^/]+)/", 1))
+        rows, ended = at(rows), self._paths(f"keys_{name}")
+        if ended:
+            since = at(self.spark.read.parquet(*ended)).groupBy(key).agg(F.max("_batch").alias("_since"))
+            rows = rows.join(since, key, "left").where("_since IS NULL OR _batch >= _since").drop("_since")
+        if len(ended) < len(paths):  # some batches add to what others have
+            latest = F.max("_batch").over(Window.partitionBy(*self.KEYS[name]))
+            rows = rows.withColumn("_latest", latest).where("_batch = _latest").drop("_latest")
+        return rows.drop("_batch")
+
+    def _put(self, tables: dict[str, DataFrame], whole: bool, number: int | None = None) -> str:
         fs, path = self._fs()
-        last = max((int(b[1:]) for b in self.batches()), default=0)
-        batch = f"b{last + 1:012d}"
+        if number is None:
+            number = max((int(b[1:13]) for b in self.batches()), default=0) + 1
+        batch = f"b{number:012d}-{uuid.uuid4().hex}"
         at = f"{self.folder}/data/{batch}"
-        fs.delete(path(at), True)  # what a failed run left
         keys: dict[str, DataFrame] = {}
         for name, rows in tables.items():
             rows.write.parquet(f"{at}/{name}")
@@ -192,26 +197,37 @@ class Store:
                 fs.delete(path(at), True)
                 raise ValueError(f"{name}: a row has no {key}")
             keys[key] = own if key not in keys else keys[key].union(own)
-        for name in tables:
-            keys[self.KEYS[name][0]].distinct().write.parquet(f"{at}/keys_{name}")
+        if whole:
+            for name in tables:
+                keys[self.KEYS[name][0]].distinct().write.parquet(f"{at}/keys_{name}")
         fs.mkdirs(path(f"{self.folder}/manifest"))
         fs.create(path(f"{self.folder}/manifest/{batch}"), False).close()
+        return batch
+
+    def write(self, tables: dict[str, DataFrame]) -> None:
+        """One batch: replace the rows of the matches (or paths) that any of its tables has, in all of its tables; null
+        keys are refused. The tables of a batch have the same first key, or are the ledger."""
+        self._put(tables, True)
 
     def upsert(self, name: str, rows: DataFrame) -> None:
-        """Replace the rows of the matches (or paths) that rows have; null keys are refused."""
-        self.write({name: rows})
+        """Replace the rows that have a whole key of rows and add the others; rows of one key should be one. Null first
+        keys are refused."""
+        self._put({name: rows}, False)
 
     def compact(self) -> None:
-        """One batch of all tables in place of those before; these stay until a reader can't be at them any more."""
-        whole = {name: rows for name in self.KEYS if (rows := self.read(name)) is not None}
+        """One batch of all tables in place of those before, with the number of the last of them, so that batches written
+        meanwhile come after it; their data stay until ``clean``."""
         before = self.batches()
-        self.write(whole)
+        whole = {name: rows for name in self.KEYS if (rows := self.read(name)) is not None}
+        if not whole:
+            return
+        self._put(whole, True, int(before[-1][1:13]))
         fs, path = self._fs()
         for batch in before:
             fs.delete(path(f"{self.folder}/manifest/{batch}"), True)
 
     def clean(self) -> None:
-        """Delete the data of batches that don't count."""
+        """Delete the data of batches that don't count; not while others write."""
         fs, path = self._fs()
         for batch in set(self._names("data")) - set(self.batches()):
             fs.delete(path(f"{self.folder}/data/{batch}"), True)

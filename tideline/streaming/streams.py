@@ -70,8 +70,8 @@ def _seconds(gap: str) -> int:
 
 
 def upsert_stream(rows: DataFrame, store, name: str, checkpoint: str):
-    """A query that upserts every batch of a stream into a store's table; batches that are repeated after a failure
-    give the same table."""
+    """A query that upserts every batch of a stream into a store's table by its whole key, so the rows of a match may come
+    in several batches; batches that are repeated after a failure give the same table."""
 
     def put(batch: DataFrame, _: int) -> None:
         if not batch.isEmpty():
