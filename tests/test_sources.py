@@ -189,20 +189,6 @@ def test_streamed_grid_counts(spark, tmp_path):
     assert sorted(map(tuple, spark.table("grid_counts_test").collect())) == [("a", 0, 0, 2), ("a", 1, 0, 1), ("b", -1, 0, 1)]
 
 
-def test_sqlite_tables(spark, tmp_path):
-    import sqlite3
-
-    path = str(tmp_path / "store.db")
-    with sqlite3.connect(path) as con:
-        con.execute("CREATE TABLE match (match_id TEXT, rating INTEGER)")
-        con.execute("CREATE TABLE none (a TEXT)")
-        con.executemany("INSERT INTO match VALUES (?, ?)", [(f"m{k}", k) for k in range(25)])
-        con.execute("DELETE FROM match WHERE rating = 7")
-    got = stores.read_sqlite(spark, path, "match", "match_id string, rating long", 4)
-    assert sorted(r.rating for r in got.collect()) == [k for k in range(25) if k != 7]
-    assert stores.read_sqlite(spark, path, "none", "a string").count() == 0
-
-
 def test_shape_of_matches(spark, tmp_path):
     seg, _ = read(spark, tmp_path, [START, CAST, CAST, END])
     r = logs.shape(seg).first()

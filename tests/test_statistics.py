@@ -228,14 +228,15 @@ def test_coach_packs(spark, frames):
 
 def test_placements_by_comp(spark, frames):
     m = frames[0]
-    got = {r["match_id"]: r for r in rows_of(spark, "sta13_comp_placements")}
+    got = {(r["match_id"], r["feature"]): r for r in rows_of(spark, "sta13_comp_placements")}
     want = {}
     for comp, g in m.groupby("comp"):
-        w, lo = (g[g["win"] == k]["zone"].to_numpy(float) for k in (1, 0))
-        if len(g) >= 50 and min(len(w), len(lo)) >= 15:
-            k = [round(float(x), 3) for x in np.quantile(w, stats.QUANTILES)]
-            for i, v in zip(g["match_id"], g["zone"], strict=True):
-                want[i] = (comp, len(g), pct_at(float(v), k))
+        for feature, column in (("zone", "zone"), ("start", "start_ms")):
+            w, lo = (g[g["win"] == k][column].to_numpy(float) for k in (1, 0))
+            if len(g) >= 50 and min(len(w), len(lo)) >= 15:
+                k = [round(float(x), 3) for x in np.quantile(w, stats.QUANTILES)]
+                for i, v in zip(g["match_id"], g[column], strict=True):
+                    want[(i, feature)] = (comp, len(g), pct_at(float(v), k))
     assert got.keys() == want.keys()
     for i, (comp, n, p) in want.items():
         assert (got[i]["comp"], got[i]["n"]) == (comp, n) and got[i]["pct_in_win"] == pytest.approx(p, abs=6e-4)

@@ -119,15 +119,35 @@ def void_raster(counts: np.ndarray, full: int = 8, open_: float = 0.5) -> tuple[
     return void, float((counts >= full).sum() / max(1, (counts > 0).sum()))
 
 
+def _envelope(heights: np.ndarray) -> np.ndarray:
+    """Least of heights[j] + (i - j)^2 over j, for every i: a walk along the lower envelope of the parabolas."""
+    n = len(heights)
+    at, begin = [0], [-math.inf]  # parabolas of the envelope and where each begins
+    for j in range(1, n):
+        while True:
+            k = at[-1]
+            cross = (heights[j] + j * j - heights[k] - k * k) / (2 * (j - k))
+            if cross > begin[-1]:
+                break
+            at.pop(), begin.pop()
+        at.append(j), begin.append(cross)
+    owner = np.array(at)[np.searchsorted(np.array(begin), np.arange(n), side="left") - 1]
+    return heights[owner] + (np.arange(n) - owner) ** 2
+
+
 def distance_to_empty(mask: np.ndarray, cell: float = 1.0) -> np.ndarray:
-    """Euclidean distance of every set cell to the nearest unset one (outside the raster is unset)."""
+    """Euclidean distance of every set cell to the nearest unset one (outside the raster is unset): exact, in two passes
+    whose cost is linear in the cells. The first counts set cells up and down the columns, the second takes the lower
+    envelope along each row."""
     padded = np.pad(mask, 1)
-    empty = np.argwhere(~padded)
-    out = np.zeros(mask.shape)
-    for r, c in np.argwhere(mask):
-        d = empty - (r + 1, c + 1)
-        out[r, c] = math.sqrt((d * d).sum(axis=1).min()) * cell
-    return out
+    rows = np.arange(len(padded))[:, None]
+    above = np.maximum.accumulate(np.where(padded, -len(padded), rows), axis=0)
+    below = np.minimum.accumulate(np.where(padded, 2 * len(padded), rows)[::-1], axis=0)[::-1]
+    along = np.minimum(rows - above, below - rows).astype(float) ** 2
+    found = np.zeros(padded.shape)
+    for r in np.flatnonzero(padded.any(axis=1)):
+        found[r] = _envelope(along[r])
+    return np.sqrt(found[1:-1, 1:-1]) * mask * cell
 
 
 def hull(points: list[tuple[float, float]]) -> list[tuple[float, float]]:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tideline.session import Scratch
+
 
 def runs(ticks: DataFrame, by: list[str], order: str, value: str) -> DataFrame:
     """Add run: equal consecutive values (nulls equal each other) share one."""
@@ -94,35 +96,62 @@ def window_sums(hits: DataFrame, by: list[str], start_ms: int, end_ms: int, step
     return spread.groupBy(*by, "tick", "target").agg(F.sum("amount").alias("amount"), F.min("ts_ms").alias("first_ms"))
 
 
-def focus(sums: DataFrame, by: list[str], last_tick: int) -> DataFrame:
-    """The dominant target of every tick: the one before stays unless another one strictly exceeds it; a null breaks
-    off. Sums of a tick are folded in order of ticks, one array per attacker and match; the fold keeps only the ticks
-    at which the target changes."""
+#: Ticks that one row folds.
+CHUNK = 4096
+
+
+def focus(sums: DataFrame, by: list[str], last_tick: int, chunk: int = CHUNK) -> DataFrame:
+    """The dominant target of every tick: the one before stays unless another one strictly exceeds it; a null breaks off.
+
+    Ticks are folded in chunks, of which no row holds more than one. What a chunk ends with depends on the target before
+    it only where that is among its first tick's targets, so each chunk is a small map from these (and any other) to its
+    last target. The maps of an attacker are composed in order, and each chunk is folded again from the target that it
+    begins with; the fold keeps only the ticks at which the target changes."""
     per_tick = sums.groupBy(*by, "tick").agg(F.array_sort(F.collect_list(F.struct("first_ms", "target", "amount"))).alias("s"))
     grid = sums.select(*by).distinct().withColumn("tick", F.explode(F.sequence(F.lit(0), F.lit(last_tick)).cast("array<bigint>")))
-    full = grid.join(per_tick, [*by, "tick"], "left")
-    listed = full.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("tick", "s"))).alias("ticks"))
+    full = grid.join(per_tick, [*by, "tick"], "left").withColumn("_chunk", F.expr(f"tick div {chunk}"))
+    listed = full.groupBy(*by, "_chunk").agg(F.array_sort(F.collect_list(F.struct("tick", "s"))).alias("ticks"))
     target = listed.schema["ticks"].dataType.elementType["s"].dataType.elementType["target"].dataType.simpleString()
-    folded = F.aggregate(
-        "ticks",
-        F.lit(None).cast(f"struct<prev:{target},out:array<struct<tick:bigint,target:{target}>>>"),
-        lambda acc, t: _step(acc, t, target),
-    )
-    changes = listed.select(*by, folded["out"].alias("out"))
-    ends = F.concat(F.transform(F.slice("out", F.lit(2), F.size("out")), lambda o: o["tick"]), F.array(F.lit(last_tick + 1).cast("long")))
+    none = F.lit(None).cast(target)
+    if last_tick >= chunk:
+        listed = Scratch(sums.sparkSession, "focus").save(listed)
+        firsts = F.concat(F.array(none), F.coalesce(F.transform(F.element_at("ticks", 1)["s"], lambda x: x["target"]), F.array().cast(f"array<{target}>")))
+        ends = F.transform(firsts, lambda p: F.struct(p.alias("before"), F.aggregate("ticks", p, lambda acc, t: _best(acc, t, target)).alias("after")))
+        chain_type = f"array<struct<before:{target},after:{target}>>"
+        maps = listed.select(*by, "_chunk", ends.alias("ends"))
+        chain = maps.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("_chunk", "ends"))).alias("maps"))
+
+        def step(acc: Column, m: Column) -> Column:
+            known = F.filter(m["ends"], lambda e: e["before"].eqNullSafe(acc["now"]))
+            after = F.get(F.coalesce(F.nullif(known, F.array().cast(chain_type)), m["ends"]), F.lit(0))["after"]
+            return F.struct(after.alias("now"), F.concat(acc["out"], F.array(F.struct(m["_chunk"].alias("_chunk"), acc["now"].alias("entry")))).alias("out"))
+
+        begun = F.aggregate("maps", F.struct(none.alias("now"), F.array().cast(f"array<struct<_chunk:bigint,entry:{target}>>").alias("out")), step)
+        entries = chain.select(*by, F.explode(begun["out"]).alias("e")).select(*by, "e.*")
+        listed = listed.join(entries, [*by, "_chunk"])
+    else:
+        listed = listed.withColumn("entry", none)
+    kind = f"array<struct<tick:bigint,target:{target}>>"
+    folded = F.aggregate("ticks", F.struct(F.col("entry").alias("prev"), F.array().cast(kind).alias("out")), lambda acc, t: _step(acc, t, target))
+    changes = listed.select(*by, folded["out"].alias("out"), F.element_at("ticks", -1)["tick"].alias("_last"))
+    ends = F.concat(F.transform(F.slice("out", F.lit(2), F.size("out")), lambda o: o["tick"]), F.array(F.col("_last") + 1))
     spans = F.zip_with("out", ends, lambda o, e: F.struct(F.sequence(o["tick"], e - 1).alias("ticks"), o["target"].alias("target")))
     return changes.select(*by, F.explode(spans).alias("o")).select(*by, F.explode("o.ticks").alias("tick"), "o.target")
 
 
-def _step(acc: Column, t: Column, target: str) -> Column:
+def _best(prev: Column, t: Column, target: str) -> Column:
+    """The target of a tick after the one before."""
     sums = F.coalesce(t["s"], F.lit(None).cast(f"array<struct<first_ms:bigint,target:{target},amount:bigint>>"))
-    own = F.array_max(F.transform(F.filter(sums, lambda s: s["target"].eqNullSafe(acc["prev"])), lambda s: s["amount"]))
+    own = F.array_max(F.transform(F.filter(sums, lambda s: s["target"].eqNullSafe(prev)), lambda s: s["amount"]))
     most = F.array_max(F.transform(sums, lambda s: s["amount"]))
     first = F.get(F.filter(sums, lambda s: s["amount"] == most), F.lit(0))["target"]
-    best = F.when((own > 0) & (own >= most), acc["prev"]).when(most > 0, first)
-    so_far = F.coalesce(acc["out"], F.array().cast(f"array<struct<tick:bigint,target:{target}>>"))
-    stays = acc["out"].isNotNull() & best.eqNullSafe(acc["prev"])
-    out = F.when(stays, so_far).otherwise(F.concat(so_far, F.array(F.struct(t["tick"].alias("tick"), best.alias("target")))))
+    return F.when((own > 0) & (own >= most), prev).when(most > 0, first)
+
+
+def _step(acc: Column, t: Column, target: str) -> Column:
+    best = _best(acc["prev"], t, target)
+    stays = (F.size(acc["out"]) > 0) & best.eqNullSafe(acc["prev"])
+    out = F.when(stays, acc["out"]).otherwise(F.concat(acc["out"], F.array(F.struct(t["tick"].alias("tick"), best.alias("target")))))
     return F.struct(best.alias("prev"), out.alias("out"))
 
 

@@ -111,6 +111,14 @@ def geo11_map_features(spark, sf):
     return found.select("team", "unit", round_half_up(F.col("center_share"), 6).alias("center_share"), round_half_up(F.col("edge_share"), 6).alias("edge_share"))
 
 
+@query()
+def geo11_area_share(spark, sf):
+    """The hull of each unit's samples as a share of its zone's open area, which SQL has no hull for."""
+    s = events(spark, sf).where("kind = 'view'").select("team", F.col("team").alias("zone"), F.col("actor").alias("unit"), "x", "y")
+    found = features.map_features(s, _grids(spark, sf).withColumnRenamed("team", "zone"), ["team"], 5.0)
+    return found.select("team", "unit", round_half_up(F.col("area_share"), 6).alias("area_share"))
+
+
 @query()
 def sta06_interaction_screen(spark, sf):
     m = _labelled(spark, sf).withColumns({"start": F.col("start_ms") / 1e9, "odd": (F.col("match_id") % 2).cast("double")})
@@ -146,4 +154,4 @@ def sta11_anchors_by_comp(spark, sf):
 @query()
 def sta13_comp_placements(spark, sf):
     values = _by_comp(spark, sf).select("match_id", "comp", "feature", "value")
-    return coach.level_placements(values, stats.anchors_by_level(_by_comp(spark, sf), "comp"), "comp").where("feature = 'zone'")
+    return coach.level_placements(values, stats.anchors_by_level(_by_comp(spark, sf), "comp"), "comp")

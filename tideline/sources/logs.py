@@ -73,6 +73,22 @@ def parse(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     return read.where(good).select("file", "seq", "ts_ms", "event", "p"), read.where(~good | F.col("ts_ms").isNull()).select("file", "seq", "line")
 
 
+def until_error(lines: DataFrame, is_error: Column | None = None) -> tuple[DataFrame, DataFrame]:
+    """Lines before each file's first error, and by file: errors (1 or 0), aborted and lines_after_error, those that are
+    left out after it. A reader that stops at errors sees the former; ``parse`` by itself goes on and sets bad lines aside.
+    An error is a line that ``parse`` can't read, or what is_error says of a line."""
+    if is_error is None:
+        good, _ = parse(lines)
+        marked = lines.join(good.select("file", "seq", F.lit(False).alias("_bad")), ["file", "seq"], "left").withColumn("_bad", F.coalesce("_bad", F.lit(True)))
+    else:
+        marked = lines.withColumn("_bad", F.coalesce(is_error, F.lit(False)))
+    first = marked.groupBy("file").agg(F.min(F.when(F.col("_bad"), F.col("seq"))).alias("_first"))
+    both = marked.join(first, "file")
+    before = F.col("_first").isNull() | (F.col("seq") < F.col("_first"))
+    counts = both.groupBy("file").agg(F.max(F.col("_first").isNotNull().cast("int")).alias("errors"), F.max(F.col("_first").isNotNull()).alias("aborted"), F.count_if(F.col("seq") > F.col("_first")).alias("lines_after_error"))
+    return both.where(before).select(*lines.columns), counts
+
+
 def segment(parsed: DataFrame) -> DataFrame:
     """Add zone and match_no: a match opens at its start line and closes after its end line or at a change of zone;
     lines outside matches have no match_no."""

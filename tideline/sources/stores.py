@@ -231,28 +231,3 @@ class Store:
         fs, path = self._fs()
         for batch in set(self._names("data")) - set(self.batches()):
             fs.delete(path(f"{self.folder}/data/{batch}"), True)
-
-
-def read_sqlite(spark: SparkSession, path: str, table: str, schema: str, parts: int = 8) -> DataFrame:
-    """Rows of a table of an SQLite file that every worker can open, by ranges of row ids."""
-    import sqlite3
-
-    with sqlite3.connect(f"file:{path}?mode=ro", uri=True) as con:
-        low, high = con.execute(f'SELECT min(rowid), max(rowid) FROM "{table}"').fetchone()
-    empty = spark.createDataFrame([], schema)
-    names = empty.columns
-    if low is None:
-        return empty
-    step = -(-(high - low + 1) // parts)
-
-    def run(batches):
-        import pandas as pd
-
-        for batch in batches:
-            for first in batch["id"]:
-                with sqlite3.connect(f"file:{path}?mode=ro", uri=True) as con:
-                    cursor = con.execute(f"SELECT {', '.join(chr(34) + n + chr(34) for n in names)} FROM \"{table}\" WHERE rowid >= ? AND rowid < ?", (int(first), int(first) + step))
-                    while rows := cursor.fetchmany(10_000):
-                        yield pd.DataFrame(rows, columns=names)
-
-    return spark.range(low, high + 1, step, parts).mapInPandas(run, schema)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
 import pandas as pd
@@ -50,6 +51,62 @@ def sliding_damage(hits: DataFrame, late: str = "10 seconds", window: str = "5 s
     return hits.withWatermark("ts", late).groupBy(F.window("ts", window, step), "attacker", "target").agg(F.sum("amount").alias("amount"))
 
 
+FOCUS = "attacker string, tick_ms long, target string"
+FOCUS_STATE = "hits string, tick long, target string"
+
+
+def _best_target(hits: list, tick: int, window_ms: int, before: str | None) -> str | None:
+    """The target of most damage in the closed window before a tick; the one before stays unless it is exceeded."""
+    sums: dict[str, list] = {}
+    for at, target, amount in hits:
+        if tick - window_ms <= at <= tick:
+            own = sums.setdefault(target, [0, at])
+            own[0], own[1] = own[0] + amount, min(own[1], at)
+    most = max((v[0] for v in sums.values()), default=0)
+    if most <= 0:
+        return None
+    if before in sums and sums[before][0] >= most:
+        return before
+    return min((v[1], k) for k, v in sums.items() if v[0] == most)[1]
+
+
+def focus_changes(hits: DataFrame, late: str = "10 seconds", window_ms: int = 5000, step_ms: int = 500) -> DataFrame:
+    """Changes of each attacker's dominant target (null: none) in a stream of hits (ts, attacker, target, amount): attacker,
+    tick_ms, target, as ``sequences.focus`` has it on a grid of whole steps. A tick is decided when the watermark has
+    passed it; the state is the hits of one window and those not yet decided, and goes when the window is empty."""
+
+    def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        listed, tick, target = state.get if state.exists else ("[]", None, None)
+        held = json.loads(listed)
+        for rows in batches:
+            at = rows["ts"].astype("datetime64[ms]").astype("int64")
+            held += [[int(t), str(g), int(a)] for t, g, a in zip(at, rows["target"], rows["amount"], strict=True)]
+        held.sort()
+        passed, out = state.getCurrentWatermarkMs(), []
+        if held and tick is None:
+            tick = -(-held[0][0] // step_ms) * step_ms
+        while tick is not None and tick <= passed:
+            if not held and target is None:
+                tick = None
+                break
+            best = _best_target(held, tick, window_ms, target)
+            if best != target:
+                out.append((key[0], tick, best))
+                target = best
+            tick += step_ms
+            held = [h for h in held if h[0] >= tick - window_ms]
+            if target is None and held and held[0][0] > tick:
+                tick = -(-held[0][0] // step_ms) * step_ms
+        if tick is None or (not held and target is None):
+            state.remove()
+        else:
+            state.update((json.dumps(held), tick, target))
+            state.setTimeoutTimestamp(max(tick, passed + 1))
+        yield pd.DataFrame(out, columns=["attacker", "tick_ms", "target"])
+
+    return hits.withWatermark("ts", late).groupBy("attacker").applyInPandasWithState(run, FOCUS, FOCUS_STATE, "append", GroupStateTimeout.EventTimeTimeout)
+
+
 def grid_counts(positions: DataFrame, cell: float = 2.0) -> DataFrame:
     """Visits by zone and cell of a stream of positions (zone, x, y), as running totals: the state is one number for
     each cell that was ever visited, however many positions there are. Write it in the mode complete or update."""
