@@ -28,6 +28,24 @@ def test_encode_and_decode_match_the_library():
         assert model.decode(ids) == SP.decode(ids), t
 
 
+def test_long_words_match_the_library_in_linear_time():
+    rng = random.Random(9)
+    model = sentencepieces.PieceModel(PATH)
+    alphabets = ["abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/", "etaoinshrdlu", "é日😀a", "-=", "01", "theing"]
+    for n in (255, 256, 257, 3000):
+        for alphabet in alphabets:
+            t = "".join(rng.choice(alphabet) for _ in range(n))
+            assert model.encode(t) == SP.encode(t), (n, alphabet)
+    took = []
+    for n in (20_000, 100_000):
+        t = "".join(rng.choice(alphabets[0]) for _ in range(n))
+        began = time.process_time()
+        ids = model.encode(t)
+        took.append(time.process_time() - began)
+        assert ids == SP.encode(t)
+    assert took[1] < 12 * took[0] + 0.5 and took[1] < 4
+
+
 def test_digests_match_the_library(spark):
     rows = list(enumerate([*texts(), None, "", " ", "word " * 30_000])) + [(None, "null id"), (3, "again"), (3, "again")]
     docs = spark.createDataFrame([(i, t, "x") for i, t in rows], "doc_id long, text string, n_tokens string")

@@ -8,16 +8,19 @@ occurrences from the left without overlap, compacts the array and retires the wo
 space symbols before it is a word of its own in the same array, apart from the run.
 
 Merging all occurrences at once equals one at a time unless the new symbol can take part in a better pair than the
-one just merged; for such pieces, found when the model is loaded, only the leftmost occurrence merges in a round.
-Runs of space symbols have pieces of one score and are merged by a plain loop from the left.
+one just merged; for such pieces, found when the model is loaded, only the leftmost occurrence merges in a round. Words of
+more than ``LONG`` symbols, where that would take as many rounds as there are occurrences, keep their pairs in a queue by
+rank and place instead and merge one at a time, so their cost stays near linear in their length. Runs of space symbols have pieces of one score and are merged by a plain loop from the left.
 
 Defined results: null is an empty text (only the end id, decoded to an empty text); ids of a text don't depend on its
-neighbours; long texts are encoded whole; input columns other than doc_id and text are ignored, so names can't clash.
+neighbours; long texts are encoded whole; null and repeated doc_ids and rows keep rows of their own; an empty table gives
+an empty result; input columns other than doc_id and text are ignored, so names can't clash.
 """
 
 from __future__ import annotations
 
 import hashlib
+from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pyarrow as pa
@@ -28,6 +31,8 @@ from tideline.llm.chunks import Pool, bounded_batches, split_at_spaces, texts_of
 
 SPACE = "▁"
 NONE = np.int32(2**31 - 1)
+#: Symbols up to which a word merges by rounds.
+LONG = 256
 
 
 class PieceModel:
@@ -60,6 +65,7 @@ class PieceModel:
             for p, kind in zip(self.pieces, kinds, strict=True)
         ]
         self._tables(normal, [p.score for p in proto.pieces])
+        self.merges: dict[int, int] | None = None  # pairs of long words, made when the first one comes
 
     def _tables(self, normal: dict[str, int], scores: list[float]) -> None:
         v = len(self.pieces)
@@ -118,6 +124,9 @@ class PieceModel:
 
     def encode_words(self, words: list[str]) -> list[list[int]]:
         """Ids of words, each of them at most one space symbol followed by other characters."""
+        if any(len(w) > LONG for w in words):
+            short = iter(self.encode_words([w for w in words if len(w) <= LONG]))
+            return [next(short) if len(w) <= LONG else self._encode_long(w) for w in words]
         lengths = np.fromiter(map(len, words), np.int64, len(words))
         points = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32)
         sym, word = self.chars[points], np.repeat(np.arange(len(words)), lengths)
@@ -168,6 +177,45 @@ class PieceModel:
             begin = end
         return out
 
+    def _pairs(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For pairs of symbols, whether they merge and into which piece."""
+        left, right = np.minimum(left, self.known), np.minimum(right, self.known)
+        at = self.base[left] + right
+        return self.owner[at] == left, self.into[at]
+
+    def _encode_long(self, word: str) -> list[int]:
+        """Ids of one word by a queue of its pairs: best rank first, then leftmost."""
+        if self.merges is None:
+            at = np.flatnonzero(self.owner >= 0)
+            keys = self.owner[at].astype(np.int64) << 32 | at - self.base[self.owner[at]]
+            self.merges = dict(zip(keys.tolist(), self.into[at].tolist(), strict=True))
+            self.ranks = self.rank.tolist()
+        sym = self.chars[np.frombuffer(word.encode("utf-32-le", "surrogatepass"), np.uint32)]
+        hit, into = self._pairs(sym[:-1], sym[1:])
+        first = np.flatnonzero(hit)
+        queue = (self.rank[into[first]].astype(np.int64) << 32 | first).tolist()
+        heapify(queue)
+        sym, n, merges, ranks = sym.tolist(), len(sym), self.merges, self.ranks
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        while queue:
+            key = heappop(queue)
+            i = key & 0xFFFFFFFF
+            j = after[i]
+            if sym[i] < 0 or j >= n:
+                continue
+            new = merges.get(sym[i] << 32 | sym[j])
+            if new is None or ranks[new] != key >> 32:
+                continue
+            k, h = after[j], before[i]
+            sym[i], sym[j], after[i] = new, -1, k
+            if k < n:
+                before[k] = i
+                if (piece := merges.get(new << 32 | sym[k])) is not None:
+                    heappush(queue, ranks[piece] << 32 | i)
+            if h >= 0 and (piece := merges.get(sym[h] << 32 | new)) is not None:
+                heappush(queue, ranks[piece] << 32 | h)
+        return [x for s in sym if s >= 0 for x in self._bytes(s)]
+
     def _bytes(self, symbol: int) -> list[int]:
         if symbol < len(self.pieces):
             return [symbol]

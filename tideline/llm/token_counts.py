@@ -1,10 +1,12 @@
 """Edit-aware token counts with segment trees.
 
-A document's pre-tokens, as chunks (white space and what follows it), lie in the leaves of a height-balanced binary
-tree, up to ``LEAF`` chunks in one; every node has the sums of code points and of tokens below it. An edit descends by
-code points to the chunks it touches, re-encodes these and one chunk of context on either side, which is enough for the
-cuts there to stay cuts between pre-tokens, puts the new chunks into leaves of their own size and joins the tree again,
-updating the sums on the way up; all other chunks keep their counts, however long an insert was.
+A document's pre-tokens, cut as the vocabulary's pattern cuts them, lie in the leaves of a height-balanced binary tree, up
+to ``LEAF`` pre-tokens in one; every node has the sums of code points and of tokens below it. An edit descends by code
+points to the pre-tokens it touches and cuts the changed text anew, from a cut that lies before all that the pattern
+could have looked at until a new cut falls on an old one: scanning has no memory, so from there on all cuts are the old
+ones. The pre-tokens between are encoded and put into leaves of their own, the tree is joined again and its sums are
+updated on the way up; all others keep their counts, whether or not the text has white space and however long an
+insert was.
 
 Defined results: null is an empty text; edits are applied in order, each at code points of the text as it then is, and
 positions beyond the end are moved to the end; a null array of edits is an empty one, null members of an edit are 0 or
@@ -15,7 +17,7 @@ the named ones are ignored.
 from __future__ import annotations
 
 from bisect import bisect_right
-from itertools import accumulate
+from itertools import accumulate, chain
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -24,13 +26,15 @@ from pyspark.sql import functions as F
 from tideline.llm import byte_bpe
 from tideline.llm.chunks import Pool, bounded_batches, texts_of
 
-#: Chunks of a leaf at most.
+#: Pre-tokens of a leaf at most.
 LEAF = 32
+#: Code points beyond a cut that the pattern may look at, and those of the special token where one may be near.
+LOOK, LOOK_SPECIAL = 3, 16
 EDITS = "array<struct<pos:long,del:long,ins:string>>"
 
 
 class Leaf:
-    """Chunks that follow one another, with their numbers of tokens."""
+    """Pre-tokens that follow one another, with their numbers of tokens."""
 
     __slots__ = ("chars", "chunks", "counts", "height", "leaves", "tokens")
 
@@ -89,7 +93,8 @@ def split(tree, leaves: int):
 
 
 def build(chunks: list[str], counts: list[int]):
-    """A balanced tree of chunks; None without any."""
+    """A balanced tree of pre-tokens; None without any."""
+
     def over(a: int, b: int):
         return Node(over(a, (a + b) // 2), over((a + b) // 2, b)) if b - a > 1 else row[a]
 
@@ -109,14 +114,13 @@ def leaves_of(tree):
 
 
 class TokenTree:
-    """Counts of one text that follow its edits. count(chunks) gives the numbers of tokens of chunks."""
+    """Counts of one text that follow its edits. count gives the pre-tokens of a text and their numbers of tokens."""
 
-    def __init__(self, text: str, count):
+    def __init__(self, text: str, count: Counter):
         self.count = count
-        chunks = byte_bpe.CHUNK.findall(text)
-        self.root = build(chunks, count(chunks))
-        #: Chunks at first, and chunks that edits encoded.
-        self.segments, self.reencoded = len(chunks), 0
+        self.root = build(*count.whole(text))
+        #: Pre-tokens at first, and pre-tokens that edits encoded.
+        self.segments, self.reencoded = sum(len(leaf.chunks) for leaf in leaves_of(self.root)), 0
 
     @property
     def n_tokens(self) -> int:
@@ -146,47 +150,98 @@ class TokenTree:
         if not delete and not insert:
             return
         if not self.root:
-            chunks = byte_bpe.CHUNK.findall(insert)
-            self.reencoded += len(chunks)
-            self.root = build(chunks, self.count(chunks))
+            self.root = build(*self.count.whole(insert))
+            self.reencoded += sum(len(leaf.chunks) for leaf in leaves_of(self.root))
             return
-        first, inside, one = self._leaf_at(pos)
-        last, within, other = self._leaf_at(pos + delete)
-        # a neighbour leaf is needed where the touched chunk is at a leaf's edge
-        low = first - (first > 0 and inside < len(one.chunks[0]))
-        high = last + (within >= other.chars - len(other.chunks[-1]))
+        low, inside, _ = self._leaf_at(pos)
+        high, _, _ = self._leaf_at(pos + delete)
+        while not self._edited(low, high, inside, delete, insert):
+            # what was gathered is too little to tell the cuts; inside counts from the first leaf
+            wider = max(0, low - 1), min(self.root.leaves - 1, 2 * high - low + 1)
+            inside += sum(leaf.chars for leaf in leaves_of(split(split(self.root, low)[0], wider[0])[1])) if low else 0
+            low, high = wider
+
+    def _edited(self, low: int, high: int, inside: int, delete: int, insert: str) -> bool:
+        """Edit at a place within the leaves from low to high; False if they are too few."""
         before, rest = split(self.root, low)
         middle, after = split(rest, high - low + 1)
-        chunks, counts, at = [], [], inside
-        for k, leaf in enumerate(leaves_of(middle)):
-            if k < first - low:
-                at += leaf.chars
-            chunks += leaf.chunks
-            counts += leaf.counts
+        chunks = [c for leaf in leaves_of(middle) for c in leaf.chunks]
+        counts = [n for leaf in leaves_of(middle) for n in leaf.counts]
         ends = list(accumulate(map(len, chunks)))
-        a, b = min(bisect_right(ends, at), len(ends) - 1), min(bisect_right(ends, at + delete), len(ends) - 1)
-        a, b = max(a - 1, 0), min(b + 1, len(ends) - 1)
-        old = "".join(chunks[a : b + 1])
-        at -= ends[a - 1] if a else 0
-        new = byte_bpe.CHUNK.findall(old[:at] + insert + old[at + delete :])
+        old = "".join(chunks)
+        stop = inside + delete
+        near = old[max(0, inside - LOOK_SPECIAL) : stop + LOOK_SPECIAL] + insert
+        look = LOOK_SPECIAL if "<" in near else LOOK
+        if (inside < LOOK_SPECIAL and before is not None) or (len(old) - stop < LOOK_SPECIAL and after is not None):
+            return False
+        a = bisect_right(ends, inside - look)  # pre-tokens that stay: their ends lie so far before
+        if not a and before is not None:
+            return False
+        begin = ends[a - 1] if a else 0
+        shift = len(insert) - delete
+        b = bisect_right(ends, stop - 1)  # the first end at or beyond the edit's
+        reach = 8
+        while True:
+            last = ends[min(b + reach, len(ends) - 1)]
+            new = self.count.pieces(old[begin:inside] + insert + old[stop:last])
+            whole = after is None and last == len(old)
+            place, wanted = begin, {e + shift: k for k, e in enumerate(ends[b : b + reach + 1], b)}
+            for n, piece in enumerate(new, 1):
+                place += len(piece)
+                met = wanted.get(place)
+                if met is not None and (whole or place <= last + shift - look):
+                    return self._put(before, after, chunks, counts, a, met + 1, new[:n])
+            if whole:  # nothing is left behind the edit, or the new text is empty
+                return self._put(before, after, chunks, counts, a, len(chunks), new)
+            if last == len(old):
+                return False
+            reach *= 4
+
+    def _put(self, before, after, chunks: list[str], counts: list[int], a: int, b: int, new: list[str]) -> bool:
         self.reencoded += len(new)
-        tree = build([*chunks[:a], *new, *chunks[b + 1 :]], [*counts[:a], *self.count(new), *counts[b + 1 :]])
+        tree = build([*chunks[:a], *new, *chunks[b:]], [*counts[:a], *self.count.tokens(new), *counts[b:]])
         self.root = join(join(before, tree), after)
+        return True
 
 
 class Counter:
-    """Numbers of tokens of chunks, with a bounded cache."""
+    """Pre-tokens of texts and their numbers of tokens, with bounded caches: of chunks (white space and what follows it),
+    which end where pre-tokens end, and of single pre-tokens."""
 
     def __init__(self, path: str):
+        from tokenizers import pre_tokenizers
+
         codec = byte_bpe.codec_at(path)
-        self.pool = Pool(lambda chunks: ([len(codec.ids(c)) for c in chunks],), 1)
+        self.cut = pre_tokenizers.ByteLevel(add_prefix_space=False).pre_tokenize_str
+        self.single = Pool(lambda pieces: ([len(codec.ids(p)) for p in pieces],), 1)
+        self.chunks = Pool(self._cut_and_counted, 2)
+
+    def _cut_and_counted(self, chunks: list[str]) -> tuple[list, list]:
+        pieces = [self.pieces(c) for c in chunks]
+        counts = iter(self.tokens(list(chain.from_iterable(pieces))))
+        return pieces, [[next(counts) for _ in p] for p in pieces]
 
     def renew(self) -> None:
-        self.pool.renew()
+        self.single.renew()
+        self.chunks.renew()
+
+    def pieces(self, text: str) -> list[str]:
+        """Pre-tokens of a text; the special token is one of its own."""
+        out = []
+        for k, part in enumerate(text.split(byte_bpe.END_OF_TEXT)):
+            if k:
+                out.append(byte_bpe.END_OF_TEXT)
+            if part:
+                out += [part[a:b] for _, (a, b) in self.cut(part)]
+        return out
+
+    def tokens(self, pieces: list[str]) -> list[int]:
+        return list(map(self.single.columns[0].__getitem__, self.single.numbers(pieces).tolist()))
 
-    def __call__(self, chunks: list[str]) -> list[int]:
-        numbers = self.pool.numbers(chunks).tolist()
-        return list(map(self.pool.columns[0].__getitem__, numbers))
+    def whole(self, text: str) -> tuple[list[str], list[int]]:
+        """Pre-tokens and counts of a whole text."""
+        numbers = self.chunks.numbers(byte_bpe.CHUNK.findall(text)).tolist()
+        return tuple(list(chain.from_iterable(map(c.__getitem__, numbers))) for c in self.chunks.columns)
 
 
 _counters: dict[str, Counter] = {}
@@ -241,7 +296,7 @@ def count_documents(docs: DataFrame, ranks_path: str) -> DataFrame:
 
 
 def leaf_counts(text: str, ranks_path: str) -> list[tuple[int, int, int]]:
-    """Start, code points and tokens of each leaf of a text."""
-    chunks = byte_bpe.CHUNK.findall(text)
-    starts = accumulate(map(len, chunks), initial=0)
-    return [(s, len(c), k) for s, c, k in zip(starts, chunks, counter_at(ranks_path)(chunks), strict=False)]
+    """Start, code points and tokens of each pre-token of a text."""
+    pieces, counts = counter_at(ranks_path).whole(text)
+    starts = accumulate(map(len, pieces), initial=0)
+    return [(s, len(c), k) for s, c, k in zip(starts, pieces, counts, strict=False)]
