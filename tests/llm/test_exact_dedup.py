@@ -40,6 +40,14 @@ def test_labels_match_brute_force(spark, support):
     assert sorted((r.doc_id for r in kept.collect()), key=str) == sorted((w[0] for w in want if w[3]), key=str)
 
 
+def test_copies_without_ids_send_one_row_a_task(spark):
+    rows = [(None, "the same long text " * 50, k % 3) for k in range(3000)] + [(7, "another", 1), (7, "another", 1), (None, "the same long text " * 50 + " ", 5)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, k int").repartition(5)
+    kept = exact_dedup.keep_first(docs)
+    assert sorted((r.doc_id or 0, r.text.count("same"), r.k if r.doc_id is None else 0) for r in kept.collect()) == [(0, 50, 5), (7, 0, 0)]
+    assert "partial_first" in kept._jdf.queryExecution().executedPlan().toString()
+
+
 def test_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert exact_dedup.label_copies(docs).count() == 0 and exact_dedup.keep_first(docs).count() == 0

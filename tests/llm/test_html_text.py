@@ -27,6 +27,30 @@ def test_article_without_the_rest():
     assert got == "A headline & more\nFirst words and more.\nSecond, with a link.\nThird <one>."
 
 
+def test_formulas_buttons_and_linked_lists_of_an_article_stay():
+    got = text(
+        "<nav><ul><li><a href=/a>Home</a></li><li><a href=/b>News</a></ul></nav><article><h1>Reading list of the year</h1><p>The value <math><mi>x</mi><annotation>x</annotation></math> is positive, as said before.</p>"
+        "<p>Press the <button>OK</button> key to go on, then wait.</p><ul><li><a href=1>The first book on the shelf</a></li><li><a href=2>The second one, on rivers</a></li></ul></article><footer>&copy; 2020 All rights reserved.</footer>"
+    )
+    assert got == "Reading list of the year\nThe value x is positive, as said before.\nPress the OK key to go on, then wait.\nThe first book on the shelf\nThe second one, on rivers"
+
+
+def test_telling_words_count_by_their_share():
+    few, many = html_text.text_features("word " * 200 + "cookies", 0), html_text.text_features("accept our cookies " * 200, 0)
+    assert "k=cookies" not in few and "k=cookies" in many and "k=cookies" in html_text.text_features("our cookies", 0)
+
+
+def test_gradient_of_the_likelihood_by_differences():
+    likelihood = html_text.Likelihood(html_text.made_pages(12, seed=3), 2e-3, 2)
+    theta = np.random.default_rng(2).normal(size=len(likelihood.names) + 5) * 0.3
+    _, grad = likelihood(theta)
+    for i in [*range(0, len(theta), 17), *range(len(theta) - 5, len(theta))]:
+        step = np.zeros_like(theta)
+        step[i] = 1e-5
+        slope = (likelihood(theta + step)[0] - likelihood(theta - step)[0]) / 2e-5
+        assert abs(slope - grad[i]) < 1e-6 * max(1, abs(slope))
+
+
 def test_leaf_blocks_of_broken_markup():
     assert [t for _, t, _ in leaf_blocks("a<p>b<p>c</div>d<li>e<li>f<table><tr><td>g<td>h")] == list("abcdefgh")
     assert leaf_blocks("") == [] and [t for _, t, _ in leaf_blocks("<")] == ["<"]
@@ -78,6 +102,20 @@ def test_pages_written_by_hand():
     assert wrong / n < 0.06
 
 
+def test_recall_and_precision_of_text_written_by_hand():
+    kept = right = whole = 0
+    for page in PAGES:
+        blocks = leaf_blocks(page)
+        want = [len(t) - 1 if t.startswith("§") else 0 for _, t, _ in blocks]
+        got = FIELD.labels(leaf_blocks(page.replace("§", ""), FIELD.weights))
+        texts = [len(t.replace("§", "")) for _, t, _ in blocks]
+        whole += sum(want)
+        right += sum(w for w, g in zip(want, got, strict=True) if g)
+        kept += sum(n for n, g in zip(texts, got, strict=True) if g)
+    print(f"recall {right / whole:.4f} precision {right / kept:.4f}")
+    assert right / whole > 0.99 and right / kept > 0.95
+
+
 def test_viterbi_matches_all_labellings():
     rng = np.random.default_rng(4)
     for _ in range(200):

@@ -40,6 +40,26 @@ def test_forward_and_expected_match_enumeration():
         assert math.isclose(use[k], slope, rel_tol=1e-4, abs_tol=1e-6)
 
 
+def test_long_words_are_learned_from_by_segments(monkeypatch):
+    rng = random.Random(4)
+    lattices = language_id.Lattices([SPACE, "a", "b", "c", "ab", "abc", "bc", "ca", SPACE + "a", "cabc"])
+    words = [SPACE + "".join(rng.choice("abcz") for _ in range(n)) for n in (3, 40, 300, 1201)]
+    chance = np.append(rng.random() + np.arange(10.0), language_id.UNSEEN)
+    chance[:10] /= chance[:10].sum()
+    counts = np.array([2.0, 1.0, 3.0, 1.0])
+    whole = lattices.expected(words, counts, chance)
+    monkeypatch.setattr(language_id, "SEGMENT", 17)
+    assert np.allclose(lattices.expected(words, counts, chance), whole)
+    assert whole.sum() > 0 and np.isfinite(whole).all()
+
+
+def test_more_languages_than_the_table_holds_and_long_words(spark, monkeypatch):
+    rows = [(i, "abc " * 5 + "x" * 600, f"l{i % 4}") for i in range(80)] + [(100 + i, "abc", f"rare{i}") for i in range(9)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    counts = language_id.sample_counts(docs, 50, 4).collect()
+    assert {r.lang for r in counts} == {"l0", "l1", "l2", "l3"} and any(len(r.word) == 601 for r in counts)
+
+
 def make(n=400):
     rng = random.Random(8)
     parts = {"aa": ["tion", "ing", "the", "er"], "bb": ["lich", "keit", "ung", "sch"], "cc": ["eaux", "ère", "que", "oi"]}

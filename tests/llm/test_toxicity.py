@@ -87,7 +87,7 @@ def plain_features(text):
 
 def plain_ftrl(rows, passes=6):
     """One coordinate at a time, from the published algorithm."""
-    l1, z, n = 0.2 * math.sqrt(len(rows)), defaultdict(float), defaultdict(float)
+    l1, z, n = toxicity.L1_RATE * math.sqrt(len(rows)), defaultdict(float), defaultdict(float)
 
     def weight(f):
         if f == "bias":

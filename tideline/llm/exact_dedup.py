@@ -11,7 +11,8 @@ through one ordinary shuffle of slim rows.
 
 Defined results: an empty table gives an empty result; null doc_ids are kept as rows of their own and never win
 against a row with a doc_id of the same length; rows that are repeated whole count as copies, of which one is kept;
-columns besides doc_id and text are ignored by ``label_copies`` and passed through by ``keep_first``.
+columns besides doc_id and text are ignored by ``label_copies`` and passed through by ``keep_first``; texts of any length
+are compared whole, by their digests, and long ones move only where they may stay.
 """
 
 from __future__ import annotations
@@ -37,7 +38,7 @@ def _heavy(slim: DataFrame, support: float) -> DataFrame:
         slim.join(F.broadcast(found), "digest")
         .groupBy("digest")
         .agg(F.count(F.lit(1)).alias("heavy_size"), F.min(rank).alias("w"))
-        .select("digest", "heavy_size", F.col("w.c").alias("heavy_id"), F.col("w.d").alias("heavy_uid"))
+        .select("digest", "heavy_size", (-F.col("w.a")).alias("heavy_n"), F.col("w.c").alias("heavy_id"), F.col("w.d").alias("heavy_uid"))
     )
 
 
@@ -74,7 +75,7 @@ def label_copies(docs: DataFrame, support: float = SUPPORT) -> DataFrame:
 
 
 def keep_first(docs: DataFrame, support: float = SUPPORT) -> DataFrame:
-    """The rows of docs that stay, with all their columns. Text is shuffled once, but for that of frequent digests."""
+    """The rows of docs that stay, with all their columns. Text is shuffled once; of a frequent digest each task sends one row."""
     names = docs.columns
     named = docs.select(F.struct(*(F.col(f"`{c}`") for c in names)).alias("row"))
     rows = named.select(
@@ -87,8 +88,10 @@ def keep_first(docs: DataFrame, support: float = SUPPORT) -> DataFrame:
     slim = scratch.save(rows.select("doc_id", "n", "digest", F.lit(0).alias("uid")))
     heavy = scratch.save(_heavy(slim, support))
     split = rows.join(F.broadcast(heavy), "digest", "left")
-    # of a frequent digest only rows that tie with the winner go on; repeated winners meet in the window below
-    left = split.where(F.col("heavy_size").isNull() | F.col("doc_id").eqNullSafe(F.col("heavy_id")))
+    # of a frequent digest only rows that tie with the winner go on; any one of them may stay, so each task sends one
+    tied = split.where(F.col("heavy_size").isNotNull() & F.col("doc_id").eqNullSafe(F.col("heavy_id")) & (F.col("n") == F.col("heavy_n")))
+    winners = tied.groupBy("digest").agg(F.first("row").alias("row"))
     best = Window.partitionBy("digest").orderBy(F.col("n").desc(), F.col("doc_id").asc_nulls_last())
-    first = left.withColumn("place", F.row_number().over(best)).where("place = 1")
-    return first.select(*(F.col("row").getField(c).alias(c) for c in names))
+    rest = split.where(F.col("heavy_size").isNull()).withColumn("place", F.row_number().over(best)).where("place = 1")
+    kept = winners.select("row").unionByName(rest.select("row"))
+    return kept.select(*(F.col("row").getField(c).alias(c) for c in names))

@@ -5,6 +5,11 @@ no position is scanned more than a few times, whatever the page. Two things diff
 ``<`` outside a quoted value ends the tag before it, and if such a tag, or one that the page's end cuts off, has only
 bare words (``a <b and c``) or isn't an element's, it is text; and an unclosed quote without another one up to the
 page's end doesn't count as one.
+
+What counts as text is what a reader of the page gets: formulas are text within their line (but not their annotations,
+which say the same in another notation), as are labels and the words of buttons; drawings (``svg``, ``canvas``) aren't,
+nor is what stands in for media, frames and scripts where these fail (``object``, ``audio``, ``video``, ``iframe``,
+``noscript``), as it repeats or replaces what is shown. A button's characters count as linked ones.
 """
 
 from __future__ import annotations
@@ -16,18 +21,18 @@ import re
 BLOCKS = frozenset(
     "address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure footer form frameset "
     "h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre search section select summary "
-    "table tbody td tfoot th thead tr ul button label input textarea".split()
+    "table tbody td tfoot th thead tr ul textarea".split()
 )
-RAW = frozenset("script style noscript template svg math iframe object canvas audio video textarea title head".split())
+RAW = frozenset("script style noscript template svg annotation annotation-xml iframe object canvas audio video textarea title head".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-INLINE = frozenset("a abbr b bdi bdo big cite code data del dfn em font i ins kbd mark q rp rt ruby s samp small span strike strong sub sup time tt u var".split())
+INLINE = frozenset("a abbr b bdi bdo big button cite code data del dfn em font i ins kbd label mark math mfrac mi mn mo mrow msub msup msqrt mtext q rp rt ruby s samp small span strike strong sub sup time tt u var".split())
 #: Of RAW, those that hide all that follows if they aren't closed.
 HIDING = frozenset("script style iframe textarea title".split())
 #: Elements that say what part of a page they are.
 SECTIONS = frozenset("article aside body footer form header main menu nav section".split())
 #: Tags that an open paragraph ends at, and elements that keep it open from without.
-ENDS_P = BLOCKS - {"body", "html", "button", "label", "input", "select", "option", "optgroup", "textarea"}
-KEEPS_P = ("button", "table", "td", "th")
+ENDS_P = BLOCKS - {"body", "html", "select", "option", "optgroup", "textarea"}
+KEEPS_P = ("table", "td", "th")
 #: An opening tag ends the nearest open one of these, if none of the second set is between.
 SIBLINGS = {
     "li": (("li",), ("ul", "ol", "menu")),
@@ -228,7 +233,7 @@ def leaf_blocks(page: str, weights: dict[str, float] | None = None, memo: dict |
         if not tag:
             continue
         if closing:
-            if tag == "a":
+            if tag in ("a", "button"):
                 in_link = 0
             elif tag in BLOCKS:
                 level = outline.last(tag)
@@ -245,7 +250,7 @@ def leaf_blocks(page: str, weights: dict[str, float] | None = None, memo: dict |
             if tag == "textarea":
                 flush()
             continue
-        if tag == "a":
+        if tag in ("a", "button"):
             in_link = 1
         elif tag == "br":
             parts.append(" ")

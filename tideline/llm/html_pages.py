@@ -35,6 +35,8 @@ def made_pages(n: int, seed: int = 5) -> list[str]:
                 s = s.replace(" ", ", ", 1)
             if chance(0.15):
                 s = s.replace(" ", f' <a href="/{word()}">{word()}</a> ', 1)
+            if chance(0.05):
+                s = s.replace(" ", pick([f" <button>{word()}</button> ", f" <label>{word()}</label> ", f" <math><mi>{word()}</mi></math> "]), 1)
             if chance(0.15):
                 s = f"<{(t := pick(['b', 'em', 'i', 'span', 'strong', 'code']))}>{s}</{t}>"
             out.append(s + pick(["."] * 8 + ["!", "?", ":", "", "$$$", "&amp;"]))
@@ -105,7 +107,9 @@ def made_pages(n: int, seed: int = 5) -> list[str]:
             elif kind < 0.82:
                 parts.append(f"<h{(k := rng.randint(2, 4))}>{mark}{phrase(1, 6)}</h{k}>")
             elif kind < 0.88:
-                parts.append("<ul>" + "".join(f"<li>{mark}{prose()}</li>" for _ in range(rng.randint(1, 4))) + "</ul>")
+                # also lists of linked titles, which are the article where nothing around them says otherwise
+                t, item = pick(["ul", "ul", "ol"]), pick([prose, prose, prose, lambda: f'<a href="/{word()}">{phrase(1, 8)}</a>', lambda: f'<a href="/{word()}">{phrase(1, 6)}</a> {phrase(0, 6).lower()}'])
+                parts.append(f"<{t}>" + "".join(f"<li>{mark}{item()}</li>" for _ in range(rng.randint(1, 6))) + f"</{t}>")
             elif kind < 0.92:
                 parts.append(f"<blockquote>{mark}{prose()}</blockquote>")
             elif kind < 0.95:

@@ -31,6 +31,8 @@ TELLING = frozenset(
     "cookie cookies consent subscribe newsletter copyright rights reserved privacy terms login sign register advertisement "
     "sponsored share tweet comment comments reply replies related menu search email password submit posted follow".split()
 )
+#: Telling words count where there is one in so many words.
+SHARE = 40
 
 
 def text_features(text: str, linked: int) -> list[str]:
@@ -39,8 +41,10 @@ def text_features(text: str, linked: int) -> list[str]:
     low = text.lower()
     if "©" in low or "(c)" in low:
         found.append("k=©")
-    if n < 400:
-        found += [f"k={w}" for w in TELLING.intersection(re.findall(r"[a-z]+", low))]
+    words = re.findall(r"[a-z]+", low)
+    telling = [w for w in words if w in TELLING]
+    if len(telling) * SHARE >= len(words):  # their share counts, whatever the block's size
+        found += [f"k={w}" for w in set(telling)]
     if text.count(",") * 60 > n:
         found.append("commas")
     return found
@@ -77,54 +81,71 @@ class Field:
         return out[::-1]
 
 
-def fit(pages: list[str], rounds: int = 200, penalty: float = 2e-4, rate: float = 0.1, least: int = 3) -> Field:
-    """Maximise the penalised conditional likelihood of labelled pages by Adam steps over all of them, with the
-    features that so many blocks have at least."""
-    found = [[((*place, *text_features(text.replace(MARK, "").strip() or "x", linked)), MARK in text) for place, text, linked in leaf_blocks(p)] for p in pages]
-    found = sorted((x for x in found if x), key=len, reverse=True)
-    often: dict[str, int] = {}
-    for blocks in found:
-        for features, _ in blocks:
-            for f in features:
-                often[f] = often.get(f, 0) + 1
-    names = {f: i for i, f in enumerate(f for f, n in often.items() if n >= least)}
-    rows = [[names[f] for f in features if f in names] for blocks in found for features, _ in blocks]
-    flat, row_of = np.array([i for r in rows for i in r]), np.repeat(np.arange(len(rows)), list(map(len, rows)))
-    sizes = np.array(list(map(len, found)))
-    n, longest = len(sizes), int(sizes[0])
-    page_of = np.repeat(np.arange(n), sizes)
-    place = np.arange(len(rows)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-    y = np.zeros((longest, n), int)
-    y[place, page_of] = [mark for blocks in found for _, mark in blocks]
-    alive = [int((sizes > t).sum()) for t in range(longest)]
-    after = np.arange(longest - 1)[:, None] < sizes - 1
-    theta = np.zeros(len(names) + 5)
-    m, v = np.zeros_like(theta), np.zeros_like(theta)
-    for step in range(1, rounds + 1):
+class Likelihood:
+    """Labelled pages as arrays, and their penalised conditional log likelihood for each page with its gradient. The
+    parameters are the weights of ``names``, that of a first block in the article, and the four moves."""
+
+    def __init__(self, pages: list[str], penalty: float, least: int):
+        found = [[((*place, *text_features(text.replace(MARK, "").strip() or "x", linked)), MARK in text) for place, text, linked in leaf_blocks(p)] for p in pages]
+        found = sorted((x for x in found if x), key=len, reverse=True)
+        often: dict[str, int] = {}
+        for blocks in found:
+            for features, _ in blocks:
+                for f in features:
+                    often[f] = often.get(f, 0) + 1
+        self.names = {f: i for i, f in enumerate(f for f, n in often.items() if n >= least)}
+        rows = [[self.names[f] for f in features if f in self.names] for blocks in found for features, _ in blocks]
+        self.flat, self.row_of = np.array([i for r in rows for i in r], int), np.repeat(np.arange(len(rows)), list(map(len, rows)))
+        self.rows, self.penalty = len(rows), penalty
+        self.sizes = sizes = np.array(list(map(len, found)))
+        n, longest = len(sizes), int(sizes[0])
+        self.page_of = np.repeat(np.arange(n), sizes)
+        self.place = np.arange(len(rows)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        self.y = np.zeros((longest, n), int)
+        self.y[self.place, self.page_of] = [mark for blocks in found for _, mark in blocks]
+        self.alive = [int((sizes > t).sum()) for t in range(longest)]
+        self.after = np.arange(longest - 1)[:, None] < sizes - 1
+
+    def __call__(self, theta: np.ndarray) -> tuple[float, np.ndarray]:
+        y, place, page_of, (longest, n) = self.y, self.place, self.page_of, self.y.shape
         moves = np.exp(theta[-4:].reshape(2, 2))
+        emitted = np.clip(np.bincount(self.row_of, theta[self.flat], self.rows), -30, 30)
         factor = np.ones((longest, n, 2))
-        factor[place, page_of, 1] = np.exp(np.clip(np.bincount(row_of, theta[flat], len(rows)), -30, 30))
+        factor[place, page_of, 1] = np.exp(emitted)
         ahead, behind, norm = np.zeros((longest, n, 2)), np.ones((longest, n, 2)), np.ones((longest, n, 1))
-        for t, k in enumerate(alive):
+        for t, k in enumerate(self.alive):
             here = factor[t, :k] * (ahead[t - 1, :k] @ moves if t else np.array([1.0, np.exp(theta[-5])]))
             norm[t, :k] = here.sum(axis=1, keepdims=True)
             ahead[t, :k] = here / norm[t, :k]
         for t in range(longest - 2, -1, -1):
-            k = alive[t + 1]
+            k = self.alive[t + 1]
             behind[t, :k] = (factor[t + 1, :k] * behind[t + 1, :k]) @ moves.T / norm[t + 1, :k]
         p1 = (ahead * behind)[:, :, 1]
         grad = np.zeros_like(theta)
-        grad[:-5] = np.bincount(flat, (y - p1)[place, page_of][row_of], len(names))
+        grad[:-5] = np.bincount(self.flat, (y - p1)[place, page_of][self.row_of], len(self.names))
         grad[-5] = (y[0] - p1[0]).sum()
         onward = factor[1:] * behind[1:] / norm[1:]
+        value = (emitted * y[place, page_of]).sum() + theta[-5] * y[0].sum() - np.log(norm).sum()
         for a in range(2):
             for b in range(2):
                 pair = ahead[:-1, :, a] * moves[a, b] * onward[:, :, b]
-                grad[-4 + 2 * a + b] = (((y[:-1] == a) & (y[1:] == b)) - pair)[after].sum()
-        grad = grad / n - penalty * theta
+                taken = (y[:-1] == a) & (y[1:] == b)
+                grad[-4 + 2 * a + b] = (taken - pair)[self.after].sum()
+                value += theta[-4 + 2 * a + b] * taken[self.after].sum()
+        return float(value / n - self.penalty * (theta**2).sum() / 2), grad / n - self.penalty * theta
+
+
+def fit(pages: list[str], rounds: int = 200, penalty: float = 2e-4, rate: float = 0.1, least: int = 3) -> Field:
+    """Maximise the penalised conditional likelihood of labelled pages by Adam steps over all of them, with the
+    features that so many blocks have at least."""
+    likelihood = Likelihood(pages, penalty, least)
+    theta = np.zeros(len(likelihood.names) + 5)
+    m, v = np.zeros_like(theta), np.zeros_like(theta)
+    for step in range(1, rounds + 1):
+        _, grad = likelihood(theta)
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad**2
         theta += rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
-    return Field({f: round(float(theta[i]), 6) for f, i in names.items()}, float(theta[-5]), theta[-4:].reshape(2, 2).tolist())
+    return Field({f: round(float(theta[i]), 6) for f, i in likelihood.names.items()}, float(theta[-5]), theta[-4:].reshape(2, 2).tolist())
 
 
 @lru_cache(maxsize=1)

@@ -4,14 +4,14 @@ A language gives every piece of a fixed public vocabulary a probability, and a w
 sum, over all segmentations into pieces, of the products of their probabilities: a forward pass over the word's
 lattice, rescaled as it goes, so that words may have any length. A text's likelihood is the product over its words.
 Piece probabilities come from expectation-maximisation over the word counts of a bounded sample of rows, ``per_lang``
-of each language, with a forward and a backward pass, a language in a task; words of more than ``LEARNED`` letters
-aren't learned from. Every whole text is scored in one narrow pass.
+of each language, with a forward and a backward pass, a language in a task; long words are learned from by segments.
+Every whole text is scored in one narrow pass.
 
 Defined results: a null text or one without a letter is ``und`` with score 0; languages are the non-null, non-empty
 values of lang among the rows that may be learned from, and without any every text is ``und``; a row without a doc_id
 isn't held out and isn't learned from; ties go to the language that sorts first; repeated rows keep rows of their own,
-and are learned from once; columns other than doc_id, text and lang are ignored; more languages than a table of
-``MOST_BYTES`` holds are refused.
+and are learned from once; columns other than doc_id, text and lang are ignored; of more languages than a table of
+``MOST_BYTES`` holds (about 800) those with the most rows are learned, ties going to the one that sorts first.
 """
 
 from __future__ import annotations
@@ -29,8 +29,6 @@ from tideline.session import Scratch
 
 PER_LANG = 1000
 ROUNDS = 4
-#: Letters of the longest words that are learned from.
-LEARNED = 256
 SMOOTH = 0.5
 #: Chance of a character that no piece has.
 UNSEEN = 1e-9
@@ -39,7 +37,7 @@ TINY, HUGE = 1e-100, 1e100
 #: Letters of a piece of a long word that are taken at once, and cells of a forward table.
 SEGMENT, CELLS = 4096, 1 << 21
 #: Size of the broadcast table of probabilities.
-MOST_BYTES = 1 << 30
+MOST_BYTES = 1 << 27
 SPACE = "▁"
 _run = re.compile(r"[^\W\d_]+")
 
@@ -162,6 +160,10 @@ class Lattices:
         """Expected uses of each piece in words with such counts under the probabilities of one language; in logs."""
         out, log = np.zeros(self.n + 1), np.log(chance)
         for at in _batches(words, CELLS):
+            if len(words[at[0]]) > SEGMENT:
+                for k in at:
+                    out += counts[k] * self._expected_long(words[k], log)
+                continue
             w, i, j, p, lengths = self.edges([words[k] for k in at])
             all_ = np.arange(len(lengths))
             alpha = np.full((len(lengths), int(lengths.max()) + 1), -np.inf)
@@ -181,6 +183,32 @@ class Lattices:
         return out
 
 
+    def _expected_long(self, word: str, log: np.ndarray) -> np.ndarray:
+        """expected of one long word: its edges are found for a segment at a time, forward, backward and to be used; only
+        the two rows of values are as long as the word."""
+        n = len(word)
+        alpha, beta, out = np.full(n + 1, -np.inf), np.full(n + 1, -np.inf), np.zeros(self.n + 1)
+        alpha[0] = beta[n] = 0
+
+        def edges(at: int):
+            # those that end in the positions after at, up to the segment's end
+            begin = max(0, at + 1 - self.longest)
+            _, i, j, p, _ = self.edges([word[begin : at + SEGMENT]])
+            new = j + begin > at
+            return i[new] + begin, j[new] + begin, p[new]
+
+        for at in range(0, n, SEGMENT):
+            i, j, p = edges(at)
+            for a, b in _runs(j):
+                alpha[j[a]] = np.logaddexp.reduce(alpha[i[a:b]] + log[p[a:b]])
+        for at in reversed(range(0, n, SEGMENT)):
+            i, j, p = edges(at)
+            for a, b in reversed(_runs(j)):  # beta of an end is complete once all later ends are done
+                np.logaddexp.at(beta, i[a:b], beta[j[a]] + log[p[a:b]])
+            out += np.bincount(p, np.exp(alpha[i] + log[p] + beta[j] - alpha[n]), self.n + 1)
+        return out
+
+
 def _batches(words: list[str], cells: int):
     """Numbers of words of like length, at most 20,000 and so many cells of a padded table at once; longer words than a
     segment come by themselves."""
@@ -230,9 +258,8 @@ def sample_counts(docs: DataFrame, per_lang: int, most_langs: int) -> DataFrame:
     """lang, word and n of at most per_lang distinct rows of each language."""
     scratch = Scratch(docs.sparkSession, "langs")
     usable = docs.select("doc_id", "text", "lang").where("doc_id IS NOT NULL AND text IS NOT NULL AND lang IS NOT NULL AND lang != ''").where(~held_out(F.col("doc_id")))
-    sizes = scratch.save(usable.groupBy("lang").agg(F.count(F.lit(1)).alias("n")))
-    if sizes.count() > most_langs:
-        raise ValueError(f"more than {most_langs} languages don't fit the table of probabilities")
+    often = usable.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(most_langs)
+    sizes = scratch.save(often)
     share = sizes.select("lang", (F.lit(1.2 * per_lang) / F.col("n")).alias("share"))
     mixed = usable.withColumn("draw", F.xxhash64("doc_id", "text", F.lit(5)))
     drawn = mixed.join(F.broadcast(share), "lang").where(F.pmod("draw", F.lit(1_000_003)) / 1_000_003 < F.col("share"))
@@ -242,7 +269,7 @@ def sample_counts(docs: DataFrame, per_lang: int, most_langs: int) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            pairs = [(a, w) for a, t in zip(batch.column("lang").to_pylist(), texts_of(batch.column("text")).to_pylist(), strict=True) for w in words_of(t) if len(w) <= LEARNED]
+            pairs = [(a, w) for a, t in zip(batch.column("lang").to_pylist(), texts_of(batch.column("text")).to_pylist(), strict=True) for w in words_of(t)]
             yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in pairs], pa.string()), pa.array([w for _, w in pairs], pa.string())], ["lang", "word"])
 
     return some.mapInArrow(run, "lang string, word string").groupBy("lang", "word").agg(F.count(F.lit(1)).alias("n"))
