@@ -11,7 +11,7 @@ from tideline.llm.token_counts import TokenTree, count_documents, count_edited,
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 PLAIN = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-PART = st.sampled_from(["a", "The", "it's", "'", "s", " ", "  ", "\n", "\t", "é", "日", "😀", "12", "...", "\x85", "\xa0", "　", "!", " word", "<|endoftext|>", "<|endof", "text|>", "'l", "l"])
+PART = st.sampled_from(["a", "The", "it's", "'", "s", " ", "  ", "\n", "\t", "é", "日", "😀", "12", "...", "\x85", "½", "ª²", "ɏ", "\xa0", "　", "!", " word", "<|endoftext|>", "<|endof", "text|>", "'l", "l"])
 TEXT = st.lists(PART, max_size=12).map("".join)
 
 
@@ -75,6 +75,14 @@ def test_few_segments_are_encoded_anew():
     assert byte_bpe.CHUNK.findall(" a\n b  ") == [" a", "\n b", "  "]
 
 
+def test_pre_tokens_below_a_code_point_are_the_vocabulary_s():
+    counter, rng = counter_at(RANKS), random.Random(6)
+    low = [chr(c) for c in range(0x250)]
+    for _ in range(3000):
+        text = "".join(rng.choice(low if rng.random() < 0.5 else "a1 '.\n") for _ in range(rng.randint(1, 12)))
+        assert counter.pieces(text) == [text[a:b] for _, (a, b) in counter.cut(text)]
+
+
 def test_texts_without_white_space():
     for text in ("foo,bar;12." * 20_000, "吾輩は猫である。名前はまだ無い。" * 11_000):
         tree = TokenTree(text, counter_at(RANKS))

@@ -16,9 +16,11 @@ the named ones are ignored.
 
 from __future__ import annotations
 
+import re
 from bisect import bisect_right
 from itertools import accumulate, chain
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -34,15 +36,32 @@ EDITS = "array<struct<pos:long,del:long,ins:string>>"
 
 
 class Leaf:
-    """Pre-tokens that follow one another, with their numbers of tokens."""
+    """Pre-tokens that follow one another, with their numbers of tokens. Those of a new tree are numbers of chunks, whose
+    pre-tokens are looked up when an edit comes near."""
 
-    __slots__ = ("chars", "chunks", "counts", "height", "leaves", "tokens")
+    __slots__ = ("_counts", "_pieces", "chars", "height", "leaves", "lookup", "tokens")
 
-    def __init__(self, chunks: list[str], counts: list[int]):
-        self.chunks, self.counts = chunks, counts
-        self.chars, self.tokens = sum(map(len, chunks)), sum(counts)
+    def __init__(self, chars: int, tokens: int, pieces: list[str] | None = None, counts: list[int] | None = None, lookup=None):
+        self.chars, self.tokens, self._pieces, self._counts, self.lookup = chars, tokens, pieces, counts, lookup
         self.height, self.leaves = 0, 1
 
+    def _looked_up(self) -> None:
+        found, numbers = self.lookup
+        pairs = [found[k] for k in numbers]
+        self._pieces, self._counts = ([x for pair in pairs for x in pair[side]] for side in (0, 1))
+
+    @property
+    def chunks(self) -> list[str]:
+        if self._pieces is None:
+            self._looked_up()
+        return self._pieces
+
+    @property
+    def counts(self) -> list[int]:
+        if self._counts is None:
+            self._looked_up()
+        return self._counts
+
 
 class Node:
     """Two trees after one another, and their sums."""
@@ -92,16 +111,21 @@ def split(tree, leaves: int):
     return join(tree.left, first), rest
 
 
-def build(chunks: list[str], counts: list[int]):
-    """A balanced tree of pre-tokens; None without any."""
+def balanced(row: list):
+    """A balanced tree of leaves; None without any."""
 
     def over(a: int, b: int):
         return Node(over(a, (a + b) // 2), over((a + b) // 2, b)) if b - a > 1 else row[a]
 
-    row = [Leaf(chunks[i : i + LEAF], counts[i : i + LEAF]) for i in range(0, len(chunks), LEAF)]
     return over(0, len(row)) if row else None
 
 
+def build(pieces: list[str], counts: list[int]):
+    """A balanced tree of pre-tokens; None without any."""
+    cut = ((pieces[i : i + LEAF], counts[i : i + LEAF]) for i in range(0, len(pieces), LEAF))
+    return balanced([Leaf(sum(map(len, p)), sum(c), p, c) for p, c in cut])
+
+
 def leaves_of(tree):
     """The leaves of a tree in order."""
     open_ = [tree] if tree is not None else []
@@ -118,9 +142,10 @@ class TokenTree:
 
     def __init__(self, text: str, count: Counter):
         self.count = count
-        self.root = build(*count.whole(text))
+        leaves, pieces = count.leaves(text)
+        self.root = balanced(leaves)
         #: Pre-tokens at first, and pre-tokens that edits encoded.
-        self.segments, self.reencoded = sum(len(leaf.chunks) for leaf in leaves_of(self.root)), 0
+        self.segments, self.reencoded = pieces, 0
 
     @property
     def n_tokens(self) -> int:
@@ -150,8 +175,9 @@ class TokenTree:
         if not delete and not insert:
             return
         if not self.root:
-            self.root = build(*self.count.whole(insert))
-            self.reencoded += sum(len(leaf.chunks) for leaf in leaves_of(self.root))
+            leaves, pieces = self.count.leaves(insert)
+            self.root = balanced(leaves)
+            self.reencoded += pieces
             return
         low, inside, _ = self._leaf_at(pos)
         high, _, _ = self._leaf_at(pos + delete)
@@ -204,6 +230,11 @@ class TokenTree:
         return True
 
 
+#: Letters and numbers below U+0250, where the pattern can be had without tables of Unicode.
+LETTERS, NUMBERS = "A-Za-zªµºÀ-ÖØ-öø-\u024f", "0-9²³¹¼-¾"
+_low = re.compile(rf"'(?:s|t|re|ve|m|ll|d)| ?[{LETTERS}]+| ?[{NUMBERS}]+| ?[^{byte_bpe.WHITE}{LETTERS}{NUMBERS}]+|[{byte_bpe.WHITE}]+(?![^{byte_bpe.WHITE}])|[{byte_bpe.WHITE}]+").findall
+
+
 class Counter:
     """Pre-tokens of texts and their numbers of tokens, with bounded caches: of chunks (white space and what follows it),
     which end where pre-tokens end, and of single pre-tokens."""
@@ -214,12 +245,19 @@ class Counter:
         codec = byte_bpe.codec_at(path)
         self.cut = pre_tokenizers.ByteLevel(add_prefix_space=False).pre_tokenize_str
         self.single = Pool(lambda pieces: ([len(codec.ids(p)) for p in pieces],), 1)
-        self.chunks = Pool(self._cut_and_counted, 2)
+        self.chunks = Pool(self._cut_and_counted, 1)
+        #: Code points, tokens and pre-tokens of the chunks by number.
+        self.sums = np.zeros((1 << 12, 3), np.int64)
 
-    def _cut_and_counted(self, chunks: list[str]) -> tuple[list, list]:
+    def _cut_and_counted(self, chunks: list[str]) -> tuple[list]:
         pieces = [self.pieces(c) for c in chunks]
         counts = iter(self.tokens(list(chain.from_iterable(pieces))))
-        return pieces, [[next(counts) for _ in p] for p in pieces]
+        pairs = [(p, [next(counts) for _ in p]) for p in pieces]
+        first = len(self.chunks.index)
+        while first + len(chunks) > len(self.sums):
+            self.sums = np.concatenate((self.sums, np.zeros_like(self.sums)))
+        self.sums[first : first + len(chunks)] = [(len(c), sum(n), len(p)) for c, (p, n) in zip(chunks, pairs, strict=True)]
+        return (pairs,)
 
     def renew(self) -> None:
         self.single.renew()
@@ -227,21 +265,35 @@ class Counter:
 
     def pieces(self, text: str) -> list[str]:
         """Pre-tokens of a text; the special token is one of its own."""
-        out = []
-        for k, part in enumerate(text.split(byte_bpe.END_OF_TEXT)):
-            if k:
-                out.append(byte_bpe.END_OF_TEXT)
-            if part:
-                out += [part[a:b] for _, (a, b) in self.cut(part)]
-        return out
+        if byte_bpe.END_OF_TEXT not in text:
+            if text.isascii() or max(text) < "\u0250":
+                return _low(text)
+            return [text[a:b] for _, (a, b) in self.cut(text)]
+        parts = text.split(byte_bpe.END_OF_TEXT)
+        return [x for k, part in enumerate(parts) for x in ([byte_bpe.END_OF_TEXT] if k else []) + (self.pieces(part) if part else [])]
 
     def tokens(self, pieces: list[str]) -> list[int]:
         return list(map(self.single.columns[0].__getitem__, self.single.numbers(pieces).tolist()))
 
-    def whole(self, text: str) -> tuple[list[str], list[int]]:
-        """Pre-tokens and counts of a whole text."""
-        numbers = self.chunks.numbers(byte_bpe.CHUNK.findall(text)).tolist()
-        return tuple(list(chain.from_iterable(map(c.__getitem__, numbers))) for c in self.chunks.columns)
+    def leaves(self, text: str) -> tuple[list[Leaf], int]:
+        """Leaves of a whole text in order, and its number of pre-tokens; chunks stay whole, so a leaf holds as many as
+        begin within ``LEAF`` pre-tokens."""
+        numbers = self.chunks.numbers(byte_bpe.CHUNK.findall(text))
+        if not len(numbers):
+            return [], 0
+        ends = np.cumsum(self.sums[numbers], axis=0)
+        before = ends[:, 2] - self.sums[numbers, 2]
+        starts = np.flatnonzero(np.diff(before // LEAF, prepend=-1))
+        stops = [*starts[1:].tolist(), len(numbers)]
+        totals = np.diff(ends[np.array(stops) - 1], axis=0, prepend=np.zeros((1, 3), np.int64)).tolist()
+        found, listed, out = self.chunks.columns[0], numbers.tolist(), []
+        for a, b, (chars, tokens, pieces) in zip(starts.tolist(), stops, totals, strict=True):
+            if pieces > 2 * LEAF:  # of a chunk without white space
+                own = Leaf(0, 0, lookup=(found, listed[a:b]))
+                out += leaves_of(build(own.chunks, own.counts))
+            else:
+                out.append(Leaf(chars, tokens, lookup=(found, listed[a:b])))
+        return out, int(ends[-1, 2])
 
 
 _counters: dict[str, Counter] = {}
@@ -297,6 +349,7 @@ def count_documents(docs: DataFrame, ranks_path: str) -> DataFrame:
 
 def leaf_counts(text: str, ranks_path: str) -> list[tuple[int, int, int]]:
     """Start, code points and tokens of each pre-token of a text."""
-    pieces, counts = counter_at(ranks_path).whole(text)
+    leaves, _ = counter_at(ranks_path).leaves(text)
+    pieces, counts = ([x for leaf in leaves for x in getattr(leaf, side)] for side in ("chunks", "counts"))
     starts = accumulate(map(len, pieces), initial=0)
     return [(s, len(c), k) for s, c, k in zip(starts, pieces, counts, strict=False)]
