@@ -71,14 +71,19 @@ def test_dimension_checks_and_importers(spark):
     rows = spark.createDataFrame([("a", 1), ("b", 2), ("b", 3), (None, 4), ("z", 5)], "zone string, v int")
     good, bad = dims.checked(rows, "zone", spark.createDataFrame([("a",), ("b",)], "zone string"))
     assert [r.v for r in good.collect()] == [1] and {r.v: r.reason for r in bad.collect()} == {2: "repeated key", 3: "repeated key", 4: "no key", 5: "unknown key"}
-    text = """local rules = { BySpec = { [65] = { { SpellId = 642, Cooldown = 300, BuffDuration = 8, BigDefensive = true }, -- bubble
+    text = """local rules = { BySpec = { [65] = { { SpellId = 642, Cooldown = 300, BuffDuration = 8, BigDefensive = true, CastSpellId = 643, NoAura = true }, -- bubble
       { SpellId = 1022, BaseCharges = 1, MaxCharges = 2, ExternalDefensive = true }, { Cooldown = 5 } } }, ByClass = { MAGE = { { SpellId = 45438, Cooldown = 240.5, Important = true } } },
       specToClass = { [65] = "PALADIN" }, offensiveSpellIds = { [31884] = true, [12042] = false } }"""
     found = dims.cooldown_rules(text[len("local rules = {") : -1])
-    assert found["spec"] == [("65", 642, 300, 8, 1, True, False, False), ("65", 1022, 0, 0, 2, False, True, False)]
-    assert found["class"] == [("MAGE", 45438, 240.5, 0, 1, False, False, True)] and found["spec_class"] == [("65", "PALADIN")] and found["offensive"] == [(31884,)]
+    assert found["spec"] == [("65", 642, 300, 8, 1, True, False, False, 643, True), ("65", 1022, 0, 0, 2, False, True, False, None, False)]
+    assert found["class"] == [("MAGE", 45438, 240.5, 0, 1, False, False, True, None, False)] and found["spec_class"] == [("65", "PALADIN")] and found["offensive"] == [(31884,)]
     source = "{ spellId: '5', name: 'Burst', tags: [SpellTag.Offensive] }, { spellId: '6', name: 'Wall', tags: [SpellTag.Defensive] }, { spellId: '5', name: 'Again', tags: [SpellTag.Offensive] }, { spellId: '7', name: 'Denied', tags: [SpellTag.Offensive] }"
     assert dims.offensive_spells(source, {"7"}) == [("5", "Burst")]
+    odd = """const all = [ { tags: ['x', SpellTag.Offensive], // first
+      "name": "It's \\"so\\"", spellId: 8 }, { /* { */ spellId: '9', other: { tags: [Offensive], deep: [1, { a: 2.5 }] } } ]; }"""
+    assert dims.offensive_spells(odd) == [("8", 'It\'s "so"')] and (None, {"a": 2.5}) in dims.parse_objects(odd)
+    assert dims.arena_names("export const zones = { '559': { id: 1, name: 'Ring' }, 617: { name: \"Sewer's\", size: { name: 'no' } }, x: { name: 'none' } }") == [(559, "Ring"), (617, "Sewer's")]
+    assert dims.spec_names("enum Spec { None = '0', DemonHunter_Havoc = '577', Mage_Fire = '63', Evoker = '9' }", "Spec") == [(9, "Evoker", ""), (63, "Mage", "Fire"), (577, "Demon Hunter", "Havoc")]
     dr = spark.createDataFrame([({"stun": [("1", "Bash")], "root": [("2", "Nova"), ("1", "Bash")]},)], "diminishingReturns map<string, array<struct<spellId:string,name:string>>>")
     assert sorted(map(tuple, dims.diminishing_categories(dr).collect())) == [(1, "Bash", "stun"), (2, "Nova", "root")]
 

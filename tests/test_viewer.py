@@ -86,7 +86,14 @@ def test_ingest_end_to_end(spark, tmp_path):
     assert metric["player", "damageDone"] == 500 and metric["player", "interruptsLanded"] == 1 and metric["Player-2-C", "damageDone"] == 90
     assert metric["team", "damageDone"] == 500 and metric["player", "spacing.meleeRangeSec"] > 0 and metric["player", "avgHealerDistanceYd"] == 2.0
     assert {(r.name, r.realm, r.team, r.is_player) for r in s.read("combatant").where(F.col("match_id") == first.match_id).collect()} == {("Me", "Realm", "friendly", True), ("Mate", "Realm", "friendly", False), ("Foe", "Other", "enemy", False)}
+    assert metric["player", "ccReceived.hardCcSec"] == 0 and metric["player", "positionSamples"] > 0 and metric["team:friendly", "swaps"] == 0
+    dimension = spark.createDataFrame([(265, "Warlock", "Affliction"), (257, "Priest", "Holy"), (258, "Priest", "Shadow"), (71, "Warrior", "Arms")], "spec int, class string, name string")
+    tree = [(r.team, r["class"], [tuple(x) for x in r.specs]) for r in viewer.spec_tree(s, dimension).collect()]
+    assert tree == [("enemy", "Warrior", [("Arms", 71)]), ("friendly", "Priest", [("Holy", 257)]), ("friendly", "Warlock", [("Affliction", 265)])]
+    viewer.create_view(s)
+    assert spark.sql(f"SELECT damageDone, ccDone_hardCcSec FROM dataset_export WHERE match_id = '{first.match_id}'").collect() == [(500.0, 0.0)]
     card = {r.metric_id: r for r in viewer.scorecard(s, first.match_id, {}).collect()}
+    assert len(card) == 14 and all(r.value is not None for r in card.values())
     assert card["damageDone"].n == 2 and card["damageDone"].verdict == "insufficient"
     before = sorted(map(str, s.read("metric").collect()))
     assert viewer.ingest(spark, str(folder), s, "me-realm").count() == 0  # the broken file is read again, to the same rows

@@ -121,7 +121,7 @@ SUMS = ("n", "s1", "s2", "wn", "ws", "ln", "ls")
 def _long(df: DataFrame, keys: list[str], registry: dict[str, tuple[str, bool]]) -> DataFrame:
     """keys, metric_id and value of all metrics that a match has."""
     each = (F.struct(F.lit(m).alias("metric_id"), per_minute(F.col(f"`{m}`"), F.col("duration_sec"), rate).cast("double").alias("value")) for m, (_, rate) in registry.items())
-    return df.select(*keys, F.explode(F.array(*each)).alias("_m")).select(*keys, "_m.metric_id", "_m.value").where("value IS NOT NULL")
+    return df.select(*keys, F.explode(F.array(*each)).alias("_each")).select(*keys, "_each.metric_id", "_each.value").where("value IS NOT NULL")
 
 
 def _class_key(scope: dict) -> Column:

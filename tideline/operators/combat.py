@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tideline.operators import cooldowns, geometry, grid, intervals
+from tideline.operators import asof, cooldowns, geometry, grid, intervals
 
 #: The longest seconds that each category of control can last, and the buckets that it counts in.
-CAPS_SEC = {"stun": 10, "incapacitate": 10, "disorient": 10, "root": 10, "silence": 10, "disarm": 10, "taunt": 10, "knockback": 10}
+CAPS_SEC = {"stun": 10, "incapacitate": 10, "disorient": 10, "silence": 10, "root": 30, "disarm": 15, "taunt": 8, "knockback": 5}
 HARD = ("stun", "incapacitate", "disorient")
 PRECOGNITION_CAP_SEC = 8
 SIGHT_STEP_SEC = 0.5
@@ -138,10 +138,14 @@ def window_sight(windows: DataFrame, samples: DataFrame, smokes: DataFrame, void
     return out.select("window_id", F.col("other").alias("attacker"), F.coalesce("result", F.lit("unknown")).alias("result"), "clear_fraction")
 
 
-def disruptors_active(windows: DataFrame, spans: DataFrame, by: list[str]) -> DataFrame:
-    """window_id and the kinds of sight breakers whose closed span meets the closed window."""
-    both = windows.select(*by, "window_id", "from_sec", "to_sec").join(spans.select(*by, "kind", F.col("from_sec").alias("_a"), F.col("to_sec").alias("_b")), by)
-    return both.where("_a <= to_sec AND _b >= from_sec").groupBy("window_id").agg(F.array_sort(F.collect_set("kind")).alias("kinds"))
+def disruptors_active(windows: DataFrame, spans: DataFrame, by: list[str], bucket_sec: float = SMOKE_BUCKET_SEC) -> DataFrame:
+    """window_id and the kinds of sight breakers whose closed span meets the closed window; they meet in the buckets of
+    time that both touch."""
+    touched = lambda a, b: F.explode(F.sequence(F.floor(a / bucket_sec), F.floor(b / bucket_sec)))
+    w = windows.select(*by, "window_id", "from_sec", "to_sec").withColumn("_bucket", touched(F.col("from_sec"), F.col("to_sec")))
+    s = spans.select(*by, "kind", F.col("from_sec").alias("_a"), F.col("to_sec").alias("_b")).withColumn("_bucket", touched(F.col("_a"), F.col("_b")))
+    both = w.join(s, [*by, "_bucket"]).where("_a <= to_sec AND _b >= from_sec")
+    return both.groupBy("window_id").agg(F.array_sort(F.collect_set("kind")).alias("kinds"))
 
 
 def window_positioning(windows: DataFrame, samples: DataFrame, by: list[str], step: float = 0.5, max_gap: float = grid.MAX_GAP_SEC) -> DataFrame:
@@ -173,7 +177,9 @@ def escapes(windows: DataFrame, placed: DataFrame, casts: DataFrame, anchors: Da
     """Of windows whose target has placed an anchor up to the start: the distance to its latest one (placed: unit,
     spell, t, x, y) and whether the spell that returns to it is ready (anchors: spell, return_spell, cooldown_sec)."""
     w = windows.select(*by, "window_id", F.col("target").alias("unit"), F.col("from_sec").cast("double").alias("t"))
-    latest = placed.withColumn("_t", F.col("t")).drop("t").join(w, [*by, "unit"]).where("_t <= t").groupBy(*by, "window_id", "unit", "t").agg(F.max_by(F.struct("spell", "x", "y"), F.struct("_t", "spell")).alias("p"))
+    anchored = placed.groupBy(*by, "unit", F.col("t").cast("double").alias("ts_ms")).agg(F.max(F.struct("spell", "x", "y")).alias("p"))
+    asked = w.select(*by, "unit", "window_id", F.col("t").alias("ts_ms"), F.lit(0).alias("seq"))
+    latest = asof.backward(asked, anchored, [*by, "unit"], "p").where("p IS NOT NULL").withColumnRenamed("ts_ms", "t").drop("seq")
     at = grid.resolve(w, samples.select(*by, "unit", "t", "x", "y"), [*by, "unit"], max_gap=max_gap, carry=("window_id",)).select("window_id", "x", "y")
     known = latest.join(F.broadcast(anchors), F.col("p.spell") == F.col("spell")).join(at, "window_id")  # a row for each anchor spell
     returns = casts.select(*by, "unit", F.col("spell").alias("return_spell"), F.floor(F.col("t") * 1000).alias("_ms")).groupBy(*by, "unit", "return_spell").agg(F.array_sort(F.collect_list("_ms")).alias("_casts"))
@@ -225,7 +231,10 @@ def range_probe(casts: DataFrame, samples: DataFrame, by: list[str], reach: floa
     d = F.hypot(F.col("ax") - F.col("bx"), F.col("ay") - F.col("by"))
     far = lines.groupBy("cast_id").agg(F.max(d).alias("max_distance"), (F.count_if(d > reach) / F.lit(5)).alias("out_of_reach"), F.count(d).alias("known")).where("known > 0").drop("known")
     spans = samples.groupBy(*by, "unit").agg(F.min("t").alias("_first"), F.max("t").alias("_last")).withColumnRenamed("unit", "other")
-    own = casts.join(samples.select(*by, "unit", F.col("t").alias("_t")), [*by, "unit"]).where("_t >= t + 1 AND _t <= t + 5").join(spans, [*by, "other"]).where("_t >= _first AND _t <= _last")
+    bucket = lambda c: F.floor(c / 5)
+    near = casts.withColumn("_bucket", F.explode(F.array_distinct(F.array(bucket(F.col("t") + 1), bucket(F.col("t") + 5)))))
+    met = near.join(samples.select(*by, "unit", F.col("t").alias("_t"), bucket(F.col("t")).alias("_bucket")), [*by, "unit", "_bucket"])
+    own = met.where("_t >= t + 1 AND _t <= t + 5").join(spans, [*by, "other"]).where("_t >= _first AND _t <= _last")
     return far.join(own.groupBy("cast_id").agg(F.count(F.lit(1)).alias("samples")), "cast_id", "left").fillna(0, ["samples"])
 
 

@@ -154,5 +154,5 @@ def into_burst(hp: DataFrame, by: list[str], at: DataFrame, drop: float = 0.15)
     probe = at.select(*by, "cast_id", F.explode(F.array(F.struct(F.lit(0).alias("k"), (F.col("t") - 2).alias("t")), F.struct(F.lit(1).alias("k"), (F.col("t") + 1).alias("t")))).alias("p"))
     grid = probe.select(*by, (F.col("cast_id") * 2 + F.col("p.k")).alias("i"), F.col("p.t").alias("t"))
     found = resolve(grid, hp.withColumn("y", F.lit(0.0)), by, max_gap=MAX_GAP_SEC)
-    ends = found.groupBy(F.floor(F.col("i") / 2).alias("cast_id")).agg(F.max(F.when(F.col("i") % 2 == 0, F.col("x"))).alias("before"), F.max(F.when(F.col("i") % 2 == 1, F.col("x"))).alias("after"))
+    ends = found.groupBy(F.shiftright("i", 1).alias("cast_id")).agg(F.max(F.when(F.col("i") % 2 == 0, F.col("x"))).alias("before"), F.max(F.when(F.col("i") % 2 == 1, F.col("x"))).alias("after"))
     return ends.select("cast_id", F.coalesce(F.col("before") - F.col("after") >= drop, F.lit(False)).alias("into_burst"))

@@ -105,6 +105,19 @@ def fn_local_hour(spark, sf):
     return matches(spark, sf).select("match_id", cohort.hour_of(F.col("start_ms")).alias("hour"))
 
 
+@query(f"WITH {M}, h AS (SELECT match_id, CAST(match_id % 24 AS INTEGER) AS a, CAST(rating % 24 AS INTEGER) AS b FROM m) SELECT match_id, coalesce(least(abs(a - b), 24 - abs(a - b)), -1) AS hours FROM h")
+def fn_circular_hours(spark, sf):
+    hour = lambda c: (F.col(c) % 24).cast("int")
+    return matches(spark, sf).select("match_id", F.coalesce(scalars.circular_hours(hour("match_id"), hour("rating")), F.lit(-1)).alias("hours"))
+
+
+@query(f"""WITH {M}, r AS (SELECT match_id, (1 + duration_sec / 86400) / CAST(1 + zone % 7 AS DOUBLE) AS favor FROM m)
+SELECT match_id, floor(favor * 1e6 + 0.5) / 1e6::DOUBLE AS favor, CASE WHEN favor >= 1.5 THEN 4 WHEN favor >= 1.1 THEN 3 WHEN favor > 0.9 THEN 2 WHEN favor >= 0.67 THEN 1 WHEN favor IS NOT NULL THEN 0 ELSE -1 END AS stop FROM r""")
+def fn_favor(spark, sf):
+    ratio = scalars.favor(F.col("duration_sec") / 86_400, F.col("zone") % 7)
+    return matches(spark, sf).select("match_id", scalars.round_half_up(ratio, 6).alias("favor"), F.coalesce(scalars.favor_stop(ratio), F.lit(-1)).alias("stop"))
+
+
 @query(f"WITH {E} SELECT event_id, CAST(CAST(floor(spell / 3.0::DOUBLE + 0.5) AS BIGINT) AS VARCHAR) || '%' AS pct FROM e")
 def fn_percent(spark, sf):
     return events(spark, sf).select("event_id", scalars.percent(F.col("spell") / 300.0).alias("pct"))

@@ -145,7 +145,7 @@ def fsm04_threat_immunities(spark, sf):
 @query(f"""WITH {SAMPLES}, {SMOKES.replace("sm AS", "sp AS")}, {W} SELECT window_id, string_agg(DISTINCT kind, ',' ORDER BY kind) AS kinds FROM w JOIN (SELECT m, sf AS a, su AS b, CASE WHEN st = 0 THEN 'smoke' ELSE 'wall' END AS kind FROM sp) USING (m) WHERE a <= u AND b >= f GROUP BY window_id""")
 def geo05_disruptors_in_windows(spark, sf):
     spans = _smokes(spark, sf).withColumn("kind", F.when(F.col("team") == 0, "smoke").otherwise("wall"))
-    return combat.disruptors_active(_windows(spark, sf), spans, ["m"]).select("window_id", F.concat_ws(",", "kinds").alias("kinds"))
+    return combat.disruptors_active(_windows(spark, sf), spans, ["m"], SMOKE_SEC).select("window_id", F.concat_ws(",", "kinds").alias("kinds"))
 
 
 @query(f"""WITH {SAMPLES}, w AS (SELECT event_id AS cast_id, actor // 30 AS m, actor AS target, actor // 30 * 30 + (actor + 7) % 30 AS other, (ts_ms - {T0}) / 1000.0::DOUBLE AS t0 FROM e WHERE kind = 'error'), sp AS (SELECT actor, min(t) AS f, max(t) AS l FROM s GROUP BY actor),

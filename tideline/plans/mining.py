@@ -111,6 +111,28 @@ def geo11_map_features(spark, sf):
     return found.select("team", "unit", round_half_up(F.col("center_share"), 6).alias("center_share"), round_half_up(F.col("edge_share"), 6).alias("edge_share"))
 
 
+@query(f"""WITH {E}, t AS (SELECT actor // 30 AS m, event_id AS seq, (ts_ms - {T0}) / {DAY}.0::DOUBLE AS t, CASE kind WHEN 'click' THEN 'cc' WHEN 'signup' THEN 'interrupt' WHEN 'error' THEN 'death' END AS kind, team = 0 AS mine FROM e),
+u AS (SELECT *, CASE WHEN mine THEN 'us' ELSE 'them' END AS side FROM t)
+SELECT m, count(*) FILTER (kind = 'cc' AND mine AND t <= 20) AS early_cc_20, count(*) FILTER (kind = 'cc' AND mine AND t <= 30) AS early_cc_30, arg_min(t, (t, seq)) FILTER (kind = 'interrupt') AS first_kick_sec, arg_min(side, (t, seq)) FILTER (kind = 'interrupt') AS first_kick_on,
+arg_min(t, (t, seq)) FILTER (kind = 'death') AS first_death_sec, arg_min(side, (t, seq)) FILTER (kind = 'death') AS first_death_on, arg_min(t, (t, seq)) FILTER (kind = 'cc') AS first_cc_sec FROM u GROUP BY m""")
+def fea03_timeline_features(spark, sf):
+    kind = F.col("kind")
+    named = F.when(kind == "click", "cc").when(kind == "signup", "interrupt").when(kind == "error", "death")
+    t = events(spark, sf).select(F.floor(F.col("actor") / 30).alias("m"), F.col("event_id").alias("seq"), ((F.col("ts_ms") - T0) / float(DAY)).alias("t_sec"), named.alias("kind"), "team")
+    return units.timeline_features(t, "m", F.col("team") == 0)
+
+
+@query()
+def fea09_feature_registry(spark, sf):
+    """The feature columns of the compositions' frame with their tiers, and how many matches have a value of each."""
+    frame = fea02_comp_features(spark, sf)
+    names = [c for c in frame.columns if c != "match_id"]
+    rows, _ = features.registry(names, {c: "context" for c in names if c.startswith("enemy_")}, {"ally_archetype", "enemy_archetype"})
+    listed = spark.createDataFrame([(k, *r) for k, r in enumerate(rows)], "place int, feature string, tier string, transseasonal boolean")
+    counts = frame.agg(*(F.count(c).alias(c) for c in names)).unpivot([], names, "feature", "n")
+    return listed.join(counts, "feature").select("place", "feature", "tier", "transseasonal", "n")
+
+
 @query()
 def geo11_area_share(spark, sf):
     """The hull of each unit's samples as a share of its zone's open area, which SQL has no hull for."""

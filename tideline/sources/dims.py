@@ -99,8 +99,9 @@ def enum_values(text: str, name: str) -> dict[str, str]:
 
 
 def cooldown_rules(text: str) -> dict[str, list[tuple]]:
-    """Rows of a rules text: spec (key, spell, cooldown_sec, buff_sec, charges, big, external, important), class alike,
-    spec_class pairs and offensive spells. Of charges the most count, then the base ones, then 1."""
+    """Rows of a rules text: spec (key, spell, cooldown_sec, buff_sec, charges, big, external, important, cast_spell, which is
+    null where the spell itself is cast, no_aura), class alike, spec_class pairs and offensive spells. Of charges the most
+    count, then the base ones, then 1."""
     whole = parse_tables("{" + re.sub(r"\blocal\b|\breturn\b", "", text) + "}")
     number = lambda v, other=0: v if isinstance(v, (int, float)) and not isinstance(v, bool) else other
 
@@ -111,7 +112,8 @@ def cooldown_rules(text: str) -> dict[str, list[tuple]]:
                 if isinstance(r, dict) and isinstance(r.get("SpellId"), int):
                     charges = number(r.get("MaxCharges"), number(r.get("BaseCharges"), 1))
                     flags = (r.get(k) is True for k in ("BigDefensive", "ExternalDefensive", "Important"))
-                    out.append((str(key), r["SpellId"], number(r.get("Cooldown")), number(r.get("BuffDuration")), charges, *flags))
+                    cast = r["CastSpellId"] if isinstance(r.get("CastSpellId"), int) else None
+                    out.append((str(key), r["SpellId"], number(r.get("Cooldown")), number(r.get("BuffDuration")), charges, *flags, cast, r.get("NoAura") is True))
         return out
 
     named = whole if isinstance(whole, dict) else {}
@@ -122,10 +124,73 @@ def cooldown_rules(text: str) -> dict[str, list[tuple]]:
     }
 
 
+_source = re.compile(r"//[^\n]*|/\*.*?\*/|`[^`]*`|'(?:\\.|[^'\\])*'|\"(?:\\.|[^\"\\])*\"|-?\d+(?:\.\d+)?|[A-Za-z_$][\w$.]*|[{}\[\]:,]", re.DOTALL)
+
+
+def parse_objects(text: str) -> list[tuple[str | None, dict]]:
+    """All object literals of a source text, inner ones first, each with the key that it is the value of, if any.
+
+    Fields may come in any order; values are texts, numbers, names (as texts), lists and objects."""
+    out: list[tuple[str | None, dict]] = []
+    open_: list[list] = [[None, [], None]]  # key, container, and the field that waits for its value
+
+    def put(value) -> None:
+        _, holder, waiting = open_[-1]
+        if isinstance(holder, list):
+            holder.append(value)
+        elif waiting is None:
+            open_[-1][2] = str(value)
+        else:
+            holder[waiting] = value
+            open_[-1][2] = None
+
+    for token in _source.findall(text):
+        if token.startswith(("//", "/*")) or token == ":":
+            continue
+        if token in "{[":
+            open_.append([open_[-1][2] if isinstance(open_[-1][1], dict) else None, {} if token == "{" else [], None])
+        elif token in "}]":
+            if len(open_) > 1:
+                key, closed, _ = open_.pop()
+                if isinstance(closed, dict):
+                    out.append((key, closed))
+                put(closed)
+        elif token == ",":
+            open_[-1][2] = None
+        elif token[0] in "'\"`":
+            put(re.sub(r"\\(.)", r"\1", token[1:-1]))
+        elif re.fullmatch(r"-?\d+(?:\.\d+)?", token):
+            put(float(token) if "." in token else int(token))
+        else:
+            put(token)
+    return out
+
+
 def offensive_spells(text: str, denied: set[str] = frozenset()) -> list[tuple[str, str]]:
     """Id and name of the spells of a source text that have the tag Offensive, each once, without the denied ones."""
-    found = re.findall(r"spellId:\s*'(\d+)',\s*name:\s*'([^']*)',\s*tags:\s*\[([^\]]*)\]", text)
-    return list({i: (i, name) for i, name, tags in reversed(found) if "Offensive" in tags and i not in denied}.values())[::-1]
+    found: dict[str, str] = {}
+    for _, spell in parse_objects(text):
+        tags = spell.get("tags")
+        marked = isinstance(tags, list) and any(str(t).rsplit(".", 1)[-1] == "Offensive" for t in tags)
+        if marked and "spellId" in spell and str(spell["spellId"]) not in denied:
+            found.setdefault(str(spell["spellId"]), str(spell.get("name", "")))
+    return list(found.items())
+
+
+def arena_names(text: str) -> list[tuple[int, str]]:
+    """Zone and name of the objects of a source text that are values of numbers, by zone."""
+    return sorted((int(key), o["name"]) for key, o in parse_objects(text) if key and key.isdigit() and isinstance(o.get("name"), str))
+
+
+def spec_names(text: str, enum: str) -> list[tuple[int, str, str]]:
+    """Id, class and spec of an enum whose members are named Class_Spec, by id; words of a class's name are parted, and
+    0 is no spec."""
+    out = []
+    for name, value in enum_values(text, enum).items():
+        if value.isdigit() and int(value):
+            class_, _, spec = name.partition("_")
+            out.append((int(value), re.sub(r"(?<=[a-z])(?=[A-Z])", " ", class_), spec))
+    return sorted(out)
 
 
 def diminishing_categories(rows: DataFrame) -> DataFrame:

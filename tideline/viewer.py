@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tideline.functions import scalars
-from tideline.operators import aggregates, asof, cohort, events, grid, meshes, relational, sessions, units
+from tideline.operators import aggregates, asof, cohort, events, grid, meshes, relational, sessions, sides, units
 from tideline.session import Scratch, get_spark
 from tideline.sources import logs, stores
 
@@ -54,6 +54,30 @@ def facets(store: stores.Store) -> DataFrame:
     return out.orderBy("facet", "first", "value")
 
 
+def spec_tree(store: stores.Store, specs: DataFrame) -> DataFrame:
+    """team, class, and the specs (id and name, in order of name) of each class that the stored combatants have. specs: the
+    dimension spec, class, name."""
+    seen = store.read("combatant").where("spec IS NOT NULL").select("team", F.col("spec").cast("int").alias("spec")).distinct()
+    known = seen.join(F.broadcast(specs.select(F.col("spec").cast("int").alias("spec"), "class", "name")), "spec")  # a row a spec
+    listed = F.array_sort(F.collect_list(F.struct("name", "spec")))
+    return known.groupBy("team", "class").agg(listed.alias("specs")).orderBy("team", "class")
+
+
+#: The metrics that the view of matches has as columns.
+PIVOTED = (
+    "damageDone", "dps", "healingDone", "deaths", "deathsWhileCcd", "interruptsLanded", "interruptsSuffered", "precognitionUptimeSec", "enemyPrecognitionUptimeSec", "avgHealerDistanceYd", "ccDone.hardCcSec", "defensivesIntoBurst",
+)
+
+
+def create_view(store: stores.Store, name: str = "dataset_export", metrics: tuple[str, ...] = PIVOTED) -> DataFrame:
+    """A view of all matches with the player's metrics as columns (dots as underscores), for SQL; it is made anew by each
+    call and reads the batches that count then."""
+    wide = export(store, list(metrics))
+    wide = wide.toDF(*(c.replace(".", "_") for c in wide.columns))
+    wide.createOrReplaceTempView(name)
+    return wide
+
+
 def scorecard(store: stores.Store, match_id: str, scope: dict, registry: dict | None = None) -> DataFrame:
     """The scorecard of one match against its character's history."""
     registry = registry or cohort.SCORECARD
@@ -182,20 +206,37 @@ PLACES = {"distance": "distanceMoved", "stationary": "timeStationarySec", "melee
 SIDECAR_MS = 5 * 60_000
 
 
-def _match_tables(seg: DataFrame, m: DataFrame, character: str, sidecars: DataFrame | None) -> tuple[dict[str, DataFrame], DataFrame]:
+@dataclass(frozen=True)
+class Catalogs:
+    """Dimensions of the metrics that know spells: control (spell, category), lockouts (spell, lockout_sec) and defensives
+    (spell). Without rows those metrics are 0."""
+
+    control: DataFrame
+    lockouts: DataFrame
+    defensives: DataFrame
+
+    @classmethod
+    def none(cls, spark: SparkSession) -> Catalogs:
+        return cls(*(spark.createDataFrame([], s) for s in ("spell int, category string", "spell int, lockout_sec double", "spell int")))
+
+
+def _match_tables(seg: DataFrame, m: DataFrame, characters: list[str], sidecars: DataFrame | None, catalogs: Catalogs) -> tuple[dict[str, DataFrame], DataFrame]:
     """The four tables of the matches m (match_id: as of the log, key: as stored), and the files of matches without
     players of a known team."""
+    scratch = Scratch(seg.sparkSession, "tables")  # what several tables are made of is made once
     listed, who = logs.combatants(seg), logs.units(seg)
-    me = F.lower("name") == character.lower()
+    me = F.lower("name").isin(*(c.lower() for c in characters))
     players = who.where("kind = 'player'").join(listed, ["match_id", "unit_id"], "left")
-    mine = players.where(me).groupBy("match_id").agg(F.min("unit_id").alias("player_id"), F.min("team_id").alias("player_team"), F.min("rating").alias("player_cr"), F.min("spec").alias("player_spec"))
+    mine = players.where(me).groupBy("match_id").agg(F.min(F.struct("unit_id", "team_id", "rating", "spec", F.lower("name").alias("name"))).alias("p"))
+    mine = mine.select("match_id", F.col("p.unit_id").alias("player_id"), F.col("p.team_id").alias("player_team"), F.col("p.rating").alias("player_cr"), F.col("p.spec").alias("player_spec"), F.col("p.name").alias("player_name"))
     team = F.when(F.col("team_id").isNotNull() & F.col("player_team").isNotNull(), F.when(F.col("team_id") == F.col("player_team"), "friendly").otherwise("enemy")).otherwise(F.when(F.col("hostile"), "enemy").otherwise("friendly"))
-    sided = players.join(mine, "match_id", "left").withColumn("team", team)
+    sided = scratch.save(players.join(mine, "match_id", "left").withColumn("team", team))
     own_team = sided.select("match_id", F.col("unit_id").alias("owner_id"), F.col("team").alias("_team"))
     all_units = sided.select("match_id", "unit_id", "kind", "team", "owner_id").unionByName(
         who.where("kind != 'player'").join(own_team, ["match_id", "owner_id"], "left").select("match_id", "unit_id", "kind", F.coalesce("_team", F.when(F.col("hostile"), "enemy").otherwise("neutral")).alias("team"), "owner_id")
     )
-    e = logs.events(seg).join(m.select("match_id", F.col("start_ms").alias("_start"), "key"), "match_id")
+    all_units = scratch.save(all_units)
+    e = scratch.save(logs.events(seg).join(m.select("match_id", F.col("start_ms").alias("_start"), "key"), "match_id"))
     wide = units.unit_metrics(e, all_units, m.select("match_id", "duration_sec"))
     rolled = aggregates.roll_up_owners(wide.select("match_id", "unit_id", *ACTIONS), events.resolve_players(all_units), ["match_id"], ACTIONS)
     healers = sided.select("match_id", F.col("unit_id").alias("unit"), "team", F.coalesce(F.col("spec").isin(*HEALERS), F.lit(False)).alias("healer"))
@@ -206,10 +247,16 @@ def _match_tables(seg: DataFrame, m: DataFrame, character: str, sidecars: DataFr
         named = named.withColumnRenamed(old, new)
     ids = [*OWN, *ACTIONS, *PLACES.values()]
     long = aggregates.unpivot_metrics(named.select("match_id", "unit_id", "team", *(F.col(f"`{c}`").alias(c.replace(".", "__")) for c in ids)), ["match_id", "unit_id", "team"], [c.replace(".", "__") for c in ids]).withColumn("metric_id", F.regexp_replace("metric_id", "__", "."))
-    scoped = long.join(mine.select("match_id", "player_id"), "match_id", "left").withColumn("scope", F.when(F.col("unit_id") == F.col("player_id"), "player").otherwise(F.col("unit_id")))
+    long = scratch.save(long)
+    ends = m.select("match_id", "end_ms")
+    healing = sided.where(F.col("spec").isin(*HEALERS)).select("match_id", "unit_id")
+    by_side = scratch.save(sides.side_metrics(e, all_units, ends, F.col("_start"), catalogs.control, catalogs.lockouts, catalogs.defensives))
+    together = scratch.save(sides.team_metrics(e, all_units, healing).select("match_id", F.concat(F.lit("team:"), F.col("team")).alias("scope"), "metric_id", "value"))
+    both = long.select("match_id", "unit_id", "metric_id", "value").unionByName(by_side)
+    scoped = both.join(mine.select("match_id", "player_id"), "match_id", "left").withColumn("scope", F.when(F.col("unit_id") == F.col("player_id"), "player").otherwise(F.col("unit_id")))
     totals = long.where("team = 'friendly'").groupBy("match_id", "metric_id").agg(F.sum("value").alias("value")).withColumn("scope", F.lit("team"))
     keyed = lambda df, *cols: df.join(m.select("match_id", "key"), "match_id").select(F.col("key").alias("match_id"), *cols)
-    metric = keyed(scoped.select("match_id", "scope", "metric_id", "value").unionByName(totals), "scope", "metric_id", "value")
+    metric = scratch.save(keyed(scoped.select("match_id", "scope", "metric_id", "value").unionByName(totals).unionByName(together), "scope", "metric_id", "value"))
     name, realm = F.substring_index("name", "-", 1), F.when(F.instr("name", "-") > 0, F.expr("substring(name, instr(name, '-') + 1)")).otherwise("")
     combatant = keyed(sided, "unit_id", name.alias("name"), realm.alias("realm"), "spec", "team", F.coalesce(F.col("unit_id") == F.col("player_id"), F.lit(False)).alias("is_player"))
     comps = sided.groupBy("match_id").agg(*(F.concat_ws("_", F.array_sort(F.collect_list(F.when(F.col("team") == t, F.col("spec").cast("string"))))).alias(c) for t, c in (("friendly", "comp"), ("enemy", "enemy_comp"))))
@@ -217,8 +264,10 @@ def _match_tables(seg: DataFrame, m: DataFrame, character: str, sidecars: DataFr
     other = F.when(F.col("player_team") == "0", "1").when(F.col("player_team") == "1", "0")
     full = m.join(mine, "match_id", "left").join(comps, "match_id", "left")
     result = F.when(F.col("player_team").isNull() | F.col("winner").isNull(), "unknown").when(F.col("player_team") == F.col("winner"), "win").otherwise("loss")
+    named_as = F.create_map(*(F.lit(x) for c in characters for x in (c.lower(), c)))
+    who_is = F.coalesce(F.try_element_at(named_as, F.col("player_name")), F.lit(characters[0]))
     match = full.select(
-        F.col("key").alias("match_id"), F.lit(character).alias("character"), "bracket", "zone", "start_ms", "duration_sec", result.alias("result"), mmr(F.col("player_team")).alias("rating"), F.coalesce("comp", F.lit("")).alias("comp"),
+        F.col("key").alias("match_id"), who_is.alias("character"), "bracket", "zone", "start_ms", "duration_sec", result.alias("result"), mmr(F.col("player_team")).alias("rating"), F.coalesce("comp", F.lit("")).alias("comp"),
         F.coalesce("enemy_comp", F.lit("")).alias("enemy_comp"), mmr(other).alias("enemy_mmr"), "player_id", "player_cr", "player_spec", "ranked", "version", F.col("path").alias("source_file"),
     )
     if sidecars is not None:
@@ -236,8 +285,9 @@ def _match_tables(seg: DataFrame, m: DataFrame, character: str, sidecars: DataFr
     return tables, m.join(sided.select("match_id").distinct(), "match_id", "left_anti").select("path")
 
 
-def ingest(spark: SparkSession, folder: str, store: stores.Store, character: str, seasons_back: int | None = 1, force: bool = False, sidecars: str | None = None) -> DataFrame:
-    """Read the logs of a folder that the ledger lacks and write their matches, combatants, metrics and details with the
+def ingest(spark: SparkSession, folder: str, store: stores.Store, character: str | list[str], seasons_back: int | None = 1, force: bool = False, sidecars: str | None = None, catalogs: Catalogs | None = None) -> DataFrame:
+    """character: the player's name and realm, or those of several players, of whom a match has the first that it lists.
+    Read the logs of a folder that the ledger lacks and write their matches, combatants, metrics and details with the
     ledger's rows as one batch; gives the files ledgered. A grown log is read again whole; the upsert makes that
     harmless. Files with a bad line or a match without players aren't ledgered and so are read again."""
     scratch = Scratch(spark, "ingest")
@@ -257,13 +307,17 @@ def ingest(spark: SparkSession, folder: str, store: stores.Store, character: str
     done = logs.matches(seg).where("complete").withColumn("_f", plain("file")).join(files, "_f").drop("_f")
     m = scratch.save(done.withColumn("match_id", logs.match_key()).withColumn("key", F.concat_ws("#", F.element_at(F.split("file", "/"), -1), "start_ms")))
     seg = seg.join(m.select("file", "match_no"), ["file", "match_no"], "left_semi")
-    tables, lost = _match_tables(seg, m, character, stores.read_sidecars(spark, sidecars) if sidecars else None)
+    tables, lost = _match_tables(seg, m, [character] if isinstance(character, str) else list(character), stores.read_sidecars(spark, sidecars) if sidecars else None, catalogs or Catalogs.none(spark))
     failed = bad.select(plain("file").alias("_f")).union(lost.select(plain("path"))).distinct()
     ledgered = scratch.save(chosen.withColumn("_f", plain("path")).join(failed, "_f", "left_anti").select("path", "size"))
     store.write(tables | {"ingest_file": ledgered})
     return ledgered
 
 
+#: Matches of a page that names no limit.
+PAGE = 100
+
+
 def respond(store: stores.Store, method: str, path: str, query: dict[str, str] | None = None, gap_ms: int = GAP_MS) -> tuple[int, str]:
     """Status and JSON of a request: /api/filters, /api/metadata, /api/matches, and of one match /api/matches/ID with
     /scorecard and /detail. Only GET is known."""
@@ -280,7 +334,7 @@ def respond(store: stores.Store, method: str, path: str, query: dict[str, str] |
         return answer(200, {"metrics": [{"id": k, "polarity": p, "per_minute": r} for k, (p, r) in cohort.SCORECARD.items()]})
     if path == "/api/matches":
         spec = {"character": q.get("character"), "bracket": q.get("bracket"), "zone": q.get("map"), "result": q.get("result"), "rating_min": number("minRating"), "rating_max": number("maxRating"), "start_min": number("from"), "start_max": number("to")}
-        page = matches(store, spec, q.get("sort", "start_ms"), q.get("order") != "asc", whole("limit"), whole("offset") or 0, q.get("q", ""), gap_ms)
+        page = matches(store, spec, q.get("sort", "start_ms"), q.get("order") != "asc", whole("limit") or PAGE, whole("offset") or 0, q.get("q", ""), gap_ms)
         return answer(200, {"matches": rows(page), "total": total(store, spec)})
     if one := re.fullmatch(r"/api/matches/([^/]+)(/scorecard|/detail)?", path):
         match_id = unquote(one[1])
