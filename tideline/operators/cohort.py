@@ -113,9 +113,12 @@ def is_new_best(value: Column, best: Column, polarity: str) -> Column:
     return value.isNotNull() & F.coalesce(beats, F.lit(True))
 
 
-#: Spread, as a share of the mean, that counts as none: sums of equal rates may differ by roundings.
+#: Differences, as a share of the mean, that count as none: means of equal rates may differ by roundings.
 FLAT = 1e-9
+#: Sums of a class: rows, differences and their squares, the same of wins and losses; and exact ones of a hash and its
+#: square, by which cohorts of equal values are told from those of nearly equal ones.
 SUMS = ("n", "s1", "s2", "wn", "ws", "ln", "ls")
+EXACT = ("h1", "h2")
 
 
 def _long(df: DataFrame, keys: list[str], registry: dict[str, tuple[str, bool]]) -> DataFrame:
@@ -143,33 +146,37 @@ def member_stats(history: DataFrame, targets: DataFrame, by: list[str], scope: d
     h = h.join(middle, [*group, "metric_id"]).withColumn("_d", F.col("value") - F.col("_c")).drop("value")
     d, win, loss = F.col("_d"), F.col("result") == "win", F.col("result") == "loss"
     sums = [F.count(F.lit(1)), F.sum(d), F.sum(d * d), F.count_if(win), F.sum(F.when(win, d).otherwise(0)), F.count_if(loss), F.sum(F.when(loss, d).otherwise(0))]
-    sums = [s.cast("double").alias(c) for s, c in zip(sums, SUMS, strict=True)]
+    hashed = F.pmod(F.xxhash64(F.col("_d")), F.lit(1 << 24)).cast("decimal(18,0)")
+    sums = [*(s.cast("double").alias(c) for s, c in zip(sums, SUMS, strict=True)), F.sum(hashed).cast("decimal(28,0)").alias("h1"), F.sum(hashed * hashed).cast("decimal(34,0)").alias("h2")]
+    names, whole = [*SUMS, *EXACT], {"h1": "decimal(28,0)", "h2": "decimal(34,0)"}
     every = F.array(*map(F.lit, range(24)))
     near = F.filter(every, lambda x: circular_hours(x, F.col("t_hour")) <= hours) if hours is not None else F.array(F.lit(0))
     asked = t.withColumn("_hour", F.explode(near))
     cell = [*group, "_hour", "metric_id"]
     if band is None:
-        met = h.groupBy(*cell).agg(*sums).join(asked, [*group, "_hour"]).groupBy("target_id", "metric_id").agg(*(F.sum(c).alias(c) for c in SUMS))
+        met = h.groupBy(*cell).agg(*sums).join(asked, [*group, "_hour"]).groupBy("target_id", "metric_id").agg(*(F.sum(c).cast(whole.get(c, "double")).alias(c) for c in names))
     else:
         cells = h.groupBy(*cell, "rating").agg(*sums).withColumn("_side", F.lit(1))
         probes = asked.join(middle.select(*group, "metric_id"), group)
         ends = F.array(*(F.struct((F.col("t_rating") + sign * band).alias("rating"), F.lit(1 + sign).alias("_side")) for sign in (-1, 1)))
-        probes = probes.select(*cell, "target_id", F.explode(ends).alias("e")).select(*cell, "target_id", F.col("e.rating").cast("double").alias("rating"), "e._side", *(F.lit(0.0).alias(c) for c in SUMS))
+        probes = probes.select(*cell, "target_id", F.explode(ends).alias("e")).select(*cell, "target_id", F.col("e.rating").cast("double").alias("rating"), "e._side", *(F.lit(0).cast(whole.get(c, "double")).alias(c) for c in names))
         both = cells.withColumn("rating", F.col("rating").cast("double")).unionByName(probes, allowMissingColumns=True)
-        reached = stats.running_sums(both, cell, ["rating", "_side"], list(SUMS)).where("_side != 1")
-        met = reached.groupBy("target_id", "metric_id").agg(*(F.sum(F.col(c) * (F.col("_side") - 1)).alias(c) for c in SUMS))
+        reached = stats.running_sums(both, cell, ["rating", "_side"], names).where("_side != 1")
+        met = reached.groupBy("target_id", "metric_id").agg(*(F.sum(F.when(F.col("_side") == 2, F.col(c)).otherwise(-F.col(c))).cast(whole.get(c, "double")).alias(c) for c in names))
     own = h.withColumn("target_id", F.col("match_id")).join(t, [*group, "target_id"])
-    less = own.groupBy("target_id", "metric_id").agg(*(s.alias(f"o_{c}") for s, c in zip(sums, SUMS, strict=True)))
+    less = own.groupBy("target_id", "metric_id").agg(*(s.alias(f"o_{c}") for s, c in zip(sums, names, strict=True)))
     met = met.join(less, ["target_id", "metric_id"], "left")
-    met = met.select("target_id", "metric_id", *((F.col(c) - F.coalesce(F.col(f"o_{c}"), F.lit(0.0))).alias(c) for c in SUMS)).where("n >= 0.5")
+    met = met.select("target_id", "metric_id", *((F.col(c) - F.coalesce(F.col(f"o_{c}"), F.lit(0).cast(whole.get(c, "double")))).cast(whole.get(c, "double")).alias(c) for c in names)).where("n >= 0.5")
     met = met.join(t.select(*group, "target_id"), "target_id").join(middle, [*group, "metric_id"])
     c, n = F.col("_c"), F.col("n")
     mean = c + F.col("s1") / n
     spread = F.sqrt(F.greatest(F.lit(0.0), F.col("s2") / n - (F.col("s1") / n) ** 2))
+    # equal values have equal hashes, for which alone n times the sum of squares is the square of the sum
+    flat = F.round(n).cast("decimal(12,0)") * F.col("h2").cast("decimal(26,0)") == F.col("h1").cast("decimal(19,0)") * F.col("h1").cast("decimal(19,0)")
     side = lambda k: F.when(F.col(f"{k}n") > 0.5, c + F.col(f"{k}s") / F.col(f"{k}n"))
     return met.select(
         "target_id", "metric_id", F.round(n).cast("long").alias("n"), mean.alias("mean"),
-        F.when(spread > FLAT * F.abs(mean), spread).otherwise(0.0).alias("stdev"), side("w").alias("win_mean"), side("l").alias("loss_mean"),
+        F.when(flat, 0.0).otherwise(spread).alias("stdev"), side("w").alias("win_mean"), side("l").alias("loss_mean"),
     )
 
 
