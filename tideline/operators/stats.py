@@ -253,16 +253,14 @@ def loss_territory(pct_in_win: Column, rank_biserial: Column, tail: float = 0.25
     return F.when(rank_biserial >= 0, pct_in_win < tail).otherwise(pct_in_win > 1 - tail)
 
 
-def calibration_bins(df: DataFrame, prob: str, y: str, order: str, bins: int = 10, parts: int = 1000) -> DataFrame:
-    """Mean prediction and observed rate in equally large bins of sorted predictions (from 0 to 1), the first ones
-    larger by one. Predictions are numbered within narrow ranges, whose counts give the numbers' starts, so no task
-    sorts all rows."""
-    rows = df.select(prob, order, y).withColumn("_part", F.floor(F.col(prob) * parts))
-    sizes = rows.groupBy("_part").agg(F.count(F.lit(1)).alias("_size"))
-    running = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # over at most parts + 1 rows
-    starts = sizes.select("_part", F.coalesce(F.sum("_size").over(running), F.lit(0)).alias("_before"), F.sum("_size").over(Window.partitionBy(F.lit(0))).alias("_n"))
-    placed = rows.withColumn("_i", F.row_number().over(Window.partitionBy("_part").orderBy(prob, order))).join(F.broadcast(starts), "_part")
-    i, small, large = F.col("_before") + F.col("_i") - 1, F.floor(F.col("_n") / bins), F.col("_n") % bins
+def calibration_bins(df: DataFrame, prob: str, y: str, order: str, bins: int = 10) -> DataFrame:
+    """Mean prediction and observed rate in equally large bins of sorted predictions, the first ones larger by one.
+    Predictions are numbered by ranges of prediction and order, so no task sorts all rows, nor all equal predictions."""
+    rows = df.select(prob, order, y).withColumn("_i", F.lit(1).cast("long"))
+    placed = running_sums(rows, [], [prob, order], ["_i"])
+    total = placed.agg(F.count(F.lit(1)).alias("_n"))
+    placed = placed.join(F.broadcast(total))  # one row
+    i, small, large = F.col("_i"), F.floor(F.col("_n") / bins), F.col("_n") % bins
     edge = large * (small + 1)
     bin_ = F.when(i < edge, F.floor(i / (small + 1))).otherwise(large + F.floor((i - edge) / F.greatest(small, F.lit(1))))
     return placed.groupBy((bin_ + 1).alias("bin")).agg(F.bround(F.avg(prob), 4).alias("pred_mean"), F.bround(F.avg(F.col(y).cast("double")), 4).alias("obs_rate"), F.count(F.lit(1)).alias("n"))
