@@ -152,25 +152,29 @@ def window_positioning(windows: DataFrame, samples: DataFrame, by: list[str], st
     """Of windows as in window_sight: the target's distance to the nearest attacker at the start and the least one in
     the window, to its team's nearest healer (a column of the samples) at the start, and the largest distance of two
     defenders then; to one tenth, null where nothing is known."""
-    units = samples.select(*by, "unit", F.col("team").alias("_team"), "healer").distinct()
+    units = samples.select(*by, F.col("unit").alias("other"), F.col("team").alias("_team"), "healer").distinct()
     s = samples.select(*by, "unit", "t", "x", "y")
+    width = grid.bucket_width(s, [*by, "unit"])
+    spans = grid.segments(s.withColumnRenamed("unit", "other"), [*by, "other"]).join(units, [*by, "other"])
     own = windows.select(*by, "window_id", "team", "other_team", "target", "from_sec", "to_sec")
-    pairs = own.join(units.withColumnRenamed("unit", "other"), by).where("other != target AND (_team = team OR _team = other_team)")
-    n = F.when(F.col("_team") == F.col("team"), F.floor((F.col("to_sec") - F.col("from_sec")) / step)).otherwise(0).cast("long")
-    probes = pairs.withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), n))).withColumn("t", F.col("from_sec") + F.col("i") * step).withColumn("attacks", F.col("_team") == F.col("team"))
-    lines = _lines(probes, s, by, max_gap, ("window_id", "i", "attacks", "healer"))
-    d = F.hypot(F.col("ax") - F.col("bx"), F.col("ay") - F.col("by"))
+    n = F.coalesce(F.floor((F.col("to_sec") - F.col("from_sec")) / step), F.lit(0))
+    ticks = own.withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), n))).withColumn("t", F.col("from_sec") + F.col("i") * step)
+    placed = grid.resolve(ticks, s.withColumnRenamed("unit", "target"), [*by, "target"], max_gap=max_gap, carry=("window_id", "team", "other_team", "to_sec", "i")).withColumnsRenamed({"x": "ax", "y": "ay"})
     start = F.col("i") == 0
-    near = lines.groupBy("window_id").agg(
-        F.min(F.when(F.col("attacks") & start, d)).alias("threat_start"), F.min(F.when(F.col("attacks"), d)).alias("threat_least"), F.min(F.when(~F.col("attacks") & F.col("healer"), d)).alias("healer"),
-    )
-    # the defenders' pairs: those with the target are there already, the others meet at the start only
-    at = lines.where(start & ~F.col("attacks")).select("window_id", "other", "bx", "by")
-    a, b = at.toDF("window_id", "_a", "_ax", "_ay"), at.toDF("window_id", "_b", "_bx", "_by")
-    rest = a.join(b, "window_id").where("_a < _b").select("window_id", F.hypot(F.col("_ax") - F.col("_bx"), F.col("_ay") - F.col("_by")).alias("d"))
-    spread = rest.union(lines.where(start & ~F.col("attacks")).select("window_id", d)).groupBy("window_id").agg(F.max("d").alias("spread"))
+
+    def lines(probes: DataFrame, team: str) -> DataFrame:
+        found = grid.met(probes.withColumn("_team", F.col(team)), spans, [*by, "_team"], width, max_gap).where("other != target AND x IS NOT NULL")
+        return found.withColumn("d", F.hypot(F.col("ax") - F.col("x"), F.col("ay") - F.col("y")))
+
+    threats = lines(placed.where("ax IS NOT NULL AND to_sec IS NOT NULL"), "team").groupBy("window_id").agg(F.min(F.when(start, F.col("d"))).alias("threat_start"), F.min("d").alias("threat_least"))
+    # defenders at the start: their distances to the target, and those of each other, of a list as long as a team
+    defence = lines(placed.where(start & (F.col("team") != F.col("other_team"))), "other_team")
+    of_team = defence.groupBy("window_id").agg(F.min(F.when(F.col("healer"), F.col("d"))).alias("healer"), F.max("d").alias("_own"), F.collect_list(F.struct("x", "y")).alias("_at"))
+    each = of_team.select("*", F.posexplode_outer("_at").alias("_i", "_p")).select("window_id", "healer", "_own", "_i", "_p", F.posexplode_outer("_at").alias("_j", "_q"))
+    apart = F.when(F.col("_i") < F.col("_j"), F.hypot(F.col("_p.x") - F.col("_q.x"), F.col("_p.y") - F.col("_q.y")))
+    defended = each.groupBy("window_id").agg(F.first("healer").alias("healer"), F.greatest(F.first("_own"), F.max(apart)).alias("spread"))
     tenth = lambda c: (F.floor(F.col(c) * 10 + 0.5) / 10.0).alias(c)
-    return windows.select("window_id").join(near, "window_id", "left").join(spread, "window_id", "left").select("window_id", *map(tenth, ("threat_start", "threat_least", "healer", "spread")))
+    return windows.select("window_id").join(threats, "window_id", "left").join(defended, "window_id", "left").select("window_id", *map(tenth, ("threat_start", "threat_least", "healer", "spread")))
 
 
 def escapes(windows: DataFrame, placed: DataFrame, casts: DataFrame, anchors: DataFrame, samples: DataFrame, by: list[str], max_gap: float = grid.MAX_GAP_SEC) -> DataFrame:

@@ -1,12 +1,13 @@
 """Positions on fixed time grids: gap-aware interpolation, distances and bands.
 
-Ticks and samples are sorted together once for each unit; a tick finds its neighbours by window functions, so ticks
-are never joined with samples.
+Ticks and samples are sorted together for each unit; a tick finds its neighbours by window functions whose frames only
+grow, so ticks are never joined with samples. Where every unit of a match is asked for at the same times, these meet the
+spans between neighbouring samples in buckets of time instead, so that they aren't repeated and sorted for each unit.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 MAX_GAP_SEC = 3.0
@@ -40,31 +41,75 @@ def resolve(grid: DataFrame, samples: DataFrame, by: list[str], breaks: DataFram
         union = row if union is None else union.unionByName(row, allowMissingColumns=True)
     sample = F.when(F.col("_side") == "s", F.struct("t", "x", "y"))
     order = [F.col("t"), F.when(F.col("_side") == "s", 0).otherwise(1)]
-    w = Window.partitionBy(*by).orderBy(*order)
-    a = F.last(sample, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    b = F.first(sample, ignorenulls=True).over(w.rowsBetween(1, Window.unboundedFollowing))
-    first = F.first(sample, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-    with_ends = union.withColumns({"_a": a, "_b": b, "_f": first["t"]})
+    w = Window.partitionBy(*by)
+    a = F.last(sample, ignorenulls=True).over(w.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+    # backwards, as a frame that ends at the last row is summed up anew for every row
+    b = F.last(sample, ignorenulls=True).over(w.orderBy(*(c.desc() for c in order)).rowsBetween(Window.unboundedPreceding, -1))
+    with_ends = union.withColumns({"_a": a, "_b": b, "_f": F.min(sample["t"]).over(w)})
     if breaks is not None:
         # the first break after the sample before; breaks of that sample's time aren't between neighbours
         later = F.min(F.when((F.col("_side") == "b") & (F.col("t") > F.col("_a.t")), F.col("t"))).over(Window.partitionBy(*by, "_a.t"))
         with_ends = with_ends.withColumn("_tb", later)
     else:
         with_ends = with_ends.withColumn("_tb", F.lit(None).cast("double"))
+    return with_ends.where("_side = 'g'").select(*by, *carry, "t", *(_value(c, max_gap).alias(c) for c in "xy"))
+
+
+def _value(c: str, max_gap: float | None) -> Column:
+    """x or y at t, from the samples before and after (_a, _b), the first one's time (_f) and the first break (_tb)."""
     t, ta, tb = F.col("t"), F.col("_a.t"), F.col("_b.t")
     share = (t - ta) / (tb - ta)
     gap = F.lit(float("inf") if max_gap is None else max_gap)
-
-    def value(c: str):
-        pa, pb = F.col(f"_a.{c}"), F.col(f"_b.{c}")
-        if max_gap is None:
-            return F.when(t == ta, pa).when(ta.isNull() | tb.isNull(), None).otherwise(pa + (pb - pa) * share)
-        ends = F.when(ta.isNull(), F.when(tb - t <= gap, pb)).when((t == F.col("_f")) | tb.isNull(), F.when(t - ta <= gap, pa))
-        held = F.when((t <= F.col("_tb") - HELD_BEFORE_BREAK_SEC) & (t - ta <= gap), pa)
-        inner = F.when(F.col("_tb").isNotNull(), held).when(tb - ta <= gap, pa + (pb - pa) * share)
-        return F.when(ta.isNull() | (t == F.col("_f")) | tb.isNull(), ends).otherwise(inner)
-
-    return with_ends.where("_side = 'g'").select(*by, *carry, "t", value("x").alias("x"), value("y").alias("y"))
+    pa, pb = F.col(f"_a.{c}"), F.col(f"_b.{c}")
+    if max_gap is None:
+        return F.when(t == ta, pa).when(ta.isNull() | tb.isNull(), None).otherwise(pa + (pb - pa) * share)
+    ends = F.when(ta.isNull(), F.when(tb - t <= gap, pb)).when((t == F.col("_f")) | tb.isNull(), F.when(t - ta <= gap, pa))
+    held = F.when((t <= F.col("_tb") - HELD_BEFORE_BREAK_SEC) & (t - ta <= gap), pa)
+    inner = F.when(F.col("_tb").isNotNull(), held).when(tb - ta <= gap, pa + (pb - pa) * share)
+    return F.when(ta.isNull() | (t == F.col("_f")) | tb.isNull(), ends).otherwise(inner)
+
+
+def bucket_width(samples: DataFrame, by: list[str], least: float = 0.0) -> float:
+    """A quarter of the mean time between a unit's samples: buckets for ``met``, in which a time meets few spans of a unit
+    and a span few buckets."""
+    n = samples.groupBy(*by).agg((F.max("t") - F.min("t")).alias("_span"), (F.count("t") - 1).alias("_n"))
+    span, gaps = n.agg(F.sum("_span"), F.sum("_n")).first()
+    return max(least, span / gaps / 4 if gaps and span else 0.0) or 1.0
+
+
+def segments(samples: DataFrame, by: list[str], breaks: DataFrame | None = None) -> DataFrame:
+    """The spans (_a, _b] of neighbouring samples of each unit, as ``resolve`` sees them; _a is null before the first
+    sample and _b from the last one on."""
+    sides = samples.select(*by, "t", "x", "y", F.lit(False).alias("_break"))
+    if breaks is not None:
+        sides = sides.unionByName(breaks.select(*by, F.col("tb").alias("t"), F.lit(True).alias("_break")), allowMissingColumns=True)
+    w = Window.partitionBy(*by)
+    later = w.orderBy(F.col("t").desc(), "_break").rowsBetween(Window.unboundedPreceding, -1)
+    sample = F.when(~F.col("_break"), F.struct("t", "x", "y"))
+    marked = sides.select(
+        *by, "_break", sample.alias("_own"), F.last(sample, ignorenulls=True).over(later).alias("_next"), F.last(F.when(F.col("_break"), F.col("t")), ignorenulls=True).over(later).alias("_tb"),
+        F.min(sample["t"]).over(w).alias("_f"), F.row_number().over(w.orderBy("_break", "t")).alias("_n"),
+    )
+    ends = F.array_compact(F.array(F.struct(F.col("_own").alias("_a"), F.col("_next").alias("_b")), F.when(F.col("_n") == 1, F.struct(F.lit(None).cast(marked.schema["_own"].dataType).alias("_a"), F.col("_own").alias("_b")))))
+    spans = marked.where("NOT _break").select(*by, "_f", "_tb", F.explode(ends).alias("_e")).select(*by, "_f", "_tb", "_e._a", "_e._b")
+    return spans.withColumn("_tb", F.when(F.col("_tb") < F.col("_b.t"), F.col("_tb")))
+
+
+def met(probes: DataFrame, spans: DataFrame, on: list[str], width: float, max_gap: float | None, low: Column | None = None, high: Column | None = None) -> DataFrame:
+    """Probes (t) with x and y of each unit of their key at that time, from the units' segments. Both meet in buckets of
+    time. Units whose position is unknown may be missing; with the least and largest time of a key's probes they aren't."""
+    t, ta, tb = F.col("t"), F.col("_a.t"), F.col("_b.t")
+    if low is None:
+        reach = F.lit(max_gap or 0.0)
+        # of a gap that is too long only its start may be known
+        from_, to = F.coalesce(ta, tb - reach), F.when(tb.isNull() | (tb - ta > (float("inf") if max_gap is None else max_gap)), ta + reach).otherwise(tb)
+    else:
+        from_, to = F.coalesce(ta, F.least(low, tb)), F.coalesce(tb, F.greatest(high, ta))
+    spread = spans.withColumn("_bucket", F.explode(F.sequence(F.floor(from_ / width), F.floor(to / width))))
+    keyed = probes.withColumn("_bucket", F.floor(t / width))
+    both = keyed.join(spread, [*on, "_bucket"]).where((ta.isNull() | (t >= ta)) & (tb.isNull() | (t < tb)))
+    kept = [c for c in both.columns if c not in ("_a", "_b", "_f", "_tb", "_bucket")]
+    return both.select(*kept, *(_value(c, max_gap).alias(c) for c in "xy"))
 
 
 def pair_distances(resolved: DataFrame, match: list[str], unit: str) -> DataFrame:
