@@ -46,3 +46,12 @@ def test_window_positioning_by_brute_force(spark):
         known += sum(x is not None for x in want)
         assert [got[k].threat_start, got[k].threat_least, got[k].healer, got[k].spread] == [x if x is None else pytest.approx(math.floor(x * 10 + 0.5) / 10) for x in want]
     assert known > 40
+
+
+def test_ticks_meet_spans_of_other_units_and_are_not_sorted_with_their_samples(spark):
+    s, b = frames(spark, *make(1))
+    at = grid.others_at(s, ["m"], STEP, breaks=b)
+    physical = plan_of(grid.spacing(at, ["m"], STEP)).split("== Physical Plan ==")[1]
+    windows = [line for line in physical.splitlines() if " Window [" in line]
+    assert windows and not any("same_team" in line or "_x#" in line for line in windows)
+    assert "_bucket" in physical and at.where("own_healer AND NOT (same_team AND other_healer)").isEmpty()

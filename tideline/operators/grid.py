@@ -138,24 +138,29 @@ def distance_bands(distances: DataFrame, match: list[str], step: float, edges: t
 
 def others_at(samples: DataFrame, match: list[str], step: float, max_gap: float | None = MAX_GAP_SEC, breaks: DataFrame | None = None) -> DataFrame:
     """For each unit (columns unit, team, healer of the samples) and each tick of its own grid where it is known, the
-    distance d to every other unit of the match (other, same_team, other_healer); null where that one is unknown."""
+    distance d to every other unit of the match (other, same_team, other_healer, and own_healer: whether it is the first
+    healer by id of the unit's team, itself apart); null where that one is unknown."""
     of_unit = None if breaks is None else breaks.select(*match, "unit", "tb")
-    own = resolve(ticks(samples, [*match, "unit", "team"], step), samples, [*match, "unit"], of_unit, max_gap, ("i", "team")).where("x IS NOT NULL")
     units = samples.select(*match, F.col("unit").alias("other"), F.col("team").alias("_team"), F.col("healer").alias("other_healer")).distinct()
-    probes = own.withColumnsRenamed({"x": "_x", "y": "_y"}).join(units, match).where("unit != other").withColumn("same_team", F.col("team") == F.col("_team"))
-    named = samples.withColumnRenamed("unit", "other")
-    of_other = None if breaks is None else of_unit.withColumnRenamed("unit", "other")
-    at = resolve(probes, named, [*match, "other"], of_other, max_gap, ("unit", "i", "_x", "_y", "same_team", "other_healer"))
-    return at.select(*match, "unit", "i", "other", "same_team", "other_healer", F.hypot(F.col("x") - F.col("_x"), F.col("y") - F.col("_y")).alias("d"))
+    two = units.where("other_healer").groupBy(*match, F.col("_team").alias("team")).agg(F.slice(F.array_sort(F.collect_set("other")), 1, 2).alias("_two"))
+    own_healer = F.get(F.filter("_two", lambda x: x != F.col("unit")), F.lit(0))
+    known = samples.join(two, [*match, "team"], "left").withColumn("_healer", own_healer)
+    own = resolve(ticks(known, [*match, "unit", "team", "_healer"], step), samples, [*match, "unit"], of_unit, max_gap, ("i", "team", "_healer")).where("x IS NOT NULL")
+    ends = samples.groupBy(*match).agg(F.min("t").alias("_low"), F.max("t").alias("_high"))
+    named = segments(samples.withColumnRenamed("unit", "other"), [*match, "other"], None if breaks is None else of_unit.withColumnRenamed("unit", "other"))
+    spans = named.join(units, [*match, "other"]).join(ends, match)
+    width = bucket_width(samples, [*match, "unit"], step)
+    at = met(own.withColumnsRenamed({"x": "_x", "y": "_y"}), spans, match, width, max_gap, F.col("_low"), F.col("_high")).where("unit != other")
+    d = F.hypot(F.col("x") - F.col("_x"), F.col("y") - F.col("_y"))
+    return at.select(*match, "unit", "i", "other", (F.col("team") == F.col("_team")).alias("same_team"), "other_healer", F.coalesce(F.col("other") == F.col("_healer"), F.lit(False)).alias("own_healer"), d.alias("d"))
 
 
 def spacing(distances: DataFrame, match: list[str], step: float, melee: float = 8.0, alone: float = 40.0) -> DataFrame:
     """Seconds within melee range of the nearest known enemy and beyond reach of the nearest known ally, and the mean
     distance to the own team's healer (its first one by id that isn't the unit itself), from distances by others_at."""
     enemy, ally = F.when(~F.col("same_team"), F.col("d")), F.when(F.col("same_team"), F.col("d"))
-    healer = F.min(F.when(F.col("same_team") & F.col("other_healer"), F.col("other"))).over(Window.partitionBy(*match, "unit"))
-    to_healer = F.when(F.col("other") == F.col("_healer"), F.col("d"))
-    ticks_ = distances.withColumn("_healer", healer).groupBy(*match, "unit", "i").agg(F.min(enemy).alias("_enemy"), F.min(ally).alias("_ally"), F.min(to_healer).alias("_healer"))
+    to_healer = F.when(F.col("own_healer"), F.col("d"))
+    ticks_ = distances.groupBy(*match, "unit", "i").agg(F.min(enemy).alias("_enemy"), F.min(ally).alias("_ally"), F.min(to_healer).alias("_healer"))
     tenth = lambda c: F.floor(c * 10 + 0.5) / 10.0
     return ticks_.groupBy(*match, "unit").agg(
         tenth(F.count_if(F.col("_enemy") <= melee) * step).alias("melee_sec"),
