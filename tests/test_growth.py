@@ -1,14 +1,18 @@
 """Steps whose work must grow no faster than their input, and their results against brute force."""
 
 import contextlib
+import datetime
 import io
 import math
 import random
 
+import duckdb
 import pytest
 
 from tests.test_grid import STEP, distance, frames, make, plain_position
+from tests.test_queries import norm
 from tideline.operators import combat, grid
+from tideline.plans import registry
 
 
 def plan_of(df):
@@ -55,3 +59,14 @@ def test_ticks_meet_spans_of_other_units_and_are_not_sorted_with_their_samples(s
     windows = [line for line in physical.splitlines() if " Window [" in line]
     assert windows and not any("same_team" in line or "_x#" in line for line in windows)
     assert "_bucket" in physical and at.where("own_healer AND NOT (same_team AND other_healer)").isEmpty()
+
+
+def test_anchors_of_a_correlation_just_beyond_the_bound(spark, tmp_path):
+    wins = {*range(19), 20, *range(62, 82)}  # U is 841 of 40 times 42: a correlation of 0.00119
+    rows = [(75 * k, k, "F" if k in wins else "O", 1.0 + k, datetime.datetime(1995, 1, 1) + datetime.timedelta(days=k), "1-URGENT") for k in range(82)]
+    spark.createDataFrame(rows, "o_orderkey long, o_custkey long, o_orderstatus string, o_totalprice double, o_orderdate timestamp_ntz, o_orderpriority string").coalesce(1).write.parquet(f"{tmp_path}/orders.parquet")
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW orders AS SELECT * FROM read_parquet('{tmp_path}/orders.parquet/*.parquet')")
+    want = con.sql(registry.ORACLES["sta11_anchors_by_comp"])
+    got = registry.QUERIES["sta11_anchors_by_comp"](spark, str(tmp_path)).select(want.columns).collect()
+    assert len(got) == 1 and [tuple(map(norm, r)) for r in got] == [tuple(map(norm, r)) for r in want.fetchall()]

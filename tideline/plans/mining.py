@@ -169,7 +169,7 @@ a AS (SELECT comp, feature, count(DISTINCT match_id) AS n, count(*) FILTER (win
 
 @query(f"WITH {BY_COMP} SELECT comp, feature, n, n_win, n_loss, floor(mid_win * 10 + 0.5) / 10.0::DOUBLE AS mid_win, floor(high_loss * 10 + 0.5) / 10.0::DOUBLE AS high_loss, rb > 0 AS higher_wins FROM a JOIN u USING (comp, feature) WHERE n_win >= 15 AND n_loss >= 15 AND abs(rb) > 0.001")
 def sta11_anchors_by_comp(spark, sf):
-    found = stats.anchors_by_level(_by_comp(spark, sf), "comp").where("abs(rank_biserial) > 0.001")
+    found = stats.anchors_by_level(_by_comp(spark, sf), "comp", digits=None).where("abs(rank_biserial) > 0.001")
     return found.select("comp", "feature", "n", "n_win", "n_loss", round_half_up(F.col("win_q")[2], 1).alias("mid_win"), round_half_up(F.col("loss_q")[4], 1).alias("high_loss"), (F.col("rank_biserial") > 0).alias("higher_wins"))
 
 
