@@ -98,3 +98,12 @@ def test_links_of_a_chain():
     lens = np.array([len(s) for s in sets])
     found = near_copies.spanning_links(np.arange(7), lens, np.concatenate(sets))
     assert sorted({frozenset(x) for x in found}, key=sorted) == [{k, k + 1} for k in range(5)]
+
+
+def test_simhash_components_give_candidates(spark, monkeypatch):
+    """Without any band, near copies of few differing bits are still found."""
+    monkeypatch.setattr(near_copies, "band_keys", lambda found: found[:0])
+    text = " ".join(f"w{i}" for i in range(500))
+    assert (plain_fingerprint(text) ^ plain_fingerprint(f"{text} end")).bit_count() <= 4
+    assert stage(spark, [(3, text), (2, f"{text} end"), (9, "other words here"), (None, text)]) == [1, 2]
+    assert stage(spark, [(1, None), (2, ""), (4, "a b c")]) == [0, 2]
