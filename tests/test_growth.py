@@ -8,10 +8,11 @@ import random
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from tests.test_grid import STEP, distance, frames, make, plain_position
 from tests.test_queries import norm
-from tideline.operators import combat, grid
+from tideline.operators import asof, cohort, combat, grid, units
 from tideline.plans import registry
 
 
@@ -70,3 +71,11 @@ def test_anchors_of_a_correlation_just_beyond_the_bound(spark, tmp_path):
     want = con.sql(registry.ORACLES["sta11_anchors_by_comp"])
     got = registry.QUERIES["sta11_anchors_by_comp"](spark, str(tmp_path)).select(want.columns).collect()
     assert len(got) == 1 and [tuple(map(norm, r)) for r in got] == [tuple(map(norm, r)) for r in want.fetchall()]
+
+
+def test_lethal_windows_of_any_length(spark):
+    w = spark.createDataFrame([("m", "friendly", k, f, to, 1) for k, (f, to) in enumerate([(0, 9), (0, 10), (11, 10**15), (21, 10**15), (10, 10)])], "m string, team string, window long, from_sec long, to_sec long, damage long").withColumns({c: F.lit(1) for c in ("defenses_up", "offense_ready")})
+    d = spark.createDataFrame([("m", "enemy", 10), ("m", "enemy", 20), ("m", "friendly", 30)], "m string, team string, t_sec long")
+    df = units.window_features(w, d, "m", spark.createDataFrame([("m", 2.0)], "m string, minutes double"))
+    assert "sequence(" not in plan_of(df)  # no row for each bucket of a window's time
+    assert df.first().lethal_fraction == 3 / 5

@@ -6,7 +6,7 @@ shield's owner) and all counters are conditional sums of one aggregation by matc
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tideline.operators import events as ev
@@ -96,10 +96,12 @@ def window_features(windows: DataFrame, deaths: DataFrame, match: str, minutes:
     defences and the offence that were ready, and the share of windows with a death of the other team in the closed
     span. windows: team, window, from_sec, to_sec, damage, defenses_up, offense_ready; deaths: team, t_sec; minutes: of
     each match."""
-    spans = windows.select(match, "team", "window", F.col("from_sec").alias("start_ms"), (F.col("to_sec") + 1).alias("end_ms"))
-    points = deaths.select(match, F.explode(F.array(*(F.lit(t) for t in ("friendly", "enemy")))).alias("team"), F.col("team").alias("_died"), F.col("t_sec").alias("ts_ms")).where("team != _died")
-    lethal = intervals.points_in_intervals(points, spans, [match, "team"], 30, closed=False).where("ts_ms <= end_ms - 1").select(match, "team", "window").distinct().withColumn("_lethal", F.lit(1))
-    marked = windows.join(lethal, [match, "team", "window"], "left").join(minutes, match)
+    died = deaths.select(match, F.explode(F.array(*(F.lit(t) for t in ("friendly", "enemy")))).alias("team"), F.col("team").alias("_died"), F.col("t_sec").alias("_death")).where("team != _died").drop("_died")
+    both = windows.withColumn("_own", F.lit(True)).unionByName(died.withColumn("from_sec", F.col("_death")), allowMissingColumns=True)
+    # the first death at or after a window's start decides, so one sort of both does, however long the windows are
+    back = Window.partitionBy(match, "team").orderBy(F.col("from_sec").desc(), F.col("_death").desc_nulls_last()).rowsBetween(Window.unboundedPreceding, 0)
+    lethal = F.when(F.col("_next") <= F.col("to_sec"), 1)
+    marked = both.withColumn("_next", F.last("_death", ignorenulls=True).over(back)).where("_own").withColumn("_lethal", lethal).join(minutes, match)
     per = lambda c: F.when(F.first("minutes") > 0, c / F.first("minutes"))
     return marked.groupBy(match, "team").agg(
         per(F.count(F.lit(1))).alias("go_per_min"), per(F.sum("damage")).alias("go_damage_per_min"), F.min("from_sec").alias("first_go_sec"), F.avg("defenses_up").alias("mean_defenses_up"), F.avg("offense_ready").alias("mean_offense_ready"),
