@@ -79,3 +79,20 @@ def test_lethal_windows_of_any_length(spark):
     df = units.window_features(w, d, "m", spark.createDataFrame([("m", 2.0)], "m string, minutes double"))
     assert "sequence(" not in plan_of(df)  # no row for each bucket of a window's time
     assert df.first().lethal_fraction == 3 / 5
+
+
+def test_cohorts_of_last_sessions_meet_by_session(spark):
+    rng = random.Random(6)
+    rows = [(k, rng.choice("ab"), rng.choice(["x", "y", None]), rng.randrange(3000), 1, 7) for k in range(120)]
+    h = spark.createDataFrame(rows, "match_id long, character string, comp string, start_ms long, duration_sec long, session int").withColumn("rating", F.lit(1))
+    df = cohort.cohort(h, h.where("match_id % 4 = 0"), ["character"], {"comp": True, "last_sessions": 2, "gap_ms": 1020})
+    assert df.columns == ["target_id", *h.columns] and {r.session for r in df.collect()} <= {7}
+    assert any("Join" in line and "_session" in line for line in plan_of(df).splitlines())
+    session = {}
+    for c in "ab":
+        n, end = 0, None
+        for k, _, _, at, sec, _ in sorted((r for r in rows if r[1] == c), key=lambda r: (r[3], r[0])):
+            n += end is None or at - end > 1020
+            session[k], end = n, at + sec * 1000
+    want = [(t[0], m[0]) for t in rows for m in rows if t[0] % 4 == 0 and t[1:3] == m[1:3] and 1 <= session[t[0]] - session[m[0]] <= 2]
+    assert sorted((r.target_id, r.match_id) for r in df.collect()) == sorted(want)
