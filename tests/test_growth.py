@@ -96,3 +96,15 @@ def test_cohorts_of_last_sessions_meet_by_session(spark):
             session[k], end = n, at + sec * 1000
     want = [(t[0], m[0]) for t in rows for m in rows if t[0] % 4 == 0 and t[1:3] == m[1:3] and 1 <= session[t[0]] - session[m[0]] <= 2]
     assert sorted((r.target_id, r.match_id) for r in df.collect()) == sorted(want)
+
+
+def test_nearest_by_brute_force_without_pairs(spark):
+    rng = random.Random(8)
+    left = [(k, rng.choice([None, rng.randrange(4000)]), rng.choice([None, 1, 2])) for k in range(200)]
+    right = [(rng.randrange(1000), rng.choice([None, rng.randrange(4000)]), rng.choice([None, 1, 2])) for _ in range(60)]
+    df = asof.nearest(spark.createDataFrame(left, "left_id long, left_ms long, k int"), spark.createDataFrame(right, "ord long, right_ms long, k int"), 50, ["k"])
+    assert not any("Join" in line and "_bucket" in line for line in plan_of(df).splitlines())
+    for r in df.collect():
+        near = [(abs(r.left_ms - ms), o) for o, ms, k in right if None not in (r.left_ms, ms, k) and k == r.k and abs(r.left_ms - ms) <= 50]
+        assert (r.delta_ms, r.ord) == min(near, default=(None, None))
+    assert df.where("ord IS NOT NULL").count() > 10
