@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from tests.test_grid import STEP, distance, frames, make, plain_position
 from tests.test_queries import norm
-from tideline.operators import asof, cohort, combat, grid, units
+from tideline.operators import asof, cohort, combat, geometry, grid, models, units
 from tideline.plans import registry
 
 
@@ -108,3 +108,15 @@ def test_nearest_by_brute_force_without_pairs(spark):
         near = [(abs(r.left_ms - ms), o) for o, ms, k in right if None not in (r.left_ms, ms, k) and k == r.k and abs(r.left_ms - ms) <= 50]
         assert (r.delta_ms, r.ord) == min(near, default=(None, None))
     assert df.where("ord IS NOT NULL").count() > 10
+
+
+def test_points_of_lines_are_not_shuffled(spark):
+    lines = spark.createDataFrame([(1, 0.0, 0.0, 9.0, 0.0), (2, 0.0, 5.0, 9.0, 5.0)], "line_id int, ax double, ay double, bx double, by double")
+    voids = spark.createDataFrame([(2, 0, 0.9)], "col long, row long, voidness double")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        df = geometry.line_of_sight(lines, voids, 2.0)
+        assert "SortMergeJoin" not in plan_of(df)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert {r.line_id: r.result for r in df.collect()} == {1: "blocked", 2: "clear"}

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tideline.operators import asof, cooldowns, geometry, grid, intervals
+from tideline.session import Scratch
 
 #: The longest seconds that each category of control can last, and the buckets that it counts in.
 CAPS_SEC = {"stun": 10, "incapacitate": 10, "disorient": 10, "silence": 10, "root": 30, "disarm": 15, "taunt": 8, "knockback": 5}
@@ -122,17 +123,22 @@ def window_sight(windows: DataFrame, samples: DataFrame, smokes: DataFrame, void
     """Of windows (window_id, team: the attacking one, other_team, target, from_sec, to_sec) the sight between the
     target and the attacker that it is most visible to at the start (least occlusion, then the first unit), and that
     line's clear fraction over the window's ticks. voids should be those of grids with enough coverage."""
-    attackers = samples.select(*by, "team", F.col("unit").alias("other")).distinct()
+    scratch = Scratch(windows.sparkSession, "sight")
+    attackers = samples.select(*by, F.col("team").alias("_team"), F.col("unit").alias("other")).distinct()
     s = samples.select(*by, "unit", "t", "x", "y")
     own = windows.select(*by, *zone, "window_id", "team", F.col("other_team").alias("viewer_team"), "target", "from_sec", "to_sec")
-    start = own.join(attackers, [*by, "team"]).withColumn("t", F.col("from_sec").cast("double")).withColumn("line_id", F.concat_ws("#", "window_id", "other"))
-    carry = ("line_id", "window_id", "viewer_team", "from_sec", "to_sec", *zone)
-    first = _lines(start, s, by, max_gap, carry)
+    carry = ("window_id", "viewer_team", *zone)
+    # attackers whose position is known at the start: the target is placed first, and meets the spans of their samples
+    start = grid.resolve(own.withColumn("t", F.col("from_sec").cast("double")), s.withColumnRenamed("unit", "target"), [*by, "target"], max_gap=max_gap, carry=("team", *carry))
+    start = start.where("x IS NOT NULL").withColumnsRenamed({"x": "ax", "y": "ay", "team": "_team"})
+    spans = grid.segments(s.withColumnRenamed("unit", "other"), [*by, "other"]).join(attackers, [*by, "other"])
+    found = grid.met(start, spans, [*by, "_team"], grid.bucket_width(s, [*by, "unit"]), max_gap).where("x IS NOT NULL")
+    first = scratch.save(found.withColumnsRenamed({"x": "bx", "y": "by"}).withColumn("line_id", F.concat_ws("#", "window_id", "other")).drop("_team", "target"))
     seen = first.select("line_id", "window_id", "other").join(sight(first, smokes, voids, cell, by, zone, bucket_sec), "line_id").where("result != 'unknown'")
-    best = seen.groupBy("window_id").agg(F.min_by(F.struct("other", "result"), F.struct("occlusion", "other")).alias("b")).select("window_id", "b.*")
+    best = scratch.save(seen.groupBy("window_id").agg(F.min_by(F.struct("other", "result"), F.struct("occlusion", "other")).alias("b")).select("window_id", "b.*"))
     n = F.floor((F.col("to_sec") - F.col("from_sec")) / step)
     ticks = own.join(best.select("window_id", "other"), "window_id").withColumn("_i", F.explode(F.sequence(F.lit(0).cast("long"), n))).withColumn("t", F.col("from_sec") + F.col("_i") * step).withColumn("line_id", F.concat_ws("#", "window_id", "_i"))
-    along = _lines(ticks, s, by, max_gap, carry)
+    along = scratch.save(_lines(ticks, s, by, max_gap, ("line_id", *carry)))
     clear = clear_fraction(along.select("line_id", "window_id").join(sight(along, smokes, voids, cell, by, zone, bucket_sec), "line_id"), ["window_id"])
     out = windows.select("window_id").join(best, "window_id", "left").join(clear, "window_id", "left")
     return out.select("window_id", F.col("other").alias("attacker"), F.coalesce("result", F.lit("unknown")).alias("result"), "clear_fraction")

@@ -29,9 +29,9 @@ def los_samples(lines: DataFrame, cell: float) -> DataFrame:
 
 def line_of_sight(lines: DataFrame, voids: DataFrame, cell: float, by: tuple[str, ...] = ()) -> DataFrame:
     """line_id, peak void-ness along the line and the result, from rasters (by, col, row, voidness; as many as there are
-    arenas, of bounded size each); outside them it is 0."""
+    arenas, of bounded size each, and broadcast so that no point is shuffled); outside them it is 0."""
     points = los_samples(lines, cell).withColumn("col", F.floor(F.col("px") / cell)).withColumn("row", F.floor(F.col("py") / cell))
-    peak = points.join(voids, [*by, "col", "row"], "left").groupBy("line_id").agg(F.max(F.coalesce("voidness", F.lit(0.0))).alias("peak"))
+    peak = points.join(F.broadcast(voids), [*by, "col", "row"], "left").groupBy("line_id").agg(F.max(F.coalesce("voidness", F.lit(0.0))).alias("peak"))
     return peak.withColumn("result", F.when(F.col("peak") >= BLOCKED, "blocked").when(F.col("peak") >= LIKELY, "likely-blocked").otherwise("clear"))
 
 
