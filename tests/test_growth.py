@@ -110,6 +110,19 @@ def test_nearest_by_brute_force_without_pairs(spark):
     assert df.where("ord IS NOT NULL").count() > 10
 
 
+def test_folds_are_read_without_a_shuffle(spark):
+    df = spark.range(300).select("id", F.when(F.col("id") % 50 > 0, F.col("id") % 3).alias("c"), (F.col("id") % 2).cast("double").alias("win"))
+    rare = df.withColumn("c", F.when(F.col("id") == 7, 99).otherwise(F.col("c")))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as for tables that are too large for it
+    try:
+        train, test = models.pool_rare(rare.where("id < 200"), rare.where("id >= 200"), ["c"])
+        assert not any("SortMergeJoin" in line for line in plan_of(train).splitlines() + plan_of(test).splitlines())
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    want = {(i, "(rare)" if i % 50 == 0 or i == 7 else str(i % 3)) for i in range(300)}
+    assert {(r.id, r.c) for r in train.union(test).collect()} == want
+
+
 def test_points_of_lines_are_not_shuffled(spark):
     lines = spark.createDataFrame([(1, 0.0, 0.0, 9.0, 0.0), (2, 0.0, 5.0, 9.0, 5.0)], "line_id int, ax double, ay double, bx double, by double")
     voids = spark.createDataFrame([(2, 0, 0.9)], "col long, row long, voidness double")

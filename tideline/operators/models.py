@@ -36,11 +36,20 @@ def folds(df: DataFrame, group: str, n: int = 5, seed: int = 7, label: str | Non
     return df.join(dealt, group)
 
 
-def pool_rare(train: DataFrame, test: DataFrame, categorical: list[str], least: int = LEAST_LEVEL) -> tuple[DataFrame, DataFrame]:
-    """Both frames with the levels that the first has in fewer rows than least, and null, as one level."""
+def level_counts(df: DataFrame, categorical: list[str], by: tuple[str, ...] = ()) -> DataFrame:
+    """variable, level and n of the rows of each level that isn't null (and by, if named), in one pass."""
+    cast = df.select(*by, *(F.col(c).cast("string").alias(c) for c in categorical)).unpivot(list(by), categorical, "variable", "level")
+    return cast.where("level IS NOT NULL").groupBy("variable", "level", *by).agg(F.count(F.lit(1)).alias("n"))
+
+
+def pool_rare(train: DataFrame, test: DataFrame, categorical: list[str], least: int = LEAST_LEVEL, counts: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """Both frames with the levels that the first has in fewer rows than least, and null, as one level. counts: its
+    ``level_counts``, if they are known. Levels are broadcast, as the indexer has all of them on the driver anyway."""
+    if categorical and counts is None:
+        counts = level_counts(train, categorical)
     for c in categorical:
-        often = train.groupBy(c).count().where(F.col("count") >= least).select(F.col(c).alias("_level")).where("_level IS NOT NULL")
-        put = lambda df: df.join(often, df[c] == often["_level"], "left").withColumn(c, F.coalesce(F.col("_level").cast("string"), F.lit(RARE))).drop("_level")  # noqa: B023, E731
+        often = F.broadcast(counts.where((F.col("variable") == c) & (F.col("n") >= least)).select(F.col("level").alias("_level")))
+        put = lambda df: df.join(often, df[c].cast("string") == often["_level"], "left").withColumn(c, F.coalesce("_level", F.lit(RARE))).drop("_level")  # noqa: B023, E731
         train, test = put(train), put(test)
     return train, test
 
@@ -78,12 +87,18 @@ def quality(predictions: DataFrame) -> tuple[float, float]:
 
 
 def cross_validate(df: DataFrame, numeric: list[str], categorical: list[str], label: str, group: str, kind: str = "logit", n: int = 5, rounds: int = 20) -> tuple[DataFrame, list]:
-    """Predictions of every row by the model of the other folds, and the models; folds share the outcomes evenly."""
-    marked = Scratch(df.sparkSession, "folds").save(folds(df, group, n, label=label).select(*df.columns, "fold"))
+    """Predictions of every row by the model of the other folds, and the models; folds share the outcomes evenly. Levels
+    are counted by fold once, so that the fits' passes over a fold's rows shuffle nothing."""
+    scratch = Scratch(df.sparkSession, "folds")
+    marked = scratch.save(folds(df, group, n, label=label).select(*df.columns, "fold"))
+    sizes = {r["fold"]: r["count"] for r in marked.groupBy("fold").count().collect()}
+    by_fold = scratch.save(level_counts(marked, categorical, ("fold",))) if categorical else None
     out, models = None, []
     for k in range(n):
-        train, test = pool_rare(marked.where(F.col("fold") != k), marked.where(F.col("fold") == k), categorical)
-        model = pipeline(numeric, categorical, label, kind, 1 / (STRENGTH * max(1, train.count())), rounds).fit(train)
+        counts = by_fold.where(F.col("fold") != k).groupBy("variable", "level").agg(F.sum("n").alias("n")) if categorical else None
+        train, test = pool_rare(marked.where(F.col("fold") != k), marked.where(F.col("fold") == k), categorical, counts=counts)
+        size = sum(v for fold, v in sizes.items() if fold != k)
+        model = pipeline(numeric, categorical, label, kind, 1 / (STRENGTH * max(1, size)), rounds).fit(train)
         part = scored(model, test, label)
         out = part if out is None else out.unionByName(part)
         models.append(model)
