@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from tests.test_grid import STEP, distance, frames, make, plain_position
 from tests.test_queries import norm
-from tideline.operators import asof, cohort, combat, geometry, grid, models, units
+from tideline.operators import asof, cohort, combat, geometry, grid, models, stats, units
 from tideline.plans import registry
 
 
@@ -133,3 +133,13 @@ def test_points_of_lines_are_not_shuffled(spark):
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert {r.line_id: r.result for r in df.collect()} == {1: "blocked", 2: "clear"}
+
+
+def test_spearman_works_on_distinct_pairs_of_values(spark, monkeypatch):
+    saved = []
+    whole = stats.Scratch.save
+    monkeypatch.setattr(stats.Scratch, "save", lambda self, df: saved.append(df.count()) or whole(self, df))
+    rows = [(1, 1), (1, 2), (2, 2), (3, 1), (None, 4)] * 50
+    r = stats.spearman(spark.createDataFrame(rows, "a int, b int"), ["a", "b"]).first()
+    assert max(saved) == 4
+    assert r.rho == pytest.approx(-1 / math.sqrt(4.5 * 4), abs=1e-9)
