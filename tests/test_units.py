@@ -2,6 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tideline.operators import coach, relational, units
+from tideline.operators.intervals import OPEN_END
 from tideline.sources import dims
 
 U = [("P", "player", "friendly", None), ("pet", "primary-pet", "friendly", "P"), ("E", "player", "enemy", None)]
@@ -40,6 +41,8 @@ def test_deaths(spark, frames):
     assert [r.seq for r in units.death_blows(e).collect()] == [2, 9] or sorted(r.seq for r in units.death_blows(e).collect()) == [2, 9]
     control = spark.createDataFrame([("m", "E", 7, 5000, 5100, 1), ("m", "E", 8, 4000, 6000, 2), ("m", "E", 9, 0, 5050, 3)], "match_id string, dest string, spell int, start_ms long, end_ms long, seq long")
     assert [r.spell for r in units.deaths_under_control(e, control).collect()] == [8]
+    never = control.where("spell = 9").withColumn("end_ms", F.lit(OPEN_END))  # as of an aura that nothing removes
+    assert [(r.seq, r.spell) for r in units.deaths_under_control(e, never.union(never.withColumns({"spell": F.lit(6), "start_ms": F.lit(5051)}))).collect()] == [(10, 9)]
 
 
 def test_features(spark):

@@ -60,8 +60,12 @@ def unit_metrics(e: DataFrame, units: DataFrame, durations: DataFrame) -> DataFr
 
 def deaths_under_control(e: DataFrame, control: DataFrame) -> DataFrame:
     """Deaths with the earliest active control span (match_id, dest, spell, start_ms, end_ms) of the dying unit."""
+    unit = ["match_id", "dest"]
     died = e.where("event = 'UNIT_DIED'").select("match_id", F.col("dest_id").alias("dest"), "ts_ms", "seq")
-    on = intervals.points_in_intervals(died, control.drop("seq"), ["match_id", "dest"], 10_000)
+    # spans that nothing closes are cut behind the unit's last death, so that they touch few buckets of time
+    last = died.groupBy(*unit).agg(F.max("ts_ms").alias("_last"))
+    cut = control.drop("seq").join(last, unit).where("start_ms <= _last").withColumn("end_ms", F.least(F.col("end_ms"), F.col("_last") + 1)).drop("_last")
+    on = intervals.points_in_intervals(died, cut, unit, 10_000)
     return on.groupBy("match_id", "dest", "seq").agg(F.min_by("spell", "start_ms").alias("spell"))
 
 
