@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from tests.test_grid import STEP, distance, frames, make, plain_position
 from tests.test_queries import norm
-from tideline.operators import asof, cohort, combat, geometry, grid, models, stats, units
+from tideline.operators import asof, cohort, combat, geometry, grid, models, relational, stats, units
 from tideline.plans import registry
 
 
@@ -143,3 +143,26 @@ def test_spearman_works_on_distinct_pairs_of_values(spark, monkeypatch):
     r = stats.spearman(spark.createDataFrame(rows, "a int, b int"), ["a", "b"]).first()
     assert max(saved) == 4
     assert r.rho == pytest.approx(-1 / math.sqrt(4.5 * 4), abs=1e-9)
+
+
+@pytest.mark.parametrize("limit", [10**6, 50])
+def test_unordered_pairs_are_neither_sorted_nor_grouped_twice(spark, limit):
+    rng = random.Random(9)
+    some = [None, 1, 2, 3]
+    rows = [(rng.choice(some), rng.choice(some), k if rng.random() < 0.5 else None) for k in rng.sample(range(30), 30)]
+    rows += [(7, 8, 5), (8, 7, 5), (9, 8, None), (8, 9, None), (6, None, None), (None, 5, 1), (5, 5, 2), (4, None, 3), (None, 4, 3)]
+    rows += [(100 + k % 400, 900 + k % 400, k) for k in range(900)] + [(90, 91 - k % 2, 7 + k) for k in range(300)]  # one pair of many rows
+    df = relational.unordered_pairs(spark.createDataFrame(rows, "a long, b long, ord long"), "a", "b", "ord", limit)
+    physical = plan_of(df).split("== Physical Plan ==")[1]
+    assert "Sort" not in physical and "Window" not in physical
+    if limit == 50:
+        # dealt before they are grouped to tasks of 50 rows; the pair of many rows isn't
+        assert f", {-(-len(rows) // 50)}), REPARTITION" in physical and "Union" in physical
+    else:
+        assert physical.count("Exchange hashpartitioning") == 1
+    con = duckdb.connect()
+    con.sql("CREATE TABLE p (a BIGINT, b BIGINT, ord BIGINT)")
+    con.executemany("INSERT INTO p VALUES (?, ?, ?)", rows)
+    # ways that the query leaves open (equal orders and a, other b) come with known b first
+    want = con.sql("SELECT a, b, ord FROM (SELECT a, b, min(ord) AS ord FROM p GROUP BY ALL) QUALIFY row_number() OVER (PARTITION BY least(a, b), greatest(a, b) ORDER BY ord, a, b) = 1")
+    assert sorted(map(tuple, df.collect()), key=repr) == sorted(want.fetchall(), key=repr)

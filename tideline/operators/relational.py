@@ -10,6 +10,10 @@ from pyspark.sql import functions as F
 #: Columns that matches may be sorted by; anything else means start_ms.
 SORTABLE = ("start_ms", "duration_sec", "rating", "result")
 
+#: Rows of unordered pairs that one task takes, and the hashed buckets that tell where a few pairs have many rows.
+PAIR_ROWS = 1_250_000
+PAIR_BUCKETS = 4096
+
 
 def match_filters(spec: dict) -> Column:
     """A condition from equality fields and inclusive ranges; None and the empty text mean no filter."""
@@ -72,11 +76,35 @@ def ids_but(sources: list[DataFrame], deny: DataFrame, key: str) -> DataFrame:
     return reduce(DataFrame.union, (s.select(key) for s in sources)).distinct().join(deny.select(key), key, "left_anti")
 
 
-def unordered_pairs(pairs: DataFrame, a: str, b: str, order: str) -> DataFrame:
-    """The first row of each unordered pair by order."""
-    keyed = pairs.withColumn("_low", F.least(a, b)).withColumn("_high", F.greatest(a, b))
-    w = Window.partitionBy("_low", "_high").orderBy(order)
-    return keyed.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n", "_low", "_high")
+def unordered_pairs(pairs: DataFrame, a: str, b: str, order: str, rows: int = PAIR_ROWS) -> DataFrame:
+    """a, b and order of the first row of each unordered pair by order, then by a; nulls last, a pair with one null being
+    that of its other end twice. The least order of each way round is found, so no rows are sorted.
+
+    Most pairs of a large table have few rows, which are dealt to as many tasks as they need without being grouped before
+    that, so that no task's groups grow with the table. Buckets of several times the mean are those of pairs with many
+    rows; these are grouped before they are dealt."""
+    low, high = F.col("_low"), F.col("_high")
+    way = F.when(F.col(a).eqNullSafe(low) & F.col(b).eqNullSafe(high), 1).when(F.col(b).isNull(), 2).otherwise(4)
+    ways = [(low, high), (low, F.lit(None)), (F.when(low != high, high), low)]
+    keyed = pairs.withColumns({"_low": F.least(a, b), "_high": F.greatest(a, b)}).select("_low", "_high", way.alias("_way"), F.col(order).alias("_order"))
+    least = [F.min(F.when(F.col("_way") == 1 << k, F.col("_order"))).alias(f"_{k}") for k in range(3)]
+    first = F.least("_0", "_1", "_2")
+    is_first = lambda k: F.when(first.isNull(), F.col("_ways").bitwiseAND(1 << k) != 0).otherwise(F.col(f"_{k}") == first)
+    end = lambda i: F.when(is_first(0), ways[0][i]).when(is_first(1), ways[1][i]).otherwise(ways[2][i])
+
+    def firsts(df: DataFrame) -> DataFrame:
+        found = df.groupBy("_low", "_high").agg(*least, F.bit_or("_way").alias("_ways"))
+        return found.select(end(0).alias(a), end(1).alias(b), first.alias(order))
+
+    bucket = F.pmod(F.xxhash64("_low", "_high"), F.lit(PAIR_BUCKETS))
+    loads = {r["_bucket"]: r["count"] for r in keyed.groupBy(bucket.alias("_bucket")).count().collect()}  # a row a bucket
+    total = sum(loads.values())
+    if total <= rows:
+        return firsts(keyed)
+    crowded = [k for k, n in loads.items() if n > 4 * total / PAIR_BUCKETS]
+    tasks = max(-(-total // rows), int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    out = firsts(keyed.where(~bucket.isin(crowded)).repartition(tasks, "_low", "_high"))
+    return out.unionByName(firsts(keyed.where(bucket.isin(crowded)))) if crowded else out
 
 
 def with_classes(specs: DataFrame, classes: DataFrame, dimension: DataFrame) -> DataFrame:

@@ -317,8 +317,8 @@ def set04_catalog_merge(spark, sf):
 @query("""WITH p AS (SELECT l_partkey AS a, l_suppkey AS b, min(l_orderkey * 10 + l_linenumber) AS ord FROM lineitem GROUP BY ALL)
 SELECT a, b, ord FROM p QUALIFY row_number() OVER (PARTITION BY least(a, b), greatest(a, b) ORDER BY ord, a) = 1""")
 def set05_unordered_pair_dedupe(spark, sf):
-    p = table(spark, sf, "lineitem").groupBy(F.col("l_partkey").alias("a"), F.col("l_suppkey").alias("b")).agg(F.min(F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("ord"))
-    return relational.unordered_pairs(p.withColumn("_o", F.struct("ord", "a")), "a", "b", "_o").drop("_o")
+    p = table(spark, sf, "lineitem").select(F.col("l_partkey").alias("a"), F.col("l_suppkey").alias("b"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("ord"))
+    return relational.unordered_pairs(p, "a", "b", "ord")
 
 
 @query("SELECT c_custkey FROM customer WHERE c_acctbal > 0 INTERSECT SELECT o_custkey FROM orders WHERE o_orderstatus = 'F'")
