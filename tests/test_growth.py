@@ -166,3 +166,26 @@ def test_unordered_pairs_are_neither_sorted_nor_grouped_twice(spark, limit):
     # ways that the query leaves open (equal orders and a, other b) come with known b first
     want = con.sql("SELECT a, b, ord FROM (SELECT a, b, min(ord) AS ord FROM p GROUP BY ALL) QUALIFY row_number() OVER (PARTITION BY least(a, b), greatest(a, b) ORDER BY ord, a, b) = 1")
     assert sorted(map(tuple, df.collect()), key=repr) == sorted(want.fetchall(), key=repr)
+
+
+def test_scorecards_take_a_row_for_each_match(spark, monkeypatch):
+    saved = []
+    whole = stats.Scratch.save
+    monkeypatch.setattr(stats.Scratch, "save", lambda self, df: saved.append(df.count()) or whole(self, df))
+    # matches 0 and 1 share the most damage; 5 alone has the fewest deaths; damage of 7 and 8 is unknown
+    rows = [(k, "a", "2v2", k % 3 * 3_600_000, 1000 + k % 4, 60, "win", None if k in (7, 8) else 9.0 if k < 2 else float(k % 5), 1.0 if k == 5 else 2.0 + k) for k in range(20)]
+    h = spark.createDataFrame(rows, "match_id long, character string, bracket string, start_ms long, rating long, duration_sec long, result string, damage double, deaths double")
+    registry = {"damage": ("higher-better", False), "deaths": ("lower-better", True)}
+    by = ["character", "bracket"]
+    got = {(r.target_id, r.metric_id): r for r in cohort.member_stats(h, h, by, {"rating_band": 1, "hours": 0}, registry).collect()}
+    assert max(saved) == len({(r[3], r[4]) for r in rows}) + 2 * len(rows)  # classes and both ends of the targets' bands, but not for each metric
+    for k, r in enumerate(rows):
+        like = [m for m in rows if m is not r and m[3] == r[3] and abs(m[4] - r[4]) <= 1]
+        for name, at in (("damage", 7), ("deaths", 8)):
+            v = [m[at] for m in like if m[at] is not None]
+            assert (got[k, name].n, got[k, name].mean) == (len(v), pytest.approx(sum(v) / len(v)))
+    best = cohort.season_bests(h, h, by, {}, registry)
+    assert "Window" not in plan_of(best)
+    assert {(r.target_id, r.metric_id): (r.most, r.least) for r in best.collect()} == {
+        (k, name): (max(v), min(v)) for k in range(20) for name, at in (("damage", 7), ("deaths", 8)) if (v := [m[at] for m in rows if m[0] != k and m[at] is not None])
+    }
